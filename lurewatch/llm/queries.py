@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, toxicity
+from . import decontam, neardup, quality, toxicity
 from .common import held_out, table
 
 
@@ -18,6 +18,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, threshold=0.3).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it contains."""
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "exact_id", "exact_size")
@@ -32,6 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op5_order_minhash": op5_order_minhash,
 }
