@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, quality, toxicity
+from . import decontam, mixing, neardup, quality, sharding, toxicity
 from .common import held_out, table
 
 
@@ -35,11 +35,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, lexicon, threshold=0.5).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near-equal bytes over all documents, equal texts together."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.take_counts(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most_repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op5_order_minhash": op5_order_minhash,
+    "op9_minimax_shards": op9_minimax_shards,
+    "op10_cube_mixing": op10_cube_mixing,
 }
 
 ORACLES: dict[str, str] = {}
