@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, sharding, toxicity
+from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, quality, sharding, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -35,6 +35,50 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, lexicon, threshold=0.5).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered and read back, and one of control strings."""
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    records = rows.select("conv_id", F.to_json(F.struct(F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), blank("role"), blank("text"))).alias("record"))
+    chats = chatformat.format_chats(chatformat.canonical_turns(records, "conv_id", "record"), "conv_id")
+    back = chats.select("conv_id", "formatted", "loss", chatformat.read_back(F.col("formatted")).alias("turns"), chatformat.masked_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines: counts and a digest of what stays."""
+    kept = linededup.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text and likeness to both neighbours."""
+    docs = table(spark, sf_dir, "documents")
+    shared = fingerprint.shared_digests(docs)
+    shared = None if shared.isEmpty() else shared
+    n = F.length("text")
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.expr("left(next_text, length(text) div 4)"))
+    rows = fingerprint.with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
+    for column, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
+        rows = fingerprint.with_fingerprint(rows, column, out, shared)
+    like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
+    )
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near-equal bytes over all documents, equal texts together."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -50,7 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op5_order_minhash": op5_order_minhash,
+    "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_fingerprint": op8_fingerprint,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_cube_mixing": op10_cube_mixing,
 }
