@@ -1 +1,205 @@
-"""Queries over tables of state."""
+"""Queries over state, pages, WHOIS texts and training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..fixtures import fixture, run, with_fixtures
+from ..functions import text as t
+from ..operators import datasets as ds
+from ..operators import messages as m
+from ..operators import pages as pg
+from ..operators import state as st
+from ..registry import query
+from .message_queries import NORM_DOMAIN, NORM_URL, PARTS
+
+_EV = f"""ev AS (SELECT seq, url, {NORM_URL.format('url')} AS url_norm, sha256({NORM_URL.format('url')}) AS url_hash, CAST(user_id AS VARCHAR) AS user_id, seen_at, verdict, risk, confidence, tag_no FROM fx_url_events)"""
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    e = fixture(s, d, "fx_url_events").withColumn("user_id", F.col("user_id").cast("string"))
+    return e.withColumn("url_norm", t.normal_url(F.col("url"))).withColumn("url_hash", F.sha2("url_norm", 256))
+
+
+def _ev(q: str) -> str:
+    return with_fixtures(f"WITH {_EV} " + q if not q.lstrip().startswith(",") else f"WITH {_EV}{q}", "fx_url_events")
+
+
+@query("k3_g3_url_state", _ev("SELECT url_hash, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*) AS seen_count, arg_max(verdict, seq) AS verdict, arg_max(confidence, seq) AS confidence, arg_max(risk, seq) AS risk FROM ev GROUP BY url_hash"))
+def _(s, d):
+    return st.url_state(_events(s, d))
+
+
+@query("k4_w6_tag_state", _ev("SELECT url_hash, 'tag' || tag_no AS tag, verdict AS source, max(seq) AS seq, arg_max(confidence, seq) AS confidence FROM ev GROUP BY ALL"))
+def _(s, d):
+    return st.latest(_events(s, d).select("url_hash", F.concat(F.lit("tag"), "tag_no").alias("tag"), F.col("verdict").alias("source"), "seq", "confidence"), ["url_hash", "tag", "source"])
+
+
+@query("k5_f6_evidence", _ev("SELECT url_hash, kind, value_hash, created, CAST(row_number() OVER (PARTITION BY url_hash ORDER BY created DESC, kind, value_hash) AS INT) AS place FROM (SELECT url_hash, CASE tag_no WHEN 0 THEN 'whois' WHEN 1 THEN 'dns' WHEN 2 THEN 'cert' WHEN 3 THEN 'page' ELSE 'other' END AS kind, sha256('v' || seq) AS value_hash, seen_at AS created FROM ev) WHERE kind IN ('whois', 'dns', 'cert', 'hosting')"))
+def _(s, d):
+    kind = F.when(F.col("tag_no") == 0, "whois").when(F.col("tag_no") == 1, "dns").when(F.col("tag_no") == 2, "cert").when(F.col("tag_no") == 3, "page").otherwise("other")
+    rows = st.evidence_rows(_events(s, d).select("url_hash", kind.alias("kind"), F.concat(F.lit("v"), "seq").alias("value"), F.col("seen_at").alias("created")), "value")
+    return st.network_evidence(rows).select("url_hash", "kind", "value_hash", "created", "place")
+
+
+@query("j2_j4_stored_urls", _ev(""", s AS (SELECT url_hash, count(*) AS seen_count, arg_max(risk, seq) AS risk FROM ev WHERE verdict <> 'unknown' GROUP BY url_hash), g AS (SELECT url_hash, string_agg(DISTINCT 'tag' || tag_no, ',' ORDER BY 'tag' || tag_no) AS tags FROM ev WHERE tag_no > 4 GROUP BY url_hash)
+SELECT u.url_hash, seen_count, risk, tags FROM (SELECT DISTINCT url_hash FROM ev) u LEFT JOIN s USING (url_hash) LEFT JOIN g USING (url_hash)"""))
+def _(s, d):
+    e = _events(s, d)
+    tags = e.where("tag_no > 4").select("url_hash", F.concat(F.lit("tag"), "tag_no").alias("tag"))
+    none = e.where("false").select("url_hash", F.lit("").alias("brand"))
+    out = st.with_stored(e.select("url_hash").distinct(), st.url_state(e.where("verdict != 'unknown'")), tags, none)
+    return out.select("url_hash", "seen_count", "risk", F.array_join("tags", ",").alias("tags"))
+
+
+_REG = PARTS.replace("FROM (SELECT DISTINCT url FROM urls)", "FROM (SELECT DISTINCT url FROM ev)")
+_KIND = "CASE verdict WHEN 'good' THEN 'safe' WHEN 'bad' THEN 'unsafe' END"
+
+
+@query("g4_g5_domain_reputation", _ev(f""", {_REG}, k AS (SELECT ev.*, registrable AS domain, {_KIND} AS kind FROM ev JOIN regs USING (url)),
+r AS (SELECT domain, count(DISTINCT CASE WHEN kind = 'safe' AND trim(user_id) <> '' THEN user_id END) AS safe_users, count(*) FILTER (kind = 'unsafe') AS bad_events, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM k WHERE (kind = 'safe' AND trim(user_id) <> '') OR kind = 'unsafe' GROUP BY domain)
+SELECT *, CASE WHEN bad_events > 0 THEN 0 WHEN safe_users >= 250 THEN 15 WHEN safe_users >= 75 THEN 10 WHEN safe_users >= 25 THEN 5 ELSE 0 END AS boost FROM r"""))
+def _(s, d):
+    kind = F.when(F.col("verdict") == "good", "safe").when(F.col("verdict") == "bad", "unsafe")
+    return st.domain_reputation(_events(s, d).withColumn("kind", kind))
+
+
+_QUEUE = """, q AS (SELECT url_hash, url_norm AS url, 50 + tag_no AS priority, seen_at AS created, seq AS updated, CASE WHEN seq % 3 = 0 THEN 'pending' WHEN seq % 3 = 1 THEN 'done' ELSE 'failed' END AS status, 0 AS attempts FROM ev WHERE seq % 4 = 0)"""
+
+
+def _queue(s: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("seq") % 3 == 0, "pending").when(F.col("seq") % 3 == 1, "done").otherwise("failed")
+    return _events(s, d).where("seq % 4 = 0").select("url_hash", F.col("url_norm").alias("url"), (F.col("tag_no") + 50).alias("priority"), F.col("seen_at").alias("created"), F.col("seq").alias("updated"), status.alias("status"), F.lit(0).alias("attempts"))
+
+
+@query("j18_enqueue", _ev(_QUEUE + """, n AS (SELECT url_hash, url_norm AS url, 50 + tag_no AS priority, seen_at AS created FROM ev WHERE seq % 4 = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY created, priority DESC) AS place FROM n WHERE url_hash NOT IN (SELECT url_hash FROM q WHERE status = 'pending')) SELECT url_hash, url, priority, created, 'pending' AS status, 0 AS attempts FROM p WHERE place = 1"""))
+def _(s, d):
+    new = _events(s, d).where("seq % 4 = 1").select("url_hash", F.col("url_norm").alias("url"), (F.col("tag_no") + 50).alias("priority"), F.col("seen_at").alias("created"))
+    return st.enqueue(_queue(s, d), new)
+
+
+@query("w5_claim", _ev(_QUEUE + " SELECT url_hash, url, priority, created, updated, 'processing' AS status, 1 AS attempts FROM (SELECT * FROM q WHERE status = 'pending' ORDER BY priority DESC, created, url_hash LIMIT 20)"))
+def _(s, d):
+    return st.claim(_queue(s, d), 20)
+
+
+@query("w7_keep_newest_done", _ev(_QUEUE + " SELECT url_hash, url, priority, created, updated, status, attempts FROM (SELECT *, row_number() OVER (PARTITION BY url_hash, status ORDER BY updated DESC) AS place FROM q) WHERE status <> 'done' OR place = 1"))
+def _(s, d):
+    return st.keep_newest_done(_queue(s, d))
+
+
+_CAND = """, c AS (SELECT DISTINCT 'b' || CAST(tag_no * 10 + risk % 10 AS VARCHAR) AS brand_key, 'Brand ' || tag_no AS name, tag_no * 10 + 30 AS confidence, CASE WHEN tag_no >= 3 THEN 'verified' ELSE 'candidate' END AS status FROM ev), dm AS (SELECT DISTINCT 'b' || CAST(tag_no * 10 + risk % 10 AS VARCHAR) AS brand_key, regexp_extract(url_norm, '://([^/?#]+)', 1) AS domain FROM ev WHERE seq % 11 = 0)"""
+
+
+@query("j16_w9_learned_brands", _ev(_CAND + " SELECT brand_key, name, domain, confidence FROM c JOIN dm USING (brand_key) WHERE status = 'verified' ORDER BY confidence DESC, brand_key, domain, name LIMIT 500"))
+def _(s, d):
+    e = _events(s, d).withColumn("brand_key", F.concat(F.lit("b"), (F.col("tag_no") * 10 + F.col("risk") % 10).cast("string")))
+    c = e.select("brand_key", F.concat(F.lit("Brand "), "tag_no").alias("name"), (F.col("tag_no") * 10 + 30).alias("confidence"), F.when(F.col("tag_no") >= 3, "verified").otherwise("candidate").alias("status")).distinct()
+    return st.learned_brands(c, e.where("seq % 11 = 0").select("brand_key", F.regexp_extract("url_norm", "://([^/?#]+)", 1).alias("domain")).distinct())
+
+
+@query("g18_store_summary", _ev(_QUEUE + " SELECT 'observations' AS name, count(*) AS n FROM ev UNION ALL SELECT 'urls', count(DISTINCT url_hash) FROM ev UNION ALL SELECT 'queue', count(*) FROM q"))
+def _(s, d):
+    e = _events(s, d)
+    one = lambda name, n, df: df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
+    return one("observations", F.count("*"), e).unionByName(one("urls", F.count_distinct("url_hash"), e)).unionByName(one("queue", F.count("*"), _queue(s, d)))
+
+
+_CREATED = "coalesce(nullif(regexp_extract(raw, '(?im)^\\s*Creation Date:\\s*(.+)$', 1), ''), nullif(regexp_extract(raw, '(?im)^\\s*created:\\s*(.+)$', 1), ''), nullif(regexp_extract(raw, '(?im)^\\s*registered:\\s*(.+)$', 1), ''))"
+_WHOIS = f"""WITH w AS (SELECT who_id, trim({_CREATED}) AS created_text, trim(regexp_extract(raw, '(?im)^\\s*Registrar:\\s*(.+)$', 1)) AS registrar, contains(raw, 'REDACTED FOR PRIVACY') AS privacy FROM fx_whois),
+a AS (SELECT *, CAST(trunc((epoch(TIMESTAMP '2024-07-01 00:00:00') - epoch(CAST(replace(replace(created_text, 'T', ' '), 'Z', '') AS TIMESTAMP))) / 86400) AS BIGINT) AS age_days FROM w)
+SELECT *, least(100, CASE WHEN age_days IS NULL THEN 20 WHEN age_days < 30 THEN 60 WHEN age_days < 90 THEN 40 WHEN age_days < 180 THEN 20 WHEN age_days < 365 THEN 10 ELSE 0 END + CASE WHEN privacy THEN 20 ELSE 0 END) AS whois_risk FROM a"""
+
+
+@query("p14_whois_facts", with_fixtures(_WHOIS, "fx_whois"))
+def _(s, d):
+    return pg.whois_facts(fixture(s, d, "fx_whois"), F.lit("2024-07-01 00:00:00").cast("timestamp")).select("who_id", "created_text", "registrar", "privacy", "age_days", "whois_risk")
+
+
+@query("p15_whois_strict", with_fixtures(_WHOIS, "fx_whois"))
+def _(s, d):
+    return pg.whois_facts(fixture(s, d, "fx_whois"), F.lit("2024-07-01 00:00:00").cast("timestamp"), strict=True).select("who_id", "created_text", "registrar", "privacy", "age_days", "whois_risk")
+
+
+_UN = "nullif(trim(regexp_replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
+_META = f"""SELECT page_id, {_UN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_UN.format("regexp_extract(html, '(?is)<meta[^>]*property=\"og:site_name\"[^>]*content=\"([^\"]*)\"', 1)")} AS og_site_name,
+ nullif({NORM_DOMAIN.format("regexp_extract(html, '(?is)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]+)\"', 1)")}, '') AS canonical_domain, nullif({NORM_DOMAIN.format("regexp_extract(html, '(?is)<link[^>]*rel=\"manifest\"[^>]*href=\"([^\"]+)\"', 1)")}, '') AS manifest_domain,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(html, '\\b(GTM-[A-Z0-9]{{4,}}|UA-\\d{{4,}}-\\d+|G-[A-Z0-9]{{6,}})\\b'))), ',') AS analytics_ids, CAST(len(regexp_extract_all(lower(html), '<form')) AS INT) AS form_count,
+ contains(lower(html), 'type="password"') AS has_password, contains(lower(html), 'otp') OR contains(lower(html), 'credit card') OR contains(lower(html), 'cvv') AS has_credential_words FROM fx_page_html"""
+
+
+@query("p16_page_metadata", with_fixtures(_META, "fx_page_html"))
+def _(s, d):
+    return pg.page_metadata(fixture(s, d, "fx_page_html")).withColumn("analytics_ids", F.array_join("analytics_ids", ",")).drop("url", "html")
+
+
+@query("p17_jsonld", with_fixtures("SELECT page_id, 'Acme' AS org_name, unnest(['acme.com', 'x.com', 'acme.org']) AS domain FROM fx_page_html WHERE contains(html, 'ld+json')", "fx_page_html"))
+def _(s, d):
+    return pg.jsonld_facts(fixture(s, d, "fx_page_html"), "page_id")
+
+
+@query("p18_external_form", with_fixtures("SELECT page_id, contains(html, 'https://collect.evil.example') AS external_form FROM fx_page_html", "fx_page_html"))
+def _(s, d):
+    return pg.page_evidence(fixture(s, d, "fx_page_html")).select("page_id", "external_form")
+
+
+_IPS = "SELECT page_id, concat(CAST(100 + page_id % 8 AS STRING), '.', CAST(page_id % 256 AS STRING), '.', CAST((page_id * 7) % 256 AS STRING), '.1') AS ip FROM pages"
+_RANGES = [(0, "p_a", "104.16.0.0/12"), (1, "p_b", "104.0.0.0/8"), (2, "p_c", "101.128.0.0/9"), (3, "p_d", "107.7.0.0/16")]
+
+
+@query("j12_ip_provider", f"""WITH r(ord, provider, base, size) AS (VALUES (0, 'p_a', 104 * 16777216 + 16 * 65536, 1048576), (1, 'p_b', 104 * 16777216, 16777216), (2, 'p_c', 101 * 16777216 + 128 * 65536, 8388608), (3, 'p_d', 107 * 16777216 + 7 * 65536, 65536)),
+i AS (SELECT *, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + 1 AS n FROM ({_IPS}))
+SELECT page_id, ip, arg_min(provider, ord) AS provider FROM i JOIN r ON n >= base AND n < base + size GROUP BY ALL""")
+def _(s, d):
+    return pg.ip_provider(run(s, d, _IPS), s.createDataFrame(_RANGES, "ord int, provider string, cidr string"))
+
+
+@query("p48_conversation_pairs", "SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(text) OVER w AS response, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND next_role = 'assistant'")
+def _(s, d):
+    return ds.conversation_pairs(s.read.parquet(f"{d}/conversations.parquet"))
+
+
+_CHARS = {
+    "letters": r"[^\p{L}]", "ascii": "[^A-Za-z]", "spaces": r"[^\s\p{Z}]",
+}
+
+
+@query("f3_text_quality", r"""WITH c AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS ascii_letters, length(regexp_replace(text, '\S', '', 'g')) AS spaces, length(regexp_replace(text, '[\p{L}\p{Nd}\s.,;:!?''"()/@_%+=&#\[\]<>*$-]', '', 'g')) AS symbols FROM documents)
+SELECT doc_id, n BETWEEN 80 AND 6000 AND letters >= 40 AND spaces >= 8 AND letters / n >= 0.45 AND ascii_letters / letters >= 0.85 AND symbols / n <= 0.12 AS good FROM c WHERE letters > 0""")
+def _(s, d):
+    return ds.text_quality(s.read.parquet(f"{d}/documents.parquet"), "text").where("letters > 0").select("doc_id", "good")
+
+
+@query("w10_balanced_sample", "SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS place FROM labels) WHERE place <= 20 ORDER BY place, toxic LIMIT 40")
+def _(s, d):
+    return ds.balanced_sample(s.read.parquet(f"{d}/labels.parquet"), "toxic", "doc_id", 40).select("doc_id", "toxic")
+
+
+@query("p47_training_rows", "SELECT 'src-' || doc_id || '-' || substr(sha256(text), 1, 8) AS id, CASE WHEN length(text) > 8000 THEN left(text, 8000) || ' [truncated]' ELSE text END AS message, regexp_matches(text, 'https?://') AS has_url FROM documents")
+def _(s, d):
+    return ds.training_rows(s.read.parquet(f"{d}/documents.parquet"), "src", "doc_id", "text")
+
+
+@query("j17_resume", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(s, d):
+    docs, done = (s.read.parquet(f"{d}/{n}.parquet").select(F.col("doc_id").alias("id")) for n in ("documents", "labels"))
+    return st.resume(docs, done)
+
+
+@query("t6_throughput", "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS n, round(avg(value), 6) AS mean_delay FROM events GROUP BY 1")
+def _(s, d):
+    from ..streaming.jobs import throughput
+
+    out = throughput(s.read.parquet(f"{d}/events.parquet"), "ts", "value")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "n", F.round("mean_delay", 6).alias("mean_delay"))
+
+
+@query("f4_has_url", "SELECT doc_id, contains(text, 'http://') OR contains(text, 'https://') AS has_url FROM documents")
+def _(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("message"))
+    return ds.with_has_url(docs).select("doc_id", "has_url")
+
+
+del m
