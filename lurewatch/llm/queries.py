@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, quality, sharding, toxicity, urlfilter
+from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, oracles, quality, sharding, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_cube_mixing": op10_cube_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filter": oracles.OP4, "op6_chat_format": oracles.OP6, "op7_line_dedup": oracles.OP7}
