@@ -41,7 +41,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]")).config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     con, queries, oracles = connect(sf_dir), entry.queries(), entry.oracle_sql()
