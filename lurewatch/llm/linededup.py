@@ -14,7 +14,9 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -26,13 +28,21 @@ def template_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, h, pos, line, leaf, form, tokens) of every line that is not blank; leaf and form are hashes."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", r"[\s ]+", " "), r"[^ ]*\d[^ ]*", "<*>"))
-    cut = rows.withColumn("masked", masked).where("masked != ''").withColumn("tokens", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1)
-    return cut.select("doc_id", "h", "pos", "masked", F.xxhash64("tokens", F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("form"), "tokens")
+    odd = [c for c in ("\t", "\r", "\x0b", "\x0c", "\u00a0", "  ")]
+    folded = F.when(contains_any("line", odd), F.regexp_replace("line", r"[\s\u00a0]+", " ")).otherwise(F.col("line"))
+    rows = rows.withColumn("folded", F.trim(folded)).where("folded != ''")
+    masked = F.when(F.col("folded").rlike("[0-9]"), F.regexp_replace("folded", r"[^ ]*\d[^ ]*", "<*>")).otherwise(F.col("folded"))
+    cut = rows.withColumn("masked", masked)
+    tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "))) + 1
+    return cut.withColumn("tokens", tokens).select("doc_id", "h", "pos", "masked", F.xxhash64("tokens", F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("form"), "tokens")
+
+
+def contains_any(column: str, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(column).contains(p) for p in parts])
 
 
-def recurring_forms(lines: DataFrame, min_docs: int = 3, agree: float = 0.7, constant: float = 0.5, depth: int = DEPTH) -> DataFrame:
-    """(form) of the lines to drop."""
+def recurring_forms(lines: DataFrame, texts_of: DataFrame, min_docs: int = 3, agree: float = 0.7, constant: float = 0.5, depth: int = DEPTH) -> DataFrame:
+    """(form) of the lines to drop. ``lines`` has the hashes alone, ``texts_of`` the same lines with their masked text."""
     per_doc = lines.select("leaf", "form", "doc_id", "h", "tokens").groupBy("leaf", "form", "doc_id", "h").agg(F.first("tokens").alias("tokens"))
     forms = materialize(per_doc.groupBy("leaf", "form").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens")), "forms")
     exact = forms.where(F.col("docs") >= min_docs).select("form")
@@ -40,7 +50,7 @@ def recurring_forms(lines: DataFrame, min_docs: int = 3, agree: float = 0.7, con
     leaves = forms.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("leaf_docs"), F.max("docs").alias("most"), F.first("tokens").alias("n"))
     mixed = leaves.where((F.col("forms") > 1) & (F.col("leaf_docs") >= min_docs) & (F.col("n") > depth))
     inner = forms.join(mixed.select("leaf", "leaf_docs"), "leaf")
-    texts = lines.select("leaf", "form", "masked").join(mixed.select("leaf"), "leaf", "left_semi").groupBy("form").agg(F.first("masked").alias("masked"))
+    texts = texts_of.select("leaf", "form", "masked").join(mixed.select("leaf"), "leaf", "left_semi").groupBy("form").agg(F.first("masked").alias("masked"))
     tokens = materialize(inner.join(texts, "form").select("leaf", "form", "docs", "leaf_docs", "tokens", F.posexplode(F.split("masked", " ")).alias("at", "token")).where(F.col("at") >= depth)
         .select("leaf", "form", "docs", "leaf_docs", "tokens", "at", F.xxhash64("token").alias("token")), "tokens")
     share = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("with"), F.first("leaf_docs").alias("all"))
@@ -54,8 +64,9 @@ def recurring_forms(lines: DataFrame, min_docs: int = 3, agree: float = 0.7, con
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, agree: float = 0.7, constant: float = 0.5) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of every row, without the lines of recurring templates."""
-    lines = template_lines(docs)
-    recurring = recurring_forms(lines, min_docs, agree, constant)
+    full = template_lines(docs)
+    lines = materialize(full.drop("masked"), "lines")
+    recurring = recurring_forms(lines, full, min_docs, agree, constant)
     gone = lines.select("doc_id", "h", "pos", "form").join(recurring, "form", "left_semi").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
