@@ -87,16 +87,28 @@ def density(texts: Iterable[str | None], automaton) -> np.ndarray:
 SHORTEST, LONGEST = 4, 12
 
 
+#: Terms that a task counts before it passes the counts on; they are summed later, so this bounds memory only.
+HELD_TERMS = 200_000
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: in how many texts of each label a word or stem occurs."""
+    """Partial counts: in how many texts of each label a word or stem occurs. Every term of both labels is passed on."""
     seen = {0: Counter(), 1: Counter()}
+
+    def counted() -> pa.RecordBatch:
+        terms = list(seen[0].keys() | seen[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (0, 1))], names=["term", "n0", "n1"])
+        for c in seen.values():
+            c.clear()
+        return out
+
     for b in batches:
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = set(fold(text))
-            seen[y].update({""} | {f" {w} " for w in words if len(w) > 2} | {" " + w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST + 1))})
-    keep = seen[1].keys()
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string()), pa.array([seen[0][k] for k in keep], pa.int64()), pa.array([seen[1][k] for k in keep], pa.int64()), ], names=["term", "n0", "n1"])
-    yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([0 if "" in keep else seen[0][""]], pa.int64()), pa.array([0], pa.int64())], names=["term", "n0", "n1"])
+            seen[y].update({f" {w} " for w in words if len(w) > 2} | {" " + w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST + 1))})
+            if len(seen[0]) + len(seen[1]) >= HELD_TERMS:
+                yield counted()
+    yield counted()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_terms: int = 512, min_log_odds: float = 3.0, min_share: float = 0.015) -> Lexicon:
@@ -114,7 +126,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000,
     n0, n1 = totals
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     strong = (
-        counts.where((F.col("term") != "") & (F.col("n1") >= max(4, int(min_share * n1))))
+        counts.where(F.col("n1") >= max(4, int(min_share * n1)))
         .withColumn("odds", odds).where(F.col("odds") >= min_log_odds)
         .orderBy(F.desc(F.col("n1") * F.col("odds")), F.desc(F.length("term")), "term").limit(8 * max_terms).collect()
     )

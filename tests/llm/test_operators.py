@@ -52,6 +52,26 @@ def test_folding_and_exceptions():
     assert d[0] == d[3] == d[4] == d[5] == 0 and d[1] > d[2] > 0
 
 
+def test_lexicon_does_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    rng = random.Random(11)
+    common = ["".join(rng.choices("abcdefghij", k=3)) + "q" for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(common, 6) + (["zlurgh"] if i % 10 == 0 else []) + [f"own{chr(97 + i % 26)}{chr(97 + i // 26)}"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    learned = []
+    for tasks, held in (("1", 200_000), ("100", 200_000), ("1", 50)):
+        monkeypatch.setattr(toxicity, "HELD_TERMS", held, raising=False)
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            learned.append(toxicity.fit_toxicity(docs, labels).weights)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+    assert learned[0] == learned[1] == learned[2] and " zlurgh " in learned[0] and not any(f" {w} " in learned[0] or f" {w}" in learned[0] for w in common)
+
+
 def test_models_on_awkward_rows_and_without_labels(spark, awkward):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for fit, score in ((quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)):
