@@ -149,6 +149,43 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert kept.columns == ["doc_id", "text", "node"] and sorted(r.doc_id for r in kept.collect()) == sorted(got)
 
 
+def test_members_of_large_buckets_meet(spark, monkeypatch):
+    def text(name, n=100):
+        return [f"{name}x{i}" for i in range(n)]
+
+    docs = {}  # name -> words and shared sketches
+    base = text("base")
+    for i in range(8):  # leader's class; b is near it, a is near b only
+        docs[f"l{i}"] = (base + [f"l{i}"], {0: 1, 4: 5, 5: 5})
+    docs["b"], docs["a"] = (base[15:], {0: 1, 1: 1}), (base[30:], {0: 1, 1: 1})
+    for i in range(6):
+        docs[f"u{i}"] = (text(f"u{i}"), {1: 1, 2: 1, 3: 1})
+    for kind, own in (("v", (6, 7)), ("x", (6, 8)), ("y", (7, 8))):  # p and q are alone in the third split only
+        for i in range(11):
+            docs[f"{kind}{i}"] = (text(f"{kind}{i}"), {j: 2 for j in own} | {9: 3, 10: 3})
+    twin = text("twin")
+    docs["p"], docs["q"] = (twin + ["p"], {6: 2, 7: 2, 8: 2}), (twin + ["q"], {6: 2, 7: 2, 8: 2})
+    one = text("one")
+    for i in range(8):  # one equal sketch
+        docs[f"o{i}"] = (one + [f"o{i}"], {11: 4})
+    names = list(docs)
+    planned = {" ".join(w): (n, s) for n, (w, s) in enumerate(docs.values())}
+
+    def sketch(batches):
+        for b in batches:
+            own = [planned[t] for t in b.column(2).to_pylist()]
+            nodes = [n.to_bytes(16, "big") for n, _ in own]
+            lists = [[s[j] if j in s else 1000 + n * 20 + j for j in range(20)] for n, s in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "sketches"])
+
+    monkeypatch.setattr(neardup, "_sketch", sketch)
+    df = spark.createDataFrame([(n, " ".join(w)) for n, (w, _) in enumerate(docs.values())], "doc_id long, text string")
+    got = {names[r.doc_id]: r.class_id for r in neardup.near_duplicate_classes(df).collect()}
+    assert {got[f"o{i}"] for i in range(8)} == {names.index("o0")}
+    assert got["a"] == got["b"] == got["l0"] and got["p"] == got["q"]
+    assert len(set(got.values())) == len(docs) - 9 - 1 - 7
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
