@@ -63,7 +63,7 @@ SELECT concat('https://github.com/org', CAST(l_suppkey AS STRING), '/repo') AS g
 SELECT e.event_id AS seq, p.url AS url, e.user_id AS user_id, CAST(e.event_id % 1000 AS BIGINT) + 1704067200 AS seen_at,
  CASE e.event_id % 5 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' WHEN 2 THEN 'suspicious' ELSE 'unknown' END AS verdict,
  CAST(e.event_id % 101 AS INT) AS risk, CAST(e.event_id % 97 AS INT) AS confidence, CAST(e.event_id % 7 AS INT) AS tag_no
-FROM events e JOIN pages p ON p.page_id = (e.event_id * 7) % 500""",
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM pages) c JOIN pages p ON p.page_id = e.event_id % c.n""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")

@@ -65,12 +65,12 @@ def _(s, d):
     return st.domain_reputation(_events(s, d).withColumn("kind", kind))
 
 
-_QUEUE = """, q AS (SELECT url_hash, url_norm AS url, 50 + tag_no AS priority, seen_at AS created, seq AS updated, CASE WHEN seq % 3 = 0 THEN 'pending' WHEN seq % 3 = 1 THEN 'done' ELSE 'failed' END AS status, 0 AS attempts FROM ev WHERE seq % 4 = 0)"""
+_QUEUE = """, q AS (SELECT url_hash, url_norm AS url, 50 + tag_no AS priority, seen_at AS created, seq AS updated, CASE WHEN seq % 3 = 0 THEN 'pending' WHEN seq % 3 = 1 THEN 'done' ELSE 'failed' END AS status, 0 AS attempts FROM ev WHERE seq % 4 <> 1)"""
 
 
 def _queue(s: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("seq") % 3 == 0, "pending").when(F.col("seq") % 3 == 1, "done").otherwise("failed")
-    return _events(s, d).where("seq % 4 = 0").select("url_hash", F.col("url_norm").alias("url"), (F.col("tag_no") + 50).alias("priority"), F.col("seen_at").alias("created"), F.col("seq").alias("updated"), status.alias("status"), F.lit(0).alias("attempts"))
+    return _events(s, d).where("seq % 4 <> 1").select("url_hash", F.col("url_norm").alias("url"), (F.col("tag_no") + 50).alias("priority"), F.col("seen_at").alias("created"), F.col("seq").alias("updated"), status.alias("status"), F.lit(0).alias("attempts"))
 
 
 @query("j18_enqueue", _ev(_QUEUE + """, n AS (SELECT url_hash, url_norm AS url, 50 + tag_no AS priority, seen_at AS created FROM ev WHERE seq % 4 = 1),

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lurewatch import registry  # noqa: F401 (the plans load through it)
+from lurewatch.fixtures import fixture
 from lurewatch.operators import brands, datasets, identity, pages, supply, threats
 from lurewatch.sources import feeds
 
@@ -64,3 +66,15 @@ def test_manifests(spark, tmp_path):
     assert sorted(r.name for r in feeds.manifest_names(spark, str(tmp_path / "i.html"), "misp_dir", 2).collect()) == ["1.json", "2.json"]
     (tmp_path / "m.json").write_text('{"u1": {"info": "x"}, "u2": {"info": "y"}}')
     assert sorted(r.name for r in feeds.manifest_names(spark, str(tmp_path / "m.json"), "misp_manifest", 50).collect()) == ["u1.json", "u2.json"]
+
+
+def test_every_event_has_a_page_and_a_role_in_the_queue(spark):
+    from lurewatch.plans import table_queries
+
+    for sf in ("0.001", "0.01", "0.1"):
+        d = f"/root/testdata/sf{sf}"
+        events, pages = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("events", "pages"))
+        own = fixture(spark, d, "fx_url_events")
+        n = events.count()
+        assert own.count() == n and own.select("url").distinct().count() == pages.join(events.select((F.col("event_id") % pages.count()).alias("page_id")), "page_id", "left_semi").select("url").distinct().count()
+        assert table_queries._queue(spark, d).count() + own.where("seq % 4 = 1").count() == n
