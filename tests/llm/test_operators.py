@@ -149,41 +149,69 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert kept.columns == ["doc_id", "text", "node"] and sorted(r.doc_id for r in kept.collect()) == sorted(got)
 
 
-def test_members_of_large_buckets_meet(spark, monkeypatch):
-    def text(name, n=100):
-        return [f"{name}x{i}" for i in range(n)]
-
-    docs = {}  # name -> words and shared sketches
-    base = text("base")
-    for i in range(8):  # leader's class; b is near it, a is near b only
-        docs[f"l{i}"] = (base + [f"l{i}"], {0: 1, 4: 5, 5: 5})
-    docs["b"], docs["a"] = (base[15:], {0: 1, 1: 1}), (base[30:], {0: 1, 1: 1})
-    for i in range(6):
-        docs[f"u{i}"] = (text(f"u{i}"), {1: 1, 2: 1, 3: 1})
-    for kind, own in (("v", (6, 7)), ("x", (6, 8)), ("y", (7, 8))):  # p and q are alone in the third split only
-        for i in range(11):
-            docs[f"{kind}{i}"] = (text(f"{kind}{i}"), {j: 2 for j in own} | {9: 3, 10: 3})
-    twin = text("twin")
-    docs["p"], docs["q"] = (twin + ["p"], {6: 2, 7: 2, 8: 2}), (twin + ["q"], {6: 2, 7: 2, 8: 2})
-    one = text("one")
-    for i in range(8):  # one equal sketch
-        docs[f"o{i}"] = (one + [f"o{i}"], {11: 4})
-    names = list(docs)
-    planned = {" ".join(w): (n, s) for n, (w, s) in enumerate(docs.values())}
-
-    def sketch(batches):
-        for b in batches:
-            own = [planned[t] for t in b.column(2).to_pylist()]
-            nodes = [n.to_bytes(16, "big") for n, _ in own]
-            lists = [[s[j] if j in s else 1000 + n * 20 + j for j in range(20)] for n, s in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "sketches"])
-
-    monkeypatch.setattr(neardup, "_sketch", sketch)
-    df = spark.createDataFrame([(n, " ".join(w)) for n, (w, _) in enumerate(docs.values())], "doc_id long, text string")
-    got = {names[r.doc_id]: r.class_id for r in neardup.near_duplicate_classes(df).collect()}
-    assert {got[f"o{i}"] for i in range(8)} == {names.index("o0")}
-    assert got["a"] == got["b"] == got["l0"] and got["p"] == got["q"]
-    assert len(set(got.values())) == len(docs) - 9 - 1 - 7
+def classes(df):
+    got = defaultdict(list)
+    for r in neardup.near_duplicate_classes(df).collect():
+        got[r.class_id].append(r.doc_id)
+    return sorted(sorted(g) for g in got.values())
+
+
+def test_members_of_large_buckets_meet(spark):
+    rng = random.Random(8)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(100)
+    texts = [passage + own(90) for _ in range(60)]  # a passage and nothing else in common
+    pairs = []
+    for i in range(20):  # pairs among them
+        w = passage + own(90)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [w, [f"e{i}x{j}" if j >= 100 and j % 9 == 0 else x for j, x in enumerate(w)]]
+    whole = own(200)
+    for n in (200, 199, 150, 149, 148, 120, 119, 112, 111):  # cut copies: no shingle of their own, chains of links
+        texts += [whole[:n], whole[:n] + [f"t{n}"]]
+    for n in range(30):  # too far from the whole, near each other in groups of three
+        texts.append(whole[:120] + [f"g{n // 3}w{j}" for j in range(60)] + [f"n{n}"])
+    ids, joined = list(range(len(texts))), [" ".join(t) for t in texts]
+    got = classes(spark.createDataFrame(list(zip(ids, joined)), "doc_id long, text string"))
+    assert got == classes_by_force(ids, joined)
+    assert all(any(set(p) <= set(g) for g in got) for p in pairs)
+
+
+def test_recall_by_similarity(spark):
+    """Links by the operator against alignment of the planted pairs; half of them share a passage with all others."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows, planted = [], []
+    for band, shares in ((0.80, (0.2, 0.18, 0.16)), (0.85, (0.15, 0.13, 0.11)), (0.90, (0.1, 0.08, 0.05))):
+        for i in range(240):
+            w = (passage if i % 2 else []) + [f"w{rng.randrange(10**9)}" for _ in range((80, 200, 400)[i % 3])]
+            edited = list(w)
+            for p in rng.sample(range(60 if i % 2 else 0, len(w)), int(shares[i // 3 % 3] * len(w))):
+                edited[p] = f"e{rng.randrange(10**9)}"
+            planted.append((band, i % 2, len(rows)))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(edited))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = defaultdict(list)
+    for band, shared, a in planted:
+        found[band, shared].append(got[a] == got[a + 1])
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    assert len(set(got.values())) >= len(rows) // 2  # and nothing else is linked
+    assert all(recall[0.80, s] >= 0.9 and recall[0.85, s] >= 0.97 and recall[0.90, s] >= 0.99 for s in (0, 1)), recall
+
+
+def test_long_alignments(monkeypatch):
+    rng = random.Random(4)
+    cases = []
+    for _ in range(120):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 60))]
+        cases.append((a, [x for x in a if rng.random() > 0.1] or [1], rng.randrange(0, 12)))
+    want = [neardup.banded_distance(*c) for c in cases]
+    monkeypatch.setattr(neardup, "LONG", 1)
+    assert [neardup.banded_distance(*c) for c in cases] == want
+    long = np.arange(200_000, dtype=np.uint64)
+    other = long.copy()
+    other[::1000] = 7
+    assert abs(neardup.similarity(long, other) - 0.999) < 1e-4 and neardup.similarity(long, np.append(other, long[:10])) > 0.99
 
 
 def test_components_of_paths_and_stars(spark):
