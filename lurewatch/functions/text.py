@@ -42,12 +42,12 @@ def normal_url(c: Column) -> Column:
     return ascii_lower(_without_tail(c))
 
 
-def _without_scheme(c: Column) -> Column:
+def without_scheme(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?:http://)*(?:https://)*", "")
 
 
 def normal_domain(c: Column) -> Column:
-    return ascii_lower(F.regexp_extract(_without_scheme(_without_tail(c)), r"(?s)^[^/:]*", 0))
+    return ascii_lower(F.regexp_extract(without_scheme(_without_tail(c)), r"(?s)^[^/:]*", 0))
 
 
 def registrable_domain(host: Column) -> Column:
@@ -57,7 +57,7 @@ def registrable_domain(host: Column) -> Column:
 
 
 def path_query(url: Column) -> Column:
-    rest = _without_scheme(_without_tail(url))
+    rest = without_scheme(_without_tail(url))
     return ascii_lower(F.regexp_extract(rest, r"(?s)/.*$", 0))
 
 

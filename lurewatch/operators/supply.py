@@ -114,7 +114,8 @@ def vulnerability_summary(summary: Column, details: Column) -> Column:
 
 
 def name_mutations(name: Column) -> Column:
-    """Distinct typing mistakes of a name: a letter left out, doubled, swapped or replaced, rn read as m, a dash or underscore put in."""
+    """Distinct typing mistakes of a name: a letter left out, doubled, swapped or replaced, rn read as m, a dash or
+    underscore put in, and, unless scoped, its own lower and upper form."""
     n, at = F.length(name), lambda i, k=1: F.substring(name, i, F.lit(k))
     head, tail = lambda i: F.substring(name, F.lit(1), i - 1), lambda i: F.substring(name, i, n)
     none = F.array().cast("array<string>")
@@ -127,6 +128,7 @@ def name_mutations(name: Column) -> Column:
         F.flatten(F.transform(upto(n), lambda i: F.transform(F.coalesce(F.try_element_at(alike, at(i)), none), lambda r: F.concat(head(i), r, tail(i + 1))))),
         F.transform(F.filter(upto(n - 1), lambda i: at(i, 2) == "rn"), lambda i: F.concat(head(i), F.lit("m"), tail(i + 2))),
         *[F.when(name.contains(s), none).otherwise(F.transform(upto(n, 2), put_in(s))) for s in "-_"],
+        F.when(name.startswith("@"), none).otherwise(F.array(F.lower(name), F.upper(name))),
     ]
     return F.filter(F.array_distinct(F.concat(*parts)), lambda m: m != "")
 

@@ -59,7 +59,8 @@ muts AS (SELECT name, ecosystem, left(name, i - 1) || substr(name, i + 1) AS m F
  UNION SELECT name, ecosystem, left(name, i - 1) || substr(name, i + 1, 1) || substr(name, i, 1) || substr(name, i + 2) FROM pos WHERE i < {_N}
  UNION SELECT name, ecosystem, left(name, i - 1) || b || substr(name, i + 1) FROM pos JOIN alike ON substr(name, i, 1) = a
  UNION SELECT name, ecosystem, left(name, i - 1) || 'm' || substr(name, i + 2) FROM pos WHERE substr(name, i, 2) = 'rn'
- UNION SELECT name, ecosystem, left(name, i - 1) || s || substr(name, i) FROM pos, (VALUES ('-'), ('_')) t(s) WHERE i > 1 AND NOT contains(name, s))"""
+ UNION SELECT name, ecosystem, left(name, i - 1) || s || substr(name, i) FROM pos, (VALUES ('-'), ('_')) t(s) WHERE i > 1 AND NOT contains(name, s)
+ UNION SELECT name, ecosystem, CASE w WHEN 1 THEN lower(name) ELSE upper(name) END FROM names, (VALUES (1), (2)) t(w) WHERE NOT starts_with(name, '@'))"""
 
 
 @query("p43_name_mutations", with_fixtures(f"WITH {_MUT} SELECT DISTINCT name, m AS mutation FROM muts WHERE m <> ''", "fx_packages"))

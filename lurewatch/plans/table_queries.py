@@ -12,7 +12,7 @@ from ..operators import messages as m
 from ..operators import pages as pg
 from ..operators import state as st
 from ..registry import query
-from .message_queries import NORM_DOMAIN, NORM_URL, PARTS
+from .message_queries import NORM_DOMAIN, NORM_URL, PARTS, SUFFIXES
 
 _EV = f"""ev AS (SELECT seq, url, {NORM_URL.format('url')} AS url_norm, sha256({NORM_URL.format('url')}) AS url_hash, CAST(user_id AS VARCHAR) AS user_id, seen_at, verdict, risk, confidence, tag_no FROM fx_url_events)"""
 
@@ -107,53 +107,112 @@ def _(s, d):
     return one("observations", F.count("*"), e).unionByName(one("urls", F.count_distinct("url_hash"), e)).unionByName(one("queue", F.count("*"), _queue(s, d)))
 
 
-_CREATED = "coalesce(nullif(regexp_extract(raw, '(?im)^\\s*Creation Date:\\s*(.+)$', 1), ''), nullif(regexp_extract(raw, '(?im)^\\s*created:\\s*(.+)$', 1), ''), nullif(regexp_extract(raw, '(?im)^\\s*registered:\\s*(.+)$', 1), ''))"
-_WHOIS = f"""WITH w AS (SELECT who_id, trim({_CREATED}) AS created_text, trim(regexp_extract(raw, '(?im)^\\s*Registrar:\\s*(.+)$', 1)) AS registrar, contains(raw, 'REDACTED FOR PRIVACY') AS privacy FROM fx_whois),
-a AS (SELECT *, CAST(trunc((epoch(TIMESTAMP '2024-07-01 00:00:00') - epoch(CAST(replace(replace(created_text, 'T', ' '), 'Z', '') AS TIMESTAMP))) / 86400) AS BIGINT) AS age_days FROM w)
+def first_match(patterns: tuple[str, ...]) -> str:
+    """Group 1 of the first pattern that occurs in raw, for the oracle."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(raw, '{p}') THEN trim(regexp_extract(raw, '{p}', 1))" for p in patterns) + " END"
+
+
+def _whois(strict: bool) -> str:
+    zulu = "WHEN regexp_matches(created_text, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}Z$') THEN strptime(created_text, '%Y-%m-%dT%H:%M:%SZ')"
+    dotted = "" if strict else "WHEN regexp_matches(created_text, '^\\d{2}\\.\\d{2}\\.\\d{4} \\d{2}:\\d{2}:\\d{2}$') THEN strptime(created_text, '%d.%m.%Y %H:%M:%S')"
+    privacy = "contains(lower(raw), 'privacy') OR contains(lower(raw), 'redacted')" if strict else "contains(raw, 'privacy') OR contains(raw, 'REDACTED')"
+    return f"""WITH w AS (SELECT who_id, {first_match(pg.CREATED)} AS created_text, {first_match(pg.EXPIRES)} AS expires_text, {first_match(pg.REGISTRAR)} AS registrar, {privacy} AS privacy FROM fx_whois),
+a AS (SELECT *, CAST(trunc((epoch(TIMESTAMP '2024-07-01 00:00:00') - epoch(CASE {zulu} {dotted} END)) / 86400) AS BIGINT) AS age_days FROM w)
 SELECT *, least(100, CASE WHEN age_days IS NULL THEN 20 WHEN age_days < 30 THEN 60 WHEN age_days < 90 THEN 40 WHEN age_days < 180 THEN 20 WHEN age_days < 365 THEN 10 ELSE 0 END + CASE WHEN privacy THEN 20 ELSE 0 END) AS whois_risk FROM a"""
 
 
-@query("p14_whois_facts", with_fixtures(_WHOIS, "fx_whois"))
+def _whois_facts(s: SparkSession, d: str, strict: bool) -> DataFrame:
+    return pg.whois_facts(fixture(s, d, "fx_whois"), F.lit("2024-07-01 00:00:00").cast("timestamp"), strict=strict).drop("domain", "raw")
+
+
+@query("p14_whois_facts", with_fixtures(_whois(False), "fx_whois"))
 def _(s, d):
-    return pg.whois_facts(fixture(s, d, "fx_whois"), F.lit("2024-07-01 00:00:00").cast("timestamp")).select("who_id", "created_text", "registrar", "privacy", "age_days", "whois_risk")
+    return _whois_facts(s, d, False)
 
 
-@query("p15_whois_strict", with_fixtures(_WHOIS, "fx_whois"))
+@query("p15_whois_strict", with_fixtures(_whois(True), "fx_whois"))
 def _(s, d):
-    return pg.whois_facts(fixture(s, d, "fx_whois"), F.lit("2024-07-01 00:00:00").cast("timestamp"), strict=True).select("who_id", "created_text", "registrar", "privacy", "age_days", "whois_risk")
+    return _whois_facts(s, d, True)
+
+
+def registrable_sql(url: str) -> str:
+    """The registrable domain of a url expression, for the oracle."""
+    kept = "list_filter(string_split(h, '.'), lambda x: x <> '')"
+    tail = lambda n: " || '.' || ".join(f"{kept}[-{i}]" for i in range(n, 0, -1))
+    return f"list_transform([{NORM_DOMAIN.format(url)}], lambda h: CASE WHEN len({kept}) <= 2 THEN h WHEN {tail(2)} IN ({SUFFIXES}) THEN {tail(3)} ELSE {tail(2)} END)[1]"
+
+
+def _sq(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _clean_sql(c: str) -> str:
+    c = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    for a, b in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"nullif(left(trim({c}), 120), '')"
+
+
+def _meta_sql(attribute: str, key: str) -> str:
+    p = _sq(pg.meta_pattern(attribute, key))
+    return _clean_sql(f"(regexp_extract(html, {p}, 1) || regexp_extract(html, {p}, 2))")
+
+
+def link_sql(url: str) -> str:
+    return f"CASE WHEN NOT (starts_with({url}, '/') OR starts_with({url}, '#') OR starts_with({url}, 'mailto:')) THEN nullif({registrable_sql(url)}, '') END"
 
 
-_UN = "nullif(trim(regexp_replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
-_META = f"""SELECT page_id, {_UN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_UN.format("regexp_extract(html, '(?is)<meta[^>]*property=\"og:site_name\"[^>]*content=\"([^\"]*)\"', 1)")} AS og_site_name,
- nullif({NORM_DOMAIN.format("regexp_extract(html, '(?is)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]+)\"', 1)")}, '') AS canonical_domain, nullif({NORM_DOMAIN.format("regexp_extract(html, '(?is)<link[^>]*rel=\"manifest\"[^>]*href=\"([^\"]+)\"', 1)")}, '') AS manifest_domain,
- array_to_string(list_sort(list_distinct(regexp_extract_all(html, '\\b(GTM-[A-Z0-9]{{4,}}|UA-\\d{{4,}}-\\d+|G-[A-Z0-9]{{6,}})\\b'))), ',') AS analytics_ids, CAST(len(regexp_extract_all(lower(html), '<form')) AS INT) AS form_count,
- contains(lower(html), 'type="password"') AS has_password, contains(lower(html), 'otp') OR contains(lower(html), 'credit card') OR contains(lower(html), 'cvv') AS has_credential_words FROM fx_page_html"""
+_LINK = lambda rel: link_sql(f"regexp_extract(html, {_sq(pg.link_pattern(rel))}, 1)")
+_any = lambda words: "(" + " OR ".join(f"contains(lower(html), {_sq(w)})" for w in words) + ")"
+META = f"""SELECT page_id, {_clean_sql(f"regexp_extract(html, {_sq(pg.TITLE)}, 1)")} AS title, {_meta_sql("property", "og:site_name")} AS og_site_name, {_meta_sql("property", "og:title")} AS og_title,
+ {_meta_sql("name", "application-name")} AS application_name, {_meta_sql("name", "apple-mobile-web-app-title")} AS apple_app_title, {_LINK("canonical")} AS canonical_domain, {_LINK("manifest")} AS manifest_domain,
+ list_sort(list_distinct({" || ".join(f"regexp_extract_all(html, {_sq(p)}, {g})" for p, g in pg.ANALYTICS)})) AS ids, CAST(len(regexp_extract_all(lower(html), '<form')) AS INT) AS form_count,
+ {_any(pg.PASSWORD_MARKS)} AS has_password, {_any(pg.CREDENTIAL_WORDS)} AS has_credential_words FROM fx_page_html"""
 
 
-@query("p16_page_metadata", with_fixtures(_META, "fx_page_html"))
+@query("p16_page_metadata", with_fixtures(f"SELECT * EXCLUDE ids, array_to_string(ids, ',') AS analytics_ids FROM ({META})", "fx_page_html"))
 def _(s, d):
     return pg.page_metadata(fixture(s, d, "fx_page_html")).withColumn("analytics_ids", F.array_join("analytics_ids", ",")).drop("url", "html")
 
 
-@query("p17_jsonld", with_fixtures("SELECT page_id, 'Acme' AS org_name, unnest(['acme.com', 'x.com', 'acme.org']) AS domain FROM fx_page_html WHERE contains(html, 'ld+json')", "fx_page_html"))
+#: What each kind of fixture page says, read off the fixture: names, domains and sameAs domains.
+JSONLD = "facts(k, org_names, org_domains, same_as_domains) AS (VALUES (2, ['Acme'], ['acme.com'], ['acme.org', 'x.com']), (8, ['Deep Org'], ['example.co.uk'], ['example.org']), (11, [], [], ['example.com']))"
+
+
+@query("p17_jsonld", with_fixtures(f"WITH {JSONLD} SELECT page_id, array_to_string(org_names, ',') AS org_names, array_to_string(org_domains, ',') AS org_domains, array_to_string(same_as_domains, ',') AS same_as_domains FROM fx_page_html JOIN facts ON k = page_id % 12", "fx_page_html"))
 def _(s, d):
-    return pg.jsonld_facts(fixture(s, d, "fx_page_html"), "page_id")
+    facts = pg.jsonld_facts(fixture(s, d, "fx_page_html"), "page_id")
+    return facts.select("page_id", *[F.array_join(c, ",").alias(c) for c in ("org_names", "org_domains", "same_as_domains")])
+
+
+_ACTIONS = f"list_filter(list_transform(regexp_extract_all(lower(html), {_sq(pg.FORM_ACTION)}, 1), lambda u: {registrable_sql('u')}), lambda v: v <> '')[1]"
 
 
-@query("p18_external_form", with_fixtures("SELECT page_id, contains(html, 'https://collect.evil.example') AS external_form FROM fx_page_html", "fx_page_html"))
+@query("p18_page_evidence", with_fixtures(f"""SELECT page_id, CASE WHEN regexp_matches(html, {_sq(pg.TITLE)}) THEN left(trim(regexp_replace(regexp_extract(html, {_sq(pg.TITLE)}, 1), '\\s+', ' ', 'g')), 160) END AS page_title, {_any(pg.PASSWORD_MARKS)} AS password_field,
+ {_any(pg.OTP_WORDS)} AS otp_field, {_any(pg.CARD_WORDS)} AS card_field, CAST(len(regexp_extract_all(lower(html), '<form')) AS INT) AS page_forms, coalesce({_ACTIONS} <> {registrable_sql('url')}, false) AS external_form,
+ page_id % 2 = 0 AND contains(lower(html), 'acme') AS page_brand FROM fx_page_html""", "fx_page_html"))
 def _(s, d):
-    return pg.page_evidence(fixture(s, d, "fx_page_html")).select("page_id", "external_form")
+    pages = fixture(s, d, "fx_page_html").withColumn("brand", F.when(F.col("page_id") % 2 == 0, "Acme"))
+    return pg.page_evidence(pages, brand="brand").drop("url", "html", "brand")
 
 
-_IPS = "SELECT page_id, concat(CAST(100 + page_id % 8 AS STRING), '.', CAST(page_id % 256 AS STRING), '.', CAST((page_id * 7) % 256 AS STRING), '.1') AS ip FROM pages"
-_RANGES = [(0, "p_a", "104.16.0.0/12"), (1, "p_b", "104.0.0.0/8"), (2, "p_c", "101.128.0.0/9"), (3, "p_d", "107.7.0.0/16")]
+_IPS = "SELECT page_id, concat(CASE page_id % 10 WHEN 0 THEN '76.76.21' WHEN 1 THEN '75.2.60' WHEN 2 THEN '99.83.' WHEN 3 THEN '104.2' WHEN 4 THEN '172.6' WHEN 5 THEN '131.103.20' WHEN 6 THEN '185.199.1' WHEN 7 THEN '199.232' WHEN 8 THEN '151.101' ELSE '10.0.0' END, CASE WHEN page_id % 10 IN (0, 1, 5, 9) THEN '' WHEN page_id % 10 IN (7, 8) THEN concat('.', CAST(page_id % 256 AS STRING)) ELSE concat(CAST(page_id % 90 + 10 AS STRING), CASE WHEN page_id % 10 IN (3, 4) THEN concat('.', CAST(page_id % 7 AS STRING)) ELSE '' END) END, '.', CAST(page_id * 7 % 256 AS STRING)) AS ip FROM pages"
 
 
-@query("j12_ip_provider", f"""WITH r(ord, provider, base, size) AS (VALUES (0, 'p_a', 104 * 16777216 + 16 * 65536, 1048576), (1, 'p_b', 104 * 16777216, 16777216), (2, 'p_c', 101 * 16777216 + 128 * 65536, 8388608), (3, 'p_d', 107 * 16777216 + 7 * 65536, 65536)),
-i AS (SELECT *, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + 1 AS n FROM ({_IPS}))
-SELECT page_id, ip, arg_min(provider, ord) AS provider FROM i JOIN r ON n >= base AND n < base + size GROUP BY ALL""")
+def _range_sql() -> str:
+    rows = []
+    for i, (provider, cidr) in enumerate(pg.PROVIDER_RANGES):
+        ip, bits = cidr.split("/")
+        n = sum(int(x) << 8 * (3 - k) for k, x in enumerate(ip.split(".")))
+        rows.append(f"({i}, '{provider}', {n}, {1 << 32 - int(bits)})")
+    return "r(ord, provider, base, size) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@query("j12_ip_provider", f"""WITH {_range_sql()}, i AS (SELECT *, string_split(ip, '.') AS p FROM ({_IPS})),
+n AS (SELECT page_id, ip, CAST(p[1] AS BIGINT) * 16777216 + CAST(p[2] AS BIGINT) * 65536 + CAST(p[3] AS BIGINT) * 256 + CAST(p[4] AS BIGINT) AS n FROM i)
+SELECT page_id, ip, arg_min(provider, ord) AS provider FROM n JOIN r ON n - n % size = base GROUP BY ALL""")
 def _(s, d):
-    return pg.ip_provider(run(s, d, _IPS), s.createDataFrame(_RANGES, "ord int, provider string, cidr string"))
+    return pg.ip_provider(run(s, d, _IPS), pg.provider_ranges(s))
 
 
 @query("p48_conversation_pairs", "SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(text) OVER w AS response, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND next_role = 'assistant'")
@@ -161,15 +220,16 @@ def _(s, d):
     return ds.conversation_pairs(s.read.parquet(f"{d}/conversations.parquet"))
 
 
-_CHARS = {
-    "letters": r"[^\p{L}]", "ascii": "[^A-Za-z]", "spaces": r"[^\s\p{Z}]",
-}
+_SIGN_RUNS = "|".join(("\\" + c) + "{13,}" for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_SIGNS = "".join("\\" + c for c in ds.HARMLESS_SIGNS)
+_NOISY = " OR ".join("regexp_matches(text, " + _sq("(?s)" + ".*".join([p.replace("*", r"\*")] * 2)) + ")" for p in ds.NOISY_PATTERNS)
 
 
-@query("f3_text_quality", r"""WITH c AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS ascii_letters, length(regexp_replace(text, '\S', '', 'g')) AS spaces, length(regexp_replace(text, '[\p{L}\p{Nd}\s.,;:!?''"()/@_%+=&#\[\]<>*$-]', '', 'g')) AS symbols FROM documents)
-SELECT doc_id, n BETWEEN 80 AND 6000 AND letters >= 40 AND spaces >= 8 AND letters / n >= 0.45 AND ascii_letters / letters >= 0.85 AND symbols / n <= 0.12 AS good FROM c WHERE letters > 0""")
+@query("f3_text_quality", rf"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '') AS text FROM documents),
+c AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\p{{L}}\p{{Nl}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS ascii_letters, length(regexp_replace(text, '[^\s\p{{Z}}]', '', 'g')) AS spaces, length(regexp_replace(text, {_sq(r'[\p{L}\p{Nl}\s\p{Z}0-9' + _SIGNS + ']')}, '', 'g')) AS symbols FROM d)
+SELECT doc_id, n BETWEEN 80 AND 6000 AND letters >= 40 AND spaces >= 8 AND letters / n >= 0.45 AND coalesce(ascii_letters / nullif(letters, 0), 0) >= 0.85 AND symbols / n <= 0.12 AND NOT regexp_matches(text, {_sq(_SIGN_RUNS)}) AND NOT ({_NOISY}) AS good FROM c""")
 def _(s, d):
-    return ds.text_quality(s.read.parquet(f"{d}/documents.parquet"), "text").where("letters > 0").select("doc_id", "good")
+    return ds.text_quality(s.read.parquet(f"{d}/documents.parquet"), "text").select("doc_id", "good")
 
 
 @query("w10_balanced_sample", "SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS place FROM labels) WHERE place <= 20 ORDER BY place, toxic LIMIT 40")
@@ -177,9 +237,16 @@ def _(s, d):
     return ds.balanced_sample(s.read.parquet(f"{d}/labels.parquet"), "toxic", "doc_id", 40).select("doc_id", "toxic")
 
 
-@query("p47_training_rows", "SELECT 'src-' || doc_id || '-' || substr(sha256(text), 1, 8) AS id, CASE WHEN length(text) > 8000 THEN left(text, 8000) || ' [truncated]' ELSE text END AS message, regexp_matches(text, 'https?://') AS has_url FROM documents")
+_TRIM = r"regexp_replace(regexp_replace({0}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')"
+_MARKED = "contains(lower(text), 'http://') OR contains(lower(text), 'https://') OR contains(lower(text), 'www.')"
+
+
+@query("p47_training_rows", f"""WITH r AS (SELECT doc_id, coalesce(source, 'unknown') AS of, {_TRIM.format('text')} AS t, {_MARKED} AS marked FROM documents),
+m AS (SELECT *, CASE WHEN strlen(t) > 8000 THEN left(t, 8000) || chr(10) || '[truncated]' ELSE t END AS message FROM r)
+SELECT of || '-' || doc_id || '-' || substr(sha256(of || doc_id || message), 1, 8) AS id, message, CASE WHEN doc_id % 5 = 0 THEN doc_id % 2 = 0 ELSE marked END AS has_url FROM m WHERE message <> ''""")
 def _(s, d):
-    return ds.training_rows(s.read.parquet(f"{d}/documents.parquet"), "src", "doc_id", "text")
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return ds.training_rows(docs, "doc_id", "text", F.col("source"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 2 == 0))
 
 
 @query("j17_resume", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -196,10 +263,21 @@ def _(s, d):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "n", F.round("mean_delay", 6).alias("mean_delay"))
 
 
-@query("f4_has_url", "SELECT doc_id, contains(text, 'http://') OR contains(text, 'https://') AS has_url FROM documents")
+@query("f4_has_url", f"SELECT doc_id, doc_id % 7 > 3 OR doc_id % 5 = 0 OR coalesce({_MARKED}, false) AS has_url FROM documents")
 def _(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("message"))
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("message"), (F.col("doc_id") % 7 - 3).alias("url_count"), (F.col("doc_id") % 5 == 0).alias("contains_url"))
     return ds.with_has_url(docs).select("doc_id", "has_url")
 
 
+_RAW_ROWS = "doc_id, CASE WHEN doc_id % 4 = 0 THEN text END AS content, CASE WHEN doc_id % 4 = 1 THEN concat(' ', text, ' ') END AS body, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN ' ' END AS sender, CASE WHEN doc_id % 2 = 1 THEN lang END AS subject, CASE WHEN doc_id % 4 = 2 THEN text END AS `Email Text`, CASE WHEN doc_id % 5 < 4 THEN doc_id % 5 END AS label, CASE WHEN doc_id % 10 = 4 THEN 'Phishing Email' WHEN doc_id % 10 = 9 THEN 'Safe Email' END AS `Email Type`"
+
+
+@query("s24_labelled_rows", rf"""WITH r AS (SELECT {_RAW_ROWS.replace('`', '"')} FROM documents)
+SELECT coalesce(content, "Email Text", CASE WHEN doc_id % 2 = 1 THEN 'Subject: ' || subject || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'From: ' || sender || chr(10) ELSE '' END || {_TRIM.format('body')}) AS message,
+ coalesce(label IN (1, 3), contains(lower("Email Type"), 'phishing')) AS expected_unsafe FROM r WHERE doc_id % 4 <> 3 AND content IS NOT NULL OR "Email Text" IS NOT NULL OR body IS NOT NULL""")
+def _(s, d):
+    raw = run(s, d, f"SELECT {_RAW_ROWS} FROM documents").drop("doc_id")
+    return ds.normalize_labelled_rows(raw, unsafe_labels=(1, 3))
+
+
 del m

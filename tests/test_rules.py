@@ -34,24 +34,117 @@ def test_online_score(spark):
     rows = [
         (55, True, False, True, False, False, False, 10, "p", 200, False, False, False), (60, True, False, False, False, False, False, 400, None, 200, False, True, False),
         (20, False, False, False, False, False, False, None, None, None, True, False, False), (5, True, False, True, False, False, False, None, None, 200, False, False, True), (20, False, False, False, False, True, False, None, None, 200, False, False, False),
+        (20, False, True, True, False, True, True, 5, "p", 200, False, False, False), (70, True, False, False, False, False, True, 90, None, 200, False, False, False), (80, True, False, False, False, False, False, 90, None, None, False, False, False),
+        (20, False, False, False, True, False, False, None, None, 200, False, False, False),
     ]
     got = [(r.online_score, r.online_confidence) for r in pages.score_online(spark.createDataFrame(rows, columns)).collect()]
-    assert got == [(100, 90), (35, 55), (20, 45), (5, 95), (40, 60)]
+    # a page's own brand lifts the score with credentials, but only a matched brand counts redirects, age and provider
+    assert got == [(95, 90), (35, 55), (20, 45), (5, 95), (40, 60), (95, 90), (80, 75), (60, 75), (40, 60)]
+
+
+def test_whois_texts(spark):
+    asof = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    texts = [
+        "Domain: x\nCreation Date: 2024-06-10T00:00:00Z\nRegistrar: A\nprivacy", "created: 01.05.2024 10:00:00\nregistrar: B\nexpire: 1.1.2030", "Created on 2020-01-01\nREDACTED", "REGISTERED: 2024-06-30T01:00:00.123+02:00\nRedacted",
+        " Creation Date: 2020-01-01T00:00:00Z", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    for strict, want in (
+        (False, [(21, "A", True, 80), (60, "B", False, 40), (None, None, True, 40), (1, None, False, 60), (None, None, False, 20), (None, None, False, 20)]),
+        (True, [(21, "A", True, 80), (None, "B", False, 20), (None, None, True, 40), (1, None, True, 80), (None, None, False, 20), (None, None, False, 20)]),
+    ):
+        got = [(r.age_days, r.registrar, r.privacy, r.whois_risk) for r in pages.whois_facts(df, asof, strict=strict).orderBy("i").collect()]
+        assert got == want
+    assert [r.expires_text for r in pages.whois_facts(df, asof).orderBy("i").collect()][:3] == [None, "1.1.2030", None]
+
+
+def test_page_facts(spark):
+    html = [
+        "<TITLE a='b'> A &amp;lt; B\n c </TITLE><meta content='Site' property='og:site_name'><link rel='x canonical' href='http://www.Shop.co.uk/a'>G-AB1 clarity('set', 'k9')<FORM><form>",
+        '<meta property="og:site_name" content=""><link href="https://late.example.com" rel="canonical"><link rel="manifest" href="/m.json">seed phrase', None,
+    ]
+    df = spark.createDataFrame(list(enumerate(html)), "i int, html string")
+    a, b, c = pages.page_metadata(df).orderBy("i").collect()
+    assert (a.title, a.og_site_name, a.canonical_domain, a.analytics_ids, a.form_count) == ("A < B c", "Site", "shop.co.uk", ["G-AB1", "k9"], 2)
+    assert (b.og_site_name, b.canonical_domain, b.manifest_domain, b.has_credential_words, b.title) == (None, None, None, True, None)
+    assert (c.title, c.analytics_ids, c.form_count, c.has_password) == (None, [], 0, False)
+    rows = [("https://a.shop.com/x", "<form x action = 'https://b.shop.com/in'><form action='https://evil.net'>"), ("https://shop.com", '<form action="/in"><form id=1 action="HTTPS://Evil.net/p">mfa card number'), (None, None)]
+    got = pages.page_evidence(spark.createDataFrame(rows, "url string, html string"))
+    assert [(r.external_form, r.otp_field, r.card_field, r.page_forms) for r in got.collect()] == [(False, False, False, 2), (True, True, True, 2), (False, False, False, 0)]
+    kinds = spark.createDataFrame([("u", "https://a.b.example/x", 200, "Text/HTML; x", "abcdef"), ("u", None, 200, "image/png", "abc"), ("u", "http://x.org", 500, None, "abc")], "url string, final_url string, status int, content_type string, html string")
+    assert [(r.html, r.final_domain, r.fetch_error) for r in pages.read_pages(kinds, 4).collect()] == [("abcd", "b.example", None), (None, None, "unsupported content-type: image/png"), ("abc", "x.org", None)]
+
+
+def test_jsonld_nesting(spark):
+    deep = '{"@type":"brand","name":"Deep","sameAs":[["https://d.example.com"],"#x",5]}'
+    for _ in range(20):
+        deep = '[{"@graph":' + deep + ',"@type":"WebPage","name":"no"}]'
+    blocks = [deep, '{"@type":{"x":"MyCorporation"},"name":7,"url":"https://www.corp.com/a"}', "[1, {}]", "{"]
+    df = spark.createDataFrame([(i, f"<script id='j' type='application/ld+json'> {b} </script>") for i, b in enumerate(blocks)] + [(9, None)], "i int, html string")
+    got = {r.i: (r.org_names, r.org_domains, r.same_as_domains) for r in pages.jsonld_facts(df, "i").collect()}
+    assert got == {0: (["Deep"], [], ["example.com"]), 1: ([], ["corp.com"], [])}
+
+
+def test_favicons(spark):
+    url = lambda u: one(spark, pages.favicon_url(F.col("u")), u=u)
+    assert url(" http://a.b/c?d") == "http://a.b/favicon.ico" and url("a.b") == "https://a.b/favicon.ico"
+    assert one(spark, pages.favicon_hash(F.col("b").cast("binary"), 3), b="abcd") is None and len(one(spark, pages.favicon_hash(F.col("b").cast("binary")), b="abcd")) == 64
+    df = spark.createDataFrame([("paypal", "aa"), ("paypal", "bb"), (None, "aa")], "brand_key string, icon_hash string")
+    known = spark.createDataFrame([("paypal", "AA"), ("paypal", "aa")], "brand_key string, hash string")
+    assert sorted((r.brand_key or "", r.icon_hash, r.favicon_match) for r in pages.favicon_matches(df, known).collect()) == [("", "aa", False), ("paypal", "aa", True), ("paypal", "bb", False)]
 
 
 def test_identity_names(spark):
-    rows = [(None, None, "Acme Shop | Home"), ("Org", "Site", "T"), (None, None, "ab"), (None, "Big - Small", None)]
-    got = [r.name for r in identity.identity_name(spark.createDataFrame(rows, "org_name string, og_site_name string, title string")).collect()]
-    assert got == ["Acme Shop", "Org", None, "Big"]
+    none = None
+    rows = [
+        ([], none, none, none, none, "Home | Acme Shop - x"), (["Org.com"], "Site", none, none, none, "T"), ([], none, none, none, none, "ab"), ([], none, none, none, "Big - Small", "T"), ([], none, "App", "Apple", "Og", "T"),
+        ([], none, none, none, none, "Úvod: Člověk.net"), ([], none, none, none, none, "home"), ([], none, none, none, none, none),
+    ]
+    df = spark.createDataFrame(rows, "org_names array<string>, og_site_name string, application_name string, apple_app_title string, og_title string, title string")
+    assert [r.name for r in identity.identity_name(df).collect()] == ["Acme Shop", "Org", None, "Big", "App", "Člověk", "home", None]
+    assert one(spark, identity.identity_key(F.col("v")), v="Člověk & Ñandú 1!") == "clovekandu1".replace("clovekandu1", "cloveknandu1")
 
 
 def test_labelled_rows(spark):
-    df = spark.createDataFrame([("s", None, "b", 1), (None, "me", "", 0), (None, None, None, 1)], "subject string, sender string, body string, label int")
-    assert [tuple(r) for r in datasets.normalize_labelled_rows(df).collect()] == [("subject: s\nb", True), ("sender: me", False)]
+    df = spark.createDataFrame([("s", None, " b ", 1), (None, "me", "", 0), (None, None, None, 1), (" ", "x", "y", 2)], "subject string, sender string, body string, label int")
+    assert [tuple(r) for r in datasets.normalize_labelled_rows(df).collect()] == [("Subject: s\nb", True), ("From: me\n", False), ("From: x\ny", True)]
+    assert [r.expected_unsafe for r in datasets.normalize_labelled_rows(df, (1, 3)).collect()] == [True, False, False]
+    mixed = spark.createDataFrame([("", "t", "Phishing Email"), (None, None, "Safe Email"), (None, "t", "Safe Email")], "content string, text string, `Email Type` string")
+    assert [tuple(r) for r in datasets.normalize_labelled_rows(mixed).collect()] == [("", True), ("t", False)]
     scored = spark.createDataFrame([(60, 10, True), (60, 10, False), (10, 10, None)], "a int, b int, expected_unsafe boolean")
     assert datasets.label_agrees(scored, ["a", "b"]).count() == 2
 
 
+def test_text_quality_and_urls(spark):
+    base = "Please read the notes of the last meeting and send your remarks until noon today."
+    texts = [base, base + " " + base + " !!!!!!!!!!!!", base + " " + base + " !!!!!!!!!!!!!", base + " * * * * * x * * * * *", base + " * * * * *", base + " " + "<>[]$" * 3, base + " " + "()@#" * 6, "  " + base[:70] + "  " * 20, None, base * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r.good for r in datasets.text_quality(df, "text").orderBy("i").collect()] == [True, True, False, False, True, False, True, False, False, False]
+    hints = [(False, 0, "see WWW.x.org"), (False, 0, "none"), (True, 0, None), (None, 2, None), (None, None, "HTTPS://x")]
+    df = spark.createDataFrame([(i, *h) for i, h in enumerate(hints)], "i int, contains_url boolean, url_count int, message string")
+    assert [r.has_url for r in datasets.with_has_url(df).orderBy("i").collect()] == [True, False, True, True, True]
+    lists = spark.createDataFrame([([], "a"), (["x"], "a"), (None, "www.")], "urls array<string>, message string")
+    assert [r.has_url for r in datasets.with_has_url(lists).collect()] == [False, True, True]
+    text = spark.createDataFrame([(" ", "a"), ("x", "a")], "urls string, message string")
+    assert [r.has_url for r in datasets.with_has_url(text).collect()] == [False, True]
+
+
+def test_training_rows(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(3, " hi ", "s"), (4, "\n", "s"), (5, "x" * 12 + " www.a", None)], "i int, text string, source string")
+    a, b = datasets.training_rows(df, "i", "text", F.col("source"), most=10).collect()
+    assert (a.id, a.message, a.has_url) == ("s-3-" + hashlib.sha256(b"s3hi").hexdigest()[:8], "hi", False)
+    cut = "x" * 10 + "\n[truncated]"
+    assert (b.id, b.message, b.has_url) == ("unknown-5-" + hashlib.sha256(f"unknown5{cut}".encode()).hexdigest()[:8], cut, True)
+
+
+def test_worker_tags(spark):
+    df = spark.createDataFrame([("high", "T-Mobile & Co", False, 60, "pages.dev"), ("low", None, True, 5, None)], "risk_level string, matched_brand string, official boolean, brand_score int, hosting_provider string")
+    got = [r.tags for r in identity.brand_tags(df, worker=True).collect()]
+    assert got == [["risk_level:high", "brand_seen", "brand:t_mobile___co", "brand_impersonation", "known_hosting_provider", "hosting_provider:pages_dev"], ["risk_level:low", "official_brand_domain"]]
+
+
 def test_due_feeds_and_learned_brands(spark):
     feeds_ = spark.createDataFrame([("a", 5), ("b", 60), ("c", 60)], "source string, interval_minutes int")
     state = spark.createDataFrame([("a", 1000), ("b", 1000)], "source string, updated_at long")
