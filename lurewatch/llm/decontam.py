@@ -3,21 +3,26 @@
 A text contains an item if some run of its words is within floor(0.2 * n) word edits of the item's n words
 (words are lower-cased runs of letters and digits). The walk of Chakraborty, Goldenberg and Koucky copies the
 word under a pointer and moves the pointer on if a random bit of (step, word) says so; two texts few edits apart
-get outputs of small Hamming distance. Each LSH table samples positions of one such output; the number of tables
-follows from the hit rate measured on edited items, so that the target recall is reached. Windows start where the
-text and an item share a short run of words: with at most floor(0.2 * n) edits some run of that length has to be
-untouched, so no window that could pass is left out. Candidates are verified by semi-global edit distance.
-
-Benchmark items come to the driver in blocks of bounded size, each block is one pass over the texts.
-
-Defined cases: null and empty texts and items contain and match nothing; items without words are skipped;
-repeated rows each get their own result rows; an empty table gives an empty result; other columns are not read.
+get outputs of small Hamming distance. Each LSH table samples positions of one such output. Long items are looked up by
+equal pieces of at most LONGEST words, of which one at least has no more than its share of the edits. Pieces (items, if
+not long) are graded by length, and a window is as long as the pieces of its grade. The number of walks of a grade
+follows from the recall measured on fully edited pieces of that grade inside other text, found and embedded as in
+production, until the target is reached; if it cannot be, that is an error. Windows start where the text and an item share a short run of words:
+with at most floor(0.2 * n) edits some run of that length has to be untouched, so no window that could pass is left
+out. Candidates are verified by semi-global edit distance.
+
+Benchmark items come to the driver in blocks of bounded size (a single item may be larger), each block is one pass
+over the texts. A task holds one run of texts and embeds a bounded number of window words at a time.
+
+Defined cases: null and empty texts and items contain and match nothing; items without words are skipped; items
+without an id count like others and are reported with a null id; repeated rows each get their own result rows;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, shingles, words
+from .neardup import match_rows
 
 EDIT_SHARE = 0.2
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 32 << 20
 SAMPLED = 2  # positions per table
 TABLES_PER_WALK = 3
+MOST_WALKS = 200
+LONGEST = 160  # words of a piece
+MEASURED = 300  # edited items by which a grade's recall is measured; few items are edited several times each
+HELD_WORDS = 4 << 20  # words of windows embedded, and of texts kept, at a time
 _FILTER_BITS = 22
 
 
@@ -45,44 +56,64 @@ def _run_length(n: int) -> int:
     return min(3, -(-(n - k) // (k + 1)))
 
 
-def cgk(windows: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """One CGK walk over every row of ``windows`` (padded with 0): (steps, rows) copied words, 0 past the end."""
+def cgk(windows: np.ndarray, keep: np.ndarray, walk: int) -> np.ndarray:
+    """The words that one CGK walk over every row of ``windows`` (padded with 0) copies at the sorted steps ``keep``."""
     rows, width = windows.shape
-    out = np.empty((steps, rows), dtype=np.uint64)
+    out = np.empty((len(keep), rows), dtype=np.uint64)
     padded = np.append(windows.ravel(), np.uint64(0))
     at = np.arange(rows) * width
     stop = at + width
-    for t in range(steps):
+    kept = 0
+    for t in range(int(keep[-1]) + 1):
         word = padded[np.minimum(at, stop)] if t >= width else padded[at]
         if t >= width:
             word[at >= stop] = 0
-        out[t] = word
+        if t == keep[kept]:
+            out[kept] = word
+            kept += 1
         salt = np.uint64((0x9E3779B97F4A7C15 * (walk * 65_537 + t + 1)) & (2**64 - 1))
         at += (((word ^ salt) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(at.dtype)
     return out
 
 
+@dataclass
+class Grade:
+    """Pieces of similar length with their LSH tables."""
+
+    items: np.ndarray  # indexes
+    width: int  # words of a window: twice the least length, of which a walk of as many steps reads about half
+    steps: list[np.ndarray]  # of each walk: the sorted steps that its tables sample
+    places: list[np.ndarray]  # of each walk: (table, SAMPLED) places in these
+    tables: list[list[tuple[np.ndarray, np.ndarray]]]  # of each walk and table: sorted keys, their pieces
+
+
 @dataclass
 class Items:
-    """Benchmark items with their LSH tables."""
+    """Benchmark items: words, pieces, runs by which windows are found, and grades of pieces."""
 
-    ids: list[int]
+    ids: list[int | None]
     tokens: list[np.ndarray]
-    walks: int
-    size_class: np.ndarray  # of each item
-    class_words: np.ndarray  # the least item length of each class
-    positions: np.ndarray  # (class, walk, table, SAMPLED) steps
-    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # run length -> sorted hashes, owner (item, offset) as item << 32 | offset
-    tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]]  # (class, walk, table) -> sorted keys, their items
+    item_of: list[int]  # of each piece
+    offset_of: list[int]  # of each piece in its item
+    grade_of: np.ndarray  # of each piece
+    grades: list[Grade]
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # run length -> sorted hashes, owner (piece, offset) as piece << 32 | offset
 
 
-def _keys(embedded: np.ndarray, positions: np.ndarray) -> np.ndarray:
+def _keys(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
     key = np.zeros(embedded.shape[1], dtype=np.uint64)
-    for p in positions:
+    for p in places:
         key = mix64(key * np.uint64(0xC2B2AE3D27D4EB4F) + embedded[p] + np.uint64(1))
     return key
 
 
+def _matrix(parts: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(parts), width), dtype=np.uint64)
+    for row, p in zip(out, parts, strict=True):
+        row[: min(width, len(p))] = p[:width]
+    return out
+
+
 def _edited(tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A copy with as many random edits as are allowed."""
     out = tokens.tolist()
@@ -97,62 +128,81 @@ def _edited(tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def build_items(ids: list[int], texts: list[str | None], target_recall: float = 0.99, seed: int = 7, most_walks: int = 40) -> Items:
-    """LSH tables of the items; as many walks as bring the recall on fully edited items to the target."""
-    kept = [(i, w.hashes[w.bounds[x] : w.bounds[x + 1]]) for part in [pa.array(texts, pa.string())] for w in words(part) for x in range(len(w.offsets) - 1) for i in [ids[w.first + x]] if w.bounds[x] < w.bounds[x + 1]]
+def _starts(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where windows for the item start in a text: a shared run's place less the run's place in the item."""
+    q = _run_length(len(item))
+    own = shingles(item, q)
+    order = np.argsort(own, kind="stable")
+    h = shingles(text, q)
+    left, right = np.searchsorted(own[order], h, "left"), np.searchsorted(own[order], h, "right")
+    return np.unique([max(at - int(order[k]), 0) for at in np.flatnonzero(right > left) for k in range(left[at], right[at])]).astype(np.int64)
+
+
+def _grade(tokens: list[np.ndarray], own: np.ndarray, target_recall: float, rng: np.random.Generator) -> Grade:
+    """Tables of one grade: walks are added until the recall on edited items inside other text reaches the target."""
+    least = min(len(tokens[i]) for i in own)
+    g = Grade(own, 2 * least, [], [], [])
+    every = _matrix([tokens[i] for i in own], max(len(tokens[i]) for i in own))
+    sample = np.resize(rng.permutation(own), MEASURED)
+    planted = []
+    for i in sample:
+        around = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (20, g.width + 20)]
+        text = np.concatenate([around[0], _edited(tokens[i], rng), around[1]])
+        planted.append([text[s:] for s in _starts(tokens[i], text)])
+    # an item without windows had all its runs edited away, which the allowed edits cannot do
+    rows, owner = [w for p in planted for w in p], np.repeat(np.arange(len(planted)), [len(p) for p in planted])
+    windows, items = _matrix(rows, g.width), _matrix([tokens[i] for i in sample], every.shape[1])
+    missed = np.ones(len(sample), dtype=bool)
+    while len(g.steps) < 4 or missed.mean() > 1 - target_recall:
+        walk = len(g.steps)
+        if walk >= MOST_WALKS:
+            raise RuntimeError(f"decontamination: recall {1 - missed.mean():.3f} on items of {least} words and more after {walk} walks, wanted {target_recall}")
+        drawn = np.sort(rng.integers(0, max(1, 2 * least), size=(TABLES_PER_WALK, SAMPLED)), axis=-1)
+        steps = np.unique(drawn)
+        places = np.searchsorted(steps, drawn)
+        g.steps.append(steps)
+        g.places.append(places)
+        embedded, known, asked = (cgk(m, steps, walk) for m in (windows, items, every))
+        for p in places:
+            missed[owner[_keys(embedded, p) == _keys(known, p)[owner]]] = False
+        tables = []
+        for p in places:
+            keys = _keys(asked, p)
+            order = np.argsort(keys, kind="stable")
+            tables.append((keys[order], own[order]))
+        g.tables.append(tables)
+    return g
+
+
+def build_items(ids: list[int | None], texts: list[str | None], target_recall: float = 0.99, seed: int = 7) -> Items:
+    """LSH tables of the items, grade by grade."""
+    kept = [(ids[w.first + x], w.hashes[w.bounds[x] : w.bounds[x + 1]]) for w in words(pa.array(texts, pa.string())) for x in range(len(w.offsets) - 1) if w.bounds[x] < w.bounds[x + 1]]
     tokens = [t for _, t in kept]
-    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-    grade = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.5)).astype(np.int64)
-    names, size_class = np.unique(grade, return_inverse=True) if len(sizes) else (np.zeros(0, int), np.zeros(0, int))
-    class_words = np.array([sizes[size_class == c].min() for c in range(len(names))], dtype=np.int64)
+    cuts = [(i, int(a), int(b)) for i, t in enumerate(tokens) for ends in [np.linspace(0, len(t), -(-len(t) // LONGEST) + 1).astype(int)] for a, b in zip(ends, ends[1:], strict=False)]
+    pieces = [tokens[i][a:b] for i, a, b in cuts]
+    sizes = np.array([len(t) for t in pieces], dtype=np.int64)
+    names, grade_of = np.unique(np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.5)).astype(np.int64), return_inverse=True) if len(sizes) else (np.zeros(0, int), np.zeros(0, int))
     rng = np.random.default_rng(seed)
-    steps = np.maximum(1, 2 * class_words)
-    positions = np.zeros((len(names), most_walks, TABLES_PER_WALK, SAMPLED), dtype=np.int64)
-    for c in range(len(names)):
-        positions[c] = np.sort(rng.integers(0, steps[c], size=positions[c].shape), axis=-1)
-    # hit rate of a walk's tables on edited copies of a bounded sample of items
-    sample = rng.permutation(len(tokens))[:200]
-    missed, walks = np.ones(len(sample)), 0
-    while walks < most_walks and len(sample) and (walks < 4 or missed.mean() > 1 - target_recall):
-        hit = np.zeros(len(sample))
-        for at, i in enumerate(sample):
-            c = size_class[i]
-            pair = [cgk(t[None, :], int(steps[c]), walks) for t in (tokens[i], _edited(tokens[i], rng))]
-            hit[at] = any(_keys(pair[0], p)[0] == _keys(pair[1], p)[0] for p in positions[c, walks])
-        missed *= 1 - hit
-        walks += 1
+    grades = [_grade(pieces, np.flatnonzero(grade_of == c), target_recall, rng) for c in range(len(names))]
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, t in enumerate(tokens):
+    for i, t in enumerate(pieces):
         q = _run_length(len(t))
-        runs[q] += [(int(h), i << 32 | at) for at, h in enumerate(shingles(t, q).tolist())]
-    tables = {}
-    for c in range(len(names)):
-        own = np.flatnonzero(size_class == c)
-        width = max(len(tokens[i]) for i in own)
-        matrix = np.array([np.pad(tokens[i], (0, width - len(tokens[i]))) for i in own], dtype=np.uint64)
-        for walk in range(walks):
-            embedded = cgk(matrix, int(steps[c]), walk)
-            for n in range(TABLES_PER_WALK):
-                keys = _keys(embedded, positions[c, walk, n])
-                order = np.argsort(keys)
-                tables[c, walk, n] = (keys[order], own[order])
+        runs[q] += [(h, i << 32 | at) for at, h in enumerate(shingles(t, q).tolist())]
     sorted_runs = {}
     for q, found in runs.items():
         found.sort()
         sorted_runs[q] = (np.array([h for h, _ in found], dtype=np.uint64), np.array([o for _, o in found], dtype=np.int64))
-    return Items([i for i, _ in kept], tokens, walks, size_class, class_words, positions[:, :walks], sorted_runs, tables)
+    return Items([i for i, _ in kept], tokens, [i for i, _, _ in cuts], [a for _, a, _ in cuts], grade_of, grades, sorted_runs)
 
 
 def best_within(item: list[int], text: list[int], most: int) -> tuple[int, int]:
     """(least edits between the item and a run of the text, end of that run); edits are most + 1 if there is none."""
     n = len(item)
-    where: dict[int, int] = defaultdict(int)
-    for i, x in enumerate(item):
-        where[x] |= 1 << i
+    match_at = match_rows(item)
     mask, top = (1 << n) - 1, 1 << (n - 1)
     up, down, now, best, end = mask, 0, n, most + 1, -1
     for j, x in enumerate(text):
-        match = where.get(x, 0)
+        match = match_at(x, 0, n)
         diagonal = ((((match & up) + up) ^ up) | match | down) & mask
         plus, minus = down | (mask & ~(diagonal | up)), diagonal & up
         now += bool(plus & top) - bool(minus & top)
@@ -163,6 +213,15 @@ def best_within(item: list[int], text: list[int], most: int) -> tuple[int, int]:
     return best, end
 
 
+@dataclass
+class _Held:
+    """A run of texts: its words, the bounds of its texts and the number of its first text."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray
+    first: int
+
+
 class Matcher:
     """Finds items in texts; built once per task."""
 
@@ -176,7 +235,7 @@ class Matcher:
         self.item_lists = [t.tolist() for t in items.tokens]
 
     def windows(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, stops and texts of the windows worth embedding."""
+        """Grades, starts and texts of the windows worth embedding."""
         found = []
         for q, (known, owners) in self.items.runs.items():
             h = shingles(hashes, q)
@@ -185,96 +244,109 @@ class Matcher:
             count = right - left
             hit = np.repeat(at, count)
             which = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            owner = np.searchsorted(bounds, hit, "right") - 1
-            keep = hit + q <= bounds[owner + 1]  # a run inside one text
-            start = np.maximum(hit - (owners[which] & 0xFFFFFFFF), bounds[owner])
-            found.append(start[keep])
-        starts = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        owner = np.searchsorted(bounds, starts, "right") - 1
-        return starts, bounds[owner + 1], owner
-
-    def candidates(self, windows: np.ndarray) -> set[tuple[int, int]]:
-        """(row of ``windows``, item index) of the pairs that share a table entry."""
-        items, found = self.items, set()
-        steps = int(2 * items.class_words.max())
-        for walk in range(items.walks):
-            embedded = cgk(windows, steps, walk)
-            for c in range(len(items.class_words)):
-                for n in range(TABLES_PER_WALK):
-                    known, owners = items.tables[c, walk, n]
-                    keys = _keys(embedded, items.positions[c, walk, n])
+            text = np.searchsorted(bounds, hit, "right") - 1
+            keep = hit + q <= bounds[text + 1]  # a run inside one text
+            start = np.maximum(hit - (owners[which] & 0xFFFFFFFF), bounds[text])
+            found.append((self.items.grade_of[owners[which] >> 32][keep] << 40 | start[keep]).astype(np.int64))
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        starts = both & (1 << 40) - 1
+        return both >> 40, starts, np.searchsorted(bounds, starts, "right") - 1
+
+    def candidates(self, grade: int, windows: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(number of the window, piece index) of the pairs that share a table entry."""
+        g, found = self.items.grades[grade], set()
+        rows = max(1, HELD_WORDS // g.width)
+        for first in range(0, len(windows), rows):
+            matrix = _matrix(windows[first : first + rows], g.width)
+            for walk, (steps, places) in enumerate(zip(g.steps, g.places, strict=True)):
+                embedded = cgk(matrix, steps, walk)
+                for (known, owners), p in zip(g.tables[walk], places, strict=True):
+                    keys = _keys(embedded, p)
                     left, right = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                     for x in np.flatnonzero(right > left).tolist():
-                        found.update((x, i) for i in owners[left[x] : right[x]].tolist())
+                        found.update((first + x, i) for i in owners[left[x] : right[x]].tolist())
         return found
 
     def matches(self, texts: pa.Array) -> dict[int, dict[int, tuple[float, int]]]:
         """Index of a text -> item index -> (similarity, word where the run ends), for the texts with matches."""
         found: dict[int, dict[int, tuple[float, int]]] = defaultdict(dict)
-        held: list[tuple[int, int, np.ndarray, int]] = []
         if not self.item_lists:
             return found
-        longest = max(map(len, self.item_lists))
-        margin = _allowed(longest)
+        held: list[tuple[_Held, int, int, int]] = []  # texts, text in them, grade, start
+        kept = 0
         for w in words(texts):
-            starts, stops, owner = self.windows(w.hashes, w.bounds)
-            for start, stop, text in zip(starts.tolist(), stops.tolist(), owner.tolist(), strict=True):
-                low = max(int(w.bounds[text]), start - margin)
-                held.append((w.first + text, low - int(w.bounds[text]), w.hashes[low : min(stop, start + longest + 2 * margin)].copy(), start - low))
-            if len(held) >= 8192:
+            own = _Held(w.hashes, w.bounds, w.first)
+            grades, starts, text = self.windows(w.hashes, w.bounds)
+            held += [(own, *x) for x in zip(text.tolist(), grades.tolist(), starts.tolist(), strict=True)]
+            kept += len(w.hashes) if len(starts) else 0
+            if len(held) >= 8192 or kept >= HELD_WORDS:
                 self._flush(held, found)
+                kept = 0
         self._flush(held, found)
         return found
 
-    def _flush(self, held: list[tuple[int, int, np.ndarray, int]], found: dict[int, dict[int, tuple[float, int]]]) -> None:
-        """Embed, look up and verify the windows held so far: (text, word offset, words, where the window starts)."""
-        if not held:
-            return
-        width = int(2 * self.items.class_words.max())
-        matrix = np.zeros((len(held), width), dtype=np.uint64)
-        for row, (_, _, own, skip) in zip(matrix, held, strict=True):
-            part = own[skip : skip + width]
-            row[: len(part)] = part
-        for x, i in sorted(self.candidates(matrix)):
-            item, (text, low, own, skip) = self.item_lists[i], held[x]
-            n, most = len(item), _allowed(len(item))
-            known = found[text].get(i) if text in found else None
-            if known and known[0] == 1.0:
-                continue
-            at = max(0, skip - most)
-            near = own[at : skip + n + 2 * most].tolist()
-            if sum(map(set(near).__contains__, item)) < n - most:  # fewer shared words than any match has
-                continue
-            edits, end = best_within(item, near, most)
-            if edits <= most and (not known or 1 - edits / n > known[0]):
-                found[text][i] = (1 - edits / n, low + at + end)
+    def _flush(self, held: list[tuple[_Held, int, int, int]], found: dict[int, dict[int, tuple[float, int]]]) -> None:
+        """Embed, look up and verify the windows held so far."""
+        by_grade: dict[int, list[tuple[_Held, int, int]]] = defaultdict(list)
+        tried: set[tuple[int, int, int, int]] = set()
+        for own, text, grade, start in held:
+            by_grade[grade].append((own, text, start))
+        for grade, windows in sorted(by_grade.items()):
+            width = self.items.grades[grade].width
+            parts = [own.hashes[start : min(start + width, own.bounds[text + 1])] for own, text, start in windows]
+            for x, piece in sorted(self.candidates(grade, parts)):
+                own, text, start = windows[x]
+                i = self.items.item_of[piece]
+                item, offset = self.item_lists[i], self.items.offset_of[piece]
+                n, most = len(item), _allowed(len(item))
+                step = most // 2 + 1  # places so near each other are one
+                cell = (start - offset) // step
+                known = found[own.first + text].get(i) if own.first + text in found else None
+                if (id(own), text, i, cell) in tried or known and known[0] == 1.0:
+                    continue
+                tried.add((id(own), text, i, cell))
+                low, high = int(own.bounds[text]), int(own.bounds[text + 1])
+                at = max(low, cell * step - most)
+                near = own.hashes[at : min(high, max(low, cell * step + step + n + 2 * most))].tolist()
+                if sum(map(set(near).__contains__, item)) < n - most:  # fewer shared words than any match has
+                    continue
+                edits, end = best_within(item, near, most)
+                if edits <= most and (not known or 1 - edits / n > known[0]):
+                    found[own.first + text][i] = (1 - edits / n, at - low + end)
         held.clear()
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[Items]:
-    rows = benchmark.select("item_id", "text").where("item_id is not null")
-    blocks = -(-rows.count() // block_items)
+    rows = benchmark.select("item_id", "text")
+    whole = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    blocks = max(-(-whole.n // block_items), -(-whole.size // BLOCK_BYTES))
     for b in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         yield build_items([r.item_id for r in own], [r.text for r in own])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, similarity, end_word) for each document and item that it contains."""
-    out = None
-    for items in _blocks(benchmark, block_items):
+_FOUND = "doc_id long, item_id long, similarity double, end_word long"
+
 
-        def find(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
-            for b in batches:
-                ids = b.column(0)
-                rows = [(ids[i].as_py(), items.ids[k], s, end) for i, own in sorted(matcher.matches(b.column(1)).items()) for k, (s, end) in sorted(own.items())]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "end_word"])
+def _finder(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items)
+        for b in batches:
+            ids = b.column(0)
+            rows = [(ids[i].as_py(), items.ids[k], s, end) for i, own in sorted(matcher.matches(b.column(1)).items()) for k, (s, end) in sorted(own.items())]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "end_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, similarity double, end_word long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, end_word long")
+    return find
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, similarity, end_word) for each document and item that it contains."""
+    out = docs.sparkSession.createDataFrame([], _FOUND)
+    for n, items in enumerate(_blocks(benchmark, block_items)):
+        part = docs.select("doc_id", "text").mapInArrow(_finder(items), _FOUND)
+        out = out.unionByName(part) if n else part
+    return out
 
 
 def contaminated(items: Items, text: Column) -> Column:
@@ -292,7 +364,7 @@ def contaminated(items: Items, text: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text contains no benchmark item."""
+    """The rows of ``docs``, all columns, whose text contains no benchmark item, with or without an id."""
     for items in _blocks(benchmark, block_items):
         docs = docs.where(~contaminated(items, F.col("text")))
     return docs

@@ -11,18 +11,26 @@ def _place(url: str) -> str:
     return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
 
 
+_KEY = r"CASE WHEN {0}host <> '' THEN {0}host || regexp_replace({0}path, '/+$', '') || {0}query END"
+_HREF, _TO = r"""(?is)\bhref\s*=\s*["'']?([^"''\s>]+)""", r"""(?is)\burl\s*=\s*["'']?([^"''\s>]+)"""
+_ABSOLUTE = "CASE WHEN raw = '' OR starts_with(raw, '#') THEN NULL WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL WHEN starts_with(raw, '//') THEN scheme || ':' || raw WHEN starts_with(raw, '/') THEN site || raw WHEN starts_with(raw, '?') THEN site || path || raw ELSE site || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || regexp_extract(raw, '^[^#]*') END"
+
+#: Segments of one and two dots in relative links are left as they are here; no page of the tables has such a link.
 OP4 = rf"""WITH RECURSIVE rules(rhost, rpath, rverdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-p AS (SELECT page_id, url, {_place("coalesce(url, '')")}, html FROM pages),
-k AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END AS key FROM p),
-t AS (SELECT key AS a, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target FROM k WHERE key IS NOT NULL),
-e AS (SELECT DISTINCT a, host || regexp_replace(path, '/+$', '') AS b FROM (SELECT a, {_place("target")} FROM t WHERE target <> '') WHERE host <> ''),
+p AS (SELECT page_id, coalesce(url, '') AS url, {_place("coalesce(url, '')")}, regexp_extract(coalesce(url, ''), '://[^?#]*(\?[^#]*)', 1) AS query, html FROM pages),
+k AS (SELECT *, {_KEY.format("")} AS key, regexp_extract(url, '^(.*?)://', 1) AS scheme, regexp_extract(url, '^.*?://[^/?#]*') AS site FROM p),
+tags AS (SELECT key, scheme, site, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM k WHERE key IS NOT NULL),
+raws AS (SELECT key, scheme, site, path, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '{_HREF}', 1) WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '{_TO}', 1) ELSE '' END, '&amp;', '&') AS raw FROM tags),
+t AS (SELECT key AS a, {_ABSOLUTE} AS target FROM raws),
+ends AS (SELECT a, {_place("target")}, regexp_extract(target, '://[^?#]*(\?[^#]*)', 1) AS query FROM t WHERE target IS NOT NULL),
+e AS (SELECT DISTINCT a, {_KEY.format("")} AS b, host, path FROM ends WHERE host <> ''),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
-places AS (SELECT DISTINCT host, path FROM k UNION SELECT DISTINCT regexp_extract(a, '^[^/]*'), regexp_replace(a, '^[^/]*', '') || '/' FROM both_ways),
+places AS (SELECT DISTINCT host, path FROM k UNION SELECT host, path FROM e),
 fit AS (SELECT host, path, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC, rverdict = 'allow' DESC, rhost DESC) AS place
   FROM places JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 best AS (SELECT host, path, rule, rverdict FROM fit WHERE place = 1),
-named AS (SELECT host || regexp_replace(path, '/+$', '') AS key, rverdict FROM best),
+named AS (SELECT key, rverdict FROM k JOIN best USING (host, path) UNION SELECT b, rverdict FROM e JOIN best USING (host, path)),
 votes AS (SELECT a AS key, bool_or(rverdict = 'allow') AS allowed, bool_or(rverdict = 'block') AS blocked FROM reach JOIN named ON named.key = reach.b GROUP BY a)
 SELECT page_id, k.host, k.path, rule, coalesce(rverdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
 FROM k LEFT JOIN best ON best.host = k.host AND best.path = k.path LEFT JOIN votes ON votes.key = k.key"""

@@ -68,11 +68,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shared = fingerprint.shared_digests(docs)
     shared = None if shared.isEmpty() else shared
-    n = F.length("text")
+    own = fingerprint.with_fingerprint(docs.select("doc_id", "text"), "text", "fingerprint", shared)
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.expr("left(next_text, length(text) div 4)"))
-    rows = fingerprint.with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
-    for column, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
-        rows = fingerprint.with_fingerprint(rows, column, out, shared)
+    rows = fingerprint.with_next(own, ["fingerprint"]).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    rows = fingerprint.with_fingerprint(rows, "edited", "edited_fingerprint", shared)
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")

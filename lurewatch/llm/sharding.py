@@ -83,8 +83,10 @@ def minimax_starts(units: DataFrame, parts: int) -> list[int]:
         each = max(4, RANGES // len(spans))
         cell = F
         for n, (a, b) in enumerate(spans):
+            # doubles keep the order of any ids; the ends of the cells are read back, so their rounding does not matter
             own = F.col("first").between(F.lit(a), F.lit(b))
-            cell = cell.when(own, F.expr(f"(first - {a}L) div {-(-(b - a + 1) // each)}L") + F.lit(n * each))
+            part = F.floor((F.col("first").cast("decimal(20,0)") - F.lit(a)).cast("double") / F.lit(float(-(-(b - a + 1) // each)))) if b - a >= 2**62 else F.floor((F.col("first") - F.lit(a)) / F.lit(-(-(b - a + 1) // each)))
+            cell = cell.when(own, F.least(part, F.lit(each - 1)) + F.lit(n * each))
         found = units.groupBy(cell.alias("cell")).agg(F.min("first").alias("a"), F.max("first").alias("b"), F.sum("weight").alias("s")).collect()
         return sorted((r.a, r.b, int(r.s)) for r in found if r.cell is not None)
 

@@ -6,7 +6,8 @@ exception phrases. A longer match wins over a shorter one at the same place; an
 and thus takes away the terms inside it. The weighted hits per length pass through a fitted logistic curve.
 
 Defined cases: null and empty texts have no hits and get the score of a text without hits; repeated rows get
-equal scores; an empty table gives an empty result; other columns are never read. Without both labels in the
+equal scores; an empty table gives an empty result; other columns are never read. Phrases of two words, one of them a
+term, that are no commoner in toxic texts than in others are learned as exceptions. Without both labels in the
 training rows the lexicon is the seed list alone and the curve has fixed coefficients.
 """
 
@@ -135,10 +136,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000,
         if len(learned) < max_terms and not any(r.term.startswith(t) or t.startswith(r.term.rstrip()) for t in learned):
             learned[r.term] = float(min(r.odds, 8.0))
     weights = base | learned
+    weights |= _learned_exceptions(sample, weights, totals, max_terms)
     rows = _curve_rows(sample, Lexicon(weights))
     return Lexicon(weights, *_fit_curve(*rows))
 
 
+def _phrases(weights: dict[str, float]):
+    """Partial counts: in how many texts of each label two neighbouring words occur, one of which is a term."""
+    wholes = {p.strip() for p, w in weights.items() if w > 0 and p.endswith(" ")}
+    stems = tuple(p.strip() for p, w in weights.items() if w > 0 and not p.endswith(" "))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = {0: Counter(), 1: Counter()}
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = fold(text)
+                hit = [w in wholes or w.startswith(stems) for w in words]
+                seen[y].update({_marked(words[i : i + 2]) for i in range(len(words) - 1) if hit[i] or hit[i + 1]})
+            found = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([seen[y][p] for p in found], pa.int64()) for y in (0, 1))], names=["term", "n0", "n1"])
+
+    return count
+
+
+def _learned_exceptions(sample: DataFrame, weights: dict[str, float], totals: tuple[int, int], max_terms: int, least: int = 4) -> dict[str, float]:
+    """Phrases in which a term is harmless: in ``least`` clean texts or more, and as a share no rarer there than in toxic ones."""
+    counts = sample.mapInArrow(_phrases(weights), "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    harmless = counts.where((F.col("n0") >= least) & (F.col("n1") * totals[0] <= F.col("n0") * totals[1]))
+    return {r.term: 0.0 for r in harmless.orderBy(F.desc("n0"), "term").limit(max_terms).collect()}
+
+
 def labels_count(sample: DataFrame) -> tuple[int, int]:
     r = sample.agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b")).first()
     return r.a, r.b

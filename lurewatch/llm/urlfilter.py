@@ -5,8 +5,12 @@ rule wins. Pages name their aliases by canonical links, meta refreshes and redir
 of these links are one resource. A url without a rule gets its component's decision: allow if some member is allowed
 by a rule, else block if some member is blocked, else allow.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; repeated
-rows get equal rows; an empty table gives an empty result; a null html has no links; other columns are not read.
+A resource is host, path and query; scheme, fragment and a closing slash of the path make no difference. All links of a page count; relative ones are resolved against the page's own url (``<base>`` is not read),
+with ``&amp;`` undone. Links of other schemes (mailto, javascript) and mere fragments name no resource.
+
+Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed, and its links
+count only where they are absolute; repeated rows get equal rows; an empty table gives an empty result; a null html has
+no links; other columns are not read; very long urls are read whole.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from .components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+_QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
+_TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+_CANONICAL, _HREF = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH, _TO = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+_ABSOLUTE, _OTHER = "(?s)^[A-Za-z][A-Za-z0-9+.-]*://.*", "(?s)^[A-Za-z][A-Za-z0-9+.-]*:.*"
 
 
 def host_of(url: Column) -> Column:
@@ -31,18 +38,42 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _AFTER, 2)
 
 
-def resource_key(url: Column) -> Column:
-    """Host and path without a closing slash: what links point at. Null for a url without a host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", "")))
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), _QUERY, 1)
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) resource keys joined by a canonical link or a refresh, once each."""
-    target = F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1)))
+def resource_key(url: Column) -> Column:
+    """Host, path without a closing slash, and query: what links point at. Null for a url without a host."""
+    host = host_of(url)
+    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), query_of(url)))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute url of a link on the page ``base``; null where it names no other resource."""
+    scheme, site = F.regexp_extract(base, "(?s)^(.*?)://", 1), F.regexp_extract(base, "(?s)^.*?://[^/?#]*", 0)
+    path = path_of(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^.*/", 0))
+    parts = F.regexp_extract_all(F.concat(F.when(target.startswith("/"), "").otherwise(folder), F.regexp_extract(target, "(?s)^[^?#]*", 0)), F.lit("(?s)/[^/]*"), 0)
+    place = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, p: F.when(p == "/..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == "/.", done).otherwise(F.concat(done, F.array(p))),
+    )
+    relative = F.concat(site, F.array_join(place, ""), F.when(F.element_at(parts, -1).isin("/.", "/.."), "/").otherwise(""), F.regexp_extract(target, r"(?s)\?[^#]*", 0))
+    return (
+        F.when((target == "") | target.startswith("#"), None).when(target.rlike(_ABSOLUTE), target).when(target.rlike(_OTHER) | (site == ""), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, path, target)).otherwise(relative)
+    )
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(url, target): every canonical link and refresh of a page, as an absolute url."""
     linked = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
-    found = linked.select("url", target.alias("target")).select(resource_key(F.col("url")).alias("a"), resource_key(F.col("target")).alias("b"))
-    return found.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct()
+    tags = F.regexp_extract_all("html", F.lit(_TAGS), 0)
+    of = lambda kind, where: F.transform(F.filter(tags, lambda x: x.rlike(kind)), lambda x: F.regexp_extract(x, where, 1))
+    targets = F.transform(F.concat(of(_CANONICAL, _HREF), of(_REFRESH, _TO)), lambda x: F.regexp_replace(x, "&amp;|&#38;|&#[xX]26;", "&"))
+    found = linked.select(F.coalesce("url", F.lit("")).alias("url"), F.explode(targets).alias("raw"))
+    return found.select("url", resolved(F.col("raw"), F.col("url")).alias("target")).where("target is not null")
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -58,21 +89,20 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page. ``redirects`` adds observed (from_url, to_url) pairs."""
-    edges = link_edges(pages)
+    links = page_links(pages)
     if redirects is not None:
-        more = redirects.select(resource_key(F.col("from_url")).alias("a"), resource_key(F.col("to_url")).alias("b"))
-        edges = edges.unionByName(more.where("a is not null and b is not null and a != b")).distinct()
-    edges = materialize(edges, "links")
-    places = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), resource_key(F.col("url")).alias("key"))
+        links = links.unionByName(redirects.select(F.col("from_url").alias("url"), F.col("to_url").alias("target")))
+    place = lambda c, to: F.struct(resource_key(F.col(c)).alias("key"), host_of(F.col(c)).alias("host"), path_of(F.col(c)).alias("path")).alias(to)
+    links = materialize(links.select(place("url", "a"), place("target", "b")).where("a.key is not null and b.key is not null and a.key != b.key").distinct(), "links")
+    places = pages.select("page_id", place("url", "p")).select("page_id", "p.host", "p.path", "p.key")
     judged = match_rules(places, rules)
-    if edges.isEmpty():
+    if links.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    roots = materialize(components(edges), "roots")
+    roots = components(links.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")))
     # a linked resource may be no page itself; its rule counts too
-    key_place = roots.select("node", "root", F.regexp_extract("node", "^[^/]*", 0).alias("host"), F.regexp_replace("node", "^[^/]*", "").alias("path"))
-    key_place = key_place.withColumn("path", F.concat("path", F.lit("/")))
-    votes = match_rules(key_place, rules).select("root", "rule_verdict").unionByName(judged.join(roots, F.col("key") == F.col("node")).select("root", "rule_verdict"))
-    decided = votes.groupBy("root").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
+    ends = links.select("a.*").unionByName(links.select("b.*")).distinct()
+    votes = match_rules(ends, rules).select("key", "rule_verdict").unionByName(judged.select("key", "rule_verdict")).where("rule_verdict is not null").distinct()
+    decided = votes.join(roots, F.col("key") == F.col("node")).groupBy("root").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
     spread = roots.join(decided, "root").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("spread"))
     out = judged.join(spread, F.col("key") == F.col("node"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "spread", F.lit("allow")).alias("verdict"))

@@ -235,7 +235,7 @@ def test_contamination_equals_search_by_force(spark):
     want = set()
     for doc, text in rows:
         h = [w.hashes for w in words(pa.array([text]))][0].tolist()
-        want |= {(doc, k) for k, t in items if len(set(t.tolist()) & set(h)) >= 0.5 * len(set(t.tolist())) and decontam.best_within(t.tolist(), h, len(t) // 5)[0] <= len(t) // 5}
+        want |= {(doc, k) for k, t in items if edits(t.tolist(), h, free=True) <= len(t) // 5}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(df, bench).collect()}
     assert got == want and len({d for d, _ in want if d >= 1000}) == 12
@@ -245,11 +245,60 @@ def test_contamination_equals_search_by_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_recall_of_fully_edited_items():
+    """Items of 3 to 400 words with all the edits allowed, inside other text; several items and windows in one text."""
+    rng = np.random.default_rng(6)
+    word = lambda: f"v{rng.integers(10**6)}"
+    lengths = [n for n in (3, 5, 9, 12, 20, 35, 60, 110, 200, 400) for _ in range(12)]
+    texts = [" ".join(word() for _ in range(n)) for n in lengths]
+    items = decontam.build_items(list(range(len(texts))), texts)
+    found = planted = 0
+    for first in range(0, len(texts), 4):
+        parts, own = [], range(first, first + 4)
+        for i in own:
+            w = texts[i].split()
+            for _ in range(len(w) // 5):
+                kind, at = rng.integers(3), int(rng.integers(len(w)))
+                if kind == 0:
+                    w[at] = word()
+                elif kind == 1:
+                    w.insert(at, word())
+                else:
+                    w.pop(at)
+            parts += [word() for _ in range(30)] + w
+        got = decontam.Matcher(items).matches(pa.array([None, " ".join(parts)])).get(1, {})
+        planted, found = planted + 4, found + sum(i in got for i in own)
+        assert set(got) <= set(own)
+    assert found / planted >= 0.97
+
+
+def test_long_texts_and_items_in_bounded_windows(monkeypatch):
+    monkeypatch.setattr(decontam, "HELD_WORDS", 4096)  # many small matrices
+    item = " ".join(f"q{i % 50}" for i in range(210))
+    long = [f"l{i}" for i in range(6000)]
+    items = decontam.build_items([1, 2], [item, " ".join(long)])
+    text = " ".join(item.split() * 40)  # thousands of windows
+    changed = " ".join(w for i, w in enumerate(long) if i % 7)
+    got = decontam.Matcher(items).matches(pa.array([text, "x " + changed + " y", "none of these"]))
+    assert got[0][0][0] == 1.0 and 0.8 <= got[1][1][0] < 0.9 and 2 not in got and max(g.width for g in items.grades) <= 2 * decontam.LONGEST
+
+
+def test_a_missed_recall_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontam, "_keys", lambda embedded, places: np.arange(embedded.shape[1], dtype=np.uint64) + np.uint64(len(embedded) * 1000 + decontam.MOST_WALKS * int(embedded.shape[1])))
+    monkeypatch.setattr(decontam, "MOST_WALKS", 5)
+    with pytest.raises(RuntimeError, match="recall"):
+        decontam.build_items([1], ["one two three four five six seven"])
+
+
 def test_decontamination_on_awkward_rows(spark, awkward):
-    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (None, "x"), (4, "tiny")], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in decontam.find_contamination(awkward, bench).collect()) == [(3, 1), (3, 1)]
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (None, "lonely text without an id"), (4, "tiny"), (1, "one two three four five six seven")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = Counter((r.doc_id, r.item_id) for r in decontam.find_contamination(awkward, bench).collect())
+    assert got == {(3, 1): 4, (None, None): 1}
     assert decontam.find_contamination(awkward, bench.limit(0)).count() == 0
     assert decontam.find_contamination(awkward.limit(0), bench).count() == 0
+    kept = decontam.drop_contaminated(awkward, bench)
+    assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(r.doc_id for r in awkward.where("doc_id is not null and doc_id != 3").collect())
+    assert kept.where("doc_id is null").count() == awkward.where("doc_id is null").count() - 1
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -271,6 +320,28 @@ def test_urls_follow_rules_and_links(spark):
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_links_are_resolved(spark):
+    link, to = '<link href="{}" rel=canonical>', "<meta http-equiv=refresh content='0;url={}'>"
+    pages = [
+        (1, "http://a.info/x/p", link.format("/y")), (2, "http://a.info/y", link.format("http://bad.net/1")),  # a relative link to a blocked url's alias
+        (3, "http://b.info/p?id=1", link.format("http://bad.net/2")), (4, "http://b.info/p?id=2", ""),  # queries are different resources
+        (5, "https://c.info/d/e", to.format("../f/./g?x=1&amp;y=2")), (6, "http://c.info/f/g?x=1&y=2", link.format("//bad.net/3")),
+        (7, "http://d.info/1", link.format("http://d.info/2") + to.format("http://bad.net/4")), (8, "http://d.info/2", None),  # every link counts
+        (9, "http://e.info/1", link.format("mailto:x@bad.net") + link.format("#top") + to.format("javascript:go()")), (10, "http://f.info", link.format("?q")), (11, "http://f.info/?q", link.format("http://bad.net/5")),
+        (12, None, link.format("http://bad.net/6")), (13, "http://g.info/a/", link.format("b")), (14, "http://g.info/a/b", link.format("http://www.example.net/en/") + link.format("http://bad.net/7")),
+        (15, "http://h.info/" + "x" * 100_000, link.format("http://bad.net/8")),
+    ]
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for c in ("rule", "verdict", "host", "path", "key", "node", "root", "target", "a", "b"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(df, rules).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 5, 6, 7, 8, 10, 11, 15} and len(got) == 15
+    seen = spark.createDataFrame([("http://free.info/", "http://bad.net/9"), (None, "x")], "from_url string, to_url string")
+    free = spark.createDataFrame([(1, "http://free.info/", None), (2, "http://other.info/", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge_urls(free, rules, seen).collect()} == {1: "block", 2: "allow"}
+
+
 def test_chats_read_back(spark):
     hard = [r"\### Assistant: </turn> ok", "\\\\", "\\h\\e\\n", "### </turn>\n###\\", "", "a\nb", "</turn>\n### user\nx", "é\\"]
     rows = [(c, i, r, t) for c in range(6) for i, (r, t) in enumerate(zip(random.Random(c).choices(["user", "assistant", "sys\ntem", "as\\sistant"], k=8), random.Random(c).sample(hard, 8), strict=True))]
@@ -337,6 +408,43 @@ def test_fingerprints_equal_where_canonical_texts_are(spark):
     assert sorted(map(sorted, got.values())) == [[1, 2], [3], [4, 5, 6], [7, 8]]
 
 
+def test_canonical_texts_equal_unicode_rules(spark):
+    """Against Python's own normalisation and case folding, on random marks, scripts and orders."""
+    import unicodedata
+
+    rng = random.Random(12)
+    alphabet = "aeoAEINuUy sſßẞﬁİıΣσςΩΐάÅÅΩK한글가각한クガガ゙कि़ড়אָּلآ" + "\u0301\u0323\u0302\u0308\u0327\u0345\u3099\u05b7\u0653\u0f71\u0f72" + "𝅗𝅥🙂豈"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 14))) for _ in range(400)] + [unicodedata.normalize("NFD", c) for c in ("Việt Nam ǖ", "ệ ắ", "각하", "ΐ")] + ["", "a" * 20_000 + "e\u0301" + "b" * 20_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprint.composed(F.col("t")).alias("c"), fingerprint.case_folded(fingerprint.composed(F.col("t"))).alias("f")).collect()
+    for r in got:
+        want = unicodedata.normalize("NFC", texts[r.i])
+        assert r.c == want, (texts[r.i], r.c, want)
+        assert unicodedata.normalize("NFC", r.f) == unicodedata.normalize("NFC", unicodedata.normalize("NFC", want.casefold())), texts[r.i]
+
+
+def test_fingerprint_query_equals_brute_force(spark, tmp_path):
+    """Every column of the query, with ids at both ends of long, none, and far apart."""
+    import unicodedata
+
+    texts = ["Straße Ⅸ", "STRASSE ⅸ", None, "", "Cafe\u0301 " * 50, "CAFÉ " * 50, "x" * 9, "y" * 8]
+    ids = [-(2**63), 2**63 - 1, 0, 7, None, 10**12, 5, 6]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0] or 0))
+    plain = lambda t: " ".join(unicodedata.normalize("NFC", t or "").casefold().split())
+    got = {r.doc_id: r for r in queries.op8_fingerprint(spark, str(tmp_path)).collect()}
+    prints = {}
+    for (i, t), (j, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == float(plain(t) == plain(edited)) and r.near_next == float(plain(t) == plain(nxt))
+        for text, f in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
+            assert prints.setdefault(plain(text), f) == f
+    assert len(set(prints.values())) == len(prints)
+
+
 def test_different_texts_never_share_a_fingerprint(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "digest", lambda c: F.substring(c, 1, 1))  # a digest that collides
     rows = [(1, "ab"), (2, "ac"), (3, "AB"), (4, "b")]
@@ -344,8 +452,9 @@ def test_different_texts_never_share_a_fingerprint(spark, monkeypatch):
     assert got == {1: "a-1", 2: "a-2", 3: "a-1", 4: "b"}
 
 
-@pytest.mark.parametrize("ids", [[5], [0, 1, 2, 3], [-9, 4, 10**12, 7], list(range(0, 3000, 3))])
-def test_next_rows(spark, ids):
+@pytest.mark.parametrize("ids", [[5], [0, 1, 2, 3], [-9, 4, 10**12, 7], [-(2**63), 0, 2**63 - 1], [10**15, *range(0, 3000, 3)]])
+def test_next_rows(spark, ids, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     order = sorted(ids)
     assert {r.doc_id: r.next_text for r in fingerprint.with_next(df).collect()} == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
@@ -372,6 +481,51 @@ def test_cuts_by_ranges_equal_cuts_of_all_groups(spark, monkeypatch):
     assert max(sum(sizes[a:b]) for a, b in itertools.pairwise(at)) == sharding.smallest_capacity(sizes, 8)
 
 
+def shards_by_force(rows, parts):
+    """Groups of equal texts by least id, the smallest capacity by search over all sums, cut greedily."""
+    first, weight = {}, Counter()
+    for i, t in rows:
+        t = t or ""
+        first[t] = min(first.get(t, i), i)
+        weight[t] += len(t.encode()) + 1
+    units = defaultdict(int)
+    for t, w in weight.items():
+        units[first[t]] += w
+    order = sorted(units)
+    sizes = [units[i] for i in order]
+
+    def cut(capacity):
+        at, filled, used = [0], 0, 1
+        for n, x in enumerate(sizes):
+            if filled + x > capacity:
+                at, filled, used = at + [n], 0, used + 1
+            filled += x
+        return at if used <= parts else None
+
+    capacity = next(c for c in sorted({sum(sizes[a:b]) for a in range(len(sizes)) for b in range(a + 1, len(sizes) + 1)}) if c >= max(sizes) and cut(c))
+    starts = [order[n] for n in cut(capacity)]
+    return {(i, t): sum(first[t or ""] >= s for s in starts) - 1 for i, t in rows}
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_shards_equal_brute_force(spark, monkeypatch, far):
+    monkeypatch.setattr(sharding, "RANGES", 8)
+    rng = random.Random(13)
+    ids = rng.sample(range(10**6), 38) + ([-(2**63), 2**63 - 1] if far else [1, 2])
+    rows = [(i, rng.choice([None, "", "same text", "x" * rng.randrange(40), f"own {i}"])) for i in ids]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(df, 4).collect()
+    want = shards_by_force(rows, 4)
+    sizes = defaultdict(list)
+    for i, t in rows:
+        sizes[i, len((t or "").encode()) + 1].append(want[i, t])
+    assert len(got) == len(rows) and all(r.shard in sizes[r.doc_id, r.size] for r in got)
+    for shard in {r.shard for r in got}:
+        own = sorted((r.slot, r.doc_id) for r in got if r.shard == shard)
+        assert [s for s, _ in own] == list(range(len(own))) and [i for _, i in own] == sorted(i for _, i in own)
+
+
 def test_shards_keep_equal_texts_and_number_rows(spark, awkward):
     for df in (table(spark, MID, "documents"), awkward):
         rows = sharding.assign_shards(df, 8).join(df.select("doc_id", "text").distinct(), "doc_id").collect() if df is not awkward else sharding.assign_shards(df, 8).collect()
