@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +20,21 @@ def with_message_keys(df: DataFrame, message: str = "message") -> DataFrame:
     return df.withColumn("normal_text", t.redacted_message(t.normal_message(F.col(message)))).withColumn("message_hash", F.sha2("normal_text", 256))
 
 
-def simhash(text: Column) -> Column:
-    """Weighted 64-bit simhash of a text, computed inside the row; bit set where the weight sum is not negative."""
-    tokens = F.filter(F.transform(F.split(text, " "), lambda x: F.regexp_replace(x, "^[^A-Za-z0-9<>]+|[^A-Za-z0-9<>]+$", "")), lambda x: x != "")
-    weight = lambda x: F.when(x.isin(*HEAVY), 4).when(x.isin(*MEDIUM), 3).otherwise(1)
-    hashed = F.transform(tokens, lambda x: F.struct(F.conv(F.substring(F.sha2(x, 256), 1, 16), 16, -10).cast("bigint").alias("h"), weight(x).alias("w")))
-    zero = F.array_repeat(F.lit(0), 64)
-    sums = F.aggregate(hashed, zero, lambda acc, e: F.zip_with(acc, F.sequence(F.lit(0), F.lit(63)), lambda s, i: s + F.when(F.getbit(e["h"], i) == 1, e["w"]).otherwise(-e["w"])))
-    powers = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
-    return F.aggregate(F.zip_with(sums, powers, lambda s, p: F.when(s >= 0, p).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, p: a.bitwiseOR(p))
-
-
 def with_simhash(df: DataFrame, text: str = "normal_text") -> DataFrame:
-    return df.withColumn("simhash", simhash(F.col(text)))
+    """Adds simhash, 64 weighted bits of the tokens; a bit is set where its weights' sum is not negative (all, without tokens).
+
+    Each distinct text is hashed once: its tokens are exploded and 64 sums gathered, combined before the shuffle, so the work
+    stays in generated code. A null text has a null simhash.
+    """
+    trimmed = F.regexp_replace("raw", "^[^A-Za-z0-9<>]+|[^A-Za-z0-9<>]+$", "")
+    texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct().select(F.sha2("_text", 256).alias("_key"), "_text")
+    tokens = texts.select("_key", F.explode(F.split("_text", " ")).alias("raw")).select("_key", trimmed.alias("token")).select("_key", "token", F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
+    weight = F.when(F.col("token") == "", 0).when(F.col("token").isin(*HEAVY), 4).when(F.col("token").isin(*MEDIUM), 3).otherwise(1)
+    signed = lambda i: F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"s{i}")
+    sums = tokens.withColumn("w", weight).groupBy("_key").agg(*[signed(i) for i in range(64)])
+    bit = lambda i: F.when(F.col(f"s{i}") >= 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    hashed = sums.select("_key", reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("simhash"))
+    return df.withColumn("_key", F.sha2(text, 256)).join(hashed, "_key", "left").drop("_key")
 
 
 def unsafe_state(events: DataFrame) -> DataFrame:
@@ -79,17 +83,24 @@ def distance_adjustment(distance: Column) -> Column:
 
 
 def memory_lookup(messages: DataFrame, memory: DataFrame, newest: int = 5000) -> DataFrame:
-    """(message_hash, exact, nearest, memory_adjustment) against the ``newest`` remembered messages.
+    """(message_hash, exact, nearest, n_similar, memory_adjustment) against the ``newest`` remembered messages; n_similar is at most 10.
 
-    The similar side is bounded by ``newest`` rows, as the rule says; exact matches look at all.
+    The similar side is bounded by ``newest`` rows, as the rule says, so its distinct bit patterns are broadcast and each
+    distinct pattern of the messages is compared once; exact matches look at all. A message is not similar to itself, which
+    only matters for equal patterns.
     """
-    recent = memory.orderBy(F.desc("last_seen"), "message_hash").limit(newest)
+    recent = memory.orderBy(F.desc("last_seen"), "message_hash").limit(newest).select("message_hash", "simhash")
+    patterns = F.broadcast(recent.groupBy("simhash").agg(F.min("message_hash").alias("least"), F.max("message_hash").alias("most"), F.count("*").alias("n")))
     asked = messages.select("message_hash", "simhash").distinct()
-    pairs = hamming_pairs(asked, recent).withColumn("adjustment", distance_adjustment(F.col("distance")))
-    near = pairs.groupBy("left_hash").agg(F.min("distance").alias("nearest"), F.max("adjustment").alias("adjustment")).withColumnRenamed("left_hash", "message_hash")
-    out = exact_memory(asked, memory).join(near, "message_hash", "left")
-    adjusted = F.greatest(F.coalesce("adjustment", F.lit(0)), F.when(F.col("exact"), 35).otherwise(0))
-    return out.select("message_hash", "exact", "nearest", adjusted.alias("memory_adjustment"))
+    distance = F.bit_count(F.col("bits").bitwiseXOR(F.col("simhash")))
+    near = asked.select(F.col("simhash").alias("bits")).distinct().join(patterns, distance.between(1, MAX_DISTANCE)).groupBy("bits").agg(F.min(distance).alias("apart"), F.sum("n").alias("others"))
+    out = exact_memory(asked, memory).join(near, F.col("simhash") == F.col("bits"), "left").join(patterns, "simhash", "left")
+    same = (F.col("least") != F.col("message_hash")) | (F.col("most") != F.col("message_hash"))
+    itself = F.broadcast(recent.select(F.col("message_hash").alias("own"), F.lit(1).alias("itself")))
+    out = out.withColumn("nearest", F.when(same, 0).otherwise(F.col("apart"))).join(itself, F.col("message_hash") == F.col("own"), "left")
+    similar = F.coalesce("others", F.lit(0)) + F.coalesce("n", F.lit(0)) - F.coalesce("itself", F.lit(0))
+    adjusted = F.greatest(distance_adjustment(F.col("nearest")), F.when(F.col("exact"), 35).otherwise(0))
+    return out.select("message_hash", "exact", "nearest", F.least(similar, F.lit(10)).cast("int").alias("n_similar"), adjusted.alias("memory_adjustment"))
 
 
 def top_similar(pairs: DataFrame, memory: DataFrame, k: int = 10) -> DataFrame:

@@ -78,8 +78,9 @@ def url_verdict(official: Column, risk: Column) -> Column:
     return F.when(official, "good").when(risk >= 90, "bad").when(risk >= 45, "suspicious").otherwise("unknown")
 
 
-def store_as_unsafe(decision: Column, risk: Column) -> Column:
-    return (decision != "allow") | (risk >= 75)
+def store_as_unsafe(decision: Column, risk: Column, secret: Column, injection: Column) -> Column:
+    """Whether a message is remembered as unsafe: blocked or warned to both, or by its risk, a secret or an injection."""
+    return decision.isin("block", "warn_both") | (risk >= 75) | (secret >= 85) | (injection >= 60)
 
 
 def observation_kind(decision: Column, risk: Column) -> Column:
@@ -87,12 +88,67 @@ def observation_kind(decision: Column, risk: Column) -> Column:
     return F.when((decision == "allow") & (risk < 35), "safe").when(decision.isin("block", "warn_both") | (risk >= 75), "unsafe")
 
 
+def without_fences(text: Column) -> Column:
+    """A model's answer without the code fence around it."""
+    begun = F.regexp_replace(t.trimmed(text), r"^```(?:json)?\n?", "")
+    tail = F.regexp_replace(begun, r"(?U)\s+$", "")
+    return F.when(tail.endswith("```"), F.regexp_replace(tail, r"\n?```$", "")).otherwise(begun)
+
+
+def parse_assessments(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """(msg_id, ai_phishing, ai_injection, ai_impersonation, ai_risk, ai_confidence, ai_flags, ai_error) from landed answers.
+
+    Scores are whole numbers of the JSON, at most 100, and 0 where they are missing or anything else; flags are its strings. An
+    answer that is no JSON has ai_error and counts as missing.
+    """
+    v = F.try_parse_json(without_fences(F.col(raw)))
+    whole = lambda key: F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+    score = lambda key: F.coalesce(F.when(whole(key), F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(F.try_variant_get(v, f"$.{key}", "bigint"), F.lit(100))))), F.lit(0)).cast("int")
+    flags = F.transform(F.filter(F.coalesce(F.try_variant_get(v, "$.flags", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+    keys = (("ai_phishing", "phishing"), ("ai_injection", "prompt_injection"), ("ai_impersonation", "impersonation"), ("ai_risk", "risk"), ("ai_confidence", "confidence"))
+    return df.select("msg_id", *[score(k).alias(c) for c, k in keys], flags.alias("ai_flags"), F.when(v.isNull(), "invalid json").alias("ai_error"))
+
+
+#: What a model is asked about a message.
+ASSESSMENT_PROMPT = (
+    "Analyze this message for security risk. Use the URL overview as factual context. Do not treat any URL as automatically unsafe based on external scores. Consider the domain structure, "
+    "hosting provider, and any available metadata. Return only compact JSON with keys: phishing, impersonation, risk, confidence, flags. Scores must be integers 0-100."
+)
+
+
+def assessment_prompt(message: Column, context: Column) -> Column:
+    return F.concat(F.lit(ASSESSMENT_PROMPT + "\n\nURL overview:\n"), context, F.lit("\n\nMessage:\n"), message)
+
+
 def join_assessments(messages: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Left join on msg_id; a message without an assessment gets zeros and ai_missing."""
-    joined = messages.join(assessments.withColumn("_found", F.lit(True)), "msg_id", "left")
-    scores = [c for c in assessments.columns if c.startswith("ai_")]
-    out = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in scores})
-    return out.withColumn("ai_missing", F.col("_found").isNull()).drop("_found")
+    """Left join on msg_id; a message without a readable assessment gets zeros, no flags, and ai_missing says why."""
+    a = assessments if "ai_error" in assessments.columns else assessments.withColumn("ai_error", F.lit(None).cast("string"))
+    a = a if "ai_flags" in a.columns else a.withColumn("ai_flags", F.array().cast("array<string>"))
+    scores = [c for c in a.columns if c.startswith("ai_") and c not in ("ai_flags", "ai_error")]
+    joined = messages.join(a.withColumn("_found", F.lit(True)), "msg_id", "left")
+    missing = F.when(F.col("_found").isNull(), "no assessment").otherwise(F.col("ai_error"))
+    out = joined.withColumn("ai_missing", missing).withColumns({c: F.when(F.col("ai_missing").isNull(), F.col(c)).otherwise(0) for c in scores})
+    return out.withColumn("ai_flags", F.when(F.col("ai_missing").isNull(), F.col("ai_flags")).otherwise(F.array().cast("array<string>"))).drop("_found", "ai_error")
+
+
+def message_flags(df: DataFrame) -> DataFrame:
+    """Adds flags, in the order in which the steps of scoring raise them, and summary for risks of 75 and more.
+
+    Reads memory_exact, memory_similar (count), url_flags (array), injection, secret, urgency_flag, ai_flags, ai_missing,
+    ai_confidence, capped and overall_risk.
+    """
+    c = F.col
+    none = F.array().cast("array<string>")
+    one = lambda cond, text: F.when(F.coalesce(cond, F.lit(False)), text)
+    remembered = F.when(F.coalesce(c("memory_exact"), F.lit(False)), "exact unsafe message memory match").when(c("memory_similar") > 0, F.concat(c("memory_similar").cast("string"), F.lit(" similar unsafe message memory matches")))
+    parts = [
+        F.array_compact(F.array(remembered)), F.coalesce("url_flags", none),
+        F.array_compact(F.array(one(c("injection") > 0, "prompt injection language detected"), one(c("secret") > 0, "possible secret in message"), one(c("urgency_flag"), "phishing urgency/account language detected"))),
+        F.coalesce("ai_flags", none), F.array_compact(F.array(F.concat(F.lit("ai unavailable: "), "ai_missing"))), F.array_compact(F.array(one(c("capped"), "ai-only medium risk capped without supporting evidence"))),
+    ]
+    out = df.withColumn("flags", F.concat(*parts))
+    told = F.concat(F.lit("High-risk message ("), c("overall_risk").cast("string"), F.lit("/100, AI confidence "), c("ai_confidence").cast("string"), F.lit("/100): "), F.array_join("flags", ", "), F.lit("."))
+    return out.withColumn("summary", F.when(c("overall_risk") >= 75, told))
 
 
 def quality_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ LOCKFILES = {
 }
 LOOK_ALIKES = {"0": "oO", "1": "liI", "l": "1", "i": "1l", "o": "0", "O": "0", "5": "sS", "s": "5S", "a": "e", "e": "a", "g": "q", "q": "g", "c": "k", "k": "c"}
 CVSS = {"AV": {"N": 0.85, "A": 0.62, "P": 0.55, "L": 0.20}, "AC": {"L": 0.77, "H": 0.44}, "PR": {"N": 0.85, "L": 0.62, "H": 0.27}, "UI": {"N": 0.85, "R": 0.62}, "C": {"H": 0.56, "L": 0.22, "N": 0.0}, "I": {"H": 0.56, "L": 0.22, "N": 0.0}, "A": {"H": 0.56, "L": 0.22, "N": 0.0}}
-LEVELS = ["none", "low", "medium", "high", "critical"]
+LEVELS = ["safe", "low", "medium", "high", "critical"]
 OPERATORS = ["~=", ">=", "<=", "!=", "=== ", "> ", "< "]
 
 
@@ -92,27 +93,6 @@ def lockfile_packages(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def cvss_score(vector: Column) -> Column:
-    """Base score of a CVSS 3 vector; null if a part is missing or unknown."""
-    parts = F.str_to_map(F.regexp_replace(vector, r"^CVSS:[\d.]+/", ""), F.lit("/"), F.lit(":"))
-    weight = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for kv in CVSS[k].items() for x in kv]), F.try_element_at(parts, F.lit(k)))
-    iss = 1 - (1 - weight("C")) * (1 - weight("I")) * (1 - weight("A"))
-    changed = F.try_element_at(parts, F.lit("S")) == "C"
-    impact = F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.029, F.lit(15))).otherwise(6.42 * iss)))
-    ease = 8.22 * weight("AV") * weight("AC") * weight("PR") * weight("UI")
-    raw = F.least(F.lit(10.0), F.when(changed, 1.08 * (impact + ease)).otherwise(impact + ease))
-    return F.when(iss.isNull() | ease.isNull(), None).when(impact <= 0, 0.0).otherwise(F.floor(raw * 10 + 0.5) / 10)
-
-
-def severity_level(score: Column) -> Column:
-    return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise("none")
-
-
-def vulnerability_summary(summary: Column, details: Column) -> Column:
-    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(clean(summary), clean(F.left(F.split(details, r"\.")[0], F.lit(200))), F.lit("No summary available"))
-
-
 def name_mutations(name: Column) -> Column:
     """Distinct typing mistakes of a name: a letter left out, doubled, swapped or replaced, rn read as m, a dash or
     underscore put in, and, unless scoped, its own lower and upper form."""
@@ -140,55 +120,77 @@ def _near_forms(c: Column) -> Column:
 
 
 def typosquats(packages: DataFrame, popular: DataFrame, by_ecosystem: bool = True) -> DataFrame:
-    """(name, [ecosystem], popular, kind) for names that are not popular but look like a popular one.
+    """(name, [ecosystem], popular, kind, mutation, distance) for names that are not popular but look like a popular one.
 
-    First by mutations (an equi join), and only where none fits by edit distance 1 to 2, met on deletion forms.
+    First by mutations (an equi join in lower case), one row for each mutation that hits, and only where none fits by edit
+    distance 1 to 2, met on deletion forms. Names are compared in lower case.
     """
     keys = ["ecosystem"] if by_ecosystem else []
     own = packages.select(F.lower("name").alias("name"), *keys).distinct()
-    known = popular.select(F.col("name").alias("popular"), *keys).distinct()
-    asked = own.join(known.withColumnRenamed("popular", "name"), ["name", *keys], "left_anti").where("name != ''")
-    mutated = asked.select("name", *keys, F.explode(name_mutations(F.col("name"))).alias("popular")).join(known, ["popular", *keys])
-    by_mutation = mutated.select("name", *keys, "popular", F.lit("mutation").alias("kind"))
+    known = popular.select(F.lower("name").alias("_low"), F.col("name").alias("popular"), *keys).distinct()
+    asked = own.join(known.select(F.col("_low").alias("name"), *keys).distinct(), ["name", *keys], "left_anti").where("name != ''")
+    mutated = asked.select("name", *keys, F.explode(name_mutations(F.col("name"))).alias("mutation")).withColumn("_low", F.lower("mutation")).join(known, ["_low", *keys])
+    by_mutation = mutated.select("name", *keys, "popular", F.lit("mutation").alias("kind"), "mutation", F.lit(None).cast("int").alias("distance"))
     rest = asked.join(by_mutation.select("name", *keys).distinct(), ["name", *keys], "left_anti")
-    met = rest.withColumn("form", F.explode(_near_forms(F.col("name")))).join(known.withColumn("form", F.explode(_near_forms(F.col("popular")))), ["form", *keys]).select("name", *keys, "popular").distinct()
-    by_distance = met.where(F.levenshtein("name", "popular").between(1, 2)).withColumn("kind", F.lit("distance"))
+    met = rest.withColumn("form", F.explode(_near_forms(F.col("name")))).join(known.withColumn("form", F.explode(_near_forms(F.col("_low")))), ["form", *keys]).select("name", *keys, "popular", "_low").distinct()
+    distance = F.levenshtein("name", "_low")
+    by_distance = met.where(distance.between(1, 2)).select("name", *keys, "popular", F.lit("distance").alias("kind"), F.lit(None).cast("string").alias("mutation"), distance.alias("distance"))
     return by_mutation.unionByName(by_distance)
 
 
+def typosquat_findings(packages: DataFrame, popular: DataFrame) -> DataFrame:
+    """(package columns, kind, pos, issue, level) for packages with look-alike names."""
+    found = typosquats(packages, popular).withColumnRenamed("name", "_low")
+    told = F.when(F.col("kind") == "mutation", F.format_string("Possible typosquat of '%s': '%s'", F.col("popular"), F.col("mutation"))).otherwise(
+        F.format_string("Possible typosquat of '%s' (Levenshtein distance %d): '%s'", F.col("popular"), F.col("distance"), F.col("name"))
+    )
+    met = packages.withColumn("_low", F.lower("name")).join(found, ["_low", "ecosystem"])
+    return met.select(*packages.columns, F.lit(3).alias("kind"), F.concat_ws(" ", "popular", "mutation").alias("pos"), told.alias("issue"), F.lit("high").alias("level"))
+
+
 def normal_git_url(url: Column) -> Column:
-    u = F.regexp_replace(F.trim(url), r"^git\+", "")
-    u = F.regexp_replace(u, r"^git@([^:]+):", "https://$1/")
+    """A repository's web address: git+ and .git dropped, git@ and git:// made https; null where that gives none."""
+    u = F.regexp_replace(url, r"^git\+", "")
+    u = F.regexp_replace(u, r"(?s)^git@([^:]*):(.*?)(?:\.git)?$", "https://$1/$2")
     u = F.regexp_replace(F.regexp_replace(u, "^git://", "https://"), r"\.git$", "")
     return F.when(u.rlike("^https?://"), u)
 
 
 def hosting_platform(url: Column) -> Column:
-    return F.when(url.contains("github.com"), "github").when(url.contains("gitlab.com"), "gitlab").when(url.contains("bitbucket.org"), "bitbucket").otherwise("self_hosted")
+    u = F.lower(url)
+    return F.when(u.contains("github.com"), "github").when(u.contains("gitlab.com"), "gitlab").when(u.contains("bitbucket.org"), "bitbucket").otherwise("self-hosted")
 
 
 def repo_verdict(commits: DataFrame) -> DataFrame:
-    """(git_url, verdict, confidence, reasons): malicious over suspicious over allow, mean confidence, distinct reasons."""
+    """(git_url, commit_verdict, confidence, reasons, commits): malicious over suspicious over allow, mean confidence, distinct
+    reasons, from commits (git_url, verdict, confidence, reasons)."""
     rank = F.when(F.col("verdict") == "malicious", 2).when(F.col("verdict") == "suspicious", 1).otherwise(0)
-    g = commits.groupBy("git_url").agg(F.max(rank).alias("r"), F.avg("confidence").alias("confidence"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    return g.select("git_url", F.when(F.col("r") == 2, "malicious").when(F.col("r") == 1, "suspicious").otherwise("allow").alias("verdict"), "confidence", "reasons")
+    g = commits.groupBy("git_url").agg(F.max(rank).alias("r"), F.avg("confidence").alias("confidence"), F.count("*").alias("commits"))
+    told = commits.select("git_url", F.explode("reasons").alias("reason")).groupBy("git_url").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    verdict = F.when(F.col("r") == 2, "malicious").when(F.col("r") == 1, "suspicious").otherwise("allow")
+    return g.join(told, "git_url", "left").select("git_url", verdict.alias("commit_verdict"), "confidence", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), "commits")
 
 
 def package_levels(packages: DataFrame, findings: DataFrame, key: list[str]) -> DataFrame:
-    """Packages with level (the highest of their findings, none without) and n_findings; findings have the key and level."""
-    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in LEVELS]), c) - 1
-    g = findings.groupBy(*key).agg(F.max(rank(F.col("level"))).alias("r"), F.count("*").alias("n_findings"))
-    out = packages.join(g, key, "left")
-    return out.withColumn("level", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce("r", F.lit(0)).cast("int") + 1)).withColumn("n_findings", F.coalesce("n_findings", F.lit(0))).drop("r")
+    """Packages with level (the highest of their findings, safe without) and issues, in order of kind and place.
+
+    ``findings`` have the key, kind, pos, issue and level; vulnerabilities come first, then registry warnings, then names.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level")) - 1
+    told = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "issue"))), lambda x: x["issue"])
+    g = findings.groupBy(*key).agg(F.max(rank).alias("_r"), told.alias("issues"))
+    level = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce("_r", F.lit(0)).cast("int") + 1)
+    return packages.join(g, key, "left").withColumn("level", level).withColumn("issues", F.coalesce("issues", F.array().cast("array<string>"))).drop("_r")
 
 
 def level_counts(levels: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: packages at each level and the overall (highest) level."""
+    """Per group: packages at each level, the overall (highest) level and the summary text."""
     out = levels.groupBy(*by).agg(F.count("*").alias("packages"), *[F.count_if(F.col("level") == x).alias(x) for x in LEVELS])
-    top = F.lit("none")
+    top = F.lit(LEVELS[0])
     for x in LEVELS[1:]:
         top = F.when(F.col(x) > 0, x).otherwise(top)
-    return out.withColumn("overall", top)
+    summary = F.concat_ws(", ", *[F.concat(F.col(x).cast("string"), F.lit(f" {x}")) for x in reversed(LEVELS)])
+    return out.withColumn("overall", top).withColumn("summary", F.when(F.col("packages") == 0, "No packages found in lockfile").otherwise(summary))
 
 
 def package_verdicts(levels: DataFrame) -> DataFrame:
@@ -196,13 +198,101 @@ def package_verdicts(levels: DataFrame) -> DataFrame:
 
 
 def truncated_diff(diff: Column, most: int = 102_400) -> Column:
-    """A diff cut at ``most`` characters, back to the last line break before it."""
+    """A diff of more than ``most`` bytes, cut after as many characters, back to the last line break if there is one."""
     cut = F.left(diff, F.lit(most))
-    return F.when(F.length(diff) <= most, diff).otherwise(F.coalesce(F.nullif(F.regexp_extract(cut, r"(?s)^(.*)\n", 1), F.lit("")), cut))
+    return F.when(F.octet_length(diff) <= most, diff).when(F.instr(cut, "\n") > 0, F.regexp_extract(cut, r"(?s)^(.*)\n", 1)).otherwise(cut)
+
+
+#: Fixed value: what a model is asked about a commit.
+COMMIT_PROMPT = """You are a cybersecurity agent analyzing a single code commit for supply chain compromise.
+
+Focus on these suspicious patterns:
+- Obfuscated/minified/encoded code (base64, hex, eval(), string encoding)
+- New network calls (fetch, curl, request, post) to unfamiliar hosts/IPs
+- Modified install scripts (postinstall, build, setup, preinstall)
+- Changed repository URLs or download URLs in the code
+- Code reading environment variables, config files, or credentials
+- Unexpected binary blobs or large encoded strings added
+- Backdoored imports or modified require/import paths
+- Suspicious file writes to system directories
+
+Ignore: version bumps in metadata, whitespace-only changes, lockfile-only changes, README/doc updates, dependency version bumps without code changes.
+
+Commit: {hash}
+Author: {author}
+Date: {date}
+Message: {message}
+Diff:
+{diff}
+
+Respond with EXACTLY this JSON — no markdown fences, no explanatory text, exactly this structure:
+{"verdict": "allow", "confidence": 1.0, "reasons": [], "suspicious_patterns": []}
+
+Verdict must be one of: "allow", "suspicious", "malicious"
+Confidence must be a float 0.0-1.0
+Reasons is an array of strings explaining the verdict
+Suspicious_patterns is an array of detected pattern names (empty if allow)"""
+
+
+def commit_prompt() -> Column:
+    """The question about one commit, from columns hash, author, date, message and diff."""
+    parts = re.split(r"\{(hash|author|date|message|diff)\}", COMMIT_PROMPT)
+    return F.concat(*[F.col(p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+UNREADABLE = "LLM response could not be parsed"
 
 
 def parsed_verdict(text: Column) -> Column:
-    """struct(verdict, confidence) of a model's answer: the outermost braces; unknown verdicts are uncertain, confidence 0.5."""
-    j = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "verdict string, confidence double")
-    v = F.lower(j.getField("verdict"))
-    return F.struct(F.when(v.isin("allow", "suspicious", "malicious"), v).otherwise("uncertain").alias("verdict"), F.coalesce(j.getField("confidence"), F.lit(0.5)).alias("confidence"))
+    """struct(verdict, confidence, reasons, suspicious_patterns) of a model's answer, from the first brace to the last.
+
+    An unknown verdict is uncertain, a missing confidence 0.5; an answer that is no JSON or has no verdict is uncertain with
+    confidence 0 and says so.
+    """
+    v = F.try_parse_json(F.when(text.rlike(r"(?s)\{.*\}"), F.regexp_extract(text, r"(?s)\{.*\}", 0)).otherwise(text))
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+    word = F.try_variant_get(v, "$.verdict", "variant")
+    read = F.coalesce(is_text(word), F.lit(False))
+    low = F.lower(F.try_variant_get(v, "$.verdict", "string"))
+    number = F.try_variant_get(v, "$.confidence", "variant")
+    sure = F.when(~is_text(number) & (F.schema_of_variant(number) != "BOOLEAN"), F.try_variant_get(v, "$.confidence", "double"))
+    texts = lambda path: F.transform(F.filter(F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")), is_text), lambda x: x.cast("string"))
+    return F.struct(
+        F.when(read & low.isin("allow", "suspicious", "malicious"), low).otherwise("uncertain").alias("verdict"), F.when(read, F.coalesce(sure, F.lit(0.5))).otherwise(0.0).alias("confidence"),
+        F.when(read, texts("$.reasons")).otherwise(F.array(F.lit(UNREADABLE))).alias("reasons"), F.when(read, texts("$.suspicious_patterns")).otherwise(F.array().cast("array<string>")).alias("suspicious_patterns"),
+    )
+
+
+def first_mentions(packages: DataFrame) -> DataFrame:
+    """(name, version, ecosystem, filename): each package once, from the first file and place that lists it."""
+    first = F.min(F.struct("filename", "pos")).alias("f")
+    return packages.groupBy("name", "version", "ecosystem").agg(first).select("name", "version", "ecosystem", "f.filename")
+
+
+def deep_packages(levels: DataFrame, repositories: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Passing packages with their repository and its commits' verdict, then rejected ones without.
+
+    ``levels`` has (name, version, ecosystem, level, issues), ``repositories`` (name, version, ecosystem, git_url, platform),
+    ``verdicts`` (git_url, commit_verdict, confidence, reasons, commits), each repository once. A repository without
+    analysed commits is allowed with confidence 1.
+    """
+    key = ["name", "version", "ecosystem"]
+    judged = package_verdicts(levels)
+    out = judged.join(repositories.select(*key, "git_url", "platform"), key, "left").join(verdicts, "git_url", "left")
+    passed, has = F.col("verdict") == "pass", F.col("git_url").isNotNull()
+    none = F.array().cast("array<string>")
+    mine = lambda c, default: F.when(passed & has, F.coalesce(F.col(c), default)).alias(c)
+    return out.select(
+        *key, "level", "issues", "verdict", F.when(passed, F.col("git_url")).alias("git_url"), F.when(passed, F.col("platform")).alias("platform"), (passed & ~has).alias("no_git_url_notice"),
+        mine("commit_verdict", F.lit("allow")), mine("confidence", F.lit(1.0)), mine("reasons", none), mine("commits", F.lit(0).cast("long")), F.when(passed, 0).otherwise(1).alias("part"),
+    )
+
+
+def deep_summary(deep: DataFrame, details: DataFrame | None) -> DataFrame:
+    """One row: total_packages, flagged, threshold and ai_status (not_configured without answers, failed if none could be read)."""
+    flagged = F.col("commit_verdict").isin("suspicious", "malicious") | (F.col("verdict") == "rejected")
+    total = deep.agg(F.count("*").alias("total_packages"), F.count_if(flagged).alias("flagged")).withColumn("threshold", F.lit("Critical"))
+    if details is None:
+        return total.withColumn("ai_status", F.lit("not_configured"))
+    unread = (F.col("verdict") == "uncertain") & (F.col("confidence") == 0) & (F.size("reasons") == 1) & (F.get("reasons", F.lit(0)) == UNREADABLE)
+    return total.join(details.agg(F.coalesce(F.every(unread), F.lit(True)).alias("_all")), how="cross").withColumn("ai_status", F.when(F.col("_all"), "failed").otherwise("ok")).drop("_all")

@@ -223,7 +223,7 @@ def _(s, d):
 
 @query("p31_judge_urls", _both(f"WITH {ALL_URL}, {THREATS}, {HITS}, {JUDGED} SELECT * FROM judged"))
 def _(s, d):
-    return judge_urls(_urls(s, d), _threats(s, d), b.default_brands(s))
+    return judge_urls(_urls(s, d), _threats(s, d), b.default_brands(s)).drop("url_flag")
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
@@ -251,10 +251,10 @@ def _(s, d):
     return _scored(s, d).select("msg_id", m.decide_ai_only(F.col("overall_risk")).alias("decision"))
 
 
-@query("f1_f2_observation_kind", _both(f"WITH {SCORED} SELECT msg_id, decision <> 'allow' OR overall_risk >= 75 AS stored, CASE WHEN decision = 'allow' AND overall_risk < 35 THEN 'safe' WHEN decision IN ('block', 'warn_both') OR overall_risk >= 75 THEN 'unsafe' END AS kind FROM decided"))
+@query("f1_f2_observation_kind", _both(f"WITH {SCORED} SELECT msg_id, decision IN ('block', 'warn_both') OR overall_risk >= 75 OR secret >= 85 OR injection >= 60 AS stored, CASE WHEN decision = 'allow' AND overall_risk < 35 THEN 'safe' WHEN decision IN ('block', 'warn_both') OR overall_risk >= 75 THEN 'unsafe' END AS kind FROM decided"))
 def _(s, d):
     r, c = F.col("overall_risk"), F.col("decision")
-    return _scored(s, d).select("msg_id", m.store_as_unsafe(c, r).alias("stored"), m.observation_kind(c, r).alias("kind"))
+    return _scored(s, d).select("msg_id", m.store_as_unsafe(c, r, F.col("secret"), F.col("injection")).alias("stored"), m.observation_kind(c, r).alias("kind"))
 
 
 _METRICS = "round(coalesce({0} / nullif({1}, 0), 0), 9)"
@@ -299,8 +299,8 @@ def _(s, d):
     return mem.hamming_pairs(asked, stored)
 
 
-@query("j9_j10_g8_memory_lookup", _msgs(f"""WITH {_MEMORY}, near AS (SELECT left_hash, min(distance) AS nearest FROM pairs WHERE right_hash IN (SELECT message_hash FROM recent) GROUP BY ALL)
-SELECT m.message_hash, s.message_hash IS NOT NULL AS exact, CAST(nearest AS INT) AS nearest, greatest(CASE WHEN s.message_hash IS NOT NULL THEN 35 ELSE 0 END, CASE WHEN nearest <= 3 THEN 35 WHEN nearest <= 8 THEN 20 WHEN nearest <= 12 THEN 10 ELSE 0 END) AS memory_adjustment
+@query("j9_j10_g8_memory_lookup", _msgs(f"""WITH {_MEMORY}, near AS (SELECT left_hash, min(distance) AS nearest, count(*) AS n FROM pairs WHERE right_hash IN (SELECT message_hash FROM recent) GROUP BY ALL)
+SELECT m.message_hash, s.message_hash IS NOT NULL AS exact, CAST(nearest AS INT) AS nearest, CAST(least(10, coalesce(near.n, 0)) AS INT) AS n_similar, greatest(CASE WHEN s.message_hash IS NOT NULL THEN 35 ELSE 0 END, CASE WHEN nearest <= 3 THEN 35 WHEN nearest <= 8 THEN 20 WHEN nearest <= 12 THEN 10 ELSE 0 END) AS memory_adjustment
 FROM msgs m LEFT JOIN stored s USING (message_hash) LEFT JOIN near ON left_hash = m.message_hash"""))
 def _(s, d):
     asked, stored = _memory(s, d)
@@ -311,3 +311,52 @@ def _(s, d):
 def _(s, d):
     asked, stored = _memory(s, d)
     return mem.top_similar(mem.hamming_pairs(asked, stored), stored).select("left_hash", "right_hash", "distance", "risk", "place")
+
+
+#: Landed answer of each kind, and what is read from it: phishing, injection, impersonation, risk, confidence, flags, error.
+ANSWERS = (
+    ('{"phishing":90,"impersonation":20,"risk":70,"confidence":80,"flags":["a","b",3]}', (90, 0, 20, 70, 80, ["a", "b"], None)), ('```json\n{"phishing":150,"risk":-5,"flags":"x"}\n```', (100, 0, 0, 0, 0, [], None)), ("not json", (0, 0, 0, 0, 0, [], "invalid json")),
+    ('{"phishing":"80","impersonation":55.5,"risk":60}', (0, 0, 0, 60, 0, [], None)), (None, (0, 0, 0, 0, 0, [], "no assessment")), ('```{"impersonation":99,"risk":99,"confidence":50,"flags":[]}```', (0, 0, 99, 99, 50, [], None)), ("{}", (0, 0, 0, 0, 0, [], None)),
+    ('{"phishing":50,"prompt_injection":10,"impersonation":45,"risk":41,"confidence":101}', (50, 10, 45, 41, 100, [], None)),
+)
+_ANSWER = f"CASE msg_id % {len(ANSWERS)} " + " ".join(f"WHEN {i} THEN replace('{a}', '~', chr(10))".replace("\n", "~") for i, (a, _) in enumerate(ANSWERS) if a) + " END"
+_AI = "ai(k, ai_phishing, ai_injection, ai_impersonation, ai_risk, ai_confidence, ai_flags, ai_missing) AS (VALUES " + ", ".join("(" + ", ".join([str(i), *map(str, w[:5]), str(w[5]) + "::VARCHAR[]", "NULL" if w[6] is None else f"'{w[6]}'"]) + ")" for i, (_, w) in enumerate(ANSWERS)) + ")"
+#: What memory knows by the message's number: exact, similar, adjustment.
+REMEMBERED = ((True, 2, 35), (False, 3, 20), (False, 0, 0))
+_KNOWN = "known(r, memory_exact, memory_similar, memory_adjustment) AS (VALUES " + ", ".join(f"({i}, {str(e).lower()}, {n}, {a})" for i, (e, n, a) in enumerate(REMEMBERED)) + ")"
+
+
+def _assessments(s: SparkSession, d: str) -> DataFrame:
+    return m.parse_assessments(_messages(s, d).select("msg_id", F.expr(_ANSWER).alias("raw")).where("raw is not null"))
+
+
+@query("s33_p20_assessments", _msgs(f"WITH {_AI} SELECT msg_id, ai_phishing, ai_injection, ai_impersonation, ai_risk, ai_confidence, array_to_string(ai_flags, ',') AS ai_flags, ai_missing AS ai_error FROM fx_messages JOIN ai ON k = msg_id % {len(ANSWERS)} WHERE ai_missing IS NULL OR ai_missing <> 'no assessment'"))
+def _(s, d):
+    return _assessments(s, d).withColumn("ai_flags", F.array_join("ai_flags", ","))
+
+
+@query("p22_assessment_prompt", _msgs(f"SELECT msg_id, sha256('{m.ASSESSMENT_PROMPT}' || chr(10) || chr(10) || 'URL overview:' || chr(10) || user_id || chr(10) || chr(10) || 'Message:' || chr(10) || message) AS prompt_sha256 FROM fx_messages"))
+def _(s, d):
+    return _messages(s, d).select("msg_id", F.sha2(m.assessment_prompt(F.col("message"), F.col("user_id")), 256).alias("prompt_sha256"))
+
+
+_ASSESSED = f"""{ALL_URL}, {THREATS}, {HITS}, {JUDGED}, {SIGNALS}, {_AI}, {_KNOWN},
+rep AS (SELECT msg_id, max(url_risk) AS url_reputation, list(CASE WHEN h.url IS NOT NULL THEN 'known threat url: source=' || h.threat_source || ' threat=' || threat_type || ' confidence=' || coalesce('Some(' || confidence || ')', 'None') END ORDER BY url_pos) AS url_flags FROM urls JOIN judged USING (url) LEFT JOIN hits h USING (url) GROUP BY msg_id),
+s AS (SELECT signals.*, url_reputation, url_flags, ai.*, known.*, CASE WHEN injection >= 80 THEN 30 ELSE 100 END AS w FROM signals LEFT JOIN rep USING (msg_id) JOIN ai ON k = msg_id % {len(ANSWERS)} JOIN known ON r = msg_id % {len(REMEMBERED)}),
+x AS (SELECT *, CAST(floor(greatest(ai_phishing, urgency) * w / 100) AS INT) AS p0, CAST(floor(ai_impersonation * w / 100) AS INT) AS i0, CAST(floor(ai_risk * w / 100) AS INT) AS r0 FROM s),
+f AS (SELECT *, NOT (coalesce(url_reputation >= 25, false) OR urgency >= 30 OR secret >= 45 OR injection >= 45) AND (url_reputation IS NULL OR p0 < 60) AS cap FROM x),
+g AS (SELECT *, least(100, CASE WHEN cap THEN least(p0, 40) ELSE p0 END + memory_adjustment) AS f_phishing, CASE WHEN cap THEN least(i0, 40) ELSE i0 END AS f_impersonation, CASE WHEN cap THEN least(r0, 40) ELSE r0 END AS f_risk, cap AND greatest(p0, i0, r0) > 40 AS capped FROM f),
+h AS (SELECT *, greatest(f_phishing, secret, injection, f_impersonation, f_risk) AS base_risk FROM g),
+o AS (SELECT *, greatest(base_risk, coalesce(CASE WHEN url_reputation >= 75 OR base_risk >= 40 THEN url_reputation ELSE least(url_reputation, 40) END, 0)) AS overall_risk FROM h),
+t AS (SELECT *, list_filter(list_concat([CASE WHEN memory_exact THEN 'exact unsafe message memory match' WHEN memory_similar > 0 THEN memory_similar || ' similar unsafe message memory matches' END], coalesce(url_flags, []),
+ [CASE WHEN injection > 0 THEN 'prompt injection language detected' END, CASE WHEN secret > 0 THEN 'possible secret in message' END, CASE WHEN urgency_flag THEN 'phishing urgency/account language detected' END], ai_flags, ['ai unavailable: ' || ai_missing, CASE WHEN capped THEN 'ai-only medium risk capped without supporting evidence' END]), lambda v: v IS NOT NULL) AS flags FROM o)"""
+
+
+@query("p23_p27_j25_assessed", _both(f"""WITH {_ASSESSED} SELECT msg_id, f_phishing, f_impersonation, f_risk, capped, overall_risk, CASE WHEN overall_risk >= 90 OR secret >= 85 THEN 'block' WHEN overall_risk >= 75 THEN 'warn_both' WHEN injection >= 60 THEN 'warn_sender' WHEN overall_risk >= 45 THEN 'warn_receiver' ELSE 'allow' END AS decision,
+ array_to_string(flags, '; ') AS flags, CASE WHEN overall_risk >= 75 THEN 'High-risk message (' || overall_risk || '/100, AI confidence ' || ai_confidence || '/100): ' || array_to_string(flags, ', ') || '.' END AS summary FROM t"""))
+def _(s, d):
+    i = F.col("msg_id") % len(REMEMBERED)
+    pick = lambda n: F.element_at(F.array(*[F.lit(r[n]) for r in REMEMBERED]), (i + 1).cast("int"))
+    memory = _messages(s, d).select("msg_id", pick(0).alias("memory_exact"), pick(1).alias("memory_similar"), pick(2).alias("memory_adjustment"))
+    out = score_messages(_messages(s, d), _threats(s, d), b.default_brands(s), _assessments(s, d), memory)
+    return out.select("msg_id", "f_phishing", "f_impersonation", "f_risk", "capped", "overall_risk", "decision", F.array_join("flags", "; ").alias("flags"), "summary")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fixture, with_fixtures
 from ..operators import supply as sp
+from ..operators.popular import popular_names
 from ..registry import query
+from . import registry_queries as rq
 
-POPULAR = [("lodash", "npm"), ("express", "npm"), ("react", "npm"), ("requests", "PyPI"), ("numpy", "PyPI"), ("serde", "crates.io")]
-_POP = "popular(popular, ecosystem) AS (VALUES " + ", ".join(f"('{n}', '{e}')" for n, e in POPULAR) + ")"
+#: Packages of one rendered lockfile.
+PER_FILE = 500
 
-# one file of each kind per size group of packages: rendered, parsed again, and compared with the packages themselves
+# one file of each kind for so many packages: rendered, parsed again, and compared with the packages themselves
 _RENDER = {
     "Cargo.lock": "concat('[[package]]\\nname = \"', name, '\"\\nversion = \"', version, '\"\\n')", "poetry.lock": "concat('[[package]]\\nname = \"', name, '\"\\nversion = \"', version, '\"\\n')",
     "requirements.txt": "concat(name, '==', version)", "Gemfile.lock": "concat('    ', name, ' (', version, ')')", "gradle.lockfile": "concat('org.x:', name, ':', version)",
@@ -25,7 +27,7 @@ _HEAD = {"Gemfile.lock": ("GEM\n", "\n", ""), "package-lock.json": ('{\n"package
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
-    packages = fixture(s, d, "fx_packages").withColumn("dir", (F.col("pkg_id") % 16).cast("string"))
+    packages = fixture(s, d, "fx_packages").withColumn("dir", F.expr(f"pkg_id div {PER_FILE}").cast("string"))
     out = None
     for name, one in _RENDER.items():
         head, between, end = _HEAD.get(name, ("", "\n", ""))
@@ -37,7 +39,7 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 _ECO = {k: v[1] for k, v in sp.LOCKFILES.items()}
 _EXPECT = " UNION ALL ".join(
-    f"SELECT (pkg_id % 16) || '/{n}' AS filename, {dict([('gradle.lockfile', chr(39) + 'org.x:' + chr(39) + ' || name'), ('maven-lockfile.json', chr(39) + 'g:' + chr(39) + ' || name')]).get(n, 'name')} AS name, version, '{_ECO[n]}' AS ecosystem FROM {'(SELECT DISTINCT pkg_id % 16 AS pkg_id, name, version FROM fx_packages)' if n == 'go.sum' else 'fx_packages'}"
+    f"SELECT (pkg_id // {PER_FILE}) || '/{n}' AS filename, {dict([('gradle.lockfile', chr(39) + 'org.x:' + chr(39) + ' || name'), ('maven-lockfile.json', chr(39) + 'g:' + chr(39) + ' || name')]).get(n, 'name')} AS name, version, '{_ECO[n]}' AS ecosystem FROM {f'(SELECT DISTINCT pkg_id // {PER_FILE} * {PER_FILE} AS pkg_id, name, version FROM fx_packages)' if n == 'go.sum' else 'fx_packages'}"
     for n in _RENDER if n != "yarn.lock"
 )
 
@@ -47,7 +49,7 @@ def _(s, d):
     return sp.lockfile_packages(_files(s, d).where("not endswith(filename, 'yarn.lock')")).drop("pos")
 
 
-@query("p39_yarn", with_fixtures("SELECT pkg_id % 16 || '/yarn.lock' AS filename, name, version, 'npm' AS ecosystem FROM (SELECT *, lag(name || '@' || version) OVER (PARTITION BY pkg_id % 16 ORDER BY pkg_id) AS before FROM fx_packages) WHERE before IS NULL OR before <> name || '@' || version", "fx_packages"))
+@query("p39_yarn", with_fixtures(f"SELECT pkg_id // {PER_FILE} || '/yarn.lock' AS filename, name, version, 'npm' AS ecosystem FROM (SELECT *, lag(name || '@' || version) OVER (PARTITION BY pkg_id // {PER_FILE} ORDER BY pkg_id) AS before FROM fx_packages) WHERE before IS NULL OR before <> name || '@' || version", "fx_packages"))
 def _(s, d):
     return sp.lockfile_packages(_files(s, d).where("endswith(filename, 'yarn.lock')")).drop("pos")
 
@@ -69,61 +71,55 @@ def _(s, d):
     return names.select("name", F.explode(sp.name_mutations(F.col("name"))).alias("mutation"))
 
 
-_SQUAT = f"""{_MUT}, {_POP}, asked AS (SELECT * FROM names n WHERE NOT EXISTS (SELECT 1 FROM popular p WHERE p.popular = n.name {{eco}})),
-bm AS (SELECT DISTINCT a.name, {{pe}} popular FROM asked a JOIN muts m ON m.name = a.name AND m.ecosystem = a.ecosystem JOIN popular p ON p.popular = m.m {{pm}})
-SELECT *, 'mutation' AS kind FROM bm UNION ALL SELECT DISTINCT a.name, {{pe}} popular, 'distance' FROM asked a JOIN popular p ON levenshtein(a.name, popular) BETWEEN 1 AND 2 {{pa}} WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.name = a.name {{pb}})"""
+_SQUAT = f"""{_MUT}, {rq.POPULAR_SQL}, asked AS (SELECT DISTINCT name {{e}} FROM names n WHERE NOT EXISTS (SELECT 1 FROM popular p WHERE lower(p.popular) = n.name {{eco}})),
+bm AS (SELECT DISTINCT a.name, {{pe}} popular, m AS mutation FROM asked a JOIN muts m ON m.name = a.name {{me}} JOIN popular p ON lower(p.popular) = lower(m.m) {{pm}})
+SELECT *, 'mutation' AS kind, CAST(NULL AS INT) AS distance FROM bm UNION ALL SELECT DISTINCT a.name, {{pe}} popular, CAST(NULL AS VARCHAR), 'distance', levenshtein(a.name, lower(popular)) FROM asked a JOIN popular p ON levenshtein(a.name, lower(popular)) BETWEEN 1 AND 2 {{pa}} WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.name = a.name {{pb}})"""
 
 
-def _popular(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(POPULAR, "name string, ecosystem string")
-
-
-@query("j22_typosquats", with_fixtures("WITH " + _SQUAT.format(eco="AND p.ecosystem = n.ecosystem", pe="a.ecosystem,", pm="AND p.ecosystem = a.ecosystem", pa="AND p.ecosystem = a.ecosystem", pb="AND bm.ecosystem = a.ecosystem"), "fx_packages"))
+@query("j22_typosquats", with_fixtures("WITH " + _SQUAT.format(e=", ecosystem", eco="AND p.ecosystem = n.ecosystem", me="AND m.ecosystem = a.ecosystem", pe="a.ecosystem,", pm="AND p.ecosystem = a.ecosystem", pa="AND p.ecosystem = a.ecosystem", pb="AND bm.ecosystem = a.ecosystem"), "fx_packages"))
 def _(s, d):
-    return sp.typosquats(fixture(s, d, "fx_packages"), _popular(s))
+    return sp.typosquats(fixture(s, d, "fx_packages"), popular_names(s))
 
 
-@query("j23_typosquats_all", with_fixtures("WITH " + _SQUAT.format(eco="", pe="", pm="", pa="", pb=""), "fx_packages"))
+@query("j23_typosquats_all", with_fixtures("WITH " + _SQUAT.format(e="", eco="", me="", pe="", pm="", pa="", pb=""), "fx_packages"))
 def _(s, d):
-    return sp.typosquats(fixture(s, d, "fx_packages"), _popular(s), by_ecosystem=False)
+    return sp.typosquats(fixture(s, d, "fx_packages"), popular_names(s), by_ecosystem=False)
 
 
-@query("g11_repo_verdict", with_fixtures("SELECT git_url, CASE WHEN bool_or(verdict = 'malicious') THEN 'malicious' WHEN bool_or(verdict = 'suspicious') THEN 'suspicious' ELSE 'allow' END AS verdict, round(avg(confidence), 6) AS confidence, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM fx_commit_verdicts GROUP BY git_url", "fx_commit_verdicts"))
-def _(s, d):
-    return sp.repo_verdict(fixture(s, d, "fx_commit_verdicts")).select("git_url", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+_LEVELS = rq.findings_sql(_MUT, False)
+_NAMES = "['safe', 'low', 'medium', 'high', 'critical']"
 
 
-_FIND = "SELECT name, ecosystem, version, CASE pkg_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS level FROM fx_packages WHERE pkg_id % 3 = 0"
-_LEVEL = f"""f AS ({_FIND}), g AS (SELECT name, ecosystem, version, count(*) AS n_findings, max(list_position(['none', 'low', 'medium', 'high', 'critical'], level)) AS r FROM f GROUP BY ALL),
-l AS (SELECT p.pkg_id, p.name, p.ecosystem, p.version, (['none', 'low', 'medium', 'high', 'critical'])[coalesce(r, 1)] AS level, coalesce(n_findings, 0) AS n_findings FROM fx_packages p LEFT JOIN g USING (name, ecosystem, version))"""
+@query("j20_g9_package_levels", with_fixtures(f"WITH {_LEVELS} SELECT * FROM levels", "fx_packages"))
+def _(s, d):
+    return rq.package_levels(s, d).withColumn("issues", F.array_join("issues", "; "))
 
 
-def _levels(s: SparkSession, d: str) -> DataFrame:
-    p = fixture(s, d, "fx_packages")
-    level = F.when(F.col("pkg_id") % 5 == 0, "critical").when(F.col("pkg_id") % 5 == 1, "high").when(F.col("pkg_id") % 5 == 2, "medium").otherwise("low")
-    return sp.package_levels(p, p.where("pkg_id % 3 = 0").withColumn("level", level).drop("pkg_id"), ["name", "ecosystem", "version"])
+@query("g10_level_counts", with_fixtures(f"WITH {_LEVELS}, c AS (SELECT ecosystem, count(*) AS packages, " + ", ".join(f"count(*) FILTER (level = '{x}') AS {x}" for x in sp.LEVELS) + f", ({_NAMES})[max(list_position({_NAMES}, level))] AS overall FROM levels GROUP BY ecosystem) SELECT *, critical || ' critical, ' || high || ' high, ' || medium || ' medium, ' || low || ' low, ' || safe || ' safe' AS summary FROM c", "fx_packages"))
+def _(s, d):
+    return sp.level_counts(rq.package_levels(s, d), ["ecosystem"])
 
 
-@query("j20_g9_package_levels", with_fixtures(f"WITH {_LEVEL} SELECT * FROM l", "fx_packages"))
+@query("f10_package_verdicts", with_fixtures(f"WITH {rq._deep_sql(_MUT)} SELECT name, version, ecosystem, verdict FROM deep", "fx_packages", "fx_commit_verdicts"))
 def _(s, d):
-    return _levels(s, d)
+    return rq._deep(s, d).select("name", "version", "ecosystem", "verdict")
 
 
-@query("g10_level_counts", with_fixtures(f"WITH {_LEVEL} SELECT ecosystem, count(*) AS packages, " + ", ".join(f"count(*) FILTER (level = '{x}') AS {x}" for x in sp.LEVELS) + ", (['none', 'low', 'medium', 'high', 'critical'])[max(list_position(['none', 'low', 'medium', 'high', 'critical'], level))] AS overall FROM l GROUP BY ecosystem", "fx_packages"))
+@query("j24_u6_deep_packages", with_fixtures(f"WITH {rq._deep_sql(_MUT)} SELECT * FROM deep", "fx_packages", "fx_commit_verdicts"))
 def _(s, d):
-    return sp.level_counts(_levels(s, d), ["ecosystem"])
+    return rq._deep(s, d).withColumn("issues", F.array_join("issues", "; ")).withColumn("reasons", F.array_join("reasons", ",")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("f10_package_verdicts", with_fixtures(f"WITH {_LEVEL} SELECT pkg_id, CASE WHEN level = 'critical' THEN 'rejected' ELSE 'pass' END AS verdict FROM l", "fx_packages"))
+@query("g12_deep_summary", with_fixtures(f"WITH {rq._deep_sql(_MUT)} SELECT count(*) AS total_packages, count(*) FILTER (verdict = 'rejected' OR commit_verdict IN ('suspicious', 'malicious')) AS flagged, 'Critical' AS threshold, 'ok' AS ai_status FROM deep", "fx_packages", "fx_commit_verdicts"))
 def _(s, d):
-    return sp.package_verdicts(_levels(s, d)).select("pkg_id", "verdict")
+    return sp.deep_summary(rq._deep(s, d), rq._details(s, d))
 
 
-_GIT = "CASE pkg_id % 5 WHEN 0 THEN concat('git+https://github.com/o/', name, '.git') WHEN 1 THEN concat('git@gitlab.com:o/', name, '.git') WHEN 2 THEN concat('git://bitbucket.org/o/', name) WHEN 3 THEN concat('https://code.example.org/', name) ELSE 'svn://x' END"
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), '^git\+', ''), '^git@([^:]+):', 'https://\1/'), '^git://', 'https://'), '\.git$', '')"
+_MENTIONS = " UNION ALL ".join(f"SELECT name, version, '{e}' AS ecosystem, (pkg_id // {PER_FILE}) || '/{f}' AS filename FROM fx_packages" for f, e in (("poetry.lock", "PyPI"), ("requirements.txt", "PyPI"), ("pubspec.lock", "Pub")))
 
 
-@query("p44_repo_urls", with_fixtures(f"SELECT pkg_id, u AS git_url, CASE WHEN contains(u, 'github.com') THEN 'github' WHEN contains(u, 'gitlab.com') THEN 'gitlab' WHEN contains(u, 'bitbucket.org') THEN 'bitbucket' ELSE 'self_hosted' END AS platform FROM (SELECT pkg_id, {_NORM} AS u FROM (SELECT pkg_id, {_GIT} AS raw FROM fx_packages)) WHERE regexp_matches(u, '^https?://')", "fx_packages"))
+@query("u3_w12_first_mentions", with_fixtures(f"SELECT name, version, ecosystem, min(filename) AS filename FROM ({_MENTIONS}) GROUP BY ALL", "fx_packages"))
 def _(s, d):
-    p = fixture(s, d, "fx_packages").select("pkg_id", sp.normal_git_url(F.expr(_GIT)).alias("git_url")).where("git_url is not null")
-    return p.withColumn("platform", sp.hosting_platform(F.col("git_url")))
+    files = _files(s, d)
+    some = files.where("filename like '%/poetry.lock' or filename like '%/requirements.txt' or filename like '%/pubspec.lock'")
+    return sp.first_mentions(sp.lockfile_packages(some))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import registry  # noqa: F401 (the plans load through it)
 from lurewatch.fixtures import fixture
-from lurewatch.operators import brands, datasets, identity, pages, supply, threats
+from lurewatch.operators import brands, datasets, identity, messages, pages, registries, supply, threats
 from lurewatch.sources import feeds
 
 
@@ -13,20 +13,63 @@ def one(spark, column, **values):
 
 
 def test_cvss(spark):
-    score = lambda v: one(spark, supply.cvss_score(F.col("v")), v=v)
+    score = lambda v: one(spark, registries.cvss_score(F.col("v")), v=v)
     assert score("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H") == 9.8
     assert score("CVSS:3.0/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H") == 10.0
-    assert score("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N") == 0.0 and score("bad") is None
-    assert [one(spark, supply.severity_level(F.col("s")), s=s) for s in (9.0, 7.0, 4.0, 0.1, 0.0)] == ["critical", "high", "medium", "low", "none"]
+    assert score("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N") == 0.0 and score("bad") == 0.0
+    assert score("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N/C:H/I:H/A:H") == 9.8  # the last of repeated parts
+    assert [one(spark, registries.severity_level(F.col("s")), s=s) for s in (9.0, 7.0, 4.0, 0.1, 0.0)] == ["critical", "high", "medium", "low", "none"]
+    assert [one(spark, registries.vulnerability_level(F.col("s")), s=s) for s in ("critical", "high", "medium", "low", "none")] == ["high", "high", "medium", "low", "medium"]
 
 
 def test_summaries_verdicts_and_diffs(spark):
-    text = lambda a, b: one(spark, supply.vulnerability_summary(F.col("a"), F.col("b")), a=a, b=b)
-    assert text("s", "d") == "s" and text(" ", "First. Second") == "First"
+    text = lambda a, b: one(spark, registries.vulnerability_summary(F.col("a").cast("string"), F.col("b").cast("string")), a=a, b=b)
+    assert text("s", "d") == "s" and text(" ", "d") == " " and text("", " First! Second") == "First" and text(None, None) == "No description" and text("", "x" * 300) == "x" * 200
     verdict = lambda t: tuple(one(spark, supply.parsed_verdict(F.col("t")), t=t))
-    assert verdict('x {"verdict":"Malicious","confidence":0.9} y') == ("malicious", 0.9) and verdict('{"verdict":"odd"}') == ("uncertain", 0.5) and verdict("none") == ("uncertain", 0.5)
+    assert verdict('x {"verdict":"Malicious","confidence":0.9,"reasons":["r",2]} y') == ("malicious", 0.9, ["r"], []) and verdict('{"verdict":"odd","suspicious_patterns":["p"]}') == ("uncertain", 0.5, [], ["p"])
+    unread = ("uncertain", 0.0, ["LLM response could not be parsed"], [])
+    assert verdict("none") == verdict('{"confidence":1}') == verdict('{"verdict":1}') == unread
     cut = lambda t: one(spark, supply.truncated_diff(F.col("t"), 5), t=t)
-    assert cut("abc") == "abc" and cut("ab\ncdef") == "ab" and cut("abcdefgh") == "abcde"
+    assert cut("abc") == "abc" and cut("ab\ncdef") == "ab" and cut("abcdefgh") == "abcde" and cut("\nabcdefgh") == ""
+
+
+def test_repository_urls(spark):
+    norm = lambda u: one(spark, supply.normal_git_url(F.col("u")), u=u)
+    assert norm("git+ssh://git@x/y.git") is None and norm("git@h.org:a/b.git") == "https://h.org/a/b" and norm("git+git://h/a.git") == "https://h/a" and norm("git@h.org/a") is None
+    pair = lambda u: one(spark, registries.owner_repo(F.col("u")), u=u)
+    assert tuple(pair("https://github.com/o/r.git/")) == ("o", "r.git") or tuple(pair("https://github.com/o/r.git/")) == ("o", "r")
+    assert tuple(pair("https://git.own.org//a/b/c")) == ("a", "b") and pair("https://github.com/only") is None and pair("nothing") is None
+    df = spark.createDataFrame([(0,)], "i int")
+    assert df.select(supply.hosting_platform(F.lit("https://GitHub.com/x"))).first()[0] == "github" and df.select(supply.hosting_platform(F.lit("https://x"))).first()[0] == "self-hosted"
+
+
+def test_registries_asked_on_request(spark):
+    docs = [
+        ("RubyGems", "g", None, '{"version":"2","gem":{"raw_created_at":"2024-06-30T00:00:00Z"}}'), ("Packagist", "p", None, '{"package":{"versions":{"9":{"time":"2024-06-28T00:00:00Z"}}}}'), ("Packagist", "q", None, "{}"),
+        ("Go", "m", "1", '{"Time":"2024-06-25T00:00:00Z"}'), ("Go", "m", "2", '{"Time":"2024-06-01T00:00:00Z"}'), (None, None, None, None),
+    ]
+    packages = spark.createDataFrame([("g", "1", "RubyGems"), ("p", "1", "Packagist"), ("q", "1", "Packagist"), ("m", "1", "Go"), ("m", "2", "Go"), (None, None, None)], "name string, version string, ecosystem string")
+    df, asof = spark.createDataFrame(docs, "ecosystem string, name string, version string, body string"), F.lit("2024-07-01 00:00:00").cast("timestamp")
+    assert registries.registry_warnings(packages, df, asof).count() == 0
+    assert sorted(r.warning for r in registries.registry_warnings(packages, df, asof, all_registries=True).collect()) == [
+        "Go module m/1 is very new (published 6 days ago)", "Packagist package p/1 is very new (published 3 days ago)", "Packagist package p/1 version not found in registry", "Packagist package q/1 not found in registry",
+        "RubyGems gem g/1 is very new (created 1 days ago)", "RubyGems gem g/1 requested but latest is 2",
+    ]
+
+
+def test_answers_and_flags(spark):
+    fence = lambda x: one(spark, messages.without_fences(F.col("x")), x=x)
+    assert fence(' ```json\n{"a":1}\n``` ') == '{"a":1}' and fence("```{}```") == "{}" and fence("{}") == "{}"
+    columns = "memory_exact boolean, memory_similar int, url_flags array<string>, injection int, secret int, urgency_flag boolean, ai_flags array<string>, ai_missing string, ai_confidence int, capped boolean, overall_risk int"
+    a, b = messages.message_flags(spark.createDataFrame([(True, 2, ["u"], 35, 85, True, ["x"], None, 50, True, 90), (None, None, None, 0, 0, False, None, "no assessment", 0, False, 10)], columns)).collect()
+    assert a.flags == ["exact unsafe message memory match", "u", "prompt injection language detected", "possible secret in message", "phishing urgency/account language detected", "x", "ai-only medium risk capped without supporting evidence"]
+    assert a.summary.startswith("High-risk message (90/100, AI confidence 50/100): exact unsafe") and (b.flags, b.summary) == (["ai unavailable: no assessment"], None)
+
+
+def test_unsafe_messages_are_remembered(spark):
+    rows = [("warn_receiver", 60, 0, 0), ("warn_sender", 60, 0, 60), ("allow", 10, 85, 0), ("warn_both", 75, 0, 0), ("block", 95, 0, 0), ("allow", 75, 0, 0)]
+    df = spark.createDataFrame(rows, "d string, r int, s int, i int")
+    assert [r.x for r in df.select(messages.store_as_unsafe(F.col("d"), F.col("r"), F.col("s"), F.col("i")).alias("x")).collect()] == [False, True, True, True, True, True]
 
 
 def test_online_score(spark):
