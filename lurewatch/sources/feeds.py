@@ -7,6 +7,7 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,11 +160,57 @@ def read_cases(spark: SparkSession, path: str, offset: int = 0, limit: int | Non
     return df if limit is None else df.limit(limit)
 
 
-def feed_registry(spark: SparkSession, feeds: list[tuple[str, str, str, str, bool]]) -> DataFrame:
-    """(source, format, threat_type, default_type, enabled): the feeds that a deployment reads."""
-    return spark.createDataFrame(feeds, "source string, format string, threat_type string, default_type string, enabled boolean")
-
-
-def replace_sources(threats: DataFrame, path: str) -> None:
-    """Replace the partitions of the sources present, all at once; other sources stay."""
+# The feeds that are known, with their addresses; the last column tells those read by default.
+FEEDS = (
+    ("urlhaus_online", "https://urlhaus.abuse.ch/downloads/json_online/", "urlhaus_json", "malware_download", "url", True),
+    ("phishunt", "https://phishunt.io/feed.json", "phishunt", "phishing", "url", True),
+    ("destroylist", "https://raw.githubusercontent.com/phishdestroy/destroylist/main/list.json", "string_array", "phishing,crypto_drainer", "domain", True),
+    ("metamask_eth_phishing", "https://raw.githubusercontent.com/MetaMask/eth-phishing-detect/main/src/config.json", "block_fuzzy", "crypto_drainer", "domain", True),
+    ("spmedia_crypto", "https://raw.githubusercontent.com/spmedia/Crypto-Scam-and-Crypto-Phishing-Threat-Intel-Feed/refs/heads/main/detected_urls.json", "detected_urls", "crypto_drainer,pig_butchering", "domain", True),
+    ("phishtank", "http://data.phishtank.com/data/online-valid.json.gz", "phishtank_gz", "phishing", "url", True),
+    ("threatfox_misp", "https://threatfox.abuse.ch/downloads/misp/", "misp_dir", "botnet_cc,malware_download", "domain", True),
+    ("curbengh_phishing_filter", "https://malware-filter.gitlab.io/malware-filter/phishing-filter-agh.txt", "adguard", "phishing", "domain", True),
+    ("blackbook", "https://raw.githubusercontent.com/stamparm/blackbook/master/blackbook.txt", "plain", "malware_download,botnet_cc", "domain", True),
+    ("urlhaus", "https://urlhaus.abuse.ch/downloads/json/", "urlhaus_zip", "malware_download", "url", False),
+    ("destroylist_community", "https://raw.githubusercontent.com/phishdestroy/destroylist/main/community/blocklist.json", "string_array", "phishing,crypto_drainer", "domain", False),
+    ("tweetfeed_week", "https://api.tweetfeed.live/v1/week", "tweetfeed", "phishing,scam", "domain", False),
+    ("infoblox_misp", "https://raw.githubusercontent.com/infobloxopen/threat-intelligence/main/indicators/misp/manifest.json", "misp_manifest", "botnet_cc,phishing,pig_butchering", "domain", False),
+    ("blocklistproject_phishing", "https://blocklistproject.github.io/Lists/phishing.txt", "hosts", "phishing", "domain", False),
+    ("blocklistproject_malware", "https://blocklistproject.github.io/Lists/malware.txt", "hosts", "malware_download", "domain", False),
+    ("blocklistproject_scam", "https://blocklistproject.github.io/Lists/scam.txt", "hosts", "scam", "domain", False),
+    ("blocklistproject_fraud", "https://blocklistproject.github.io/Lists/fraud.txt", "hosts", "fraud", "domain", False),
+    ("blocklistproject_crypto", "https://blocklistproject.github.io/Lists/crypto.txt", "hosts", "crypto_drainer", "domain", False),
+    ("blocklistproject_ransomware", "https://blocklistproject.github.io/Lists/ransomware.txt", "hosts", "ransomware", "domain", False),
+    ("phishing_database_links", "https://phish.co.za/latest/ALL-phishing-links.lst", "plain", "phishing", "url", False),
+    ("phishing_database_domains", "https://phish.co.za/latest/ALL-phishing-domains.tar.gz", "targz", "phishing", "domain", False),
+    ("viriback", "https://tracker.viriback.com/dump.php", "viriback_csv", "botnet_cc", "url", False),
+    ("curbengh_urlhaus_filter", "https://malware-filter.gitlab.io/malware-filter/urlhaus-filter-agh.txt", "adguard", "malware_download", "domain", False),
+    ("phishing_army", "https://phishing.army/download/phishing_army_blocklist.txt", "plain", "phishing", "domain", False),
+    ("phishing_army_extended", "https://phishing.army/download/phishing_army_blocklist_extended.txt", "plain", "phishing", "domain", False),
+    ("circl_osint_misp", "https://www.circl.lu/doc/misp/feed-osint/", "misp_dir", "threat_intel", "domain", False),
+)
+
+
+def feed_registry(spark: SparkSession, feeds: list[tuple[str, str, str, str, str, bool]] | None = None) -> DataFrame:
+    """(source, url, format, threat_type, default_type, enabled): the feeds that a deployment reads, or those known."""
+    return spark.createDataFrame(list(feeds or FEEDS), "source string, url string, format string, threat_type string, default_type string, enabled boolean")
+
+
+def read_all_feeds(spark: SparkSession, landed: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """Rows of all landed feeds (source, format, threat_type, default_type, path), one after another."""
+    return reduce(DataFrame.unionByName, [read_feed(spark, path, kind, source, threat, default) for source, kind, threat, default, path in landed])
+
+
+def replace_sources(threats: DataFrame, path: str, sources: list[str] | None = None) -> None:
+    """Replace the partitions of the sources present, all at once; other sources stay.
+
+    ``sources`` names all that were loaded: those among them without rows are emptied too.
+    """
     threats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    if sources is None:
+        return
+    spark = threats.sparkSession
+    filled = {r.source for r in threats.select("source").distinct().collect()}  # as many as there are feeds
+    for source in set(sources) - filled:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/source={source}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
