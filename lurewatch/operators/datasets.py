@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -67,6 +67,12 @@ def normalize_labelled_rows(df: DataFrame, unsafe_labels: tuple[int, ...] | None
     return df.select(F.coalesce(*there(["content", "combined_text", "Email Text", "sms_text"]), whole).alias("message"), F.coalesce(*label, F.lit(None).cast("boolean")).alias("expected_unsafe")).where("message is not null and expected_unsafe is not null")
 
 
+def read_training_input(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Landed training rows, as JSON lines or as documents that are one array each."""
+    head = spark.read.text(path).where("trim(value) != ''").limit(1).collect()
+    return spark.read.schema(schema).option("multiLine", bool(head) and head[0].value.lstrip().startswith("[")).json(path)
+
+
 def balanced_sample(df: DataFrame, label: str, order: str, limit: int) -> DataFrame:
     """At most limit / 2 rows of each class in order, limit rows in all."""
     place = F.row_number().over(Window.partitionBy(label).orderBy(order))
