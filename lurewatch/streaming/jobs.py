@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as t
+from ..operators import memory as mem
+from ..operators import messages as m
 from ..operators import state as st
+from ..operators import threats as th
 from ..plans.score import score_messages
+from ..sources import feeds
+
+log = logging.getLogger(__name__)
 
 
 def throughput(events: DataFrame, ts: str, delay: str, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -45,3 +52,47 @@ def enqueue_stream(requests: DataFrame, queue: str, claimed: str, checkpoint: st
         st.claim(spark.read.schema(columns).parquet(queue), per_batch).write.mode("append").parquet(claimed)
 
     return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_MEMORY = "seq long, message_hash string, simhash long, risk int, decision string, user_id string, raw string, seen_at long"
+
+
+def remember_stream(messages: DataFrame, threats: Callable[[], DataFrame], brands: Callable[[], DataFrame], memory: str, sink: str, checkpoint: str, store_raw: bool = False) -> StreamingQuery:
+    """Score messages (msg_id, user_id, message, seen_at) against the memory as it is when a batch starts, and remember the unsafe ones.
+
+    ``memory`` is a table of append-only events, which must exist; messages of one batch do not see each other. Raw texts are kept only on
+    request.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = mem.unsafe_state(spark.read.schema(_MEMORY).parquet(memory))
+        keyed = mem.with_simhash(mem.with_message_keys(batch))
+        found = mem.memory_lookup(keyed, known).select("message_hash", F.col("exact").alias("memory_exact"), F.col("n_similar").alias("memory_similar"), "memory_adjustment")
+        remembered = keyed.select("msg_id", "message_hash").join(found, "message_hash").drop("message_hash")
+        scored = score_messages(batch, threats(), brands(), memory=remembered).withColumn("batch_id", F.lit(batch_id))
+        scored.write.mode("append").parquet(sink)
+        mine = spark.read.schema(scored.schema).parquet(sink).where(F.col("batch_id") == batch_id)
+        unsafe = mine.where(m.store_as_unsafe(F.col("decision"), F.col("overall_risk"), F.col("secret"), F.col("injection"))).select("msg_id", "overall_risk", "decision")
+        rows = unsafe.join(keyed, "msg_id").select(
+            F.col("msg_id").cast("long").alias("seq"), "message_hash", "simhash", F.col("overall_risk").cast("int").alias("risk"), "decision", F.col("user_id").cast("string").alias("user_id"), F.col("message").alias("raw"), F.col("seen_at").cast("long").alias("seen_at")
+        )
+        st.private(rows, store_raw).write.mode("append").parquet(memory)
+
+    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_stream(arrivals: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Load newly landed feed files (source, format, threat_type, default_type, path; the newest row of a source counts) and replace
+    each source's indicators; a source that cannot be read is left as it was, and the others go on."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        for r in st.latest(batch, ["source"], "landed_at").collect():  # one row a feed
+            try:
+                rows = th.normalize_indicators(feeds.read_feed(spark, r.path, r.format, r.source, r.threat_type, r.default_type))
+                feeds.replace_sources(rows, table, [r.source])
+            except Exception as e:  # noqa: BLE001 (a bad feed must not stop the others)
+                log.warning("feed %s left as it was: %s", r.source, e)
+
+    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
