@@ -68,9 +68,9 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shared = fingerprint.shared_digests(docs)
     shared = None if shared.isEmpty() else shared
-    own = fingerprint.with_fingerprint(docs.select("doc_id", "text"), "text", "fingerprint", shared)
+    own = lambda df: fingerprint.with_fingerprint(df, "text", "fingerprint", shared)
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.expr("left(next_text, length(text) div 4)"))
-    rows = fingerprint.with_next(own, ["fingerprint"]).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    rows = fingerprint.with_next(docs, own).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     rows = fingerprint.with_fingerprint(rows, "edited", "edited_fingerprint", shared)
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return rows.select(
