@@ -28,9 +28,9 @@ def threat_tags(df: DataFrame) -> DataFrame:
     return df.where("tag != ''").select("indicator", "source", "tag").distinct()
 
 
-def feed_state(df: DataFrame) -> DataFrame:
-    """(source, record_count) before dedupe."""
-    return df.groupBy("source").agg(F.count("*").alias("record_count"))
+def feed_state(df: DataFrame, asof: int) -> DataFrame:
+    """(source, record_count, updated_at): rows of each source before dedupe, loaded at ``asof`` (seconds)."""
+    return df.groupBy("source").agg(F.count("*").alias("record_count")).withColumn("updated_at", F.lit(asof).cast("long"))
 
 
 def match_threats(urls: DataFrame, threats: DataFrame) -> DataFrame:

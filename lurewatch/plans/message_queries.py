@@ -179,9 +179,9 @@ def _(s, d):
     return th.threat_tags(th.normalize_indicators(fixture(s, d, "fx_indicators")))
 
 
-@query("k2_feed_state", with_fixtures(f"WITH {THREATS} SELECT source, count(*) AS record_count FROM ind WHERE indicator <> '' GROUP BY source", "fx_indicators"))
+@query("k2_feed_state", with_fixtures(f"WITH {THREATS} SELECT source, count(*) AS record_count, CAST(1719792000 AS BIGINT) AS updated_at FROM ind WHERE indicator <> '' GROUP BY source", "fx_indicators"))
 def _(s, d):
-    return th.feed_state(th.normalize_indicators(fixture(s, d, "fx_indicators")))
+    return th.feed_state(th.normalize_indicators(fixture(s, d, "fx_indicators")), 1_719_792_000)
 
 
 @query("j1_w1_match_threats", _both(f"WITH {URLS}, {THREATS}, {HITS} SELECT * FROM hits"))
