@@ -97,6 +97,8 @@ def _class_table(split_punctuation: bool) -> np.ndarray:
 
 
 _INSIDE = {s: _class_table(s) for s in (False, True)}
+#: Words of every byte that is not ASCII white space.
+SPACES_ONLY = ~np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
@@ -143,10 +145,11 @@ def runs(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray
         at = to
 
 
-def words(texts: pa.Array, lower: bool = True, split_punctuation: bool = True) -> Iterator[Words]:
-    """Hash the words of each text: maximal runs of bytes that are not ASCII space (or ASCII punctuation)."""
+def words(texts: pa.Array, lower: bool = True, split_punctuation: bool = True, inside: np.ndarray | None = None) -> Iterator[Words]:
+    """Hash the words of each text: maximal runs of bytes that are not ASCII space (or ASCII punctuation), or of those in ``inside``."""
+    of_word = _INSIDE[split_punctuation] if inside is None else inside
     for first, data, offsets in runs(texts, lower):
-        inside = _INSIDE[split_punctuation][data]
+        inside = of_word[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         at = offsets[:-1][offsets[:-1] < len(data)]

@@ -62,3 +62,35 @@ gone AS (SELECT form FROM exact UNION SELECT form FROM members m JOIN covered c
 flagged AS (SELECT *, form <> '' AND form IN (SELECT form FROM gone) AS drop FROM masked)
 SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (drop) AS INT) AS n_dropped, length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '')) AS kept_chars,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '')) AS kept_sha256 FROM flagged GROUP BY doc_id, row_id"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_MEASURES = {"word_length": ("word_chars", "n_words", 3000), "symbols": ("n_symbols", "n_words", 50), "dup_lines": ("n_dup_lines", "n_lines", 500)}
+_SHARE = {m: f"(1000 * {part} // greatest({whole}, 1))" for m, (part, whole, _) in _MEASURES.items()}
+_LOW = "value - value % CAST(pow(2, greatest(length(bin(value)) - 7, 0)) AS BIGINT)"
+
+
+def _level(name: str, keys: str) -> str:
+    by = f"{keys}, m" if keys else "m"
+    return f"""{name}_b AS (SELECT {by}, low, sum(n) AS n FROM fine GROUP BY ALL),
+{name}_c AS (SELECT {by}, low, sum(n) OVER (PARTITION BY {by} ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {name}_b),
+{name} AS (SELECT {by}, any_value(total) AS total, min(low) FILTER (4 * upto >= total) AS q1, min(low) FILTER (4 * upto >= 3 * total) AS q3 FROM {name}_c GROUP BY ALL)"""
+
+
+OP13 = rf"""WITH raw AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+wins AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS win FROM raw WHERE len(w) >= 5),
+twice AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+cover AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(5) AS t(k) GROUP BY rid),
+told AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls, coalesce(n, 0) AS n_repeat_words FROM raw LEFT JOIN cover USING (rid)),
+f AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM told),
+long AS ({" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS m, {v} AS value FROM f" for m, v in _SHARE.items())}),
+fine AS (SELECT lang, source, m, {_LOW} AS low, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
+{_level("own", "lang, source")},
+{_level("wide", "lang")},
+{_level("whole", "")},
+judged AS (SELECT l.rid, bool_and(value <= q3 + reach AND (l.m <> 'word_length' OR value >= q1 - reach)) AS inside FROM (SELECT l.rid, l.m, l.value,
+    CASE WHEN o.total >= 100 THEN o.q1 WHEN v.total >= 100 THEN v.q1 ELSE a.q1 END AS q1, CASE WHEN o.total >= 100 THEN o.q3 WHEN v.total >= 100 THEN v.q3 ELSE a.q3 END AS q3,
+    greatest(3 * (CASE WHEN o.total >= 100 THEN o.q3 - o.q1 WHEN v.total >= 100 THEN v.q3 - v.q1 ELSE a.q3 - a.q1 END), CASE l.m {" ".join(f"WHEN '{m}' THEN {least}" for m, (_, _, least) in _MEASURES.items())} END) AS reach
+  FROM long l LEFT JOIN own o ON o.m = l.m AND o.lang IS NOT DISTINCT FROM l.lang AND o.source IS NOT DISTINCT FROM l.source
+  LEFT JOIN wide v ON v.m = l.m AND v.lang IS NOT DISTINCT FROM l.lang LEFT JOIN whole a ON a.m = l.m) l GROUP BY l.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept FROM f LEFT JOIN judged USING (rid)"""

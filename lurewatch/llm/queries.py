@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, oracles, quality, sharding, toxicity, urlfilter
+from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, oracles, periodic, quality, qualityrules, sharding, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -89,6 +89,38 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def _with_period(text: Column, doc_id: Column) -> Column:
+    """The text, in which one document of ten goes on with the period that its id's checksum sets from a word on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        a = (g % F.size(w)).cast("int")
+        rest = F.size(w) - a
+        p = (1 + F.floor(rest / (3 + g % 8))).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")
+
+    own_words = F.transform(F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))[0]
+    return F.when(h % 10 == 0, own_words).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document: their number, the longest, digests of all and of the collapsed text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_period(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    found = periodic.with_runs(docs).select("doc_id", "runs", "collapsed", periodic.longest_run(F.col("runs")).alias("most"))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period", F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether it is inside the fences of its language and source."""
+    return qualityrules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_cube_mixing": op10_cube_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filter": oracles.OP4, "op6_chat_format": oracles.OP6, "op7_line_dedup": oracles.OP7}
+ORACLES: dict[str, str] = {"op4_url_filter": oracles.OP4, "op6_chat_format": oracles.OP6, "op7_line_dedup": oracles.OP7, "op13_quality_rules": oracles.OP13}
