@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -28,3 +29,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *by: str, name: str = "nth") -> DataFrame:
+    """``df`` with row numbers from 0 on in the order ``by`` (SQL expressions, nulls first; append DESC for the reverse).
+
+    Ranges of the order are sorted and written, each task one; a range's rows are then counted after the rows of the ranges
+    before it. So no task sees more than a range, and what is sent to all tasks is one number for each of them. Rows that are
+    equal in ``by`` are in input order, which also spreads many equal rows over several ranges.
+    """
+    order = [(e[:-5], False) if e.upper().endswith(" DESC") else (e, True) for e in by]
+    rows = df.select(F.struct(*df.columns).alias("row"), *(F.expr(e).alias(f"key{i}") for i, (e, _) in enumerate(order)), F.monotonically_increasing_id().alias("at"))
+    keys = [F.col(f"key{i}").asc_nulls_first() if up else F.col(f"key{i}").desc_nulls_last() for i, (_, up) in enumerate(order)]
+    ranged = rows.repartitionByRange(*keys, "at").sortWithinPartitions(*keys, "at")
+    held = written(ranged.select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("at")), "ranges")
+    counts = held.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return held.join(F.broadcast(offsets), F.col("part") == F.col("p")).select("row.*", (F.col("offset") + F.col("at")).alias(name))
