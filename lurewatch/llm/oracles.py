@@ -94,3 +94,49 @@ judged AS (SELECT l.rid, bool_and(value <= q3 + reach AND (l.m <> 'word_length'
   FROM long l LEFT JOIN own o ON o.m = l.m AND o.lang IS NOT DISTINCT FROM l.lang AND o.source IS NOT DISTINCT FROM l.source
   LEFT JOIN wide v ON v.m = l.m AND v.lang IS NOT DISTINCT FROM l.lang LEFT JOIN whole a ON a.m = l.m) l GROUP BY l.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept FROM f LEFT JOIN judged USING (rid)"""
+
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({{0}}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: {_BIT})), 4294967295)"
+_FORCED = {0: 2, 1: 2, 2: 3, 3: 2}
+_NAME = {2: "user", 3: "assistant"}
+
+
+def _moves() -> str:
+    """Edits of a row after up to two inserts, as (state, letters, cost, state after, rows in front, role, first letter needed)."""
+    rows = []
+    for q in range(4):
+        at, front = q, ""
+        for k in range(3):
+            kept = {("s", 0): 1, ("u", 0): 2, ("u", 1): 2, ("u", 3): 2, ("a", 2): 3}
+            ins = "I" * k
+            rows.append(f"({q}, '{ins}D', {3 * k + 4}, {at}, '{front}', NULL, NULL)")
+            rows.append(f"({q}, '{ins}R', {3 * k + 3}, {_FORCED[at]}, '{front}', '{_NAME[_FORCED[at]]}', NULL)")
+            rows += [f"({q}, '{ins}K', {3 * k}, {to}, '{front}', NULL, '{first}')" for (first, state), to in kept.items() if state == at]
+            at = _FORCED[at]
+            front += f"~{_NAME[at]}:"
+    return ", ".join(rows)
+
+
+#: A forward search that keeps, for each state, the cheapest edits and of these the least letters.
+OP11 = rf"""WITH RECURSIVE moves(q, letters, paid, q2, front, new_role, needs) AS (VALUES {_moves()}),
+ends(q, letters, paid, front) AS (VALUES (0, '', 0, ''), (3, '', 0, ''), (2, 'I', 3, '~assistant:'), (1, 'II', 6, '~user:~assistant:')),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, (VALUES (1), (2)) AS t(copy) WHERE hit <> 0 AND (copy = 1 OR hit = 3)),
+o AS (SELECT *, row_number() OVER own AS i, lag(substr(role, 1, 1)) OVER own || substr(role, 1, 1) AS two
+  FROM r WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
+dp(conv_id, i, q, cost, audit, said) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, '', '' FROM f
+  UNION ALL SELECT f.conv_id, f.i, q2, CAST(min(lpad(CAST(cost + paid + more AS VARCHAR), 9, '0') || audit || letters)[1:9] AS INT), min(lpad(CAST(cost + paid + more AS VARCHAR), 9, '0') || audit || letters)[10:],
+    arg_min(said || replace(front, '~', chr(10)) || CASE WHEN right(letters, 1) = 'D' THEN '' ELSE chr(10) || coalesce(new_role, role) || ':' || text END, lpad(CAST(cost + paid + more AS VARCHAR), 9, '0') || audit || letters)
+  FROM dp JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS cut FROM f) f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1
+  JOIN moves m ON m.q = dp.q AND (needs IS NULL OR needs = substr(role, 1, 1)) AND (right(letters, 1) = 'D' OR fault NOT IN ('blank', 'duplicate')),
+  LATERAL (SELECT CASE WHEN right(letters, 1) = 'D' THEN 0 ELSE cut END AS more) GROUP BY f.conv_id, f.i, q2),
+done AS (SELECT dp.conv_id, min(lpad(CAST(cost + paid AS VARCHAR), 9, '0') || audit || letters) AS best, arg_min(said || replace(front, '~', chr(10)), lpad(CAST(cost + paid AS VARCHAR), 9, '0') || audit || letters) AS said
+  FROM dp JOIN (SELECT conv_id, max(i) AS rows FROM f GROUP BY ALL) m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.rows = dp.i JOIN ends e ON e.q = dp.q GROUP BY dp.conv_id),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best[1:9], '0') AS BIGINT) AS cost, coalesce(best[10:], '') AS audit, sha256(coalesce(said[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id"""

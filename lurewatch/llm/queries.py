@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, oracles, periodic, quality, qualityrules, sharding, toxicity, urlfilter
+from . import chatformat, decontam, fingerprint, linededup, mixing, neardup, oracles, periodic, quality, qualityrules, repair, sharding, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -89,6 +89,26 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows, some of which are dropped, emptied, cut, repeated or given to the user by the checksum of conv_id and turn."""
+    plain = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("hit") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    left = plain.withColumn("hit", hit).where("hit != 0")
+    return left.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired digest of every conversation after damage."""
+    rows = table(spark, sf_dir, "conversations")
+    repaired = repair.repair_conversations(damaged(rows)).withColumnRenamed("conv_id", "r_id")
+    blank = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    every = rows.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("r_id")), "left")
+    return every.select("conv_id", *(F.coalesce(c, blank.get(c, F.lit(0).cast("long"))).alias(c) for c in repaired.columns[1:]))
+
+
 def _with_period(text: Column, doc_id: Column) -> Column:
     """The text, in which one document of ten goes on with the period that its id's checksum sets from a word on."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -132,8 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_cube_mixing": op10_cube_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op4_url_filter": oracles.OP4, "op6_chat_format": oracles.OP6, "op7_line_dedup": oracles.OP7, "op13_quality_rules": oracles.OP13}
+ORACLES: dict[str, str] = {"op4_url_filter": oracles.OP4, "op6_chat_format": oracles.OP6, "op7_line_dedup": oracles.OP7, "op11_conversation_repair": oracles.OP11, "op13_quality_rules": oracles.OP13}
