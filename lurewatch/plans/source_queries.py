@@ -13,7 +13,7 @@ from ..operators import datasets as ds
 from ..operators import memory as mem
 from ..operators import threats as th
 from ..registry import query
-from ..sources import feeds
+from ..sources import feeds, versions
 from ..streaming.jobs import safe_votes
 from ..tables import shared_dir
 
@@ -158,13 +158,21 @@ def _(s, d):
     return mem.unsafe_state(run(s, d, _UNSAFE.replace("sha256(url)", "sha2(url, 256)"), fx_url_events=fixture(s, d, "fx_url_events")))
 
 
-@query("k1_replace_sources", with_fixtures("SELECT value, tag, source FROM fx_indicators WHERE source = 'feed_m' UNION ALL SELECT 'new.example', 'n', 'feed_d'", "fx_indicators"))
+_TAGGED = "SELECT value AS indicator, tag, source FROM fx_indicators WHERE tag <> ''"
+
+
+@query("k1_replace_sources", with_fixtures(f"""WITH t AS (SELECT 'threats' AS tbl, value AS indicator, '' AS tag, source FROM fx_indicators UNION SELECT 'tags', indicator, tag, source FROM ({_TAGGED}))
+SELECT * FROM t WHERE source = 'feed_m' UNION ALL SELECT tbl, concat('new.', indicator), tag, 'feed_d' FROM t WHERE source = 'feed_u'""", "fx_indicators"))
 def _(s, d):
-    path = _path(s, "threats")
-    first = fixture(s, d, "fx_indicators").select("value", "tag", "source")
-    feeds.replace_sources(first, path)
-    feeds.replace_sources(s.createDataFrame([("new.example", "n", "feed_d")], "value string, tag string, source string"), path, ["feed_d", "feed_u"])
-    return s.read.schema(first.schema).parquet(path).select("value", "tag", "source")
+    root = _path(s, "threats")
+    rows = fixture(s, d, "fx_indicators").select(F.col("value").alias("indicator"), "tag", "source")
+    both = lambda df: {"threats": df.select("indicator", "source").distinct(), "tags": df.where("tag != ''").distinct()}
+    versions.replace(s, root, both(rows), ["feed_u", "feed_d", "feed_m"])
+    new = rows.where("source = 'feed_u'").select(F.concat(F.lit("new."), "indicator").alias("indicator"), "tag", F.lit("feed_d").alias("source"))
+    versions.replace(s, root, both(new), ["feed_d", "feed_u"])
+    versions.vacuum(s, root)
+    parts = [versions.read(s, root, t, "indicator string, tag string, source string" if t == "tags" else "indicator string, source string").withColumn("tbl", F.lit(t)) for t in ("threats", "tags")]
+    return parts[0].withColumn("tag", F.lit("")).unionByName(parts[1]).select("tbl", "indicator", "tag", "source")
 
 
 _UNION = " UNION ALL ".join(f"SELECT value, {_SAYS[k][1][0]} AS indicator_type, {_SAYS[k][1][5]} AS tag, '{k}' AS source FROM fx_indicators WHERE {_SAYS[k][0]}" for k in ("hosts", "plain", "tweetfeed"))

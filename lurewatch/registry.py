@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from .plans import catalogue_queries, identity_queries, message_queries, registry_queries, source_queries, supply_queries, table_queries  # noqa: E402, F401
+from .plans import catalogue_queries, identity_queries, message_queries, registry_queries, source_queries, stream_queries, supply_queries, table_queries  # noqa: E402, F401

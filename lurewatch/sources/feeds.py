@@ -199,18 +199,3 @@ def feed_registry(spark: SparkSession, feeds: list[tuple[str, str, str, str, str
 def read_all_feeds(spark: SparkSession, landed: list[tuple[str, str, str, str, str]]) -> DataFrame:
     """Rows of all landed feeds (source, format, threat_type, default_type, path), one after another."""
     return reduce(DataFrame.unionByName, [read_feed(spark, path, kind, source, threat, default) for source, kind, threat, default, path in landed])
-
-
-def replace_sources(threats: DataFrame, path: str, sources: list[str] | None = None) -> None:
-    """Replace the partitions of the sources present, all at once; other sources stay.
-
-    ``sources`` names all that were loaded: those among them without rows are emptied too.
-    """
-    threats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
-    if sources is None:
-        return
-    spark = threats.sparkSession
-    filled = {r.source for r in threats.select("source").distinct().collect()}  # as many as there are feeds
-    for source in set(sources) - filled:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/source={source}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

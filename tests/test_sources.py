@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import itertools
 import json
 import tarfile
 import zipfile
@@ -9,7 +10,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lurewatch.sources import feeds
+from lurewatch import files
+from lurewatch.sources import feeds, versions
 
 HAUS = {"1": [{"url": "http://a.example/x", "dateadded": "2024-01-01", "last_online": None, "urlhaus_link": "l", "tags": ["t1", "t2"]}], "2": [{"url": "http://b.example/y", "tags": None}]}
 
@@ -73,7 +75,37 @@ def test_lists(spark, tmp_path):
 
 
 def test_replace_keeps_other_sources(spark, tmp_path):
-    df = spark.createDataFrame([("a", "s1"), ("b", "s2")], "value string, source string")
-    feeds.replace_sources(df, str(tmp_path / "t"))
-    feeds.replace_sources(df.where("source = 's1'").withColumn("value", F.lit("new")), str(tmp_path / "t"))
-    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["b", "new"]
+    root = str(tmp_path / "t")
+    rows = lambda *r: {"threats": spark.createDataFrame(list(r), "value string, source string"), "tags": spark.createDataFrame([(v + "!", s) for v, s in r], "value string, source string")}
+    now = lambda: [sorted((r.value, r.source) for r in versions.read(spark, root, t, "value string, source string").collect()) for t in ("threats", "tags")]
+    assert now() == [[], []]
+    versions.replace(spark, root, rows(("a", "s1"), ("b", "s/2 =ü")), ["s1", "s/2 =ü"])
+    versions.replace(spark, root, rows(("new", "s1"), ("other", "not loaded")), ["s1"])
+    assert now() == [[("b", "s/2 =ü"), ("new", "s1")], [("b!", "s/2 =ü"), ("new!", "s1")]]
+    versions.replace(spark, root, rows(), ["s1"])
+    assert now() == [[("b", "s/2 =ü")], [("b!", "s/2 =ü")]]
+    assert len(versions.vacuum(spark, root)) == 1 and now() == [[("b", "s/2 =ü")], [("b!", "s/2 =ü")]]
+
+
+def test_a_crash_between_any_two_steps_leaves_old_or_new_rows(spark, tmp_path, monkeypatch):
+    calls = {"write": files.write, "move_over": files.move_over, "names": files.names}
+    for name, old, after in itertools.product(calls, (True, False), (True, False)):
+        root = str(tmp_path / f"{name}-{old}-{after}")
+        rows = lambda v: {"threats": spark.createDataFrame([(v, "s")], "value string, source string"), "tags": spark.createDataFrame([(v, "s")], "value string, source string")}
+        if old:
+            versions.replace(spark, root, rows("old"), ["s"])
+
+        def crash(*a, real=calls[name], after=after):
+            if after:
+                real(*a)
+            raise OSError("lost")
+
+        with monkeypatch.context() as m, pytest.raises(OSError, match="lost"):
+            m.setattr(files, name, crash)
+            versions.replace(spark, root, rows("new"), ["s"])
+        got = [[r.value for r in versions.read(spark, root, t, "value string, source string").collect()] for t in ("threats", "tags")]
+        assert got[0] == got[1] and got[0] in ([["old"]] if old else [[]]) + [["new"]]
+        assert (got[0] == ["new"]) == (name == "move_over" and after)
+        versions.replace(spark, root, rows("again"), ["s"])
+        versions.vacuum(spark, root)
+        assert [r.value for r in versions.read(spark, root, "tags", "value string, source string").collect()] == ["again"]
