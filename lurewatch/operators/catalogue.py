@@ -132,9 +132,9 @@ def write_results(scored: DataFrame, path: str) -> None:
     scored.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
-def write_catalogue(brands: DataFrame, path: str) -> None:
-    """The catalogue as documents of brand to domains, in partitions of the table's own."""
-    part = F.pmod(F.xxhash64("brand"), F.lit(max(1, brands.count() // 10_000)))
+def write_catalogue(brands: DataFrame, path: str, most: int = 10_000) -> None:
+    """The catalogue as documents of brand to domains, each of about ``most`` brands."""
+    part = F.pmod(F.xxhash64("brand"), F.lit(max(1, brands.count() // most)))
     body = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("brand", "official_domains")))))
     brands.groupBy("brand").agg(F.max("official_domains").alias("official_domains")).groupBy(part.alias("part")).agg(body.alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 

@@ -178,6 +178,13 @@ def _(s, d):
     return feeds.read_brand_catalog(s, path).select("brand", F.array_join("official_domains", ",").alias("domains"))
 
 
+@query("s19_brand_order", f"WITH {_BOUND_SQL}, b AS (SELECT 'Brand ' || regexp_extract(brand_key, '[0-9]+') || ' Co.' AS brand FROM catalogue) SELECT brand, CAST(row_number() OVER (ORDER BY brand) - 1 AS INT) AS brand_ord FROM (SELECT DISTINCT brand FROM b)")
+def _(s, d):
+    path = _path(s, "catalogue")
+    cat.write_catalogue(_sorted_catalogue(s, d), path, most=100)
+    return feeds.read_brand_catalog(s, path).select("brand", "brand_ord")
+
+
 @query("k10_k12_result_lines", "SELECT doc_id AS id, quality > 0 AS expected_unsafe, 'm' || toxic AS message FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL")
 def _(s, d):
     rows = run(s, d, "SELECT CAST(doc_id AS STRING) AS id, quality > 0 AS expected_unsafe, concat('m', CAST(toxic AS STRING)) AS message FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL")

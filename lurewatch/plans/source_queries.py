@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import tarfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +19,9 @@ from ..operators import datasets as ds
 from ..operators import memory as mem
 from ..operators import threats as th
 from ..registry import query
-from ..sources import feeds, versions
+from ..sources import archives, feeds, versions
 from ..streaming.jobs import safe_votes
-from ..tables import shared_dir
+from ..tables import numbered, shared_dir
 
 ROWS_PER_FILE = 500
 
@@ -41,6 +47,35 @@ def land_documents(items: DataFrame, name: str, head: str, between: str, tail: s
     return path
 
 
+def land_files(rows: DataFrame, name: str) -> str:
+    """(file, member, content) as files: members of one .zip or .tar.gz file, which a task writes, or files of their own."""
+    path = _path(rows.sparkSession, name)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = archives.store(path)
+        where.create_dir(folder, recursive=True)
+        each = ((r["file"], r["member"], r["content"].encode()) for b in batches for r in b.to_pylist())
+        for file, group in itertools.groupby(each, key=lambda r: r[0]):
+            with where.open_output_stream(f"{folder}/{file}", compression=None) as out:
+                if file.endswith(".zip"):
+                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                        for _, member, content in group:
+                            z.writestr(member, content)
+                elif file.endswith(".tar.gz"):
+                    with tarfile.open(fileobj=out, mode="w|gz") as t:
+                        for _, member, content in group:
+                            info = tarfile.TarInfo(member)
+                            info.size = len(content)
+                            t.addfile(info, io.BytesIO(content))
+                else:
+                    for _, _, content in group:
+                        out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
+
+    rows.repartition("file").sortWithinPartitions("file", "member").mapInArrow(pack, "file string").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def _indicators(s: SparkSession, d: str) -> DataFrame:
     return fixture(s, d, "fx_indicators").withColumn("k", F.monotonically_increasing_id())
 
@@ -104,6 +139,60 @@ for _kind, _number in (("urlhaus_json", "s1"), ("phishunt", "s3"), ("string_arra
     _feed_query(_kind, _number)
 
 
+def _packed(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """The url indicators as members of three archives, two members each: JSON documents for zip, lines for tar.gz."""
+    rows = _indicators(s, d).where("indicator_type = 'url'")
+    item = F.to_json(F.array(F.struct(F.col("value").alias("url"), F.col("first_seen").alias("dateadded"), F.array("tag").alias("tags")))) if kind == "zip" else F.col("value")
+    item = F.concat(F.lit('"'), F.col("k").cast("string"), F.lit('": '), item) if kind == "zip" else item
+    place = [F.concat((F.col("k") % 3).cast("string"), F.lit(f".{kind}")).alias("file"), F.concat(F.lit("d/m"), (F.col("k") % 2).cast("string")).alias("member")]
+    body = F.array_sort(F.collect_list(item))
+    content = F.concat(F.lit("{"), F.array_join(body, ",\n"), F.lit("}")) if kind == "zip" else F.concat(F.lit("# head\n\n"), F.array_join(body, "\r\n"))
+    return rows.groupBy(*place).agg(content.alias("content"))
+
+
+_URLS = "SELECT value, 'url' AS indicator_type, 'phishing' AS threat_type, 'packed' AS source, {0} AS first_seen, {1} AS tag FROM fx_indicators WHERE indicator_type = 'url'"
+_SHAPE = ("value", "indicator_type", "threat_type", "source", "first_seen", "tag")
+
+
+@query("s2_urlhaus_zip", with_fixtures(_URLS.format("first_seen", "tag"), "fx_indicators"))
+def _(s, d):
+    return feeds.read_feed(s, land_files(_packed(s, d, "zip"), "zip"), "urlhaus_zip", "packed").select(*_SHAPE)
+
+
+@query("s14_targz", with_fixtures(_URLS.format("NULL", "''"), "fx_indicators"))
+def _(s, d):
+    return feeds.read_feed(s, land_files(_packed(s, d, "tar.gz"), "targz"), "targz", "packed").select(*_SHAPE)
+
+
+#: Twelve event files, of which a listing names some: one twice, one that is missing, and more than its rule reads.
+_LISTED = {"misp_dir": [3, 1, 99, 1, 4, 5, 0, 7, 8], "misp_manifest": [*range(9), 99, 2, *range(20, 60), 11, 10]}
+
+
+def _listing(kind: str) -> str:
+    if kind == "misp_dir":
+        return "".join(f"<a href={q}e{n}.json{q}>e</a><a href='other.txt'></a>\n" for n, q in zip(_LISTED[kind], '"\'' * 9, strict=False))
+    return "[" + ", ".join(f'{{"uuid": "e{n}", "id": 7}}' if n % 2 else f'{{"id": "e{n}"}}' for n in _LISTED[kind]) + "]"
+
+
+def _listed_query(kind: str, number: str) -> None:
+    times = f"(VALUES {', '.join(f'({n})' for n in _LISTED[kind][: feeds.MOST_LISTED[kind]])}) AS t(n)"
+    sql = f"SELECT value, indicator_type, confidence FROM fx_indicators JOIN {times} ON n = length(value) % 12"
+
+    @query(f"{number}_{kind}", with_fixtures(sql, "fx_indicators"))
+    def _(s: SparkSession, d: str, kind: str = kind) -> DataFrame:
+        typ = F.when(F.col("indicator_type") == "url", "url").otherwise("domain")
+        item = F.struct(typ.alias("type"), "value", F.concat(F.lit("confidence level: "), F.col("confidence").cast("string"), F.lit("%")).alias("comment"))
+        name = F.concat(F.lit("e"), (F.length("value") % 12).cast("string"), F.lit(".json"))
+        events = fixture(s, d, "fx_indicators").groupBy(name.alias("file")).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("Attribute")).alias("Event"))).alias("content"))
+        folder = land_files(events.withColumn("member", F.lit("")), kind)
+        listing = land_files(s.createDataFrame([("listing", "", _listing(kind))], "file string, member string, content string"), f"{kind}-list")
+        return feeds.read_listed(s, listing, folder, kind, kind).select("value", "indicator_type", "confidence")
+
+
+_listed_query("misp_dir", "s10")
+_listed_query("misp_manifest", "s11")
+
+
 _KNOWN = f"feeds(source, format, threat_type, default_type, enabled) AS (VALUES {', '.join('(' + ', '.join([repr(n), repr(f), repr(kinds), repr(k), str(on).lower()]) + ')' for n, _, f, kinds, k, on in feeds.FEEDS)})"
 
 
@@ -130,9 +219,10 @@ _CASES = "SELECT concat('c', lpad(CAST(event_id AS STRING), 12, '0')) AS id, eve
 @query("s23_w11_cases", f"SELECT id, expected_unsafe, message FROM ({_CASES}) WHERE message IS NOT NULL ORDER BY id LIMIT 300 OFFSET 20")
 def _(s, d):
     rows = run(s, d, _CASES)
-    lines = rows.select(F.to_json(F.struct("id", "expected_unsafe", "message")).alias("value"))
-    noise = s.createDataFrame([("# comment",), ("",)], "value string")
-    return feeds.read_cases(s, land_lines(lines.unionByName(noise), "cases"), 20, 300)
+    lines = rows.where("message IS NOT NULL").select("id", F.to_json(F.struct("id", "expected_unsafe", "message")).alias("value"))
+    noise = s.createDataFrame([("", "# comment"), ("c1", ""), ("d", "# end")], "id string, value string")
+    ordered = lines.unionByName(noise).repartitionByRange(4, "id").sortWithinPartitions("id")
+    return feeds.read_cases(s, land_lines(ordered.select("value"), "cases"), 20, 300)
 
 
 _ASKED = "SELECT doc_id, quality * 60 AS a, toxic * 45 AS b, CASE WHEN doc_id % 4 > 0 THEN doc_id % 2 = 0 END AS expected_unsafe FROM labels"
@@ -190,7 +280,8 @@ _NEW = "SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS domain
 
 @query("u2_learned_brands", f"WITH n AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS ord FROM ({_NEW})) SELECT concat('New ', domain) AS brand, CAST({len(b.DEFAULT_BRANDS)} + ord AS INT) AS brand_ord FROM n UNION ALL SELECT brand, brand_ord FROM (VALUES {', '.join(f'({i}, {n!r})' for i, (n, _) in enumerate(b.DEFAULT_BRANDS))}) AS v(brand_ord, brand)")
 def _(s, d):
-    learned = run(s, d, f"SELECT concat('New ', domain) AS brand, array(domain) AS official_domains, CAST(row_number() OVER (ORDER BY domain) - 1 AS INT) AS ord FROM ({_NEW}) n")
+    domains = numbered(run(s, d, _NEW), "domain", name="ord")
+    learned = domains.select(F.concat(F.lit("New "), "domain").alias("brand"), F.array("domain").alias("official_domains"), "ord")
     return b.with_learned(b.default_brands(s), learned).select("brand", F.col("brand_ord").cast("int").alias("brand_ord"))
 
 

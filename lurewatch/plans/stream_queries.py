@@ -13,7 +13,7 @@ from ..operators import queue as q
 from ..operators import threats as th
 from ..registry import ORACLES, QUERIES, query
 from ..sources import versions
-from ..streaming import jobs, sinks
+from ..streaming import jobs, reputation, sinks
 from ..tables import shared_dir
 from .source_queries import _SAYS, _indicators, land_feed
 from .table_queries import _ev, _events
@@ -87,3 +87,19 @@ def _(s, d):
     jobs.refresh_stream(s.readStream.schema(columns).parquet(landed), root, _place(s, "checkpoint")).awaitTermination()
     threats = versions.read(s, root, "threats", jobs.THREATS)
     return threats.select("indicator", "source").join(versions.read(s, root, "tags", jobs.TAGS), ["indicator", "source"], "left").select("indicator", "source", F.coalesce("tag", F.lit("")).alias("tag"))
+
+
+@query("t2_reputation_stream", f"SELECT domain, least(safe_users, 250) AS safe_users, bad_events, boost FROM ({ORACLES['g4_g5_domain_reputation']})")
+def _(s, d):
+    events, landed, out = _events(s, d), _place(s, "events"), _place(s, "reputation")
+    kind = F.when(F.col("verdict") == "good", "safe").when(F.col("verdict") == "bad", "unsafe")
+    rows = events.select("url", "user_id", kind.alias("kind"))
+    rows.repartition(2).write.parquet(landed)
+    before = s.conf.get(reputation.STORE[0])
+    s.conf.set(*reputation.STORE)
+    try:
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+        reputation.reputation_stream(stream, out, _place(s, "checkpoint")).awaitTermination()
+    finally:
+        s.conf.set(reputation.STORE[0], before)
+    return reputation.read_reputation(s, out)

@@ -3,16 +3,15 @@ one row per tag, with an empty tag where there is none."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import files
+from ..tables import numbered
+from .archives import read_archive
+
 # MISP attribute types that are indicators.
 MISP_TYPES = {"url": "url", "domain": "domain", "ip-dst": "ip", "ip-src": "ip"}
 
@@ -33,37 +32,28 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line"))
 
 
-def _urlhaus(texts: DataFrame, source: str, threat: str) -> DataFrame:
-    entry = "struct<url:string,dateadded:string,last_online:string,urlhaus_link:string,tags:array<string>>"
-    e = texts.select(F.explode(F.map_values(F.from_json("value", f"map<string,array<{entry}>>"))).alias("l")).select(F.explode("l").alias("e")).select("e.*")
-    return _shaped(e, source, threat, F.col("url"), "url", F.col("urlhaus_link"), F.col("dateadded"), F.col("last_online"), None, F.col("tags"))
+_HAUS = "struct<url:string,dateadded:string,last_online:string,urlhaus_link:string,tags:array<string>>"
 
 
-def _members(spark: SparkSession, path: str, unpack: Callable[[bytes], Iterator[bytes]]) -> DataFrame:
-    """Members of archives as text rows; an archive is one row, read in its task."""
+def _urlhaus(lists: DataFrame, source: str, threat: str) -> DataFrame:
+    """Rows of lists of entries (column l)."""
+    e = lists.select(F.explode("l").alias("e")).select("e.*")
+    return _shaped(e, source, threat, F.col("url"), "url", F.col("urlhaus_link"), F.col("dateadded"), F.col("last_online"), None, F.col("tags"))
 
-    def open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                for member in unpack(content):
-                    yield pa.RecordBatch.from_arrays([pa.array([member.decode("utf-8", "replace")])], names=["value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(open_all, "value string")
+def _plain(lines: DataFrame, source: str, threat: str, kind: str) -> DataFrame:
+    kept = lines.where("line != '' and not startswith(line, '#') and not startswith(line, '!')")
+    return _shaped(kept, source, threat, F.col("line"), kind)
 
 
-def _unzip(content: bytes) -> Iterator[bytes]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        yield from (z.read(n) for n in z.namelist() if not n.endswith("/"))
+_EVENT = "Event struct<Attribute:array<struct<type:string,value:string,comment:string,timestamp:string>>>"
 
 
-def _untar(content: bytes) -> Iterator[bytes]:
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as t:
-        yield from (t.extractfile(m).read() for m in t if m.isfile())
-
-
-def _plain(lines: DataFrame, source: str, threat: str, kind: str) -> DataFrame:
-    kept = lines.where("line != '' and not startswith(line, '#') and not startswith(line, '!')")
-    return _shaped(kept, source, threat, F.col("line"), kind)
+def _misp(events: DataFrame, source: str, threat: str) -> DataFrame:
+    a = events.select(F.explode("Event.Attribute").alias("a")).select("a.*").where(F.col("type").isin(*MISP_TYPES))
+    names = F.create_map(*[F.lit(x) for kv in MISP_TYPES.items() for x in kv])
+    level = F.expr("try_cast(nullif(regexp_extract(comment, 'confidence level: *([0-9]+)%', 1), '') as int)")
+    return _shaped(a, source, threat, F.col("value"), names[F.col("type")], None, F.col("timestamp"), None, level)
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,9 +64,9 @@ def read_feed(spark: SparkSession, path: str, kind: str, source: str, threat: st
     """Rows of one landed feed of the named format."""
     c = F.col
     if kind == "urlhaus_json":
-        return _urlhaus(_whole(spark, path), source, threat)
+        return _urlhaus(_whole(spark, path).select(F.explode(F.map_values(F.from_json("value", f"map<string,array<{_HAUS}>>"))).alias("l")), source, threat)
     if kind == "urlhaus_zip":
-        return _urlhaus(_members(spark, path, _unzip), source, threat)
+        return _urlhaus(read_archive(spark, path, "entries").select(F.from_json("value", f"array<{_HAUS}>").alias("l")), source, threat)
     if kind == "phishunt":
         df = _json(spark, path, "url string, date string, company string, country string, asn string")
         return _shaped(df, source, threat, c("url"), "url", None, c("date"), None, None, F.array("company", "country", "asn"))
@@ -97,19 +87,14 @@ def read_feed(spark: SparkSession, path: str, kind: str, source: str, threat: st
         df = _json(spark, path, "url string, phish_detail_url string, submission_time string, verification_time string, target string")
         return _shaped(df, source, threat, c("url"), "url", c("phish_detail_url"), c("submission_time"), c("verification_time"), None, F.array("target"))
     if kind in ("misp", "misp_dir", "misp_manifest"):
-        df = _json(spark, path, "Event struct<Attribute:array<struct<type:string,value:string,comment:string,timestamp:string>>>")
-        a = df.select(F.explode("Event.Attribute").alias("a")).select("a.*").where(c("type").isin(*MISP_TYPES))
-        names = F.create_map(*[F.lit(x) for kv in MISP_TYPES.items() for x in kv])
-        level = F.expr("try_cast(nullif(regexp_extract(comment, 'confidence level: *([0-9]+)%', 1), '') as int)")
-        return _shaped(a, source, threat, c("value"), names[c("type")], None, c("timestamp"), None, level)
+        return _misp(_json(spark, path, _EVENT), source, threat)
     if kind == "hosts":
         df = _lines(spark, path).select(F.regexp_extract("line", r"^(?:0\.0\.0\.0|127\.0\.0\.1) +(\S+)", 1).alias("v"))
         return _shaped(df, source, threat, c("v"), "domain")
     if kind == "plain":
         return _plain(_lines(spark, path), source, threat, default_type)
     if kind == "targz":
-        lines = _members(spark, path, _untar).select(F.explode(F.split("value", "\r?\n")).alias("line")).select(F.trim("line").alias("line"))
-        return _plain(lines, source, threat, default_type)
+        return _plain(read_archive(spark, path).select(F.trim("value").alias("line")), source, threat, default_type)
     if kind == "viriback_csv":
         df = spark.read.option("header", True).csv(path)
         a, b, d = df.columns[0], df.columns[1], df.columns[3]
@@ -120,14 +105,36 @@ def read_feed(spark: SparkSession, path: str, kind: str, source: str, threat: st
     raise ValueError(f"unknown feed format {kind!r}")
 
 
-def manifest_names(spark: SparkSession, path: str, kind: str, most: int) -> DataFrame:
-    """(name) of the event files that an index page (first ``most`` .json links) or a manifest (first ``most`` entries) lists."""
+#: How many links of an index page, or entries of a manifest, are read.
+MOST_LISTED = {"misp_dir": 7, "misp_manifest": 50}
+
+
+def manifest_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(at, name) of the event files that an index page (its .json links) or a manifest (entries with a uuid, or else an id) lists.
+
+    Only the first MOST_LISTED links or entries count, one that is listed twice twice.
+    """
     text = _whole(spark, path)
     if kind == "misp_dir":
-        listed = text.select(F.posexplode(F.array_distinct(F.regexp_extract_all("value", F.lit(r'href="([^"]+\.json)"'), 1))).alias("at", "name"))
+        listed = text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"""href=["']([^"']+\.json)["']"""), 1)).alias("at", "name"))
     else:
-        listed = text.select(F.posexplode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("at", "id")).select("at", F.concat("id", F.lit(".json")).alias("name"))
-    return listed.where(F.col("at") < most).select("name")
+        entry = text.where("startswith(trim(value), '[')").select(F.posexplode(F.from_json("value", "array<variant>")).alias("at", "e"))
+        chosen = entry.select("at", F.coalesce(F.try_variant_get("e", "$.uuid", "variant"), F.try_variant_get("e", "$.id", "variant")).alias("id"))
+        listed = chosen.where(F.schema_of_variant("id") == "STRING").select("at", F.concat(F.variant_get("id", "$", "string"), F.lit(".json")).alias("name"))
+    return listed.where(F.col("at") < MOST_LISTED[kind])
+
+
+def read_listed(spark: SparkSession, listing: str, folder: str, kind: str, source: str, threat: str = "phishing") -> DataFrame:
+    """Rows of the landed event files in ``folder`` that the landed listing names; no other file is opened, missing ones are left out.
+
+    A listing names a few files by its rule, so their names go through the driver; files listed twice are read twice. Links are
+    names below ``folder``; the last part of a link to another place is looked up there.
+    """
+    names = [r.name.rpartition("/")[2] if r.name.startswith("http") else r.name for r in manifest_names(spark, listing, kind).orderBy("at").collect()]
+    there = [f"{folder}/{n}" for n in names if files.exists(spark, f"{folder}/{n}")]
+    rounds = [[p for i, p in enumerate(there) if there[:i].count(p) == k] for k in range(max(map(there.count, there), default=0))]
+    parts = [_misp(spark.read.schema(_EVENT).option("multiLine", True).option("mode", "FAILFAST").json(paths), source, threat) for paths in rounds]
+    return reduce(DataFrame.unionByName, parts) if parts else _misp(spark.createDataFrame([], _EVENT), source, threat)
 
 
 def read_rank_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -137,13 +144,17 @@ def read_rank_list(spark: SparkSession, path: str, limit: int | None = None) ->
 
 
 def read_brand_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(brand_ord, brand, official_domains) of a catalogue as a map (in key order) or an array (in its own)."""
-    v = _whole(spark, path)
-    as_map = v.where("startswith(trim(value), '{')").select(F.array_sort(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("e")).select(F.posexplode("e").alias("brand_ord", "e")).select("brand_ord", F.col("e.key").alias("brand"), F.col("e.value").alias("official_domains"))
+    """(brand_ord, brand, official_domains) of a catalogue of any number of files: maps in key order over all files, then arrays in
+    the order of their files and their own."""
+    v = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    as_map = v.where("startswith(trim(value), '{')").select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("brand", "official_domains"))
+    as_map = as_map.select(F.lit("").alias("file"), F.lit(0).alias("pos"), "brand", "official_domains")
     item = "array<struct<name:string,official_domains:array<string>,domains:array<string>>>"
-    as_list = v.where("startswith(trim(value), '[')").select(F.posexplode(F.from_json("value", item)).alias("brand_ord", "e")).select("brand_ord", F.col("e.name").alias("brand"), F.coalesce("e.official_domains", "e.domains").alias("official_domains"))
+    as_list = v.where("startswith(trim(value), '[')").select("file", F.posexplode(F.from_json("value", item)).alias("pos", "e"))
+    as_list = as_list.select("file", "pos", F.col("e.name").alias("brand"), F.coalesce("e.official_domains", "e.domains").alias("official_domains"))
     clean = lambda d: F.lower(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.trim(d), "^https?://", ""), "^[^/]*", 0), r"^(?:www\.)+", ""))
-    return as_map.unionByName(as_list).withColumn("official_domains", F.filter(F.transform("official_domains", clean), lambda d: d != ""))
+    both = as_map.unionByName(as_list).withColumn("official_domains", F.filter(F.transform("official_domains", clean), lambda d: d != ""))
+    return numbered(both, "file", "pos", "brand", name="brand_ord").select(F.col("brand_ord").cast("int").alias("brand_ord"), "brand", "official_domains")
 
 
 def read_favicon_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -152,12 +163,23 @@ def read_favicon_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """(id, expected_unsafe, message) of a JSONL file, blank and # lines and rows with a missing field left out."""
-    df = _lines(spark, path).where("line != '' and not startswith(line, '#')").select(F.from_json("line", "id string, expected_unsafe boolean, message string").alias("j")).select("j.*")
-    df = df.where("id is not null and expected_unsafe is not null and message is not null")
-    if offset or limit is not None:
-        df = df.orderBy("id").offset(offset)
-    return df if limit is None else df.limit(limit)
+    """(id, expected_unsafe, message) of JSONL files in the order of their lines, blank and # lines left out.
+
+    ``offset`` lines are skipped and ``limit`` lines are read after them; a line among these that is no JSON, or lacks a field
+    or has one of another type, is an error.
+    """
+    rows = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = numbered(rows.where("line != '' and not startswith(line, '#')"), "file", "start").where(F.col("nth") >= offset)
+    if limit is not None:
+        placed = placed.where(F.col("nth") < offset + limit)
+    parsed = placed.select("nth", F.try_parse_json("line").alias("v"))
+
+    def field(name: str, kind: str) -> Column:
+        part = F.try_variant_get("v", f"$.{name}", "variant")
+        fault = F.raise_error(F.concat(F.lit(f"no {name} in case "), F.col("nth").cast("string")))
+        return F.when(F.schema_of_variant(part) == kind.upper(), F.try_variant_get(part, "$", kind)).otherwise(fault).alias(name)
+
+    return parsed.select(field("id", "string"), field("expected_unsafe", "boolean"), field("message", "string"))
 
 
 # The feeds that are known, with their addresses; the last column tells those read by default.

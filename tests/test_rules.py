@@ -1,5 +1,8 @@
 """Rules without a SQL twin, on golden rows."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from lurewatch import registry  # noqa: F401 (the plans load through it)
@@ -198,10 +201,29 @@ def test_due_feeds_and_learned_brands(spark):
 
 
 def test_manifests(spark, tmp_path):
-    (tmp_path / "i.html").write_text('<a href="1.json">x</a><a href="x.txt"></a><a href="2.json"></a><a href="3.json"></a>')
-    assert sorted(r.name for r in feeds.manifest_names(spark, str(tmp_path / "i.html"), "misp_dir", 2).collect()) == ["1.json", "2.json"]
-    (tmp_path / "m.json").write_text('{"u1": {"info": "x"}, "u2": {"info": "y"}}')
-    assert sorted(r.name for r in feeds.manifest_names(spark, str(tmp_path / "m.json"), "misp_manifest", 50).collect()) == ["u1.json", "u2.json"]
+    (tmp_path / "i.html").write_text("""<a href="1.json">x</a><a href="x.txt"></a><a href='2.json'></a><a href="1.json"></a><a href=3.json></a><a href="http://a.example/d/4.json"></a>""" + '<a href="5.json"></a>' * 9)
+    names = lambda f, kind: [r.name for r in feeds.manifest_names(spark, str(tmp_path / f), kind).orderBy("at").collect()]
+    assert names("i.html", "misp_dir") == ["1.json", "2.json", "1.json", "http://a.example/d/4.json", *["5.json"] * 3]
+    (tmp_path / "m.json").write_text('[{"uuid": "u1", "id": "x"}, {"id": "u2"}, {"uuid": null, "id": "u3"}, {"uuid": 4}, "u5", {"info": 1}, ' + ", ".join('{"uuid": "u1"}' for _ in range(60)) + "]")
+    assert names("m.json", "misp_manifest") == ["u1.json", "u2.json", *["u1.json"] * 44]
+    (tmp_path / "map.json").write_text('{"u1": {"info": "x"}}')
+    assert names("map.json", "misp_manifest") == []
+
+
+def test_only_listed_files_are_opened(spark, tmp_path):
+    event = lambda v: json.dumps({"Event": {"Attribute": [{"type": "url", "value": v}]}})
+    (tmp_path / "i.html").write_text("<a href='1.json'></a><a href='2.json'></a><a href='1.json'></a><a href='gone.json'></a><a href='http://x.example/d/3.json'></a>")
+    for n in (1, 2, 3):
+        (tmp_path / f"{n}.json").write_text(event(f"http://{n}"))
+    (tmp_path / "broken.json").write_text("{broken")
+    rows = feeds.read_listed(spark, str(tmp_path / "i.html"), str(tmp_path), "misp_dir", "s")
+    assert sorted(r.value for r in rows.collect()) == ["http://1", "http://1", "http://2", "http://3"]
+    assert all("broken" not in f for f in rows.inputFiles())
+    (tmp_path / "i.html").write_text("<a href='gone.json'></a>")
+    assert feeds.read_listed(spark, str(tmp_path / "i.html"), str(tmp_path), "misp_dir", "s").count() == 0
+    (tmp_path / "i.html").write_text("<a href='broken.json'></a>")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        feeds.read_listed(spark, str(tmp_path / "i.html"), str(tmp_path), "misp_dir", "s").collect()
 
 
 def test_every_event_has_a_page_and_a_role_in_the_queue(spark):

@@ -68,12 +68,26 @@ def test_lists(spark, tmp_path):
     assert [(r.brand_ord, r.brand, r.official_domains) for r in feeds.read_brand_catalog(spark, str(tmp_path / "m.json")).orderBy("brand_ord").collect()] == [(0, "a", ["a.example"]), (1, "b", ["b.example"])]
     (tmp_path / "l.json").write_text(json.dumps([{"name": "z", "domains": ["z.example"]}]))
     assert feeds.read_brand_catalog(spark, str(tmp_path / "l.json")).first().official_domains == ["z.example"]
-    (tmp_path / "c.jsonl").write_text('# c\n\n{"id":"1","expected_unsafe":true,"message":"m"}\n{"id":"2"}\n')
-    assert feeds.read_cases(spark, str(tmp_path / "c.jsonl")).count() == 1
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "b.json").write_text(json.dumps([{"name": "B", "domains": []}, {"name": "A", "domains": []}]))
+    (tmp_path / "two" / "a.json").write_text(json.dumps([{"name": "Z", "domains": []}]))
+    (tmp_path / "two" / "m1.json").write_text(json.dumps({"k": [], "c": []}))
+    (tmp_path / "two" / "m0.json").write_text(json.dumps({"d": []}))
+    assert [(r.brand_ord, r.brand) for r in feeds.read_brand_catalog(spark, str(tmp_path / "two")).orderBy("brand_ord").collect()] == [*enumerate("cdkZBA")]
     (tmp_path / "h.json").write_text(json.dumps({"a": ["f" * 64, "short"]}))
     assert feeds.read_favicon_hashes(spark, str(tmp_path / "h.json")).count() == 1
 
 
+def test_cases_are_read_in_the_order_of_their_lines(spark, tmp_path):
+    case = lambda n, **more: json.dumps({"id": n, "expected_unsafe": n > "m", "message": f"m {n}"} | more)
+    (tmp_path / "c.jsonl").write_text("\n".join(["# head", case("z"), "", case("b"), " " + case("y"), "# note", case("a"), case("x", id=5), "{broken"]))
+    ids = lambda *a: [r.id for r in feeds.read_cases(spark, str(tmp_path / "c.jsonl"), *a).collect()]
+    assert sorted(ids(0, 4)) == ["a", "b", "y", "z"] and sorted(ids(1, 2)) == ["b", "y"] and ids(3, 1) == ["a"] and ids(9, 1) == []
+    for bad in (4, 5):
+        with pytest.raises(Exception, match="no id in case"):
+            ids(bad, 1)
+
+
 def test_replace_keeps_other_sources(spark, tmp_path):
     root = str(tmp_path / "t")
     rows = lambda *r: {"threats": spark.createDataFrame(list(r), "value string, source string"), "tags": spark.createDataFrame([(v + "!", s) for v, s in r], "value string, source string")}

@@ -1,12 +1,13 @@
 """Streams give at the end of their input what the batch gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.fixtures import fixture
 from lurewatch.operators import brands, queue, state, threats
 from lurewatch.plans.score import score_messages
 from lurewatch.sources import versions
-from lurewatch.streaming import jobs, sinks
+from lurewatch.streaming import jobs, reputation, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +127,28 @@ def test_feeds_are_replaced_when_they_land(spark, tmp_path):
         spark.createDataFrame(rows, columns).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.refresh_stream(spark.readStream.schema(columns).parquet(str(tmp_path / "in")), root, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.source, r.indicator) for r in versions.read(spark, root, "threats", jobs.THREATS).collect()) == [("a", "http://a.example/x"), ("b", "http://b.example/y")]
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(reputation.STORE[0])
+    spark.conf.set(*reputation.STORE)
+    yield
+    spark.conf.set(reputation.STORE[0], before)
+
+
+def test_reputation_has_the_boosts_of_the_batch_and_bounded_state(spark, tmp_path, rocks, monkeypatch):
+    rows = [(f"http://www.d{n}.example/{i}", f"user {i % (n + 1)}", "safe", i) for n in (0, 24, 30, 80) for i in range(2 * n + 3)]
+    rows += [(f"http://big.example/{i}", f"user {i}", "safe", i) for i in range(6000)]
+    rows += [("http://d80.example/x", None, "unsafe", 1), ("http://d0.example/x", " ", "safe", 1), ("http://d24.example/x", "u", "unknown", 1), (None, "u", "safe", 1)]
+    events = spark.createDataFrame(rows, "url string, user_id string, kind string, seen_at long")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = reputation.reputation_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    want = {r.domain: (min(r.safe_users, 250), r.bad_events, r.boost) for r in state.domain_reputation(events).where("domain is not null").collect()}
+    got = {r.domain: tuple(r)[1:] for r in reputation.read_reputation(spark, str(tmp_path / "out")).collect()}
+    assert got == {k: v for k, v in want.items() if v[0] or v[1]} and got["big.example"] == (250, 0, 15) and got["d80.example"][2] == 0
+    users = spark.read.format("statestore").option("stateVarName", "users").load(str(tmp_path / "cp"))
+    held = {(r.key.domain, r.key.part): r.n for r in users.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert max(held.values()) == 250 and sum(n for (domain, _), n in held.items() if domain == "big.example") == 16 * 250 < 6000
