@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,27 +57,61 @@ def _masks(most: int) -> list[int]:
     return [0, *one, *(two if most > 1 else []), *(three if most > 2 else [])]
 
 
+def _patterns(messages: DataFrame, side: str) -> DataFrame:
+    """Distinct bit patterns; messages of one pattern are one row, however many there are."""
+    return messages.select(F.col("simhash").alias(f"{side}_bits")).where("simhash is not null").distinct()
+
+
+def _near(met: DataFrame, most: int) -> DataFrame:
+    return met.withColumn("distance", F.bit_count(F.col("left_bits").bitwiseXOR(F.col("right_bits")))).where(F.col("distance") <= most)
+
+
 def hamming_pairs(messages: DataFrame, memory: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
-    """(left_hash, right_hash, distance) within ``most`` bits, by keys instead of all pairs.
+    """(left_bits, right_bits, distance) of the patterns within ``most`` bits, by keys instead of all pairs: every such pair.
 
     Of four 16-bit quarters one differs in at most most / 4 bits (3 here): the message side lists quarters with one
-    bit flipped, the memory side with two, so such a pair meets on a key. Exact for most up to 15.
+    bit flipped, the memory side with two, so such a pair meets on a key. Exact for most up to 15. About 4 % of all pairs of
+    unrelated patterns meet; ``lsh_pairs`` compares far fewer and loses up to 1 %.
     """
     if most >= 16:
         raise ValueError("the key scheme covers distances below 16")
 
     def keyed(df: DataFrame, flips: int, side: str) -> DataFrame:
-        band = F.posexplode(F.transform(F.array(F.lit(0), F.lit(16), F.lit(32), F.lit(48)), lambda s: F.call_function("shiftrightunsigned", F.col("simhash"), s).bitwiseAND(F.lit(0xFFFF)))).alias("band", "quarter")
+        band = F.posexplode(F.transform(F.array(F.lit(0), F.lit(16), F.lit(32), F.lit(48)), lambda s: F.call_function("shiftrightunsigned", F.col(f"{side}_bits"), s).bitwiseAND(F.lit(0xFFFF)))).alias("band", "quarter")
         flipped = F.explode(F.transform(F.array(*[F.lit(m) for m in _masks(flips)]), lambda m: F.col("quarter").bitwiseXOR(m.cast("bigint")))).alias("key")
-        return df.select(F.col("message_hash").alias(f"{side}_hash"), F.col("simhash").alias(f"{side}_bits"), band, "simhash").select(f"{side}_hash", f"{side}_bits", "band", flipped)
+        return df.select(f"{side}_bits", band).select(f"{side}_bits", "band", flipped)
+
+    met = keyed(_patterns(messages, "left"), 1, "left").join(keyed(_patterns(memory, "right"), 2, "right"), ["band", "key"])
+    return _near(met.select("left_bits", "right_bits"), most).distinct()
+
+
+def sampled_masks(bits: int, most: int = MAX_DISTANCE, recall: float = 0.99, seed: int = 17) -> list[int]:
+    """Masks of ``bits`` sampled bits each, as many as two patterns ``most`` bits apart need to agree on one with probability ``recall``."""
+    agree = math.comb(64 - most, bits) / math.comb(64, bits)
+    rng = random.Random(seed)
+    masks = (sum(1 << i for i in rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree))))
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
-    # equal simhashes are one key each; pairs of them are found without keys
-    a, b = messages.select("message_hash", "simhash").distinct(), memory.select("message_hash", "simhash").distinct()
-    met = keyed(a.select(F.col("simhash"), F.lit("").alias("message_hash")).distinct(), 1, "left").join(keyed(b.select(F.col("simhash"), F.lit("").alias("message_hash")).distinct(), 2, "right"), ["band", "key"]).select("left_bits", "right_bits").distinct()
-    near = met.withColumn("distance", F.bit_count(F.col("left_bits").bitwiseXOR(F.col("right_bits")))).where(F.col("distance") <= most)
-    left = a.select(F.col("message_hash").alias("left_hash"), F.col("simhash").alias("left_bits"))
-    right = b.select(F.col("message_hash").alias("right_hash"), F.col("simhash").alias("right_bits"))
-    return near.join(left, "left_bits").join(right, "right_bits").where("left_hash != right_hash").select("left_hash", "right_hash", "distance")
+
+def lsh_pairs(messages: DataFrame, memory: DataFrame, most: int = MAX_DISTANCE, recall: float = 0.99, bits: int | None = None) -> DataFrame:
+    """(left_bits, right_bits, distance) of at least ``recall`` of the patterns within ``most`` bits: they agree on some sampled bits.
+
+    More bits are sampled the more patterns are remembered (their logarithm, 20 at most), so that a bucket of unrelated patterns
+    stays small and the comparisons grow with the patterns, not with their square; a pair is taken from the first mask that it
+    agrees on, so no distinct is needed.
+    """
+    left, right = _patterns(messages, "left"), _patterns(memory, "right")
+    if bits is None:
+        bits = min(20, max(6, right.count().bit_length()))
+    masks = F.array(*[F.lit(m).cast("bigint") for m in sampled_masks(bits, most, recall)])
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        return df.select(f"{side}_bits", F.posexplode(F.transform(masks, lambda m: F.col(f"{side}_bits").bitwiseAND(m))).alias("mask", "key"))
+
+    near = _near(keyed(left, "left").join(keyed(right, "right"), ["mask", "key"]).select("left_bits", "right_bits", "mask"), most)
+    apart = F.col("left_bits").bitwiseXOR(F.col("right_bits"))
+    first = F.array_position(F.transform(masks, lambda m: apart.bitwiseAND(m) == 0), True) - 1
+    return near.where(first == F.col("mask")).drop("mask")
 
 
 def distance_adjustment(distance: Column) -> Column:
@@ -103,8 +139,19 @@ def memory_lookup(messages: DataFrame, memory: DataFrame, newest: int = 5000) ->
     return out.select("message_hash", "exact", "nearest", F.least(similar, F.lit(10)).cast("int").alias("n_similar"), adjusted.alias("memory_adjustment"))
 
 
-def top_similar(pairs: DataFrame, memory: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest remembered messages of each message: distance, then higher risk, then hash."""
-    risks = memory.select(F.col("message_hash").alias("right_hash"), "risk")
-    order = Window.partitionBy("left_hash").orderBy("distance", F.desc("risk"), "right_hash")
-    return pairs.join(risks, "right_hash").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def top_similar(pairs: DataFrame, messages: DataFrame, memory: DataFrame, k: int = 10) -> DataFrame:
+    """(left_hash, right_hash, distance, risk, place): the k nearest other remembered messages of each message, by distance, then
+    higher risk, then hash.
+
+    What a pattern can contribute is its k + 1 best messages, and what a message can need is in the k + 1 patterns with the best
+    first ones: so at most (k + 1) ** 2 rows meet for each pattern, whatever the number of equal or near messages, and only the
+    k + 1 best of these are joined with the messages.
+    """
+    order = lambda by, *first: Window.partitionBy(by).orderBy(*first, F.desc("risk"), "right_hash")
+    top = lambda df, by, n, *first: df.withColumn("place", F.row_number().over(order(by, *first))).where(F.col("place") <= n)
+    own = memory.select(F.col("simhash").alias("right_bits"), F.col("message_hash").alias("right_hash"), "risk")
+    best = top(own, "right_bits", k + 1)
+    nearest = top(pairs.join(best.where("place = 1").drop("place"), "right_bits"), "left_bits", k + 1, "distance").select("left_bits", "right_bits", "distance")
+    wanted = top(nearest.join(best.drop("place"), "right_bits"), "left_bits", k + 1, "distance").drop("place", "right_bits")
+    asked = messages.select(F.col("message_hash").alias("left_hash"), F.col("simhash").alias("left_bits")).distinct()
+    return top(asked.join(wanted, "left_bits").where("left_hash != right_hash"), "left_hash", k, "distance").select("left_hash", "right_hash", "distance", "risk", "place")
