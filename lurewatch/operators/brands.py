@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..tables import written
 from .messages import with_url_parts
 
 # The brands used without a catalogue, aliases, common words, labels that are no brand's.
@@ -69,17 +70,60 @@ def _label_has(label: Column, token: Column) -> Column:
     return F.when(F.octet_length(token) <= 4, short).otherwise(label.contains(token))
 
 
-def token_matches(parts: DataFrame, brands: DataFrame) -> DataFrame:
-    """(url, brand_ord, token, in_label, in_subdomain, in_path): a token and a url meet on the token's first 5, 3 or 2 letters."""
+def _searched(parts: DataFrame) -> Column:
+    return F.concat_ws(" ", F.split("registrable", r"\.")[0], F.coalesce("subdomain", F.lit("")), "path_query")
+
+
+def _url_grams(text: Column) -> Column:
+    return F.concat(*[_grams(text, n) for n in (5, 3, 2)])
+
+
+#: Urls that tell how frequent a gram is; a poor guess costs time only.
+COUNTED_URLS = 20_000
+#: Bits of the filter that goes with the urls: 128 KB.
+FILTER_BITS = 1 << 20
+
+
+def rarest_grams(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(gram, token): each token under the one of its grams that the fewest of some texts (text) have.
+
+    A text that holds the token holds the gram too. Grams have 5 letters, 3 for tokens of 3 or 4, and shorter tokens are their
+    own gram.
+    """
     length = F.length("token")
-    tokens = brands.select("brand_ord", F.explode("tokens").alias("token")).withColumn("gram", F.when(length >= 5, F.substring("token", 1, 5)).when(length >= 3, F.substring("token", 1, 3)).otherwise(F.col("token")))
-    text = F.concat_ws(" ", F.split("registrable", r"\.")[0], F.coalesce("subdomain", F.lit("")), "path_query")
-    grams = F.array_distinct(F.concat(*[_grams(text, n) for n in (5, 3, 2)]))
-    met = parts.select("url", "registrable", "subdomain", "path_query", F.explode(grams).alias("gram")).join(tokens, "gram")
+    grams = F.when(length >= 5, _grams(F.col("token"), 5)).when(length >= 3, _grams(F.col("token"), 3)).otherwise(F.array("token"))
+    own = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+    seen = texts.limit(COUNTED_URLS).select(F.explode(F.array_distinct(_url_grams(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return own.join(seen, "gram", "left").groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")).select("gram", "token")
+
+
+def gram_filter(index: DataFrame) -> Column:
+    """Whether the column gram may be indexed, by FILTER_BITS bits that the indexed grams set: a bound, whatever the catalogue."""
+    at = F.pmod(F.xxhash64("gram"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(at, 6).cast("int"), at.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    words = [0] * (FILTER_BITS // 64)
+    for r in index.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits")).collect():  # as many as words at most
+        words[r.word] = r.bits
+    told = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")  # folded into one constant
+    return F.getbit(F.get(told, word), bit) == 1
+
+
+def token_matches(parts: DataFrame, brands: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """(url, brand_ord, token, in_label, in_subdomain, in_path): a token and a url meet on the token's rarest gram.
+
+    Of a url's grams only those that may be indexed leave the scan. The filter lets all indexed grams pass, and grows less
+    selective, not wrong, for very large catalogues. ``like`` are urls that tell how frequent grams are, by default ``parts``.
+    """
+    tokens = brands.select("brand_ord", F.explode("tokens").alias("token"))
+    texts = (parts if like is None else like).select(_searched(parts).alias("text"))
+    index = written(rarest_grams(tokens, texts).join(tokens, "token"), "grams")
+    grams = parts.select("url", "registrable", "subdomain", "path_query", F.explode(_url_grams(_searched(parts))).alias("gram"))
+    met = grams.where(gram_filter(index)).join(index, "gram")
     token, label = F.col("token"), F.split("registrable", r"\.")[0]
     in_sub = F.coalesce(F.exists(F.split("subdomain", r"\."), lambda x: _label_has(x, token)), F.lit(False))
     found = met.select("url", "brand_ord", "token", _label_has(label, token).alias("in_label"), in_sub.alias("in_subdomain"), F.col("path_query").contains(token).alias("in_path"))
-    return found.where("in_label or in_subdomain or in_path")
+    return found.where("in_label or in_subdomain or in_path").distinct()
 
 
 def fold_typos(c: Column) -> Column:
@@ -116,7 +160,7 @@ def brand_impersonation(urls: DataFrame, brands: DataFrame) -> DataFrame:
     official = official_brand(parts, brands).select("url", F.col("brand").alias("official_brand"))
     # only urls of no official domain are matched further; a url's first matching token decides where it was found
     rest = parts.join(official, "url", "left_anti")
-    first = token_matches(rest, brands).groupBy("url", "brand_ord").agg(F.min(F.struct("token", "in_label", "in_subdomain", "in_path")).alias("m")).select("url", "brand_ord", "m.*")
+    first = token_matches(rest, brands, with_url_parts(urls.select("url").limit(COUNTED_URLS))).groupBy("url", "brand_ord").agg(F.min(F.struct("token", "in_label", "in_subdomain", "in_path")).alias("m")).select("url", "brand_ord", "m.*")
     both = first.join(typo_matches(rest, brands), ["url", "brand_ord"], "full").na.fill(False)
     c = both.join(brands.select("brand_ord", "brand", "common_word"), "brand_ord").join(parts.select("url", "keywords"), "url")
     kw, common = F.col("keywords"), F.col("common_word")
