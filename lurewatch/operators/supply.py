@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,49 +33,91 @@ def lockfile_packages(files: DataFrame) -> DataFrame:
     A format is one branch over its own files: a regex per line or block, JSON, or names carried to the version line that
     follows. Quirks of the rules are kept: scoped npm names end at the scope, Maven has the artifact id alone.
     """
-    f = files.withColumn("format", file_kind(F.col("filename"), 0)).withColumn("ecosystem", file_kind(F.col("filename"), 1)).where("format is not null")
+    f = with_format(files)
     of = lambda *kinds: f.where(F.col("format").isin(*kinds))
-    lines = lambda *kinds: of(*kinds).select("filename", "ecosystem", "format", F.posexplode(F.split("content", "\r?\n")).alias("pos", "raw")).withColumn("line", F.trim("raw"))
-    x = F.regexp_extract
-    keep = lambda df, name, version: df.select("filename", "pos", name.alias("name"), version.alias("version"), "ecosystem").where("name != '' and version != ''")
+    blocks = of("toml").select("filename", "ecosystem", F.posexplode(F.split("content", TOML_BLOCK)).alias("pos", "b")).where("pos > 0")
+    deps = of("pom").select("filename", "ecosystem", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>.*?</dependency>"), 0)).alias("pos", "b"))
+    entries = [of(k).select("filename", "ecosystem", "format", F.posexplode(F.from_json("content", schema).getField(field) if field else F.from_json("content", schema)).alias("pos", "e")) for k, schema, field in _JSON_LISTS]
+    entries += [of(k).select("filename", "ecosystem", "format", F.posexplode(F.map_entries(F.from_json("content", schema).getField(field) if field else F.from_json("content", schema))).alias("pos", "e")) for k, schema, field in _JSON_MAPS]
+    lines = of(*LINE_FORMATS).select("filename", "ecosystem", "format", F.posexplode(F.split("content", "\r?\n")).alias("pos", "raw"))
+    return reduce(DataFrame.unionByName, [toml_packages(blocks), pom_packages(deps), *map(json_packages, entries), packages_of_lines(lines, _carry)])
 
-    blocks = of("toml").select("filename", "ecosystem", F.posexplode(F.split("content", r"\[\[package\]\]")).alias("pos", "b")).where("pos > 0")
-    out = [keep(blocks, x("b", r'(?m)^\s*name\s*=\s*"([^"]+)"', 1), x("b", r'(?m)^\s*version\s*=\s*"([^"]+)"', 1))]
 
-    deps = of("pom").select("filename", "ecosystem", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>.*?</dependency>"), 0)).alias("pos", "b"))
-    out.append(keep(deps, F.trim(x("b", "(?s)<artifactId>(.*?)</artifactId>", 1)), F.trim(x("b", "(?s)<version>(.*?)</version>", 1))))
+TOML_BLOCK = r"\[\[package\]\]"
+LINE_FORMATS = ("requirements", "go_sum", "gemfile", "yarn", "gradle", "package_lock", "pipfile", "pnpm", "pubspec")
+#: Format, schema and field of the JSON formats that hold a list, or a map, of packages.
+_JSON_LISTS = (("composer", "packages array<struct<name:string,version:string>>", "packages"), ("maven_json", "dependencies array<struct<groupId:string,artifactId:string,version:string>>", "dependencies"))
+_JSON_MAPS = (("nuget", "dependencies map<string,struct<resolved:string>>", "dependencies"), ("mix", "map<string,variant>", None))
+
+
+def with_format(files: DataFrame) -> DataFrame:
+    """Files of the known formats, with format and ecosystem by their names."""
+    return files.withColumn("format", file_kind(F.col("filename"), 0)).withColumn("ecosystem", file_kind(F.col("filename"), 1)).where("format is not null")
+
+
+def _keep(df: DataFrame, name: Column, version: Column) -> DataFrame:
+    return df.select("filename", F.col("pos").cast("long").alias("pos"), name.alias("name"), version.alias("version"), "ecosystem").where("name != '' and version != ''")
+
+
+def _carry(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds the last filled value at the earlier lines of each line's file: a window over the file."""
+    w = Window.partitionBy("filename").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({k: F.last(v, True).over(w) for k, v in values.items()})
+
+
+def toml_first(field: str, block: str = "b") -> Column:
+    return F.regexp_extract(block, rf'(?m)^\s*{field}\s*=\s*"([^"]+)"', 1)
 
-    req = lines("requirements").where(r"line != '' and not line rlike '^[#\\-\\\\]'")
+
+def toml_packages(blocks: DataFrame) -> DataFrame:
+    return _keep(blocks, toml_first("name"), toml_first("version"))
+
+
+def pom_packages(deps: DataFrame) -> DataFrame:
+    part = lambda tag: F.trim(F.regexp_extract("b", f"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return _keep(deps, part("artifactId"), part("version"))
+
+
+def json_packages(entries: DataFrame) -> DataFrame:
+    """Packages of parsed entries (e) of one JSON format, told by their type."""
+    fields = entries.schema["e"].dataType.fieldNames()
+    if fields == ["name", "version"]:
+        return _keep(entries, F.col("e.name"), F.col("e.version"))
+    if "artifactId" in fields:
+        return _keep(entries, F.concat_ws(":", "e.groupId", "e.artifactId"), F.col("e.version"))
+    if entries.schema["e"].dataType["value"].dataType.typeName() == "struct":
+        return _keep(entries, F.col("e.key"), F.col("e.value.resolved"))
+    text = F.when(F.schema_of_variant("e.value") == "STRING", F.variant_get("e.value", "$", "string"))
+    return _keep(entries, F.col("e.key"), F.regexp_extract(text, r'"([^"]*)"[^"]*$', 1))
+
+
+def packages_of_lines(lines: DataFrame, carry: Callable[..., DataFrame]) -> DataFrame:
+    """Packages of the formats that go by lines (filename, ecosystem, format, pos, raw); ``carry`` brings values from earlier lines."""
+    f = lines.withColumn("line", F.trim("raw"))
+    of = lambda *kinds: f.where(F.col("format").isin(*kinds))
+    x = F.regexp_extract
+
+    req = of("requirements").where(r"line != '' and not line rlike '^[#\\-\\\\]'")
     op = F.when(F.col("line").contains("=="), F.lit("=="))
     for o in OPERATORS:
         op = op.when(F.col("line").contains(o), F.lit(o))
     req = req.withColumn("op", op).where("op is not null").withColumn("at", F.instr("line", F.col("op")))
-    out.append(keep(req, F.trim(F.expr("left(line, at - 1)")), F.trim(F.expr("substr(line, at + length(op))"))))
+    out = [_keep(req, F.trim(F.expr("left(line, at - 1)")), F.trim(F.expr("substr(line, at + length(op))")))]
 
-    go = lines("go_sum").withColumn("p", F.split("line", r"\s+")).where("size(p) >= 3").select("filename", "ecosystem", "pos", F.col("p")[0].alias("n"), F.col("p")[1].alias("v"))
+    go = of("go_sum").withColumn("p", F.split("line", r"\s+")).where("size(p) >= 3").select("filename", "ecosystem", "pos", F.col("p")[0].alias("n"), F.col("p")[1].alias("v"))
     first = go.groupBy("filename", "ecosystem", "n", "v").agg(F.min("pos").alias("pos"))
-    out.append(keep(first, F.col("n"), F.col("v")))
+    out.append(_keep(first, F.col("n"), F.col("v")))
 
-    gem = lines("gemfile").withColumn("section", F.last(F.when(F.col("raw").rlike("^[A-Z]"), F.col("line")), True).over(Window.partitionBy("filename").orderBy("pos")))
+    gem = carry(of("gemfile"), section=F.when(F.col("raw").rlike("^[A-Z]"), F.col("line")))
     gem = gem.where((F.col("section") == "GEM") & F.col("raw").rlike(r"^ {4}\S"))
-    out.append(keep(gem, x("line", r"^(\S+) \(", 1), x("line", r"\(([^)]+)\)", 1)))
-
-    yarn = lines("yarn").select("filename", "ecosystem", "pos", F.trim(x("line", r"^([^@]*)@([^:]*):", 1)).alias("n"), F.trim(x("line", r"^([^@]*)@([^:]*):", 2)).alias("v")).where("n != '' and v != ''")
-    w = Window.partitionBy("filename").orderBy("pos")
-    yarn = yarn.withColumn("same", (F.lag("n").over(w) == F.col("n")) & (F.lag("v").over(w) == F.col("v"))).where("same is null or not same")
-    out.append(keep(yarn, F.col("n"), F.col("v")))
+    out.append(_keep(gem, x("line", r"^(\S+) \(", 1), x("line", r"\(([^)]+)\)", 1)))
 
-    gradle = lines("gradle").where("line != '' and not startswith(line, '#')")
-    out.append(keep(gradle, x("line", "^(.*):([^:]*)$", 1), x("line", "^(.*):([^:]*)$", 2)))
+    yarn = of("yarn").select("filename", "ecosystem", "pos", F.trim(x("line", r"^([^@]*)@([^:]*):", 1)).alias("n"), F.trim(x("line", r"^([^@]*)@([^:]*):", 2)).alias("v")).where("n != '' and v != ''")
+    yarn = carry(yarn, before=F.struct("n", "v")).where("before is null or before.n != n or before.v != v")
+    out.append(_keep(yarn, F.col("n"), F.col("v")))
 
-    comp = of("composer").select("filename", "ecosystem", F.posexplode(F.from_json("content", "packages array<struct<name:string,version:string>>").getField("packages")).alias("pos", "p"))
-    out.append(keep(comp, F.col("p.name"), F.col("p.version")))
-    mvn = of("maven_json").select("filename", "ecosystem", F.posexplode(F.from_json("content", "dependencies array<struct<groupId:string,artifactId:string,version:string>>").getField("dependencies")).alias("pos", "p"))
-    out.append(keep(mvn, F.concat_ws(":", "p.groupId", "p.artifactId"), F.col("p.version")))
-    nuget = of("nuget").select("filename", "ecosystem", F.posexplode(F.map_entries(F.from_json("content", "dependencies map<string,struct<resolved:string>>").getField("dependencies"))).alias("pos", "p"))
-    out.append(keep(nuget, F.col("p.key"), F.col("p.value.resolved")))
-    mix = of("mix").select("filename", "ecosystem", F.posexplode(F.map_entries(F.from_json("content", "map<string,string>"))).alias("pos", "p"))
-    out.append(keep(mix, F.col("p.key"), x("p.value", r'"([^"]*)"[^"]*$', 1)))
+    gradle = of("gradle").where("line != '' and not startswith(line, '#')")
+    out.append(_keep(gradle, x("line", "^(.*):([^:]*)$", 1), x("line", "^(.*):([^:]*)$", 2)))
 
     # formats whose version follows its name: the newest name line, unless a version came after it
     name = {
@@ -83,13 +126,12 @@ def lockfile_packages(files: DataFrame) -> DataFrame:
     }
     version = {"package_lock": x("line", r'^"version":\s*"?([^",]*)"?,?$', 1), "pipfile": x("line", r'^"version":\s*"(.*?)"?,?$', 1), "pnpm": x("line", r"^version:\s*(.+)$", 1), "pubspec": x("line", r'^version:\s*"?([^"]*)"?$', 1)}
     start = {"package_lock": r'^"packages":', "pipfile": r'^"?default"?:', "pnpm": "^packages:$", "pubspec": "^packages:$"}
-    c = lines(*name)
     pick = lambda table: reduce(lambda acc, k: F.when(F.col("format") == k, table[k]).otherwise(acc), table, F.lit(""))
-    begun = F.max(F.when(F.col("line").rlike("|".join(f"(?:{p})" for p in start.values())), True)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("n", pick(name)).withColumn("v", pick(version)).withColumn("begun", begun).where("begun")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("name_at", F.max(F.when(F.col("n") != "", F.col("pos"))).over(before)).withColumn("used_at", F.max(F.when(F.col("v") != "", F.col("pos"))).over(before)).withColumn("carried", F.last(F.when(F.col("n") != "", F.col("n")), True).over(before))
-    out.append(keep(c.where("v != '' and name_at > coalesce(used_at, -1)"), F.col("carried"), F.col("v")))
+    c = carry(of(*name), begun=F.when(F.col("line").rlike("|".join(f"(?:{p})" for p in start.values())), True))
+    c = c.withColumn("n", pick(name)).withColumn("v", pick(version)).where("begun")
+    named, used = F.when(F.col("n") != "", F.col("pos")), F.when(F.col("v") != "", F.col("pos"))
+    c = carry(c, name_at=named, used_at=used, carried=F.when(F.col("n") != "", F.col("n")))
+    out.append(_keep(c.where("v != '' and name_at > coalesce(used_at, -1)"), F.col("carried"), F.col("v")))
     return reduce(DataFrame.unionByName, out)
 
 

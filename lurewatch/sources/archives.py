@@ -7,6 +7,7 @@ Members are decompressed in pieces: a task holds one piece, and the line or entr
 from __future__ import annotations
 
 import json
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -19,8 +20,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 PIECE = 1 << 20
-SCHEMA = "archive string, member string, nth long, value string"
-_ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("nth", pa.int64()), ("value", pa.string())])
+BROKEN = "\x00broken"
+#: Files that are no archives and are their own only member.
+PLAIN = (".json", ".jsonl", ".txt", ".lock")
+SCHEMA = "archive string, member string, nth long, key string, value string"
+_ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("nth", pa.int64()), ("key", pa.string()), ("value", pa.string())])
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,10 +42,15 @@ def lines(pieces: Iterator[bytes]) -> Iterator[str]:
         yield rest.removesuffix(b"\r").decode("utf-8", "replace")
 
 
-def entries(pieces: Iterator[bytes]) -> Iterator[str]:
-    """The values of a JSON array or object, each as JSON text, one after another; an error where the document is broken."""
+def entries(pieces: Iterator[bytes], path: tuple[str, ...] = ()) -> Iterator[tuple[str | None, str]]:
+    """(key, value as JSON text) of the entries of a JSON array (key None) or object, one after another.
+
+    With a path they are those of the array or object under its keys. A document that is broken anywhere is an error, as soon
+    as that is seen.
+    """
     decoder, text, at, more = json.JSONDecoder(), "", 0, _decoded(pieces)
-    opened, keyed, before = False, False, True  # inside, an object, and a value (not a comma) is next
+    stack: list[list[bool]] = []  # the open containers on the path: is it an object, and is a value (not a comma) next
+    opening = True
     while True:
         at = _skip(text, at)
         if at >= len(text) - 1:
@@ -52,26 +61,33 @@ def entries(pieces: Iterator[bytes]) -> Iterator[str]:
             if at >= len(text):
                 raise ValueError("the document ends too soon")
         c = text[at]
-        if not opened:
+        if opening:
             if c not in "[{":
                 raise ValueError("neither an array nor an object")
-            opened, keyed, at = True, c == "{", at + 1
+            stack.append([c == "{", True])
+            opening, at = False, at + 1
         elif c in "]}":
-            return
-        elif c == "," and not before:
-            before, at = True, at + 1
-        elif not before:
+            stack.pop()
+            at += 1
+            if not stack:
+                return
+        elif c == "," and not stack[-1][1]:
+            stack[-1][1], at = True, at + 1
+        elif not stack[-1][1]:
             raise ValueError("a comma is missing")
         else:
             try:
-                end = decoder.raw_decode(text, at)[1] if keyed else at
-                if keyed:
+                key, end = decoder.raw_decode(text, at) if stack[-1][0] else (None, at)
+                if stack[-1][0]:
                     end = _skip(text, end)
                     if end >= len(text):
                         raise ValueError("incomplete")
                     if text[end] != ":":
                         raise KeyError(text[at : at + 40])
                     end = _skip(text, end + 1)
+                if key is not None and len(stack) <= len(path) and key == path[len(stack) - 1] and text[end : end + 1] in ("[", "{"):
+                    stack[-1][1], opening, at = False, True, end
+                    continue
                 stop = decoder.raw_decode(text, end)[1]
                 if text[stop : stop + 1] not in (" ", "\t", "\r", "\n", ",", "]", "}"):
                     raise ValueError("a number may go on")
@@ -84,8 +100,9 @@ def entries(pieces: Iterator[bytes]) -> Iterator[str]:
                     raise
                 text, at = text[at:] + "".join(got), 0
                 continue
-            yield text[end:stop]
-            before, at = False, stop
+            if len(stack) > len(path):
+                yield key, text[end:stop]
+            stack[-1][1], at = False, stop
 
 
 def _skip(text: str, at: int) -> int:
@@ -119,7 +136,9 @@ def pieces(stream: IO[bytes], size: int = PIECE) -> Iterator[bytes]:
 
 def members(file: IO[bytes], path: str, only: str | None = None) -> Iterator[tuple[str, IO[bytes]]]:
     """(name, open stream) of an archive's files, one after another."""
-    if path.endswith(".zip"):
+    if path.endswith(PLAIN):
+        yield path.rpartition("/")[2], file
+    elif path.endswith(".zip"):
         with zipfile.ZipFile(file) as z:
             for name in [only] if only is not None else [n for n in z.namelist() if not n.endswith("/")]:
                 with z.open(name) as stream:
@@ -141,6 +160,8 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.mode = options["path"], options.get("mode", "lines")
         self.rows, self.piece = int(options.get("rows", "4096")), int(options.get("piece", str(PIECE)))
+        self.at, self.lenient = tuple(k for k in options.get("at", "").split(".") if k), options.get("lenient", "false") == "true"
+        self.names = re.compile(options.get("names", ""))
         if self.mode not in ("lines", "entries"):
             raise ValueError(f"unknown mode {self.mode!r}")
 
@@ -151,7 +172,7 @@ class ArchiveReader(DataSourceReader):
         parts = []
         for f in sorted(found, key=lambda f: f.path):
             name = f.path.rpartition("/")[2]
-            if f.type != fs.FileType.File or name.startswith(("_", ".")):
+            if f.type != fs.FileType.File or name.startswith(("_", ".")) or not self.names.search(f.path):
                 continue
             if name.endswith(".zip"):
                 with where.open_input_file(f.path) as file, zipfile.ZipFile(file) as z:
@@ -162,26 +183,38 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, part: ArchivePart) -> Iterator[pa.RecordBatch]:
         where, _ = store(self.path)
-        cut = lines if self.mode == "lines" else entries
         with where.open_input_file(part.path) as file:
             for name, stream in members(file, part.path, part.member):
                 held, size, first = [], 0, 0
-                for nth, value in enumerate(cut(pieces(stream, self.piece))):
-                    held.append(value)
-                    size += len(value)
+                for nth, pair in enumerate(self._cut(pieces(stream, self.piece))):
+                    held.append(pair)
+                    size += len(pair[1] or "")
                     if len(held) >= self.rows or size >= self.piece:
                         yield self._batch(part.path, name, first, held)
                         held, size, first = [], 0, nth + 1
                 if held:
                     yield self._batch(part.path, name, first, held)
 
-    def _batch(self, path: str, name: str, first: int, held: list[str]) -> pa.RecordBatch:
-        n = len(held)
-        return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([name] * n), pa.array(range(first, first + n), pa.int64()), pa.array(held, pa.string())], schema=_ARROW)
+    def _cut(self, pieces: Iterator[bytes]) -> Iterator[tuple[str | None, str | None]]:
+        if self.mode == "lines":
+            yield from ((None, x) for x in lines(pieces))
+            return
+        try:
+            yield from entries(pieces, self.at)
+        except (ValueError, KeyError):
+            if not self.lenient:
+                raise
+            yield BROKEN, None
+
+    def _batch(self, path: str, name: str, first: int, held: list[tuple[str | None, str | None]]) -> pa.RecordBatch:
+        n, (keys, values) = len(held), zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([name] * n), pa.array(range(first, first + n), pa.int64()), pa.array(keys, pa.string()), pa.array(values, pa.string())], schema=_ARROW)
 
 
 class ArchiveSource(DataSource):
-    """Options: path (an archive or a folder of archives), mode (lines or entries), rows and piece (what a task holds at most)."""
+    """Options: path (a file or a folder), names (a pattern of the paths that are read), mode (lines or entries), at (keys of the
+    entries' container, by dots), lenient (a broken document ends with a row of the key BROKEN and no value, instead of an
+    error), rows and piece (what a task holds at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,6 +228,6 @@ class ArchiveSource(DataSource):
 
 
 def read_archive(spark: SparkSession, path: str, mode: str = "lines", **options: str) -> DataFrame:
-    """(archive, member, nth, value): every line or JSON entry of the members; a broken archive is an error."""
+    """(archive, member, nth, key, value): every line or JSON entry of the members; a broken archive is an error."""
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("archive").options(mode=mode, **options).load(path)

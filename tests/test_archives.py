@@ -25,7 +25,10 @@ def test_entries_of_any_pieces():
         items = [value(3) for _ in range(rng.randint(0, 6))]
         for document in (items, {f"key {i} ü": x for i, x in enumerate(items)}):
             data = json.dumps(document, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5).encode()
-            assert [json.loads(x) for x in archives.entries(cut(data, rng))] == items
+            assert [json.loads(x) for _, x in archives.entries(cut(data, rng))] == items
+            nested = json.dumps({"a": 1, "p": {"x": [], "q": document, "q2": [1]}, "z": {"q": 5}}).encode()
+            got = list(archives.entries(cut(nested, rng), ("p", "q")))
+            assert [json.loads(x) for _, x in got] == items and [k for k, _ in got] == (list(document) if isinstance(document, dict) else [None] * len(items))
     for broken in (b"", b"[1, 2", b"{\"a\" 1}", b"[1 2]", b"7", b'{"a":'):
         with pytest.raises((ValueError, KeyError)):
             list(archives.entries(cut(broken, rng)))
