@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,11 @@ def relationship_table(events: DataFrame) -> DataFrame:
     return latest(events, key).withColumnRenamed("seen_at", "updated_at").join(first, key)
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the number of rows of each table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+
+
 def latest_rows(df: DataFrame, n: int = 20, order: str = "updated_at") -> DataFrame:
     """The n newest rows, ties by all columns in their order: a listing."""
     return df.orderBy(F.desc(order), *[c for c in df.columns if c != order]).limit(n)

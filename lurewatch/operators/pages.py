@@ -76,6 +76,12 @@ def _clean(c: Column) -> Column:
     return F.nullif(F.left(t.trimmed(c), F.lit(120)), F.lit(""))
 
 
+def read_whois(spark: SparkSession, path: str, asof: Column, strict: bool = False) -> DataFrame:
+    """(domain, raw and its facts) of landed answers, a JSON line (domain, raw) each; the last of several of a domain by its text."""
+    rows = spark.read.schema("domain string, raw string").json(path).where("domain is not null")
+    return whois_facts(rows.groupBy("domain").agg(F.max("raw").alias("raw")), asof, strict=strict)
+
+
 def link_domain(url: Column) -> Column:
     """Registrable domain of a link; null for relative links, fragments and mail addresses."""
     domain = F.nullif(t.registrable_domain(t.normal_domain(url)), F.lit(""))

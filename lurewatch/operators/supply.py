@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 # File names by format and ecosystem; look-alike letters; severity weights and levels.
 LOCKFILES = {
     "Cargo.lock": ("toml", "crates.io"), "package-lock.json": ("package_lock", "npm"), "yarn.lock": ("yarn", "npm"), "pnpm-lock.yaml": ("pnpm", "npm"), "pnpm-lock.yml": ("pnpm", "npm"),
@@ -305,6 +307,12 @@ def parsed_verdict(text: Column) -> Column:
     )
 
 
+def with_verdicts(answers: DataFrame, said: str) -> DataFrame:
+    """``answers`` with what was said read as a verdict (v); models repeat themselves, so each distinct answer is parsed once."""
+    distinct = written(answers.select(F.col(said).alias("_said")).distinct(), "answers")
+    return answers.join(distinct.select("_said", parsed_verdict(F.col("_said")).alias("v")), F.col(said).eqNullSafe(F.col("_said")), "left").drop("_said")
+
+
 def first_mentions(packages: DataFrame) -> DataFrame:
     """(name, version, ecosystem, filename): each package once, from the first file and place that lists it."""
     first = F.min(F.struct("filename", "pos")).alias("f")

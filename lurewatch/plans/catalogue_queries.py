@@ -139,6 +139,33 @@ def _(s, d):
     return cat.latest_rows(rows.select("source_domain", "related_domain", "relation_type", "confidence", "updated_at"))
 
 
+_NOW = f"cands AS (SELECT brand_key, primary_domain, arg_max(seen_at, seq) AS updated_at, arg_max(display_name, seq) AS display_name, arg_max(status, seq) AS status, arg_max(confidence, seq) AS confidence FROM ({_CANDS}) GROUP BY ALL)"
+
+
+def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return cat.candidate_tables(run(s, d, _CANDS, fx_url_events=fixture(s, d, "fx_url_events")))
+
+
+@query("g18_latest_candidates", with_fixtures(f"WITH {_NOW} SELECT display_name, primary_domain, status, confidence, length(primary_domain) % 50 AS tranco_rank, updated_at FROM cands ORDER BY updated_at DESC, display_name, primary_domain, status, confidence, tranco_rank LIMIT 20", "fx_url_events"))
+def _(s, d):
+    now, _ = _candidates(s, d)
+    return cat.latest_rows(now.select("display_name", "primary_domain", "status", "confidence", (F.length("primary_domain") % 50).alias("tranco_rank"), "updated_at"))
+
+
+@query("g18_latest_brand_domains", with_fixtures(f"WITH {_NOW} SELECT brand_key, primary_domain AS domain, 'primary_domain' AS relation_type, confidence, 'brand_detector' AS source, updated_at FROM cands ORDER BY updated_at DESC, brand_key, domain, relation_type, confidence, source LIMIT 20", "fx_url_events"))
+def _(s, d):
+    return cat.latest_rows(_candidates(s, d)[1].select("brand_key", "domain", "relation_type", "confidence", "source", "updated_at"))
+
+
+@query("g18_table_counts", with_fixtures(f"""WITH {_NOW} SELECT 'tranco_domains' AS name, count(*) AS n FROM pages UNION ALL SELECT 'brand_candidates', count(*) FROM cands UNION ALL SELECT 'brand_domains', count(*) FROM cands
+UNION ALL SELECT 'domain_relationships', count(*) FROM (SELECT DISTINCT source_domain, related_domain, relation_type FROM ({_RELS})) UNION ALL SELECT 'domain_reputation', count(DISTINCT user_id) FROM fx_url_events""", "fx_url_events"))
+def _(s, d):
+    events = fixture(s, d, "fx_url_events")
+    now, domains = _candidates(s, d)
+    tables = {"tranco_domains": s.read.parquet(f"{d}/pages.parquet"), "brand_candidates": now, "brand_domains": domains, "domain_relationships": cat.relationship_table(run(s, d, _RELS, fx_url_events=events)), "domain_reputation": events.where("user_id is not null").select("user_id").distinct()}
+    return cat.table_counts(tables)
+
+
 @query("g19_stage_times", "SELECT count(*) AS urls, round(avg(value), 6) AS dns_ms, round(avg(value * 3 + event_id % 7), 6) AS whois_ms, round(avg(CASE WHEN event_id % 5 > 0 THEN value * 10 END), 6) AS http_ms FROM events")
 def _(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
@@ -149,9 +176,9 @@ def _(s, d):
 _SNAPS = "SELECT page_id, url, CASE WHEN page_id % 4 > 0 THEN url END AS final_url, 200 AS status, CASE page_id % 5 WHEN 0 THEN 'image/PNG' WHEN 1 THEN 'Text/HTML; charset=utf-8' WHEN 2 THEN '' WHEN 3 THEN 'application/xhtml+xml' END AS content_type, html FROM pages"
 
 
-@query("s30_pages", f"SELECT page_id, CASE WHEN page_id % 5 > 0 THEN left(html, 100) END AS html, CASE WHEN final_url IS NOT NULL THEN {registrable_sql('final_url')} END AS final_domain, CASE WHEN page_id % 5 = 0 THEN 'unsupported content-type: image/png' END AS fetch_error FROM ({_SNAPS})")
+@query("s30_pages", f"SELECT page_id, CASE WHEN page_id % 5 > 0 THEN left(html, 524288) END AS html, CASE WHEN final_url IS NOT NULL THEN {registrable_sql('final_url')} END AS final_domain, CASE WHEN page_id % 5 = 0 THEN 'unsupported content-type: image/png' END AS fetch_error FROM ({_SNAPS})")
 def _(s, d):
-    return pg.read_pages(run(s, d, _SNAPS), 100).select("page_id", "html", "final_domain", "fetch_error")
+    return pg.read_pages(run(s, d, _SNAPS)).select("page_id", "html", "final_domain", "fetch_error")
 
 
 @query("s32_dns", "SELECT 'h' || (event_id % 97) AS host, count(DISTINCT event_id % 13) AS ips, bool_or(event_id % 13 > 0) AS resolved FROM events GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture, with_fixtures
+from ..fixtures import fixture, run, with_fixtures
 from ..functions import text as t
 from ..operators import brands as b
 from ..operators import memory as mem
@@ -190,9 +190,17 @@ def _(s, d):
     return th.match_threats(_urls(s, d), _threats(s, d)).select("url", F.col("source").alias("threat_source"), "threat_type", "confidence")
 
 
-@query("s20_p33_brand_tokens", f"WITH {BRANDS} SELECT brand_ord, brand, common_word, string_agg(token, ',' ORDER BY token) AS tokens FROM brands JOIN tokens USING (brand_ord) GROUP BY ALL")
+_SITES = "SELECT DISTINCT concat(upper(substr(host, 1, 1)), substr(host, 2), ' & Co') AS brand, host FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) h WHERE host <> ''"
+
+
+@query("s20_p33_brand_tokens", f"""WITH {BRANDS}, sites AS (SELECT brand, regexp_replace(lower(brand), '[^a-z0-9]', '', 'g') AS key, lower(split_part(host, '.', 1)) AS label FROM ({_SITES})),
+own AS (SELECT brand, key IN ({', '.join(f"'{w}'" for w in b.COMMON_WORDS)}) AS common_word, list_sort(list_distinct(list_filter([key, label, regexp_replace(label, '[^a-z0-9]', '', 'g')], lambda x: length(x) >= 3))) AS tokens FROM sites)
+SELECT brand, common_word, string_agg(token, ',' ORDER BY token) AS tokens FROM brands JOIN tokens USING (brand_ord) GROUP BY ALL UNION ALL SELECT brand, common_word, array_to_string(tokens, ',') FROM own""")
 def _(s, d):
-    return b.default_brands(s).select("brand_ord", "brand", "common_word", F.array_join("tokens", ",").alias("tokens"))
+    """The default brands and one for each site of the pages."""
+    sites = b.brand_tokens(run(s, d, _SITES).select("brand", F.array("host").alias("official_domains")))
+    both = b.default_brands(s).select("brand", "common_word", "tokens").unionByName(sites.select("brand", "common_word", "tokens"))
+    return both.select("brand", "common_word", F.array_join("tokens", ",").alias("tokens"))
 
 
 del _Q

@@ -203,8 +203,8 @@ _READ = """SELECT git_url, hash, CASE WHEN confidence <= 0.75 THEN verdict ELSE
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
-    said = fixture(s, d, "fx_commit_verdicts").select("git_url", "hash", sp.parsed_verdict(F.expr(_SAID)).alias("v"))
-    return said.select("git_url", "hash", "v.verdict", "v.confidence", "v.reasons")
+    said = fixture(s, d, "fx_commit_verdicts").select("git_url", "hash", F.expr(_SAID).alias("said"))
+    return sp.with_verdicts(said, "said").select("git_url", "hash", "v.verdict", "v.confidence", "v.reasons")
 
 
 @query("p46_verdicts", with_fixtures(f"SELECT git_url, hash, verdict, CAST(confidence AS DOUBLE) AS confidence, reason AS reasons FROM ({_READ})", "fx_commit_verdicts"))
@@ -220,14 +220,18 @@ def _(s, d):
     return sp.repo_verdict(_details(s, d)).withColumn("confidence", F.round("confidence", 6)).withColumn("reasons", F.array_join("reasons", ","))
 
 
-_REPO_OF = "CASE WHEN length(name) % 5 = 0 THEN NULL ELSE concat('https://github.com/org', CAST((length(name) * 31 + length(version) * 17) % 150 AS STRING), '/repo') END"
+_REPO_OF = "CASE WHEN length(name) % 5 = 0 THEN NULL ELSE concat('https://github.com/org', CAST((length(name) * 31 + ascii(name) * 17) % 150 AS STRING), '/repo') END"
+#: What the registries of these packages answer, naming the repository in their own ways.
+_ANSWERED = "CASE ecosystem WHEN 'npm' THEN concat('{\"repository\":{\"url\":\"git+', repo, '.git\"}}') WHEN 'PyPI' THEN concat('{\"info\":{\"home_page\":\"\",\"project_urls\":{\"Source\":\"', repo, '\"}}}') ELSE concat('{\"crate\":{\"repository\":\"', repo, '\"}}') END"
 
 
 def _deep(s: SparkSession, d: str) -> DataFrame:
     levels = package_levels(s, d, deep=True)
     # registries never say "yanked" in lower case, so a rejection is planted
     levels = levels.withColumn("level", F.when(F.col("version").startswith("9"), "critical").otherwise(F.col("level")))
-    repos = levels.select("name", "version", "ecosystem", F.expr(_REPO_OF).alias("git_url")).where("git_url is not null").withColumn("platform", sp.hosting_platform(F.col("git_url")))
+    named = levels.select("ecosystem", "name").distinct().withColumn("repo", F.expr(_REPO_OF))
+    docs = named.select("ecosystem", "name", F.expr(_ANSWERED).alias("body"), F.lit(None).cast("string").alias("page"))
+    repos = rg.repository_urls(levels.select("name", "version", "ecosystem"), docs)
     return sp.deep_packages(levels, repos, sp.repo_verdict(_details(s, d)))
 
 

@@ -56,6 +56,7 @@ def land_files(rows: DataFrame, name: str) -> str:
         where.create_dir(folder, recursive=True)
         each = ((r["file"], r["member"], r["content"].encode()) for b in batches for r in b.to_pylist())
         for file, group in itertools.groupby(each, key=lambda r: r[0]):
+            where.create_dir(f"{folder}/{file}".rpartition("/")[0], recursive=True)
             with where.open_output_stream(f"{folder}/{file}", compression=None) as out:
                 if file.endswith(".zip"):
                     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

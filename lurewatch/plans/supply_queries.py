@@ -9,6 +9,8 @@ from ..fixtures import fixture, with_fixtures
 from ..operators import supply as sp
 from ..operators.popular import popular_names
 from ..registry import query
+from ..sources import lockfiles
+from .source_queries import land_files
 from . import registry_queries as rq
 
 #: Packages of one rendered lockfile.
@@ -22,8 +24,12 @@ _RENDER = {
     "pubspec.lock": "concat('  ', name, ':\\n    version: \"', version, '\"')", "pom.xml": "concat('<dependency><groupId>g</groupId><artifactId>', name, '</artifactId><version>', version, '</version></dependency>')",
     "composer.lock": "concat('{\"name\":\"', name, '\",\"version\":\"', version, '\"}')", "maven-lockfile.json": "concat('{\"groupId\":\"g\",\"artifactId\":\"', name, '\",\"version\":\"', version, '\"}')",
     "go.sum": "concat(name, ' ', version, ' h1:x')", "yarn.lock": "concat(name, '@', version, ':')",
+    "Pipfile.lock": "concat('        \"', name, '\": {\\n            \"version\": \"==', version, '\"\\n        },')",
+    "packages.lock.json": "concat('\"', name, '-', CAST(pkg_id AS STRING), '\":{\"type\":\"Direct\",\"resolved\":\"', version, '\"}')",
+    "mix.lock": "concat('\"', name, '-', CAST(pkg_id AS STRING), '\":', CASE WHEN pkg_id % 9 = 0 THEN '[\"no text\"]' ELSE concat('\"{:hex, :', name, ', \\\\\"', version, '\\\\\"}\"') END)",
 }
-_HEAD = {"Gemfile.lock": ("GEM\n", "\n", ""), "package-lock.json": ('{\n"packages": {\n', "\n", "\n}"), "pnpm-lock.yaml": ("packages:\n", "\n", ""), "pubspec.lock": ("packages:\n", "\n", ""), "composer.lock": ('{"packages":[', ",", "]}"), "maven-lockfile.json": ('{"dependencies":[', ",", "]}")}
+_HEAD = {"Gemfile.lock": ("GEM\n", "\n", ""), "package-lock.json": ('{\n"packages": {\n', "\n", "\n}"), "pnpm-lock.yaml": ("packages:\n", "\n", ""), "pubspec.lock": ("packages:\n", "\n", ""), "composer.lock": ('{"packages":[', ",", "]}"), "maven-lockfile.json": ('{"dependencies":[', ",", "]}"),
+    "Pipfile.lock": ('{\n    "default": {\n', "\n", "\n    }\n}"), "packages.lock.json": ('{"version":1,"dependencies":{', ",", "}}"), "mix.lock": ("{", ",", "}")}
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -38,8 +44,11 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 
 _ECO = {k: v[1] for k, v in sp.LOCKFILES.items()}
+_NAMED = {"gradle.lockfile": "'org.x:' || name", "maven-lockfile.json": "'g:' || name", "packages.lock.json": "name || '-' || pkg_id", "mix.lock": "name || '-' || pkg_id"}
+_VERSIONED = {"Pipfile.lock": "'==' || version"}
+_SOME = {"go.sum": f"(SELECT DISTINCT pkg_id // {PER_FILE} * {PER_FILE} AS pkg_id, name, version FROM fx_packages)", "mix.lock": "fx_packages WHERE pkg_id % 9 > 0"}
 _EXPECT = " UNION ALL ".join(
-    f"SELECT (pkg_id // {PER_FILE}) || '/{n}' AS filename, {dict([('gradle.lockfile', chr(39) + 'org.x:' + chr(39) + ' || name'), ('maven-lockfile.json', chr(39) + 'g:' + chr(39) + ' || name')]).get(n, 'name')} AS name, version, '{_ECO[n]}' AS ecosystem FROM {f'(SELECT DISTINCT pkg_id // {PER_FILE} * {PER_FILE} AS pkg_id, name, version FROM fx_packages)' if n == 'go.sum' else 'fx_packages'}"
+    f"SELECT (pkg_id // {PER_FILE}) || '/{n}' AS filename, {_NAMED.get(n, 'name')} AS name, {_VERSIONED.get(n, 'version')} AS version, '{_ECO[n]}' AS ecosystem FROM {_SOME.get(n, 'fx_packages')}"
     for n in _RENDER if n != "yarn.lock"
 )
 
@@ -49,11 +58,20 @@ def _(s, d):
     return sp.lockfile_packages(_files(s, d).where("not endswith(filename, 'yarn.lock')")).drop("pos")
 
 
-@query("p39_yarn", with_fixtures(f"SELECT pkg_id // {PER_FILE} || '/yarn.lock' AS filename, name, version, 'npm' AS ecosystem FROM (SELECT *, lag(name || '@' || version) OVER (PARTITION BY pkg_id // {PER_FILE} ORDER BY pkg_id) AS before FROM fx_packages) WHERE before IS NULL OR before <> name || '@' || version", "fx_packages"))
+_YARN = f"SELECT pkg_id // {PER_FILE} || '/yarn.lock' AS filename, name, version, 'npm' AS ecosystem FROM (SELECT *, lag(name || '@' || version) OVER (PARTITION BY pkg_id // {PER_FILE} ORDER BY pkg_id) AS before FROM fx_packages) WHERE before IS NULL OR before <> name || '@' || version"
+
+
+@query("p39_yarn", with_fixtures(_YARN, "fx_packages"))
 def _(s, d):
     return sp.lockfile_packages(_files(s, d).where("endswith(filename, 'yarn.lock')")).drop("pos")
 
 
+@query("s26_lockfile_corpus", with_fixtures(f"{_EXPECT} UNION ALL {_YARN}", "fx_packages"))
+def _(s, d):
+    files = _files(s, d).select(F.col("filename").alias("file"), F.lit("").alias("member"), "content")
+    return lockfiles.read_packages(s, land_files(files, "lockfiles")).drop("pos")
+
+
 _N = "length(name)"
 _MUT = f"""names AS (SELECT DISTINCT lower(name) AS name, ecosystem FROM fx_packages), pos AS (SELECT name, ecosystem, unnest(range(1, {_N} + 1)) AS i FROM names),
 alike(a, b) AS (VALUES {", ".join(f"('{k}', '{c}')" for k, v in sp.LOOK_ALIKES.items() for c in v)}),
@@ -115,11 +133,6 @@ def _(s, d):
     return sp.deep_summary(rq._deep(s, d), rq._details(s, d))
 
 
-_MENTIONS = " UNION ALL ".join(f"SELECT name, version, '{e}' AS ecosystem, (pkg_id // {PER_FILE}) || '/{f}' AS filename FROM fx_packages" for f, e in (("poetry.lock", "PyPI"), ("requirements.txt", "PyPI"), ("pubspec.lock", "Pub")))
-
-
-@query("u3_w12_first_mentions", with_fixtures(f"SELECT name, version, ecosystem, min(filename) AS filename FROM ({_MENTIONS}) GROUP BY ALL", "fx_packages"))
+@query("u3_w12_first_mentions", with_fixtures(f"SELECT name, version, ecosystem, min(filename) AS filename FROM ({_EXPECT} UNION ALL {_YARN}) GROUP BY ALL", "fx_packages"))
 def _(s, d):
-    files = _files(s, d)
-    some = files.where("filename like '%/poetry.lock' or filename like '%/requirements.txt' or filename like '%/pubspec.lock'")
-    return sp.first_mentions(sp.lockfile_packages(some))
+    return sp.first_mentions(sp.lockfile_packages(_files(s, d)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import messages as m
 from ..operators import pages as pg
 from ..operators import state as st
 from ..registry import query
+from ..tables import shared_dir
 from .message_queries import NORM_DOMAIN, NORM_URL, PARTS, SUFFIXES
 
 _EV = f"""ev AS (SELECT seq, url, {NORM_URL.format('url')} AS url_norm, sha256({NORM_URL.format('url')}) AS url_hash, CAST(user_id AS VARCHAR) AS user_id, seen_at, verdict, risk, confidence, tag_no FROM fx_url_events)"""
@@ -43,14 +46,14 @@ def _(s, d):
     return st.network_evidence(rows).select("url_hash", "kind", "value_hash", "created", "place")
 
 
-@query("j2_j4_stored_urls", _ev(""", s AS (SELECT url_hash, count(*) AS seen_count, arg_max(risk, seq) AS risk FROM ev WHERE verdict <> 'unknown' GROUP BY url_hash), g AS (SELECT url_hash, string_agg(DISTINCT 'tag' || tag_no, ',' ORDER BY 'tag' || tag_no) AS tags FROM ev WHERE tag_no > 4 GROUP BY url_hash)
-SELECT u.url_hash, seen_count, risk, tags FROM (SELECT DISTINCT url_hash FROM ev) u LEFT JOIN s USING (url_hash) LEFT JOIN g USING (url_hash)"""))
+@query("j2_j4_stored_urls", _ev(""", s AS (SELECT url_hash, count(*) AS seen_count, arg_max(risk, seq) AS risk FROM ev WHERE verdict <> 'unknown' GROUP BY url_hash), g AS (SELECT url_hash, string_agg(DISTINCT 'tag' || tag_no, ',' ORDER BY 'tag' || tag_no) AS tags FROM ev GROUP BY url_hash), b AS (SELECT url_hash, 'Brand ' || arg_max(tag_no, seq) AS matched_brand, arg_max(confidence, seq) AS brand_confidence FROM ev WHERE verdict = 'bad' GROUP BY url_hash)
+SELECT u.url_hash, seen_count, risk, tags, matched_brand, brand_confidence FROM (SELECT DISTINCT url_hash FROM ev) u LEFT JOIN s USING (url_hash) LEFT JOIN g USING (url_hash) LEFT JOIN b USING (url_hash)"""))
 def _(s, d):
     e = _events(s, d)
-    tags = e.where("tag_no > 4").select("url_hash", F.concat(F.lit("tag"), "tag_no").alias("tag"))
-    none = e.where("false").select("url_hash", F.lit("").alias("brand"))
-    out = st.with_stored(e.select("url_hash").distinct(), st.url_state(e.where("verdict != 'unknown'")), tags, none)
-    return out.select("url_hash", "seen_count", "risk", F.array_join("tags", ",").alias("tags"))
+    tags = e.select("url_hash", F.concat(F.lit("tag"), "tag_no").alias("tag"))
+    results = e.where("verdict = 'bad'").select("url_hash", "seq", F.concat(F.lit("Brand "), "tag_no").alias("matched_brand"), F.col("confidence").alias("brand_confidence"))
+    out = st.with_stored(e.select("url_hash").distinct(), st.url_state(e.where("verdict != 'unknown'")), tags, st.latest(results, ["url_hash"]).drop("seq"))
+    return out.select("url_hash", "seen_count", "risk", F.array_join("tags", ",").alias("tags"), "matched_brand", "brand_confidence")
 
 
 _REG = PARTS.replace("FROM (SELECT DISTINCT url FROM urls)", "FROM (SELECT DISTINCT url FROM ev)")
@@ -90,14 +93,14 @@ def _(s, d):
     return st.keep_newest_done(_queue(s, d))
 
 
-_CAND = """, c AS (SELECT DISTINCT 'b' || CAST(tag_no * 10 + risk % 10 AS VARCHAR) AS brand_key, 'Brand ' || tag_no AS name, tag_no * 10 + 30 AS confidence, CASE WHEN tag_no >= 3 THEN 'verified' ELSE 'candidate' END AS status FROM ev), dm AS (SELECT DISTINCT 'b' || CAST(tag_no * 10 + risk % 10 AS VARCHAR) AS brand_key, regexp_extract(url_norm, '://([^/?#]+)', 1) AS domain FROM ev WHERE seq % 11 = 0)"""
+_CAND = """, c AS (SELECT DISTINCT 'b' || CAST(tag_no * 10 + risk % 10 AS VARCHAR) AS brand_key, 'Brand ' || tag_no AS name, tag_no * 10 + 30 AS confidence, CASE WHEN tag_no >= 3 THEN 'verified' ELSE 'candidate' END AS status FROM ev), dm AS (SELECT DISTINCT 'b' || CAST(tag_no * 10 + risk % 10 AS VARCHAR) AS brand_key, regexp_extract(url_norm, '://([^/?#]+)', 1) AS domain FROM ev)"""
 
 
 @query("j16_w9_learned_brands", _ev(_CAND + " SELECT brand_key, name, domain, confidence FROM c JOIN dm USING (brand_key) WHERE status = 'verified' ORDER BY confidence DESC, brand_key, domain, name LIMIT 500"))
 def _(s, d):
     e = _events(s, d).withColumn("brand_key", F.concat(F.lit("b"), (F.col("tag_no") * 10 + F.col("risk") % 10).cast("string")))
     c = e.select("brand_key", F.concat(F.lit("Brand "), "tag_no").alias("name"), (F.col("tag_no") * 10 + 30).alias("confidence"), F.when(F.col("tag_no") >= 3, "verified").otherwise("candidate").alias("status")).distinct()
-    return st.learned_brands(c, e.where("seq % 11 = 0").select("brand_key", F.regexp_extract("url_norm", "://([^/?#]+)", 1).alias("domain")).distinct())
+    return st.learned_brands(c, e.select("brand_key", F.regexp_extract("url_norm", "://([^/?#]+)", 1).alias("domain")).distinct())
 
 
 @query("g18_store_summary", _ev(_QUEUE + " SELECT 'observations' AS name, count(*) AS n FROM ev UNION ALL SELECT 'urls', count(DISTINCT url_hash) FROM ev UNION ALL SELECT 'queue', count(*) FROM q"))
@@ -130,6 +133,14 @@ def _(s, d):
     return _whois_facts(s, d, False)
 
 
+@query("s31_whois_texts", with_fixtures(_whois(False).replace("SELECT *, least(", "SELECT * EXCLUDE (who_id), 'host' || who_id || '.example.com' AS domain, least("), "fx_whois"))
+def _(s, d):
+    rows = fixture(s, d, "fx_whois")
+    path = f"{shared_dir(s)}/whois-{uuid.uuid4().hex}"
+    rows.select(F.to_json(F.struct("domain", "raw")).alias("value")).write.text(path)
+    return pg.read_whois(s, path, F.lit("2024-07-01 00:00:00").cast("timestamp")).drop("raw")
+
+
 @query("p15_whois_strict", with_fixtures(_whois(True), "fx_whois"))
 def _(s, d):
     return _whois_facts(s, d, True)
