@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-
+from .identity import NO_URLS
+from .messages import assessment_prompt
 
 # Signs that count as harmless, and separator patterns that make a text noisy when they occur twice.
 HARMLESS_SIGNS = """.,:;/-_@?&=%#+'"()"""
@@ -84,8 +85,8 @@ def cut_text(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit("\n[truncated]"))).otherwise(c)
 
 
-def training_rows(df: DataFrame, index: str, text: str, source: Column, has_url: Column | None = None, most: int = 8000) -> DataFrame:
-    """(id, message, has_url) of the rows with text: trimmed and cut texts, and an id of source, index and a hash of all three.
+def training_rows(df: DataFrame, index: str, text: str, source: Column, has_url: Column | None = None, most: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, message, has_url and the columns to keep) of the rows with text: trimmed and cut texts, and an id of source, index and a hash of all three.
 
     A null source is ``unknown``; ``has_url`` overrides the text's own mention of a url where it is not null.
     """
@@ -93,10 +94,27 @@ def training_rows(df: DataFrame, index: str, text: str, source: Column, has_url:
     message = cut_text(t.trimmed(F.col(text)), most)
     digest = F.substring(F.sha2(F.concat(of, F.col(index).cast("string"), message), 256), 1, 8)
     mentioned = _mentions_url(F.col(text))
-    out = df.select(F.concat_ws("-", of, F.col(index).cast("string"), digest).alias("id"), message.alias("message"), (mentioned if has_url is None else F.coalesce(has_url, mentioned)).alias("has_url"))
+    out = df.select(F.concat_ws("-", of, F.col(index).cast("string"), digest).alias("id"), message.alias("message"), (mentioned if has_url is None else F.coalesce(has_url, mentioned)).alias("has_url"), *keep)
     return out.where("message != ''")
 
 
+#: Bytes of a prompt before it is cut.
+MOST_PROMPT = 32_000
+
+
+def training_examples(rows: DataFrame, contexts: DataFrame, scored: DataFrame, dataset: str, key: str = "id") -> DataFrame:
+    """(id, origin, message, url_context, prompt, scoring): what a model is trained to answer about a message.
+
+    ``rows`` has the key, id, message, has_url, source, index, label and expected_unsafe; ``contexts`` (key, context) the urls'
+    overview, ``scored`` the key and the outcome of scoring without a model. A row without a context has no urls.
+    """
+    scores = [c for c in scored.columns if c != key]
+    met = rows.join(contexts.select(key, "context"), key, "left").join(scored.select(key, F.struct(*scores).alias("scoring")), key, "left")
+    origin = F.struct(F.lit(dataset).alias("dataset"), F.col("source").alias("original_source"), "index", "label", "has_url", "expected_unsafe")
+    context = F.coalesce("context", F.lit(NO_URLS))
+    return met.select("id", origin.alias("origin"), "message", context.alias("url_context"), cut_text(assessment_prompt(F.col("message"), context), MOST_PROMPT).alias("prompt"), "scoring")
+
+
 def conversation_pairs(df: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, response): a user turn and the assistant turn right after it."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

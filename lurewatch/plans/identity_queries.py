@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fixture, with_fixtures
 from ..operators import brands as b
+from ..operators import datasets as ds
 from ..operators import identity as idn
 from ..operators import messages as m
 from ..operators import pages as pg
 from ..registry import query
-from .message_queries import ALL_URL, PARTS, SCORED, URLS, _both, _msgs, _scored, _urls
+from .message_queries import ALL_URL, PARTS, SCORED, URLS, _both, _msgs, _scored, _threats, _urls
+from .score import score_messages
 from .table_queries import JSONLD, META
 
 _TAGS = """array_to_string(list_filter([CASE WHEN official THEN 'official_brand_domain' END, CASE WHEN brand_score >= 45 THEN 'brand_impersonation' END, CASE WHEN hosting_provider IS NOT NULL THEN 'known_hosting_provider' END,
@@ -51,6 +53,26 @@ def _(s, d):
     return idn.url_context(fixture(s, d, "fx_messages"), urls, "msg_id", evidence)
 
 
+_ORIGIN = "CASE WHEN msg_id % 3 > 0 THEN 'set' || (msg_id % 3) ELSE 'unknown' END"
+_SAID = f"""told AS (SELECT msg_id, 'URL Overview:' || chr(10) || string_agg('- ' || url || chr(10) || '  Domain: ' || registrable || coalesce(chr(10) || '  Subdomain: ' || subdomain, '') || coalesce(chr(10) || '  Hosting provider: ' || hosting_provider, ''), chr(10) ORDER BY url_pos) AS context
+ FROM urls JOIN parts USING (url) GROUP BY msg_id), kept AS (SELECT msg_id, expected_unsafe AS unsafe, {_ORIGIN} AS origin, trim(repeat(message || ' ', CASE WHEN msg_id % 50 = 0 THEN 300 ELSE 1 END)) AS long FROM fx_messages),
+rows AS (SELECT *, CASE WHEN strlen(long) > 8000 THEN left(long, 8000) || chr(10) || '[truncated]' ELSE long END AS said, coalesce(context, 'No URLs found.') AS around FROM kept LEFT JOIN told USING (msg_id))"""
+_ASKED = f"'{m.ASSESSMENT_PROMPT}' || chr(10) || chr(10) || 'URL overview:' || chr(10) || around || chr(10) || chr(10) || 'Message:' || chr(10) || said"
+
+
+@query("p47_training_examples", with_fixtures(f"""WITH {SCORED}, {_SAID} SELECT origin || '-' || msg_id || '-' || substr(sha256(origin || msg_id || said), 1, 8) AS id, origin AS original_source, unsafe AS expected_unsafe,
+ contains(lower(said), 'http://') OR contains(lower(said), 'https://') OR contains(lower(said), 'www.') AS has_url, sha256(said) AS message_sha256, around AS url_context, sha256({_ASKED}) AS prompt_sha256, decision, overall_risk
+ FROM rows JOIN decided USING (msg_id)""", "fx_messages", "fx_indicators"))
+def _(s, d):
+    messages = fixture(s, d, "fx_messages")
+    long = messages.withColumn("long", F.expr("trim(repeat(concat(message, ' '), CASE WHEN msg_id % 50 = 0 THEN 300 ELSE 1 END))")).withColumn("origin", F.expr("CASE WHEN msg_id % 3 > 0 THEN concat('set', CAST(msg_id % 3 AS STRING)) END"))
+    rows = ds.training_rows(long, "msg_id", "long", F.col("origin"), keep=("msg_id", "expected_unsafe")).select("*", F.regexp_extract("id", "^([^-]*)-", 1).alias("source"), F.col("msg_id").alias("index"), F.lit(None).cast("string").alias("label"))
+    contexts = idn.url_context(messages, m.with_url_parts(_urls(s, d)), "msg_id")
+    scored = score_messages(messages, _threats(s, d), b.default_brands(s)).select("msg_id", "decision", "overall_risk")
+    out = ds.training_examples(rows, contexts, scored, "messages", "msg_id")
+    return out.select("id", "origin.original_source", "origin.expected_unsafe", "origin.has_url", F.sha2("message", 256).alias("message_sha256"), "url_context", F.sha2("prompt", 256).alias("prompt_sha256"), "scoring.decision", "scoring.overall_risk")
+
+
 _SOURCE = "CASE page_id % 5 WHEN 0 THEN 'acme.com' WHEN 1 THEN 'example.co.uk' WHEN 2 THEN 'shop.net' WHEN 3 THEN 'my.vercel.app' ELSE 'example.org' END"
 
 
