@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lurewatch.tables import numbered
+
 from .common import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -87,7 +89,7 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
         held = [x for x in held if 0 < p[x] < 1]
 
 
-_UNIT = "doc_id long, h long, source string, size long, ix int, rows long, source_size long, target double, whole long, p double"
+_UNIT = "doc_id long, h long, place long, source string, size long, ix int, rows long, source_size long, target double, whole long, p double"
 
 
 def _settle(seed: int, level: int, last: bool):
@@ -108,7 +110,9 @@ def _settle(seed: int, level: int, last: bool):
 def take_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, seed: int = 1) -> DataFrame:
     """(doc_id, h, source, size, source_size, target, copies) of every row; h is a hash of the text, copies at most ``most_repeats``."""
     text = F.coalesce("text", F.lit(""))
-    units = materialize(docs.select("doc_id", F.xxhash64(text).alias("h"), "source", size_in_words(F.col("text")).alias("size")), "units")
+    plain = docs.select("doc_id", F.xxhash64(text).alias("h"), "source", size_in_words(F.col("text")).alias("size"))
+    # in an order of their own that puts equal rows next to each other, so that a block of every n-th row takes its share of them
+    units = materialize(numbered(plain, "source", "xxhash64(doc_id, h)", "doc_id", "h", "size", name="place"), "units")
     sources = materialize(source_targets(units, weights, most_repeats), "sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + 1e-9)
@@ -120,7 +124,7 @@ def take_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeat
     )
     largest = sources.agg(F.max("rows")).first()[0] or 0
     blocks = lambda level: F.ceil(F.col("rows") / (BLOCK_ROWS * FAN_IN**level)).cast("long")
-    block = lambda level: F.pmod(F.xxhash64("doc_id", "h"), blocks(0)) % blocks(level)
+    block = lambda level: F.col("place") % blocks(0) % blocks(level)
 
     level, settled = 0, []
     while True:
@@ -140,10 +144,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeat
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     taken = take_counts(docs, weights, most_repeats, seed).groupBy("doc_id", "h", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_th"), F.col("source").alias("_of"), "_copies", "_rows")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = keyed.join(taken, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.col("doc_id").alias("_doc"), F.col("source").alias("_source"))
+    found = keyed.join(taken, (F.col("_h") == F.col("_th")) & F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_of")))
     # equal rows share their copies: as evenly as whole numbers allow
-    nth = F.row_number().over(Window.partitionBy("_h", "doc_id", "source").orderBy("_h"))
+    nth = F.row_number().over(Window.partitionBy("_h", "_doc", "_source").orderBy("_h"))
     own = F.expr("_copies div _rows") + (nth <= F.col("_copies") % F.col("_rows")).cast("long")
-    repeated = found.withColumn("_own", own).where("_own > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))
-    return repeated.select(docs.columns)
+    repeated = found.withColumn("_own", own).where("_own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))
+    return repeated.select("row.*")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from lurewatch.llm import chatformat, components, decontam, fingerprint, linededup, mixing, neardup, quality, queries, sharding, toxicity, urlfilter
@@ -598,3 +599,27 @@ def test_edited_texts_of_the_fingerprint_query(spark):
         q = len(t) // 4
         want[i] = hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()
     assert {r.doc_id: r.edited_sha256 for r in queries.op8_fingerprint(spark, SF).collect()} == want
+
+
+def test_equal_rows_spread_over_mixing_blocks(spark, monkeypatch):
+    """20,000 equal rows of one source: no block is larger than its bound, the targets hold, and reruns agree."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 256)
+    settle = mixing._settle
+    log = spark.sparkContext.accumulator(0, type("Most", (AccumulatorParam,), {"zero": lambda self, v: v, "addInPlace": lambda self, a, b: max(a, b)})())
+
+    def watched(seed, level, last):
+        inner = settle(seed, level, last)
+
+        def run(key, rows):
+            log.add(rows.num_rows)
+            return inner(key, rows)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_settle", watched)
+    rows = [(1, "same words here", "a")] * 20_000 + [(i, f"own text {i} " + "w " * (i % 9), "ab"[i % 2]) for i in range(2, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = ({(r.doc_id, r.h, r.source): (r.n, r.words) for r in mixing.take_counts(docs, (5, 2), 3).groupBy("doc_id", "h", "source").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("words")).collect()} for _ in range(2))
+    assert once == again and log.value <= 2 * 256
+    taken = mixing.take_counts(docs, (5, 2), 3).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()
+    assert all(abs(r.words - r.target) <= 2 * 12 for r in taken)
