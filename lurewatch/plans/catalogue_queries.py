@@ -223,6 +223,36 @@ def _(s, d):
 _MEMORY = "SELECT seq, sha256(url) AS message_hash, CAST(length(url) AS BIGINT) AS simhash, risk, verdict AS decision, CAST(user_id AS STRING) AS user_id, url AS raw, seen_at, tag_no FROM fx_url_events"
 
 
+def _memory_table(s: SparkSession, d: str, name: str) -> DataFrame:
+    e = run(s, d, _MEMORY.replace("sha256(url)", "sha2(url, 256)"), fx_url_events=fixture(s, d, "fx_url_events"))
+    tagged = e.withColumn("tags", F.array(F.lit("all"))).withColumn("url_hashes", F.array("message_hash", F.sha2("user_id", 256)))
+    edges = e.select("message_hash", F.sha2(F.concat(F.lit("o"), "tag_no"), 256).alias("other_hash"), F.col("risk").alias("distance"))
+    return cat.memory_tables(tagged, edges)[name]
+
+
+@query("k9_memory_urls", with_fixtures("SELECT DISTINCT sha256(url) AS message_hash, unnest([sha256(url), sha256(CAST(user_id AS VARCHAR))]) AS url_hash FROM fx_url_events", "fx_url_events"))
+def _(s, d):
+    return _memory_table(s, d, "urls")
+
+
+@query("k9_memory_similarity", with_fixtures("SELECT sha256(url) AS message_hash, sha256('o' || tag_no) AS other_hash, min(risk) AS distance FROM fx_url_events GROUP BY ALL", "fx_url_events"))
+def _(s, d):
+    return _memory_table(s, d, "similarity")
+
+
+@query("k9_memory_messages", with_fixtures("SELECT sha256(url) AS message_hash, count(*) AS seen_count, min(seen_at) AS first_seen, max(seen_at) AS last_seen, arg_max(risk, seq) AS risk, arg_max(verdict, seq) AS decision FROM fx_url_events GROUP BY url", "fx_url_events"))
+def _(s, d):
+    return _memory_table(s, d, "messages").select("message_hash", "seen_count", "first_seen", "last_seen", "risk", "decision")
+
+
+@query("s21_favicon_hashes", "SELECT DISTINCT 'Site ' || host AS brand, unnest([sha256(host), sha256(host || '/2')]) AS favicon_hash FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)")
+def _(s, d):
+    hosts = run(s, d, "SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
+    listed = F.array(F.sha2("host", 256), F.lit("short"), F.sha2(F.concat("host", F.lit("/2")), 256))
+    item = F.concat(F.regexp_extract(F.to_json(F.array(F.concat(F.lit("Site "), "host"))), r"^\[(.*)\]$", 1), F.lit(":"), F.to_json(listed))
+    return feeds.read_favicon_hashes(s, land_documents(hosts.select(item.alias("item")), "favicons", "{", ",", "}"))
+
+
 @query("k9_memory_tags", with_fixtures("SELECT DISTINCT sha256(url) AS message_hash, 'tag' || (tag_no % 3) AS tag FROM fx_url_events UNION SELECT sha256(url), 'all' FROM fx_url_events", "fx_url_events"))
 def _(s, d):
     e = run(s, d, _MEMORY.replace("sha256(url)", "sha2(url, 256)"), fx_url_events=fixture(s, d, "fx_url_events"))

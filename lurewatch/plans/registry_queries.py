@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..fixtures import fixture, run, with_fixtures
 from ..operators import registries as rg
 from ..operators import supply as sp
 from ..operators.popular import BY_ECOSYSTEM, popular_names
-from ..registry import query
+from ..registry import ORACLES, query
+from ..tables import shared_dir
 
 ASOF = "2024-07-01 00:00:00"
 _PKGS = "SELECT DISTINCT name, version, ecosystem, (length(name) * 7 + length(version) + CAST(substr(version, 1, 1) AS INT)) % 7 AS k FROM fx_packages"
@@ -52,9 +55,13 @@ _KINDS = "kinds(k, score, level, full_score, full_level, summary) AS (VALUES " +
 
 @query("p40_p41_severity", with_fixtures(f"WITH {_KINDS} SELECT v.name, version, ecosystem, vuln_id AS id, CAST(score AS DOUBLE) AS score, level, CAST(full_score AS DOUBLE) AS full_score, full_level, kinds.summary FROM ({_VULN_ROWS}) v JOIN kinds USING (k)", "fx_packages"))
 def _(s, d):
+    return _severities(_vulns(s, d))
+
+
+def _severities(vulns: DataFrame) -> DataFrame:
     v = F.col("vuln")
     plain, full = rg.vulnerability_severity(v["severity"]), rg.vulnerability_severity(v["severity"], v["database_specific"])
-    return _vulns(s, d).select(
+    return vulns.select(
         "name", "version", "ecosystem", v["id"].alias("id"), plain["score"].alias("score"), plain["level"].alias("level"), full["score"].alias("full_score"), full["level"].alias("full_level"),
         rg.vulnerability_summary(v["summary"], v["details"]).alias("summary"),
     )
@@ -104,6 +111,25 @@ def _(s, d):
     return _warned(s, d)
 
 
+def _landed(rows: DataFrame, name: str) -> str:
+    """Rows as landed JSON lines."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    return path
+
+
+@query("s27_vulnerability_files", ORACLES["p40_p41_severity"])
+def _(s, d):
+    listed = _vulns(s, d).groupBy("ecosystem", "name", "version").agg(F.collect_list("vuln").alias("vulns"))
+    return _severities(rg.read_vulnerabilities(s, _landed(listed, "vulnerabilities")))
+
+
+@query("s28_registry_files", ORACLES["p42_j21_registry_warnings"])
+def _(s, d):
+    docs = rg.read_registry_docs(s, _landed(_docs(s, d), "registry"))
+    return rg.registry_warnings(_packages(s, d), docs, F.lit(ASOF).cast("timestamp"))
+
+
 _LISTED = [(n, e) for e, names in BY_ECOSYSTEM.items() for n in names]
 POPULAR_SQL = "popular(popular, ecosystem) AS (VALUES " + ", ".join(f"({_quote(n)}, '{e}')" for n, e in _LISTED) + ")"
 
