@@ -623,3 +623,22 @@ def test_equal_rows_spread_over_mixing_blocks(spark, monkeypatch):
     assert once == again and log.value <= 2 * 256
     taken = mixing.take_counts(docs, (5, 2), 3).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()
     assert all(abs(r.words - r.target) <= 2 * 12 for r in taken)
+
+
+def test_layouts_with_further_keys_and_unmapped_records(spark):
+    records = [
+        '{"id": 1, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "gpt", "content": [{"type": "text", "text": "a"}, "b", {"type": "image"}]}], "source": "s"}',
+        '{"prompt": "p", "response": "r", "source": "s", "text": "t"}', '{"instruction": "i", "input": "x", "output": "o", "meta": {"a": [1]}}', '{"role": "user", "text": "only"}',
+        '{"messages": [{"role": "user"}]}', '{"messages": []}', '{"a": {"b": [1]}}', '{"a": {"b": ["x"]}}', "broken", None, "[1]",
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "_v int, record string").withColumn("v", F.lit("mine")).withColumn("n", F.lit("mine"))
+    turns = defaultdict(list)
+    for r in chatformat.canonical_turns(df, "_v", "record").orderBy("_v", "at").collect():
+        turns[r._v].append((r.layout, r.role, r.text))
+    assert dict(turns) == {
+        0: [("messages", "user", "q"), ("messages", "assistant", "ab")], 1: [("prompt_response", "user", "p"), ("prompt_response", "assistant", "r")],
+        2: [("instruction", "user", "i\n\nx"), ("instruction", "assistant", "o")], 3: [("turn_row", "user", "only")],
+    }
+    lost = {r.paths: r.records for r in chatformat.unmapped(df, "record").collect()}
+    assert sum(lost.values()) == 7 and lost[None] == 2 and lost["OBJECT<a: OBJECT<b: ARRAY<BIGINT>>>"] == 1
+    assert chatformat.canonical_turns(df.limit(0), "_v", "record").count() == 0 and chatformat.unmapped(df.limit(0), "record").count() == 0
