@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import files
+
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table: computed once, however many branches read it, and safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote so far, once no result that reads them is needed any more; tells how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        files.delete(spark, path)
+    return len(paths)
+
+
 def numbered(df: DataFrame, *by: str, name: str = "nth") -> DataFrame:
     """``df`` with row numbers from 0 on in the order ``by`` (SQL expressions, nulls first; append DESC for the reverse).
 

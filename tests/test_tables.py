@@ -22,3 +22,10 @@ def test_equal_rows_stay_in_input_order_and_spread(spark):
     out = tables.numbered(df, "k")
     assert out.where("nth != id").isEmpty() and out.count() == 4000
     assert tables.numbered(df.limit(0), "k").count() == 0
+
+
+def test_released_tables_are_gone(spark):
+    kept = tables.written(spark.range(3), "kept")
+    path = kept.inputFiles()[0].rpartition("/")[0]
+    assert kept.count() == 3 and tables.release(spark) >= 1
+    assert not tables.files.exists(spark, path) and tables.release(spark) == 0
