@@ -15,6 +15,7 @@ from ..registry import ORACLES, QUERIES, query
 from ..sources import versions
 from ..streaming import jobs, reputation, sinks
 from ..tables import shared_dir
+from .message_queries import _KEYED, SCORED, _both
 from .source_queries import _SAYS, _indicators, land_feed
 from .table_queries import _ev, _events
 
@@ -103,3 +104,17 @@ def _(s, d):
     finally:
         s.conf.set(reputation.STORE[0], before)
     return reputation.read_reputation(s, out)
+
+
+@query("t4_remember_stream", _both(f"""WITH {SCORED}, k AS (SELECT msg_id, message_hash, decision IN ('block', 'warn_both') OR overall_risk >= 75 OR secret >= 85 OR injection >= 60 AS stored FROM ({_KEYED}) JOIN decided USING (msg_id))
+SELECT msg_id, msg_id % 2 = 1 AND message_hash IN (SELECT message_hash FROM k WHERE stored AND msg_id % 2 = 0) AS memory_exact FROM k"""))
+def _(s, d):
+    """Messages in two batches: the second meets the unsafe ones of the first in memory."""
+    landed, memory, out, checkpoint = (_place(s, n) for n in ("messages", "memory", "scores", "checkpoint"))
+    columns = "msg_id long, user_id string, message string, seen_at long"
+    messages = fixture(s, d, "fx_messages").select("msg_id", "user_id", "message", F.unix_timestamp("ts").alias("seen_at"))
+    threats = th.dedupe_threats(th.normalize_indicators(fixture(s, d, "fx_indicators")))
+    for k in range(2):
+        messages.where(F.col("msg_id") % 2 == k).write.mode("append").parquet(landed)
+        jobs.remember_stream(s.readStream.schema(columns).parquet(landed), lambda: threats, lambda: b.default_brands(s), memory, out, checkpoint).awaitTermination()
+    return sinks.read_batches(s, out, "msg_id long, memory_exact boolean").select("msg_id", "memory_exact")
