@@ -21,11 +21,10 @@ are duplicates; an empty table gives an empty result; other columns are never re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,16 +152,12 @@ def _beside(rows: DataFrame, other: DataFrame, step: int, *columns: str) -> Data
     return rows.join(o, (F.col("block") == F.col("o_block")) & _same("conv_id", "o_id"), "left").drop("o_id", "o_block")
 
 
-def _vector(v: list[int] | None) -> Vector:
-    return tuple(v)
-
-
 def _pass(codes: pa.Array, path: pa.Array, end: pa.Array) -> pa.Array:
     """A pass over chunks: start vector and path from the end vector; chunks without a new end stay as they are."""
     out = []
     for c, p, e in zip(codes.to_pylist(), path.to_pylist(), end.to_pylist(), strict=True):
         known = None if p is None else [tuple(p[i : i + 4]) for i in range(0, len(p), 4)]
-        costs = known if e is None else backward(c, _vector(e), known)
+        costs = known if e is None else backward(c, tuple(e), known)
         out.append({"start": list(costs[0]), "path": b"".join(bytes(v) for v in costs)})
     return pa.array(out, pa.struct([("start", pa.list_(pa.int32())), ("path", pa.binary())]))
 
@@ -247,7 +242,7 @@ def _repaired(rows: pa.Array, late: pa.Array, end: pa.Array, last: pa.Array, ent
         kinds = [r["kind"] for r in own]
         codes, faults = row_codes(kinds, [r["flags"] for r in own], [r["key"] for r in own], set(seen or ()))
         whole = e is None  # the conversation's only chunk
-        audit, edits, cost, _ = trace(codes, backward(codes, FINISH if whole else _vector(e)), q or START, whole or z)
+        audit, edits, cost, _ = trace(codes, backward(codes, FINISH if whole else tuple(e)), q or START, whole or z)
         chain = kinds if p is None else [p, *kinds]
         illegal = sum(pair not in LEGAL for pair in zip(chain, chain[1:], strict=False))
         new = [{"role": NAMES[state] if state else own[i]["role"], "text": own[i]["text"] if i >= 0 else ""} for i, state in edits]
