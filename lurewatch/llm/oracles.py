@@ -43,6 +43,17 @@ told AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10)
   CAST(sum(4 + length(replace({_ESC.format('role')}, chr(10), '\n')) + 1 + length({_ESC.format('text')}) + 8) AS BIGINT) AS formatted_chars FROM rows GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(coalesce(loss, '')) AS loss_chars, sha256(coalesce(loss, '')) AS loss_sha256, formatted_chars FROM told LEFT JOIN loss USING (conv_id)"""
 
+
+def _sets(name: str, tokens: str, part: str) -> str:
+    """The templates that forms propose by their tokens' frequencies within ``part``."""
+    return f"""{name} AS (SELECT n, lead, form, docs, word, spot, last_value(hash(spot, word)) OVER w AS last,
+  list_filter([CASE WHEN k + 3 >= n * 0.7 AND k + 3 < n THEN kept END, CASE WHEN m + 3 = n AND m + 2 >= n * 0.7 THEN xor(whole, hash(spot, word)) END], lambda x: x IS NOT NULL) AS sets
+  FROM (SELECT *, bit_xor(hash(spot, word)) OVER (PARTITION BY form ORDER BY w DESC, spot ROWS UNBOUNDED PRECEDING) AS kept, row_number() OVER (PARTITION BY form ORDER BY w DESC, spot) AS k,
+      bit_xor(hash(spot, word)) OVER (PARTITION BY form) AS whole, count(*) OVER (PARTITION BY form) AS m
+    FROM (SELECT *, sum(docs) OVER (PARTITION BY {part}, spot, word) AS w FROM {tokens}) WHERE w >= 3)
+  WINDOW w AS (PARTITION BY form ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
 _WHITE = r"[\s\x{00a0}]+"
 OP7 = rf"""WITH raw AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, row_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM raw),
@@ -51,14 +62,15 @@ l AS (SELECT doc_id, text, form, len(string_split(form, ' ')) AS n, array_to_str
 per_doc AS (SELECT DISTINCT n, lead, form, doc_id, text FROM l),
 forms AS (SELECT n, lead, form, count(*) AS docs FROM per_doc GROUP BY ALL),
 exact AS (SELECT form FROM forms WHERE docs >= 3),
-mixed AS (SELECT n, lead, sum(docs) AS total FROM forms GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= 3 AND n > 3),
-tokens AS (SELECT f.n, f.lead, form, docs, total, unnest(string_split(form, ' ')) AS token, generate_subscripts(string_split(form, ' '), 1) AS spot FROM forms f JOIN mixed m ON f.n = m.n AND f.lead = m.lead),
-share AS (SELECT n, lead, spot, token, sum(docs) AS w, any_value(total) AS total FROM tokens WHERE spot > 3 GROUP BY ALL HAVING sum(docs) >= 0.5 * any_value(total)),
-kept AS (SELECT n, lead, spot, arg_max(token, w) AS token FROM share GROUP BY ALL),
-same AS (SELECT t.n, t.lead, form, count(*) AS same FROM tokens t JOIN kept k ON t.n = k.n AND t.lead = k.lead AND t.spot = k.spot AND t.token = k.token GROUP BY ALL),
-members AS (SELECT n, lead, form FROM same WHERE same + 3 >= n * 0.7),
-covered AS (SELECT m.n, m.lead FROM (SELECT DISTINCT m.n, m.lead, p.doc_id, p.text FROM members m JOIN per_doc p ON p.n = m.n AND p.lead = m.lead AND p.form = m.form) m GROUP BY ALL HAVING count(*) >= 3),
-gone AS (SELECT form FROM exact UNION SELECT form FROM members m JOIN covered c ON m.n = c.n AND m.lead = c.lead),
+mixed AS (SELECT n, lead FROM forms GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= 3 AND n > 3),
+tokens AS (SELECT f.n, f.lead, form, docs, unnest(string_split(form, ' ')) AS word, generate_subscripts(string_split(form, ' '), 1) AS spot FROM forms f JOIN mixed m ON f.n = m.n AND f.lead = m.lead),
+{_sets("near", "(SELECT * FROM tokens WHERE spot > 3)", "n, lead")},
+{_sets("far", "near", "n, lead, last")},
+proposed AS (SELECT DISTINCT n, lead, form, docs, unnest(sets) AS kept FROM (SELECT n, lead, form, docs, sets FROM near UNION ALL SELECT n, lead, form, docs, sets FROM far)),
+bound AS (SELECT n, lead, kept FROM proposed GROUP BY ALL HAVING sum(docs) >= 3 AND count(*) > 1),
+members AS (SELECT p.n, p.lead, p.form, p.kept FROM proposed p JOIN bound b ON p.n = b.n AND p.lead = b.lead AND p.kept = b.kept),
+covered AS (SELECT n, lead, kept FROM (SELECT DISTINCT m.n, m.lead, m.kept, p.doc_id, p.text FROM members m JOIN per_doc p ON p.n = m.n AND p.lead = m.lead AND p.form = m.form) GROUP BY ALL HAVING count(*) >= 3),
+gone AS (SELECT form FROM exact UNION SELECT form FROM members m JOIN covered c ON m.n = c.n AND m.lead = c.lead AND m.kept = c.kept),
 flagged AS (SELECT *, form <> '' AND form IN (SELECT form FROM gone) AS drop FROM masked)
 SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (drop) AS INT) AS n_dropped, length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '')) AS kept_chars,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '')) AS kept_sha256 FROM flagged GROUP BY doc_id, row_id"""

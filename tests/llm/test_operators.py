@@ -364,7 +364,9 @@ def test_layouts_become_turns(spark):
     assert dict(got) == {i: [("user", "q"), ("assistant", "a")] for i in range(6)}
 
 
-def lines_by_force(docs, min_docs=3, agree=0.7, constant=0.5, depth=3):
+def lines_by_force(docs, min_docs=3, agree=0.7, depth=3):
+    """Templates as sets of (position, token), counted by documents, with nothing hashed."""
+
     def mask(line):
         return re.sub(r"[^ ]*\d[^ ]*", "<*>", re.sub(r"[\s\xa0]+", " ", line).strip(" "))
 
@@ -372,26 +374,30 @@ def lines_by_force(docs, min_docs=3, agree=0.7, constant=0.5, depth=3):
     for i, t in docs:
         for m in map(mask, (t or "").split("\n")):
             if m:
-                leaf = (len(m.split(" ")), tuple(m.split(" ")[:depth]))
                 forms[m].add((i, t))
-                leaves[leaf].add(m)
+                leaves[len(m.split(" ")), tuple(m.split(" ")[:depth])].add(m)
     gone = {m for m, d in forms.items() if len(d) >= min_docs}
-    for (n, _), own in leaves.items():
-        total = sum(len(forms[m]) for m in own)
-        if len(own) < 2 or total < min_docs or n <= depth:
-            continue
-        fixed = {}
-        for p in range(depth, n):
-            c = Counter()
-            for m in own:
-                c[m.split(" ")[p]] += len(forms[m])
-            token, most = c.most_common(1)[0]
-            if most >= total * constant:
-                fixed[p] = token
-        same = {m: sum(m.split(" ")[p] == x for p, x in fixed.items()) for m in own}
-        members = [m for m in own if same[m] and same[m] + depth >= n * agree]
-        if members and len(set().union(*(forms[m] for m in members))) >= min_docs:
-            gone |= set(members)
+
+    def ordered(of, groups):
+        support = Counter()
+        for m, own in of.items():
+            support.update({(groups[m], x): len(forms[m]) for x in own})
+        return {m: sorted((x for x in own if support[groups[m], x] >= min_docs), key=lambda x, m=m: (-support[groups[m], x], x[0])) for m, own in of.items()}
+
+    for (n, _), members in leaves.items():
+        inner = {m: list(enumerate(m.split(" ")))[depth:] for m in members}
+        first = ordered(inner, dict.fromkeys(members))
+        second = ordered(first, {m: own[-1] if own else None for m, own in first.items()})
+        templates = defaultdict(set)
+        for own in (first, second):
+            for m, xs in own.items():
+                sets = [xs[:k] for k in range(1, len(xs) + 1)] + ([xs[:k] + xs[k + 1 :] for k in range(len(xs))] if len(xs) + depth == n else [])
+                for s in sets:
+                    if n * agree <= len(s) + depth < n:
+                        templates[frozenset(s)].add(m)
+        for own in templates.values():
+            if len(own) > 1 and len(set().union(*(forms[m] for m in own))) >= min_docs:
+                gone |= own
     return {i: "\n".join(x for x in (t or "").split("\n") if not mask(x) or mask(x) not in gone) for i, t in docs}
 
 
@@ -401,6 +407,28 @@ def test_lines_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in linededup.drop_recurring_lines(df).collect()} == lines_by_force(docs)
 
 
+@pytest.mark.parametrize(("templates", "per", "variables", "noise"), [(3, 20, 1, 0), (3, 20, 1, 400), (10, 3, 1, 0), (10, 20, 2, 300), (10, 3, 2, 50)])
+def test_several_templates_in_one_leaf(spark, templates, per, variables, noise):
+    """Lines of one length and lead: every template's lines go, however many others the leaf holds; unrelated lines stay."""
+    rng = random.Random(templates * 100 + per)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(4000)]
+    pool = words[:40]
+    docs, kept = [], {}
+    for k in range(templates):
+        base = words[100 + 12 * k : 109 + 12 * k]
+        for _ in range(per):
+            line = list(base)
+            for v in range(variables):
+                line[2 + 3 * v] = rng.choice(pool)
+            docs.append((len(docs), "the job has " + " ".join(line)))
+            kept[len(docs) - 1] = ""
+    for _ in range(noise):
+        docs.append((len(docs), "the job has " + " ".join(rng.sample(words[1000:], 9))))
+        kept[len(docs) - 1] = docs[-1][1]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == kept and lines_by_force(docs) == kept
+
+
 def test_fingerprints_equal_where_canonical_texts_are(spark):
     rows = [(1, "Café  au lait"), (2, "café AU lait "), (3, "cafe au lait"), (4, None), (5, ""), (6, "​"), (7, "ệ"), (8, "ệ"), (1, "Café  au lait")]
     got = defaultdict(set)
