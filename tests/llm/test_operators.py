@@ -200,6 +200,24 @@ def test_recall_by_similarity(spark):
     assert all(recall[0.80, s] >= 0.9 and recall[0.85, s] >= 0.97 and recall[0.90, s] >= 0.99 for s in (0, 1)), recall
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of exactly 0.80, for each length alone, without and with a passage that all texts share."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    rows, planted = [], []
+    for shared, size in ((False, 60), (False, 100), (False, 150), (False, 250), (False, 260), (False, 400), (True, 100), (True, 200), (True, 400)):
+        for _ in range(200):
+            w = (passage if shared else []) + [f"w{rng.randrange(10**9)}" for _ in range(size)]
+            edited = list(w)
+            for p in rng.sample(range(60 if shared else 0, len(w)), len(w) // 5):
+                edited[p] = f"e{rng.randrange(10**9)}"
+            planted.append(((shared, size), len(rows)))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(edited))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(k for k, a in planted if got[a] == got[a + 1])
+    assert min(found[k] for k, _ in planted) >= 180, found
+
+
 def test_long_alignments(monkeypatch):
     rng = random.Random(4)
     cases = []
