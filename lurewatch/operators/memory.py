@@ -25,18 +25,19 @@ def with_message_keys(df: DataFrame, message: str = "message") -> DataFrame:
 def with_simhash(df: DataFrame, text: str = "normal_text") -> DataFrame:
     """Adds simhash, 64 weighted bits of the tokens; a bit is set where its weights' sum is not negative (all, without tokens).
 
-    Each distinct text is hashed once: its tokens are exploded and 64 sums gathered, combined before the shuffle, so the work
-    stays in generated code. A null text has a null simhash.
+    Each distinct text is hashed once: its tokens are exploded and the weights under each bit summed, combined before the
+    shuffle, so the work stays in generated code. A sum carries bit i in its lower and bit i + 32 in its upper half; the
+    weights of a text are less than its bytes, so no half runs over. A null text has a null simhash.
     """
     trimmed = F.regexp_replace("raw", "^[^A-Za-z0-9<>]+|[^A-Za-z0-9<>]+$", "")
     texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct().select(F.sha2("_text", 256).alias("_key"), "_text")
     tokens = texts.select("_key", F.explode(F.split("_text", " ")).alias("raw")).select("_key", trimmed.alias("token")).select("_key", "token", F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
     weight = F.when(F.col("token") == "", 0).when(F.col("token").isin(*HEAVY), 4).when(F.col("token").isin(*MEDIUM), 3).otherwise(1)
-    signed = lambda i: F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"s{i}")
-    sums = tokens.withColumn("w", weight).groupBy("_key").agg(*[signed(i) for i in range(64)])
-    bit = lambda i: F.when(F.col(f"s{i}") >= 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    hashed = sums.select("_key", reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)]).alias("simhash"))
-    return df.withColumn("_key", F.sha2(text, 256)).join(hashed, "_key", "left").drop("_key")
+    both = F.lit((1 << 32) + 1)
+    sums = tokens.withColumn("w", weight.cast("bigint")).groupBy("_key").agg(F.sum("w").alias("all"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(both) * F.col("w")).alias(f"s{i}") for i in range(32)])
+    set_bits = lambda half, up: reduce(lambda a, b: a.bitwiseOR(b), [F.when(half(F.col(f"s{i}")) * 2 >= F.col("all"), F.shiftleft(F.lit(1).cast("bigint"), i + up)).otherwise(F.lit(0).cast("bigint")) for i in range(32)])
+    low, high = set_bits(lambda s: s.bitwiseAND(F.lit((1 << 32) - 1)), 0), set_bits(lambda s: F.shiftrightunsigned(s, 32), 32)
+    return df.withColumn("_key", F.sha2(text, 256)).join(sums.select("_key", low.bitwiseOR(high).alias("simhash")), "_key", "left").drop("_key")
 
 
 def unsafe_state(events: DataFrame) -> DataFrame:
