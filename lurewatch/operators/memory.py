@@ -115,6 +115,13 @@ def lsh_pairs(messages: DataFrame, memory: DataFrame, most: int = MAX_DISTANCE,
     return near.where(first == F.col("mask")).drop("mask")
 
 
+def message_pairs(pairs: DataFrame, messages: DataFrame, memory: DataFrame) -> DataFrame:
+    """(left_hash, right_hash, distance): every pair of different messages whose patterns are a pair."""
+    left = messages.select(F.col("message_hash").alias("left_hash"), F.col("simhash").alias("left_bits")).distinct()
+    right = memory.select(F.col("message_hash").alias("right_hash"), F.col("simhash").alias("right_bits")).distinct()
+    return pairs.join(left, "left_bits").join(right, "right_bits").where("left_hash != right_hash").select("left_hash", "right_hash", "distance")
+
+
 def distance_adjustment(distance: Column) -> Column:
     return F.when(distance <= 3, 35).when(distance <= 8, 20).when(distance <= 12, 10).otherwise(0)
 

@@ -304,18 +304,16 @@ pairs AS (SELECT a.message_hash AS left_hash, b.message_hash AS right_hash, bit_
 recent AS (SELECT * FROM stored ORDER BY last_seen DESC, message_hash LIMIT 5000)"""
 
 
-@query("j11_hamming_join", _msgs(f"WITH {_MEMORY} SELECT a.simhash AS left_bits, b.simhash AS right_bits, CAST(bit_count(xor(a.simhash, b.simhash)) AS INT) AS distance, a.n AS left_messages, b.n AS right_messages FROM (SELECT simhash, count(*) AS n FROM msgs GROUP BY ALL) a JOIN (SELECT simhash, count(*) AS n FROM stored GROUP BY ALL) b ON bit_count(xor(a.simhash, b.simhash)) <= 12"))
+@query("j11_hamming_join", _msgs(f"WITH {_MEMORY} SELECT left_hash, right_hash, CAST(distance AS INT) AS distance FROM pairs"))
 def _(s, d):
-    """Pairs between the patterns, which stand for their messages, with the number of these on either side."""
     asked, stored = (written(df, "memory") for df in _memory(s, d))
-    sizes = lambda df, side: df.groupBy(F.col("simhash").alias(f"{side}_bits")).agg(F.count("*").alias(f"{side}_messages"))
-    return mem.hamming_pairs(asked, stored).join(sizes(asked, "left"), "left_bits").join(sizes(stored, "right"), "right_bits")
+    return mem.message_pairs(mem.hamming_pairs(asked, stored), asked, stored)
 
 
 @query("j11_hamming_lsh")
 def _(s, d):
     asked, stored = (written(df, "memory") for df in _memory(s, d))
-    return mem.lsh_pairs(asked, stored)
+    return mem.message_pairs(mem.lsh_pairs(asked, stored), asked, stored)
 
 
 @query("j9_j10_g8_memory_lookup", _msgs(f"""WITH {_MEMORY}, near AS (SELECT left_hash, min(distance) AS nearest, count(*) AS n FROM pairs WHERE right_hash IN (SELECT message_hash FROM recent) GROUP BY ALL)

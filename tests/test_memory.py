@@ -33,6 +33,24 @@ def test_exact_and_sampled_pairs(spark):
     assert memory.lsh_pairs(asked, stored.limit(0)).count() == 0
 
 
+def test_pairs_of_all_messages(spark):
+    """Every message of a pattern has its pairs, also with the other messages of the pattern, but not with itself."""
+    asked, stored, left, right = planted(spark, 90)
+    want = {(a[0], b[0], apart(a[1], b[1])) for a in left + [x[:2] for x in right[-30:]] for b in right if a[0] != b[0] and apart(a[1], b[1]) <= 12}
+    more = asked.unionByName(spark.createDataFrame([x[:2] for x in right[-30:]], asked.schema)).distinct()
+    assert sorted(map(tuple, memory.message_pairs(memory.hamming_pairs(more, stored), more, stored).collect())) == sorted(want)
+    assert len(want) > 30 * 299 - 1
+
+
+def test_join_returns_message_pairs(spark):
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = entry.queries()["j11_hamming_join"](spark, sf_dir)
+    assert rows.columns == ["left_hash", "right_hash", "distance"] and rows.where("left_hash = right_hash").isEmpty()
+    assert rows.where("distance = 0").count() > 0
+
+
 def test_recall_of_sampled_bits_at_the_greatest_distance():
     rng = random.Random(9)
     for bits in (6, 12, 16, 20):
