@@ -28,6 +28,7 @@ from .common import materialize
 
 _ZERO_WIDTH = "​‌‍﻿­"
 _SPACE = r"[\s\u0085   -     　]+"
+COMPARED = 1 << 20  # marks of digests that several rows have
 ROWS_PER_RANGE, MOST_RANGES = 512, 8192  # rows that one window orders, while there are not more ranges than that
 _HANGUL = "".join(map(chr, range(0xAC00, 0xD7A4)))
 
@@ -165,15 +166,21 @@ def digest(canonical_text: Column) -> Column:
 
 
 def shared_digests(docs: DataFrame) -> DataFrame:
-    """(digest, canonical) of the different texts that share a digest, found by comparing bytes; normally empty."""
-    text = F.coalesce("text", F.lit(""))
-    hashed = materialize(docs.select("doc_id", F.xxhash64(text).alias("h"), digest(canonical(F.col("text"))).alias("digest")), "digests")
-    alike = hashed.groupBy("digest").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y").select("digest")  # one text alone needs no comparison
-    rows = hashed.join(alike, "digest").groupBy("digest", "h").agg(F.min("doc_id").alias("doc_id"))
-    rows = materialize(rows, "alike").select("digest", F.col("h").alias("row_h"), F.col("doc_id").alias("row_id"))
-    texts = docs.select("doc_id", text.alias("text")).join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.xxhash64("text") == F.col("row_h")))
-    canon = texts.select("digest", canonical(F.col("text")).alias("canonical"))
-    least = canon.groupBy("digest").agg(F.min("canonical").alias("x"), F.max("canonical").alias("y")).where("x != y").select("digest")
+    """(digest, canonical) of the different texts that share a digest, found by comparing bytes; normally empty.
+
+    Every two rows with one digest are compared by their canonical bytes, never by a further hash. A digest of several rows sets
+    one of COMPARED marks, of which there are no more however many texts there are, and only rows under a mark move; a mark that
+    several digests share costs time only. Copies are combined before the shuffle.
+    """
+    digests = docs.select(digest(canonical(F.col("text"))).alias("digest"))
+    mark = F.pmod(F.xxhash64("digest"), F.lit(COMPARED))
+    marks = materialize(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(mark.alias("mark")).distinct(), "marks")
+    canon = docs.select(canonical(F.col("text")).alias("canonical")).select(digest(F.col("canonical")).alias("digest"), "canonical")
+    alike = canon.join(F.broadcast(marks), mark == F.col("mark"), "left_semi")
+    least = alike.groupBy("digest").agg(F.min("canonical").alias("x"), F.max("canonical").alias("y")).where("x != y").select("digest")
+    least = materialize(least, "collided")
+    if least.isEmpty():
+        return docs.sparkSession.createDataFrame([], "digest string, canonical string")
     return materialize(canon.join(least, "digest").distinct(), "collisions")
 
 

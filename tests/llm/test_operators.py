@@ -499,6 +499,14 @@ def test_different_texts_never_share_a_fingerprint(spark, monkeypatch):
     assert got == {1: "a-1", 2: "a-2", 3: "a-1", 4: "b"}
 
 
+def test_texts_are_compared_by_bytes_not_by_another_hash(spark, monkeypatch):
+    """Texts whose hashes all agree, that of the whole text too, are told apart."""
+    monkeypatch.setattr(fingerprint.F, "xxhash64", lambda *c: F.crc32(F.substring(F.col(c[-1]) if isinstance(c[-1], str) else c[-1], 1, 1).cast("binary")))
+    rows = [(1, "ab"), (2, "ac"), (3, "ab"), (4, "b")]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == 3 and got[1] == got[3]
+
+
 @pytest.mark.parametrize("ids", [[5], [0, 1, 2, 3], [-9, 4, 10**12, 7], [-(2**63), 0, 2**63 - 1], [10**15, *range(0, 3000, 3)]])
 def test_next_rows(spark, ids, monkeypatch):
     monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
