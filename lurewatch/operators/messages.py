@@ -10,7 +10,8 @@ from ..functions import text as t
 
 def explode_urls(df: DataFrame, message: str = "message") -> DataFrame:
     """One row per url occurrence in order, repeats included: adds url_pos and url."""
-    return df.select("*", F.posexplode(F.regexp_extract_all(F.col(message), F.lit(t.URL_PATTERN), 0)).alias("url_pos", "url"))
+    # outer: an explode would have the pattern searched again in a filter
+    return df.select("*", F.posexplode_outer(F.regexp_extract_all(F.col(message), F.lit(t.URL_PATTERN), 0)).alias("url_pos", "url")).where("url_pos is not null")
 
 
 def with_url_identity(df: DataFrame, url: str = "url") -> DataFrame:

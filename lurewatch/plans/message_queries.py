@@ -253,7 +253,7 @@ def _(s, d):
 
 @query("g7_url_reputation", _both(f"WITH {SCORED} SELECT * FROM rep"))
 def _(s, d):
-    found = _urls(s, d)
+    found = written(_urls(s, d).select("msg_id", "url"), "urls")
     return found.join(judge_urls(found, _threats(s, d), b.default_brands(s)), "url").groupBy("msg_id").agg(F.max("url_risk").alias("url_reputation"))
 
 
