@@ -235,7 +235,8 @@ def read_commits(lists: DataFrame, diffs: DataFrame) -> DataFrame:
     """(git_url, pos, hash, author, date, message, diff) from landed commit lists (git_url, platform, body) of four shapes, and
     diffs (git_url, hash, body): plain text, or on GitLab a list of parts. Missing fields are empty; diffs are cut."""
     v = lists.withColumn("_v", F.try_parse_json("body")).withColumn("_items", F.when(F.col("platform") == "bitbucket", _get(F.col("_v"), "$.values", "array<variant>")).otherwise(_get(F.col("_v"), "$", "array<variant>")))
-    c = v.select("git_url", "platform", F.posexplode("_items").alias("pos", "c"))
+    # outer: an explode would have its list, and so the parsing, evaluated again in a filter
+    c = v.select("git_url", "platform", F.posexplode_outer("_items").alias("pos", "c")).where("pos is not null")
     at = lambda path: _text(F.col("c"), path)
     hub = [at(p) for p in ("$.sha", "$.commit.author.name", "$.commit.author.date", "$.commit.message")]
     lab = [at(p) for p in ("$.id", "$.author_name", "$.created_at", "$.message")]
@@ -243,7 +244,8 @@ def read_commits(lists: DataFrame, diffs: DataFrame) -> DataFrame:
     of = lambda i: F.coalesce(F.when(F.col("platform") == "github", hub[i]).when(F.col("platform") == "gitlab", lab[i]).when(F.col("platform") == "bitbucket", bucket[i]).otherwise(F.coalesce(hub[i], lab[i])), F.lit(""))
     rows = c.select("git_url", "platform", "pos", *[of(i).alias(n) for i, n in enumerate(("hash", "author", "date", "message"))])
     landed = diffs.groupBy("git_url", "hash").agg(F.max("body").alias("_diff"))
-    parts = _get(F.try_parse_json("_diff"), "$", "array<variant>")
+    # only what begins as a list is parsed: a failed attempt at plain text costs more than all else
+    parts = _get(F.when(F.col("_diff").rlike(r"^\s*\["), F.try_parse_json("_diff")), "$", "array<variant>")
     listed = F.array_join(F.transform(F.filter(F.transform(parts, lambda d: _text(d, "$.diff")), lambda d: d.isNotNull()), lambda d: F.concat(d, F.lit("\n"))), "")
     whole = F.when((F.col("platform") == "gitlab") | ((F.col("platform") == "self-hosted") & parts.isNotNull()), F.coalesce(listed, F.lit(""))).otherwise(F.coalesce("_diff", F.lit("")))
     return rows.join(landed, ["git_url", "hash"], "left").select("git_url", "pos", "hash", "author", "date", "message", truncated_diff(whole).alias("diff"))

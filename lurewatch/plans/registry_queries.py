@@ -12,7 +12,7 @@ from ..operators import registries as rg
 from ..operators import supply as sp
 from ..operators.popular import BY_ECOSYSTEM, popular_names
 from ..registry import ORACLES, query
-from ..tables import shared_dir
+from ..tables import shared_dir, written
 
 ASOF = "2024-07-01 00:00:00"
 _PKGS = "SELECT DISTINCT name, version, ecosystem, (length(name) * 7 + length(version) + CAST(substr(version, 1, 1) AS INT)) % 7 AS k FROM fx_packages"
@@ -205,7 +205,8 @@ _COMMITS = f"""SELECT git_url, hash, CASE platform WHEN 'github' THEN 'Ann' WHEN
 
 
 def _commits(s: SparkSession, d: str) -> DataFrame:
-    rows = run(s, d, _LISTS, fx_commit_verdicts=fixture(s, d, "fx_commit_verdicts")).distinct()
+    # the commits are distinct in the SQL, and what is derived from each follows from it
+    rows = written(run(s, d, _LISTS, fx_commit_verdicts=fixture(s, d, "fx_commit_verdicts")), "commits")
     return rg.read_commits(rows.select("git_url", "platform", "body"), rows.select("git_url", "hash", F.col("diff").alias("body")))
 
 
