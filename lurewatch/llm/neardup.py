@@ -12,14 +12,14 @@ fifth of all places leave 0.8 ** 5 of the shingles, so two sketches agree with a
 of them find such a pair with one of 0.92 or more; nearer pairs are found more surely. In texts of up to SHORT words the
 shingles left vary more from pair to pair, so these have MOST_SKETCHES, of which the first 80 are those of longer texts.
 
-No large bucket is expanded into all pairs. Every bucket compares its members with one leader, the member whose
-sketches are commonest (the centre of a group of copies). A bucket that then still holds members of several classes
-is open. Small ones compare all pairs but of texts that are both near the leader. Members of large ones share a
-passage with many texts, which says little, so they meet again by what few texts share: every labelled shingle that two
-to SMALL_BUCKET of them have makes a small bucket. A pair inside a hot passage thus meets by what it has besides,
-however large the bucket is.
-Last, the open large buckets of one leader are one group, which gets further leaders, each from a class that had none,
-until they bring no two classes together.
+Each text is first compared with one leader: that of most of its buckets, where a bucket's leader is the member whose
+sketches are commonest (the centre of a group of copies). Links to leaders make the first classes. A bucket that then
+still holds members of several classes is open, and gets a leader for each band of lengths once. Open buckets of up to SMALL_BUCKET members compare all pairs across
+classes. The members of larger ones meet by an exact join of all of them, which loses no pair of the similarity: texts
+that near share so many runs of three words that some are among the rarest of both (``_sharing``). Texts whose rarest runs
+are still those of many texts, as where a passage is most of the text, meet by runs of two words, then by single words,
+without any limit on how many have them. So every pair of texts of one bucket is compared, in the same class already, or too
+far apart by what the two share.
 
 Defined cases: null text is empty text; texts without words are equal if their bytes are; texts of fewer than
 five words have no shingles and only match equal word sequences; repeated rows and repeated ids are members of
@@ -38,7 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix64, shingles, words
@@ -50,6 +50,8 @@ MOST_SKETCHES = 120  # of texts of up to SHORT words
 SHORT = 256
 SIMILARITY = 0.8
 SMALL_BUCKET = 8  # members that are compared pair by pair
+GRAMS = (3, 2, 1)  # words of the runs by which the members of larger buckets meet, one after another
+HEAVY = 32  # texts of a run from which they meet by shorter runs instead
 LONG = 4096  # words from which an alignment keeps positions instead of bit rows
 _SEEDS = mix64(np.arange(1, 2 * MOST_SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -236,17 +238,24 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["leader"].take(near), b["node"].take(near), pa.array(s, pa.float64()).take(near)], names=["leader", "node", "s"])
 
     x, y = (texts.select(F.col("node").alias(c), F.col("words").alias(v)) for c, v in (("leader", "x"), ("node", "y")))
-    return materialize(pairs.select("leader", "node").join(x, "leader").join(y, "node").select("leader", "node", "x", "y").mapInArrow(compare, _COMPARED), "compared")
+    # a number of partitions that stays, as aligning takes longer than the size of its rows tells
+    led = pairs.select("leader", "node").join(x, "leader").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    return materialize(led.join(y, "node").select("leader", "node", "x", "y").mapInArrow(compare, _COMPARED), "compared")
 
 
-def _shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, key) for the labelled shingles of each (node, n, words)."""
-    for b in batches:
-        for i, words_ in enumerate(b["words"]):
-            own = _labelled(shingles(np.frombuffer(words_.as_buffer(), dtype=np.uint32).astype(np.uint64), WORDS_IN_SHINGLE)).view(np.int64)
-            for at in range(0, len(own), 1 << 16):
-                part = own[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([b["node"][i].as_py()], pa.binary()).take(pa.array(np.zeros(len(part), np.int64))), pa.array(np.full(len(part), b["n"][i].as_py(), np.int32)), pa.array(part)], names=["node", "n", "key"])
+def _grams(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, class, n, key) for the labelled runs of k words of each (node, class, n, words)."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, words_ in enumerate(b["words"]):
+                own = _labelled(shingles(np.frombuffer(words_.as_buffer(), dtype=np.uint32).astype(np.uint64), k)).view(np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)]
+                    same = pa.array(np.full(len(part), i))
+                    yield pa.RecordBatch.from_arrays([*(b[c].take(same) for c in ("node", "class", "n")), pa.array(part)], names=["node", "class", "n", "key"])
+
+    return grams
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -254,50 +263,52 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
 
     class_id and exact_id are the least ids of the near-duplicate class and of the group with the same words.
     """
-    rows = materialize(_keyed(docs).mapInArrow(_sketch, "doc_id long, h long, node binary, n int, sketches array<long>"), "sketches")
+    sketched = materialize(_keyed(docs).mapInArrow(_sketch, "doc_id long, h long, node binary, n int, sketches array<long>"), "sketches")
     rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
-    nodes = materialize(rows.groupBy("node").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
-    owner = nodes.where(F.size("sketches") > 0).select("node", "n", F.posexplode("sketches").alias("i", "v")).select(F.xxhash64("i", "v").alias("key"), "node", "n")
+    reps = materialize(sketched.groupBy("node").agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "reps")
+    rows = materialize(sketched.select("doc_id", "h", "node"), "rows")
+    discard(sketched)
+    owner = reps.where(F.size("sketches") > 0).select("node", "n", F.posexplode("sketches").alias("i", "v")).select(F.xxhash64("i", "v").alias("key"), "node", "n")
     crowded = owner.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(owner.join(crowded, "key"), "members")
+    nodes = materialize(reps.drop("sketches"), "nodes")
+    discard(reps)
     texts = _node_words(docs, members.select("node").distinct().join(nodes.select("node", "rep"), "node"))
 
-    near = lambda n, m: F.abs(F.col(n) - F.col(m)) <= F.lit(1 - least) * F.greatest(n, m) + 1e-9
-    links = lambda compared: compared.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    led = materialize(_with_leader(members), "led")
+    links = lambda *compared: _union([c.select(F.col("leader").alias("a"), F.col("node").alias("b")) for c in compared])
+    found = [_compared(_own_leaders(members).where(_near("n", "leader_n", least)), texts, least)]
+    some = components(links(*found))
+    # once more in what is open, among texts of similar length, whose leader is not just the longest
+    unled = materialize(_open_buckets(members, some).withColumn("band", F.floor(F.log("n") / -np.log(least)).cast("int")), "unled")
     discard(members)
-    found = [_compared(led.where("node != leader").where(near("n", "leader_n")).select("leader", "node").distinct(), texts, least)]
-    found.append(_compared(_across(led.where(F.col("size") <= SMALL_BUCKET), found[0]).where(near("n", "m")), texts, least))
-    roots = components(links(_union(found)))
-    large = materialize(_groups(_open_buckets(led.where(F.col("size") > SMALL_BUCKET), roots)), "large")
-    discard(led)
-    written = [rows, nodes, texts, large]
-    if not large.isEmpty():
-        open_texts = materialize(large.select("node", "n").distinct().join(texts, "node"), "open_texts")
-        found.append(_compared(_across(_rare_shingles(open_texts), roots=roots).where(near("n", "m")), open_texts, least))
-        tried = large.select(F.col("key").alias("leader"), "node")
-        while True:
-            led = materialize(_with_leader(_open_buckets(large, roots), tried.select("leader").distinct(), roots), "led")
-            new = led.select("leader", "node", "n", "leader_n").distinct().join(tried, ["leader", "node"], "left_anti")
-            found.append(_compared(new.where("node != leader").where(near("n", "leader_n")), open_texts, least))
-            tried = tried.unionByName(led.select("leader", "node").distinct())
-            written.append(led)
-            roots, before = components(links(_union(found))), roots
-            # further leaders as long as they bring classes together
-            ends = _rooted(_rooted(found[-1], before, "leader", "x"), before, "node", "y")
-            ended = ends.where("x != y").isEmpty()
-            discard(before)
-            if ended:
-                break
-        written.append(open_texts)
-
-    rooted = materialize(nodes.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    found.append(_compared(_own_leaders(unled, "band").where(_near("n", "leader_n", least)), texts, least))
+    roots = components(links(*found))
+    discard(some)
+    unsettled = materialize(_open_buckets(unled, roots), "open")
+    discard(unled)
+    wide = _rooted(unsettled.where(F.col("size") > SMALL_BUCKET).select("node", "n").distinct().join(texts, "node"), roots, "node", "root")
+    wide_texts = materialize(wide.select("node", "n", F.xxhash64("root").alias("class"), "words"), "wide_texts")
+    pairs = [_across(_rooted(unsettled.where(F.col("size") <= SMALL_BUCKET), roots, "node", "root"))]
+    written = []
+    for k in GRAMS:
+        met, heavy, held = _sharing(wide_texts, k, least)
+        pairs.append(met)
+        written += [wide_texts, held]
+        if heavy is None or heavy.isEmpty():
+            break
+        wide_texts = materialize(wide_texts.join(heavy, "node", "left_semi"), "wide_texts")
+    met = _compared(_union(pairs).where(_near("n", "m", least)).select("leader", "node").distinct(), texts, least)
+    between = _rooted(_rooted(met, roots, "leader", "a"), roots, "node", "b").select("a", "b").distinct()
+    joined = components(between)
+
+    near_root = _rooted(nodes.select("node", "rep", "copies"), roots, "node", "near_root")
+    rooted = materialize(_rooted(near_root, joined, "near_root", "root"), "rooted")
     classes = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"))
     named = rooted.join(classes, "root").select(
         "node", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("class_h"), "class_size", F.col("rep.doc_id").alias("exact_id"), F.col("copies").alias("exact_size")
     )
     out = materialize(rows.select("doc_id", "h", "node").join(named, "node").drop("node"), "classes")
-    discard(*written, *found, roots, rooted)
+    discard(rows, nodes, texts, *found, unsettled, *written, met, roots, joined, rooted)
     return out
 
 
@@ -311,15 +322,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _with_leader(members: DataFrame, leaders: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
-    """Adds each bucket's leader and its number of words: the most central member, of a class that no earlier leader is in if
-    there is one, the least node at a tie."""
-    placed = members.join(members.groupBy("node").agg(F.sum("size").alias("central")), "node").withColumn("led", F.lit(False))
-    if leaders is not None:
-        led = _rooted(leaders, roots, "leader", "root").select("root").distinct().withColumn("had", F.lit(True))
-        placed = _rooted(placed, roots, "node", "root").join(led, "root", "left").withColumn("led", F.col("had").isNotNull())
-    chosen = placed.groupBy("key").agg(F.min(F.struct("led", -F.col("central"), "node", "n")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
-    return members.select("key", "node", "n", "size").join(chosen, "key")
+def _own_leaders(members: DataFrame, *band: str) -> DataFrame:
+    """(leader, node, n, leader_n): for each text the one that leads most of its buckets, or of their parts of one band, the most
+    central one at a tie."""
+    key = ["key", *band]
+    central = members.groupBy("node").agg(F.sum("size").alias("central"))
+    chosen = members.join(central, "node").groupBy(*key).agg(F.min(F.struct(-F.col("central"), "node", "n")).alias("l"))
+    meets = members.select(*key, "node", "n").join(chosen, key).where("node != l.node").groupBy("node", "n", "l").agg(F.count("*").alias("times"))
+    own = meets.groupBy("node", "n").agg(F.min(F.struct(-F.col("times"), "l")).alias("best"))
+    return own.select(F.col("best.l.node").alias("leader"), "node", "n", F.col("best.l.n").alias("leader_n"))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
@@ -327,20 +338,48 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFram
     return rows.join(r, node, "left").withColumn(root, F.coalesce(root, node))
 
 
-def _across(members: DataFrame, linked: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs (leader, node, n, m) of members of one small bucket: with links of leaders, such as are not both near its leader;
-    with roots, such as are in different classes so far."""
-    if linked is not None:
-        members = members.join(linked.select("leader", "node", F.col("leader").alias("root")), ["leader", "node"], "left")
-        root = F.coalesce("root", F.when(F.col("node") == F.col("leader"), F.col("leader")).otherwise(F.col("node")))
-        members = members.select("key", "leader", "node", "n", root.alias("root"))
+def _near(n: str, m: str, least: float) -> Column:
+    """Whether texts of so many words may be that similar."""
+    return F.abs(F.col(n) - F.col(m)) <= F.lit(1 - least) * F.greatest(n, m) + 1e-9
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (leader, node, n, m) of the members of one small bucket that are in different classes so far."""
+    own = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "n")).alias("m"))
+    both = own.withColumn("x", F.explode("m")).withColumn("y", F.explode("m")).where("x.node < y.node and x.root != y.root")
+    return both.select(F.col("x.node").alias("leader"), F.col("y.node").alias("node"), F.col("y.n").alias("n"), F.col("x.n").alias("m"))
+
+
+def _sharing(texts: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Pairs (leader, node, n, m) of texts of different classes that share enough runs of k words for the similarity; the nodes
+    that have to meet by shorter runs as well; and the table that both are read from.
+
+    The longer text of a pair, of L words, has L - k + 1 runs, and an edit spoils k of them at most, so the pair shares
+    ``needed`` ones. A text's runs are taken in an order that is the same for all: first those of one class alone, then by the
+    number of texts that have them. Of the pair's common runs at most needed - asked are among the last needed - asked of the
+    text whose first part ends earlier, so ``asked`` ones are in the first parts of both. A pair that has only runs of many
+    texts in them is of two texts with such runs: these meet again by shorter runs, whose first part is smaller.
+    """
+    own = texts.select("node", "class", "n", "words").mapInArrow(_grams(k), "node binary, class long, n int, key long")
+    several = own.groupBy("key").agg(F.count("*").alias("texts"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key", "texts")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("texts", "key"))
+    count = F.count("*").over(Window.partitionBy("node"))
+    needed = F.greatest(F.ceil(F.col("n") * (1 - k * (1 - least)) - k + 1 - 1e-6), F.lit(1))
+    asked = F.greatest(F.floor(needed / 8), F.lit(1))
+    first = own.join(several, "key").select("key", "node", "class", "n", "texts", rank.alias("rank"), count.alias("count"), asked.alias("asked"), needed.alias("needed"))
+    held = materialize(first.where("rank <= count - needed + asked").select("key", "node", "class", "n", "texts", "asked"), "first_runs")
+    last = k == GRAMS[-1]
+    x = held if last else held.where(F.col("texts") <= HEAVY)
+    x, y = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "class", "n", "asked"))) for s in "xy")
+    if last:  # classes meet first, so that the texts of one large class are not set against each other
+        of = x.groupBy("key", "class_x").agg(F.count("*").alias("texts")).select("key", "class_x")
+        others = of.join(of.select("key", F.col("class_x").alias("class_y")), "key").where("class_x < class_y")
+        both = x.join(others, ["key", "class_x"]).join(y, ["key", "class_y"]).where(_near("n_x", "n_y", least))
     else:
-        members = _rooted(members, roots, "node", "root").withColumn("leader", F.lit(None).cast("binary"))
-    own = members.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.first("leader").alias("led_by"), F.collect_list(F.struct("node", "root", "n")).alias("m")
-    ).where("low != high")
-    both = own.withColumn("x", F.explode("m")).withColumn("y", F.explode("m")).where("x.node < y.node and x.root != y.root and not coalesce(x.node = led_by or y.node = led_by, false)")
-    return both.select(F.col("x.node").alias("leader"), F.col("y.node").alias("node"), F.col("y.n").alias("n"), F.col("x.n").alias("m")).distinct()
+        both = x.join(y, "key").where(F.col("class_x") < F.col("class_y")).where(_near("n_x", "n_y", least))
+    met = both.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.count("*").alias("met"), F.first(F.least("asked_x", "asked_y")).alias("asked")).where("met >= asked")
+    heavy = None if last else held.where(F.col("texts") > HEAVY).select("node").distinct()
+    return met.select(F.col("node_x").alias("leader"), F.col("node_y").alias("node"), F.col("n_y").alias("n"), F.col("n_x").alias("m")), heavy, held
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -349,19 +388,6 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(several, "key")
 
 
-def _groups(led: DataFrame) -> DataFrame:
-    """(key, node, n, size): all buckets of one leader as one group, under its name."""
-    own = led.select(F.col("leader").alias("key"), "node", "n").distinct()
-    return own.join(own.groupBy("key").agg(F.count("*").alias("size")), "key")
-
-
-def _rare_shingles(open_texts: DataFrame) -> DataFrame:
-    """(key, node, n): small buckets of the texts that have a labelled shingle in common which few of them have."""
-    own = open_texts.select("node", "n", "words").mapInArrow(_shared_shingles, "node binary, n int, key long")
-    rare = own.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts").between(2, SMALL_BUCKET)).select("key")
-    return own.join(rare, "key")
-
-
 def _node_words(docs: DataFrame, involved: DataFrame) -> DataFrame:
     """(node, words) of the involved nodes, one row each, written."""
     by_key = involved.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "node")

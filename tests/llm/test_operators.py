@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -178,6 +179,53 @@ def test_members_of_large_buckets_meet(spark):
     assert all(any(set(p) <= set(g) for g in got) for p in pairs)
 
 
+def test_pairs_of_blocks_that_many_texts_share(spark, monkeypatch):
+    """Every run of words but those with a text's own separators is in many texts; most texts are near none. All buckets count as large."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+    rng = random.Random(31)
+    blocks = [[f"b{i}w{j}" for j in range(20)] for i in range(12)]
+    chosen = []
+    for _ in range(3000):
+        c = sorted(rng.sample(range(12), 6))
+        if all(len(set(c) & set(d)) <= 4 for d in chosen):
+            chosen.append(c)
+    separated = lambda c, name: [w for b in c for w in (*blocks[b], f"{name}s{b}")]
+    texts = [separated(c, f"t{i}") for i, c in enumerate(chosen)]
+    pairs = []
+    for i in range(0, len(chosen), 30):  # few have a near copy
+        pairs.append((i, len(texts)))
+        texts.append(separated(chosen[i], f"copy{i}"))
+    ids, joined = list(range(len(texts))), [" ".join(t) for t in texts]
+    got = classes(spark.createDataFrame(list(zip(ids, joined)), "doc_id long, text string"))
+    assert got == classes_by_force(ids, joined) and sum(len(g) > 1 for g in got) == len(pairs)
+
+
+def test_first_runs_hold_every_near_pair(spark, monkeypatch):
+    """The join of open texts against all pairs, by each length of runs alone and by all in turn."""
+    rng = random.Random(32)
+    hot = [f"h{i}" for i in range(80)]
+    texts = []
+    for size in (6, 9, 14, 40, 90):
+        for i in range(12):
+            w = hot[: size * (i % 4) // 2] + [f"w{rng.randrange(60 if i % 3 else 10**9)}" for _ in range(size)]
+            edited = [x if rng.random() > 0.15 else f"e{rng.randrange(10**9)}" for x in w]
+            texts += [w, edited, w[: len(w) - len(w) // 6], w[2:] + w[:1]]
+    hashes = [np.array([zlib.crc32(x.encode()) for x in t], dtype=np.uint32) for t in texts]
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if neardup.similarity(hashes[i].astype(np.uint64), hashes[j].astype(np.uint64)) >= 0.8}
+    rows = [(bytearray([i]), len(h), i, bytearray(h.tobytes())) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "node binary, n int, class long, words binary")
+    runs = [set(zip(h, h[1:], h[2:])) for h in (x.tolist() for x in hashes)]
+    for grams, heavy in (((3,), 32), ((2,), 32), ((1,), 32), ((3, 2, 1), 4), ((3, 2, 1), 32)):
+        monkeypatch.setattr(neardup, "GRAMS", grams)
+        monkeypatch.setattr(neardup, "HEAVY", heavy)
+        got, rest = set(), df
+        for k in grams:
+            met, again, _ = neardup._sharing(rest, k, 0.8)
+            got |= {tuple(sorted((r.leader[0], r.node[0]))) for r in met.collect()}
+            rest = rest if again is None else rest.join(again, "node", "left_semi")
+        assert {(i, j) for i, j in near if runs[i] & runs[j]} <= got
+
+
 def test_recall_by_similarity(spark):
     """Links by the operator against alignment of the planted pairs; half of them share a passage with all others."""
     rng = random.Random(9)
