@@ -10,6 +10,7 @@ from ..operators import supply as sp
 from ..operators.popular import popular_names
 from ..registry import query
 from ..sources import lockfiles
+from ..tables import written
 from .source_queries import land_files
 from . import registry_queries as rq
 
@@ -40,7 +41,8 @@ def _files(s: SparkSession, d: str) -> DataFrame:
         body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pkg_id", F.expr(one).alias("t")))), lambda x: x["t"]), between)
         part = packages.groupBy("dir").agg(F.concat(F.lit(head), body, F.lit(end)).alias("content")).select(F.concat("dir", F.lit("/" + name)).alias("filename"), "content")
         out = part if out is None else out.unionByName(part)
-    return out
+    # each format is a branch of its own over these files, which would render all of them again
+    return written(out, "rendered")
 
 
 _ECO = {k: v[1] for k, v in sp.LOCKFILES.items()}

@@ -78,3 +78,11 @@ def test_no_window_is_larger_than_a_chunk(spark):
     assert [r.last for r in out.orderBy("pos").collect()] == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "chunk" in plan and plan.count("Window") == 2
+
+
+def test_rendered_files_are_written_once(spark):
+    """The branches of the formats read one table: none of them renders the files again."""
+    from lurewatch.registry import QUERIES
+
+    for name in ("u3_w12_first_mentions", "p39_lockfiles", "p39_yarn"):
+        assert "collect_list" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
