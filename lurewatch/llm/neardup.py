@@ -15,10 +15,13 @@ shingles left vary more from pair to pair, so these have MOST_SKETCHES, of which
 Each text is first compared with one leader: that of most of its buckets, where a bucket's leader is the member whose
 sketches are commonest (the centre of a group of copies). Links to leaders make the first classes. A bucket that then
 still holds members of several classes is open, and gets a leader for each band of lengths once. Open buckets of up to SMALL_BUCKET members compare all pairs across
-classes. The members of larger ones meet by an exact join of all of them, which loses no pair of the similarity: texts
+classes. In larger ones all pairs across classes are compared by their prints first: parities of the hashed words of a text,
+of which an edit flips two at most, so that no pair of the similarity is lost (``_print_of``). Each bucket is a group, and
+tells a pair once, in the least of the buckets that the two share. The members of buckets of more than LARGE_BUCKET, which
+no group holds, meet by an exact join of all of them, which loses no pair of the similarity either: texts
 that near share so many runs of three words that some are among the rarest of both (``_sharing``). Texts whose rarest runs
 are still those of many texts, as where a passage is most of the text, meet by runs of two words, then by single words,
-without any limit on how many have them. So every pair of texts of one bucket is compared, in the same class already, or too
+without any limit on how many have them. So every pair of texts of one bucket is aligned, in the same class already, or too
 far apart by what the two share.
 
 Defined cases: null text is empty text; texts without words are equal if their bytes are; texts of fewer than
@@ -50,8 +53,10 @@ MOST_SKETCHES = 120  # of texts of up to SHORT words
 SHORT = 256
 SIMILARITY = 0.8
 SMALL_BUCKET = 8  # members that are compared pair by pair
-GRAMS = (3, 2, 1)  # words of the runs by which the members of larger buckets meet, one after another
+LARGE_BUCKET = 4096  # members that one group compares by their prints
+GRAMS = (3, 2, 1)  # words of the runs by which the members of still larger buckets meet, one after another
 HEAVY = 32  # texts of a run from which they meet by shorter runs instead
+PRINT_BITS = (256, 8192)  # of a print: the least power of two that is twice the words, between these
 LONG = 4096  # words from which an alignment keeps positions instead of bit rows
 _SEEDS = mix64(np.arange(1, 2 * MOST_SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -188,9 +193,9 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     return distance
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Pairs of neighbouring words that both have, each as often as in the one that has fewer."""
-    both = np.concatenate([_labelled(shingles(x, 2)) for x in (a, b)])
+def _common(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """Runs of k words that both have, each as often as in the one that has fewer."""
+    both = np.concatenate([_labelled(shingles(x, k)) for x in (a, b)])
     both.sort()
     return int((both[1:] == both[:-1]).sum())
 
@@ -204,7 +209,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     n = min(len(a), len(b))
     if longer - n > most:
         return 0.0
-    if n > 8 and _common(a, b) < longer - 1 - 2 * most:  # so many word pairs are left by that few edits
+    if n > 8 and (_common(a, b, 1) < longer - most or _common(a, b, 2) < longer - 1 - 2 * most):  # so many words and word pairs are left by that few edits
         return 0.0
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -243,6 +248,64 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return materialize(led.join(y, "node").select("leader", "node", "x", "y").mapInArrow(compare, _COMPARED), "compared")
 
 
+def _print_of(words_: np.ndarray) -> bytes:
+    """Bit p is the parity of the words with hash p, modulo the print's bits; a word's second occurrence counts as another word.
+
+    Replacing a word flips two bits at most, adding or dropping one flips one. Bits p and p + half of a print make bit p of the
+    print of half its size.
+    """
+    bits = min(PRINT_BITS[1], max(PRINT_BITS[0], 1 << (2 * len(words_) - 1).bit_length()))
+    at = (_labelled(words_) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _prints(texts: pa.Array) -> pa.Array:
+    return pa.array([_print_of(np.frombuffer(x.as_buffer(), dtype=np.uint32).astype(np.uint64)) for x in texts], pa.binary())
+
+
+def _near_prints(n: np.ndarray, classes: np.ndarray, prints: list[bytes], least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) for the rows of ascending n that may be that similar and are in different classes, each pair once."""
+    sizes = np.array([len(p) for p in prints])
+    for size in np.unique(sizes):
+        of = np.flatnonzero((sizes == size) | (sizes == 2 * size))  # a text that near is longer by a quarter at most
+        held = np.empty((len(of), size // 8), dtype=np.uint64)
+        for k, i in enumerate(of):
+            p = np.frombuffer(prints[i], dtype=np.uint64)
+            held[k] = p if len(prints[i]) == size else p[: len(p) // 2] ^ p[len(p) // 2 :]
+        length = n[of]
+        most = ((1 - least) * length + 1e-9).astype(np.int64)
+        ends = np.searchsorted(length - most, length, side="right")  # of the texts that are not too long
+        for k in np.flatnonzero(sizes[of] == size):
+            others = np.arange(k + 1, ends[k])
+            others = others[classes[of[others]] != classes[of[k]]]
+            if len(others):
+                flipped = np.bitwise_count(held[others] ^ held[k]).sum(axis=1, dtype=np.int64)
+                yield of[k], of[others[flipped <= 2 * most[others] - (length[others] - length[k])]]
+
+
+_MET = "leader binary, node binary, n int, m int"
+
+
+def _bucket_pairs(least: float) -> Callable[[pa.Table], pa.Table]:
+    """(leader, node, n, m) of one bucket's pairs that have no lesser bucket in common."""
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("n").combine_chunks()
+        n, classes = (rows[c].to_numpy() for c in ("n", "class"))
+        key = rows["key"][0].as_py()
+        keys = [{k for k in own if k < key} for own in rows["keys"].to_pylist()]
+        x, y = [], []
+        for i, others in _near_prints(n, classes, rows["print"].to_pylist(), least):
+            for j in others.tolist():
+                if keys[i].isdisjoint(keys[j]):
+                    x.append(i)
+                    y.append(j)
+        node, x, y = rows["node"], pa.array(x, pa.int64()), pa.array(y, pa.int64())
+        return pa.table({"leader": node.take(x), "node": node.take(y), "n": rows["n"].take(y), "m": rows["n"].take(x)})
+
+    return pairs
+
+
 def _grams(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(node, class, n, key) for the labelled runs of k words of each (node, class, n, words)."""
 
@@ -269,8 +332,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     rows = materialize(sketched.select("doc_id", "h", "node"), "rows")
     discard(sketched)
     owner = reps.where(F.size("sketches") > 0).select("node", "n", F.posexplode("sketches").alias("i", "v")).select(F.xxhash64("i", "v").alias("key"), "node", "n")
-    crowded = owner.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(owner.join(crowded, "key"), "members")
+    # counted where a bucket's rows are, which needs no second shuffle of all sketches and no join
+    members = materialize(owner.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "members")
     nodes = materialize(reps.drop("sketches"), "nodes")
     discard(reps)
     texts = _node_words(docs, members.select("node").distinct().join(nodes.select("node", "rep"), "node"))
@@ -286,18 +349,20 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     discard(some)
     unsettled = materialize(_open_buckets(unled, roots), "open")
     discard(unled)
-    wide = _rooted(unsettled.where(F.col("size") > SMALL_BUCKET).select("node", "n").distinct().join(texts, "node"), roots, "node", "root")
-    wide_texts = materialize(wide.select("node", "n", F.xxhash64("root").alias("class"), "words"), "wide_texts")
-    pairs = [_across(_rooted(unsettled.where(F.col("size") <= SMALL_BUCKET), roots, "node", "root"))]
-    written = []
-    for k in GRAMS:
+    size = F.col("size")
+    pairs = [_across(unsettled.where(size <= SMALL_BUCKET)), _within(unsettled.where((size > SMALL_BUCKET) & (size <= LARGE_BUCKET)), texts, least)]
+    wide_texts, written = unsettled.where(size > LARGE_BUCKET).select("node", "n", "root").distinct(), []
+    for k in () if wide_texts.isEmpty() else GRAMS:
+        if not written:
+            wide_texts = materialize(wide_texts.join(texts, "node").select("node", "n", F.xxhash64("root").alias("class"), "words"), "wide_texts")
         met, heavy, held = _sharing(wide_texts, k, least)
         pairs.append(met)
         written += [wide_texts, held]
         if heavy is None or heavy.isEmpty():
             break
         wide_texts = materialize(wide_texts.join(heavy, "node", "left_semi"), "wide_texts")
-    met = _compared(_union(pairs).where(_near("n", "m", least)).select("leader", "node").distinct(), texts, least)
+    pairs = _union(pairs).where(_near("n", "m", least)).select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node"))
+    met = _compared(pairs.distinct(), texts, least)
     between = _rooted(_rooted(met, roots, "leader", "a"), roots, "node", "b").select("a", "b").distinct()
     joined = components(between)
 
@@ -350,6 +415,13 @@ def _across(members: DataFrame) -> DataFrame:
     return both.select(F.col("x.node").alias("leader"), F.col("y.node").alias("node"), F.col("y.n").alias("n"), F.col("x.n").alias("m"))
 
 
+def _within(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (leader, node, n, m) of the members of one bucket that are in different classes and may be near by their prints."""
+    of = members.groupBy("node", "n", "root").agg(F.collect_list("key").alias("keys"))
+    printed = of.join(texts, "node").select("node", "n", F.xxhash64("root").alias("class"), F.arrow_udf(_prints, "binary")("words").alias("print"), "keys")
+    return printed.withColumn("key", F.explode("keys")).groupBy("key").applyInArrow(_bucket_pairs(least), _MET)
+
+
 def _sharing(texts: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Pairs (leader, node, n, m) of texts of different classes that share enough runs of k words for the similarity; the nodes
     that have to meet by shorter runs as well; and the table that both are read from.
@@ -383,9 +455,10 @@ def _sharing(texts: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFra
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets of several classes."""
-    several = _rooted(members.select("key", "node"), roots, "node", "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    return members.join(several, "key")
+    """The members of buckets of several classes, with their roots."""
+    of = Window.partitionBy("key")
+    rooted = _rooted(members.drop("root"), roots, "node", "root")
+    return rooted.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low != high").drop("low", "high")
 
 
 def _node_words(docs: DataFrame, involved: DataFrame) -> DataFrame:

@@ -226,6 +226,31 @@ def test_first_runs_hold_every_near_pair(spark, monkeypatch):
         assert {(i, j) for i, j in near if runs[i] & runs[j]} <= got
 
 
+def test_prints_hold_every_near_pair(spark, monkeypatch):
+    """Members of one hot bucket: all near pairs, each told once though two buckets have it, and few others; no join of all of them."""
+    rng = random.Random(41)
+    hot = [f"h{i}" for i in range(12)]
+    texts = []
+    for i in range(150):
+        w = (hot if i % 3 else hot[:2] * rng.randrange(20, 60)) + [f"w{rng.randrange(10**9)}" for _ in range(rng.choice((3, 40, 120, 130, 500)))]
+        texts += [w, [x if rng.random() > (0.05, 0.15, 0.19)[i % 3] else f"e{rng.randrange(10**9)}" for x in w], w[len(w) // 6 :]]
+    hashes = [np.array([zlib.crc32(x.encode()) for x in t], dtype=np.uint32) for t in texts]
+    wide = [h.astype(np.uint64) for h in hashes]
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if neardup.similarity(wide[i], wide[j]) >= 0.8}
+    node = lambda i: bytearray(i.to_bytes(2, "big"))
+    held = spark.createDataFrame([(node(i), bytearray(h.tobytes())) for i, h in enumerate(hashes)], "node binary, words binary")
+    members = spark.createDataFrame([(k, node(i), len(h), node(i)) for i, h in enumerate(hashes) for k in (-3, 5)], "key long, node binary, n int, root binary")
+    got = [tuple(sorted(int.from_bytes(v, "big") for v in (r.leader, r.node))) for r in neardup._within(members, held, 0.8).collect()]
+    assert len(got) == len(set(got)) and near <= set(got) and len(got) < 2 * len(near) + 100
+    one = members.withColumn("root", F.lit(bytearray(b"r")))
+    assert neardup._within(one, held, 0.8).count() == 0  # one class already
+    # the whole operator, by groups and by the join for buckets that no group holds
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    by_groups = classes(docs)
+    monkeypatch.setattr(neardup, "LARGE_BUCKET", neardup.SMALL_BUCKET)
+    assert by_groups == classes(docs)
+
+
 def test_recall_by_similarity(spark):
     """Links by the operator against alignment of the planted pairs; half of them share a passage with all others."""
     rng = random.Random(9)
