@@ -26,7 +26,7 @@ OPERATORS = ["~=", ">=", "<=", "!=", "=== ", "> ", "< "]
 
 def file_kind(filename: Column, part: int) -> Column:
     known = F.create_map(*[F.lit(x) for k, v in LOCKFILES.items() for x in (k, v[part])])
-    return F.try_element_at(known, F.regexp_extract(filename, r"[^/]*$", 0))
+    return F.try_element_at(known, F.substring_index(filename, "/", -1))
 
 
 def lockfile_packages(files: DataFrame) -> DataFrame:
@@ -61,10 +61,10 @@ def _keep(df: DataFrame, name: Column, version: Column) -> DataFrame:
     return df.select("filename", F.col("pos").cast("long").alias("pos"), name.alias("name"), version.alias("version"), "ecosystem").where("name != '' and version != ''")
 
 
-def _carry(df: DataFrame, **values: Column) -> DataFrame:
-    """Adds the last filled value at the earlier lines of each line's file: a window over the file."""
+def _carry(df: DataFrame, firsts: tuple[str, ...] = (), **values: Column) -> DataFrame:
+    """Adds the last filled value (of ``firsts`` the first one) at the earlier lines of each line's file: a window over the file."""
     w = Window.partitionBy("filename").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({k: F.last(v, True).over(w) for k, v in values.items()})
+    return df.withColumns({k: (F.first if k in firsts else F.last)(v, True).over(w) for k, v in values.items()})
 
 
 def toml_first(field: str, block: str = "b") -> Column:
@@ -129,11 +129,14 @@ def packages_of_lines(lines: DataFrame, carry: Callable[..., DataFrame]) -> Data
     version = {"package_lock": x("line", r'^"version":\s*"?([^",]*)"?,?$', 1), "pipfile": x("line", r'^"version":\s*"(.*?)"?,?$', 1), "pnpm": x("line", r"^version:\s*(.+)$", 1), "pubspec": x("line", r'^version:\s*"?([^"]*)"?$', 1)}
     start = {"package_lock": r'^"packages":', "pipfile": r'^"?default"?:', "pnpm": "^packages:$", "pubspec": "^packages:$"}
     pick = lambda table: reduce(lambda acc, k: F.when(F.col("format") == k, table[k]).otherwise(acc), table, F.lit(""))
-    c = carry(of(*name), begun=F.when(F.col("line").rlike("|".join(f"(?:{p})" for p in start.values())), True))
-    c = c.withColumn("n", pick(name)).withColumn("v", pick(version)).where("begun")
+    c = of(*name).withColumn("n", pick(name)).withColumn("v", pick(version))
+    begins = F.when(F.col("line").rlike("|".join(f"(?:{p})" for p in start.values())), F.col("pos"))
     named, used = F.when(F.col("n") != "", F.col("pos")), F.when(F.col("v") != "", F.col("pos"))
-    c = carry(c, name_at=named, used_at=used, carried=F.when(F.col("n") != "", F.col("n")))
-    out.append(_keep(c.where("v != '' and name_at > coalesce(used_at, -1)"), F.col("carried"), F.col("v")))
+    c = c.select("filename", "ecosystem", "pos", "v", begins.alias("begins"), named.alias("named"), used.alias("used"), F.when(F.col("n") != "", F.col("n")).alias("n"))
+    c = c.where("begins is not null or named is not null or used is not null")
+    c = carry(c, firsts=("begun_at",), begun_at=F.col("begins"), name_at=F.col("named"), used_at=F.col("used"), carried=F.col("n"))
+    # lines up to the first start count for nothing: neither such a name nor, being before the name, such a version
+    out.append(_keep(c.where("v != '' and name_at > begun_at and name_at > coalesce(used_at, -1)"), F.col("carried"), F.col("v")))
     return reduce(DataFrame.unionByName, out)
 
 

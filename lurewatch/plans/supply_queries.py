@@ -19,30 +19,34 @@ PER_FILE = 500
 
 # one file of each kind for so many packages: rendered, parsed again, and compared with the packages themselves
 _RENDER = {
-    "Cargo.lock": "concat('[[package]]\\nname = \"', name, '\"\\nversion = \"', version, '\"\\n')", "poetry.lock": "concat('[[package]]\\nname = \"', name, '\"\\nversion = \"', version, '\"\\n')",
-    "requirements.txt": "concat(name, '==', version)", "Gemfile.lock": "concat('    ', name, ' (', version, ')')", "gradle.lockfile": "concat('org.x:', name, ':', version)",
-    "package-lock.json": "concat('    \"node_modules/', name, '\": {\\n      \"version\": \"', version, '\",\\n    },')", "pnpm-lock.yaml": "concat('  /', name, '@', version, ':\\n    version: ', version)",
-    "pubspec.lock": "concat('  ', name, ':\\n    version: \"', version, '\"')", "pom.xml": "concat('<dependency><groupId>g</groupId><artifactId>', name, '</artifactId><version>', version, '</version></dependency>')",
-    "composer.lock": "concat('{\"name\":\"', name, '\",\"version\":\"', version, '\"}')", "maven-lockfile.json": "concat('{\"groupId\":\"g\",\"artifactId\":\"', name, '\",\"version\":\"', version, '\"}')",
-    "go.sum": "concat(name, ' ', version, ' h1:x')", "yarn.lock": "concat(name, '@', version, ':')",
-    "Pipfile.lock": "concat('        \"', name, '\": {\\n            \"version\": \"==', version, '\"\\n        },')",
-    "packages.lock.json": "concat('\"', name, '-', CAST(pkg_id AS STRING), '\":{\"type\":\"Direct\",\"resolved\":\"', version, '\"}')",
-    "mix.lock": "concat('\"', name, '-', CAST(pkg_id AS STRING), '\":', CASE WHEN pkg_id % 9 = 0 THEN '[\"no text\"]' ELSE concat('\"{:hex, :', name, ', \\\\\"', version, '\\\\\"}\"') END)",
+    "Cargo.lock": "concat('[[package]]\\nname = \"', p.name, '\"\\nversion = \"', p.version, '\"\\n')", "poetry.lock": "concat('[[package]]\\nname = \"', p.name, '\"\\nversion = \"', p.version, '\"\\n')",
+    "requirements.txt": "concat(p.name, '==', p.version)", "Gemfile.lock": "concat('    ', p.name, ' (', p.version, ')')", "gradle.lockfile": "concat('org.x:', p.name, ':', p.version)",
+    "package-lock.json": "concat('    \"node_modules/', p.name, '\": {\\n      \"version\": \"', p.version, '\",\\n    },')", "pnpm-lock.yaml": "concat('  /', p.name, '@', p.version, ':\\n    version: ', p.version)",
+    "pubspec.lock": "concat('  ', p.name, ':\\n    version: \"', p.version, '\"')", "pom.xml": "concat('<dependency><groupId>g</groupId><artifactId>', p.name, '</artifactId><version>', p.version, '</version></dependency>')",
+    "composer.lock": "concat('{\"name\":\"', p.name, '\",\"version\":\"', p.version, '\"}')", "maven-lockfile.json": "concat('{\"groupId\":\"g\",\"artifactId\":\"', p.name, '\",\"version\":\"', p.version, '\"}')",
+    "go.sum": "concat(p.name, ' ', p.version, ' h1:x')", "yarn.lock": "concat(p.name, '@', p.version, ':')",
+    "Pipfile.lock": "concat('        \"', p.name, '\": {\\n            \"version\": \"==', p.version, '\"\\n        },')",
+    "packages.lock.json": "concat('\"', p.name, '-', CAST(p.pkg_id AS STRING), '\":{\"type\":\"Direct\",\"resolved\":\"', p.version, '\"}')",
+    "mix.lock": "concat('\"', p.name, '-', CAST(p.pkg_id AS STRING), '\":', CASE WHEN p.pkg_id % 9 = 0 THEN '[\"no text\"]' ELSE concat('\"{:hex, :', p.name, ', \\\\\"', p.version, '\\\\\"}\"') END)",
 }
 _HEAD = {"Gemfile.lock": ("GEM\n", "\n", ""), "package-lock.json": ('{\n"packages": {\n', "\n", "\n}"), "pnpm-lock.yaml": ("packages:\n", "\n", ""), "pubspec.lock": ("packages:\n", "\n", ""), "composer.lock": ('{"packages":[', ",", "]}"), "maven-lockfile.json": ('{"dependencies":[', ",", "]}"),
     "Pipfile.lock": ('{\n    "default": {\n', "\n", "\n    }\n}"), "packages.lock.json": ('{"version":1,"dependencies":{', ",", "}}"), "mix.lock": ("{", ",", "}")}
 
 
-def _files(s: SparkSession, d: str) -> DataFrame:
-    packages = fixture(s, d, "fx_packages").withColumn("dir", F.expr(f"pkg_id div {PER_FILE}").cast("string"))
-    out = None
+def _rendered(s: SparkSession, d: str) -> DataFrame:
+    """(filename, content) of the files of all formats, from one grouping of the packages."""
+    packages = fixture(s, d, "fx_packages").groupBy(F.expr(f"pkg_id div {PER_FILE}").cast("string").alias("dir"))
+    files = []
     for name, one in _RENDER.items():
         head, between, end = _HEAD.get(name, ("", "\n", ""))
-        body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pkg_id", F.expr(one).alias("t")))), lambda x: x["t"]), between)
-        part = packages.groupBy("dir").agg(F.concat(F.lit(head), body, F.lit(end)).alias("content")).select(F.concat("dir", F.lit("/" + name)).alias("filename"), "content")
-        out = part if out is None else out.unionByName(part)
+        body = F.array_join(F.expr(f"transform(packages, p -> {one})"), between)
+        files.append(F.struct(F.concat("dir", F.lit("/" + name)).alias("filename"), F.concat(F.lit(head), body, F.lit(end)).alias("content")))
+    return packages.agg(F.sort_array(F.collect_list(F.struct("pkg_id", "name", "version"))).alias("packages")).select(F.inline(F.array(*files)))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
     # each format is a branch of its own over these files, which would render all of them again
-    return written(out, "rendered")
+    return written(_rendered(s, d), "rendered")
 
 
 _ECO = {k: v[1] for k, v in sp.LOCKFILES.items()}
@@ -70,7 +74,7 @@ def _(s, d):
 
 @query("s26_lockfile_corpus", with_fixtures(f"{_EXPECT} UNION ALL {_YARN}", "fx_packages"))
 def _(s, d):
-    files = _files(s, d).select(F.col("filename").alias("file"), F.lit("").alias("member"), "content")
+    files = _rendered(s, d).select(F.col("filename").alias("file"), F.lit("").alias("member"), "content")
     return lockfiles.read_packages(s, land_files(files, "lockfiles")).drop("pos")
 
 

@@ -1,7 +1,7 @@
 """Archives as a data source: the lines, or the entries of the JSON documents, of their members.
 
 A member of a zip archive is a partition of its own; a gzipped tar can only be read from its start, so each is one partition.
-Members are decompressed in pieces: a task holds one piece, and the line or entry that it ends in, however large a member is.
+Plain files share a partition up to a size, so that many small ones are few tasks. Members are decompressed in pieces: a task holds one piece, and the line or entry that it ends in, however large a member is.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 PIECE = 1 << 20
+#: What a partition of several plain files holds at most, and what opening a file counts for in it.
+PART, OPENING = 32 << 20, 64 << 10
 BROKEN = "\x00broken"
 #: Files that are no archives and are their own only member.
 PLAIN = (".json", ".jsonl", ".txt", ".lock")
@@ -151,17 +153,19 @@ def members(file: IO[bytes], path: str, only: str | None = None) -> Iterator[tup
 
 
 class ArchivePart(InputPartition):
-    def __init__(self, path: str, member: str | None):
+    """Members of archives: (path, member), where None stands for all members."""
+
+    def __init__(self, members: list[tuple[str, str | None]]):
         super().__init__(None)
-        self.path, self.member = path, member
+        self.members = members
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.mode = options["path"], options.get("mode", "lines")
         self.rows, self.piece = int(options.get("rows", "4096")), int(options.get("piece", str(PIECE)))
-        self.at, self.lenient = tuple(k for k in options.get("at", "").split(".") if k), options.get("lenient", "false") == "true"
-        self.names = re.compile(options.get("names", ""))
+        self.at, self.lenient = json.loads(options.get("at", "{}")), options.get("lenient", "false") == "true"
+        self.names, self.tasks = re.compile(options.get("names", "")), int(options.get("tasks", "1"))
         if self.mode not in ("lines", "entries"):
             raise ValueError(f"unknown mode {self.mode!r}")
 
@@ -169,38 +173,48 @@ class ArchiveReader(DataSourceReader):
         where, path = store(self.path)
         info = where.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else where.get_file_info(fs.FileSelector(path, recursive=True))
-        parts = []
+        parts, plain = [], []
         for f in sorted(found, key=lambda f: f.path):
             name = f.path.rpartition("/")[2]
             if f.type != fs.FileType.File or name.startswith(("_", ".")) or not self.names.search(f.path):
                 continue
             if name.endswith(".zip"):
                 with where.open_input_file(f.path) as file, zipfile.ZipFile(file) as z:
-                    parts += [ArchivePart(f.path, n) for n in z.namelist() if not n.endswith("/")]
+                    parts += [ArchivePart([(f.path, n)]) for n in z.namelist() if not n.endswith("/")]
+            elif name.endswith(PLAIN):
+                plain.append((f.path, (f.size or 0) + OPENING))
             else:
-                parts.append(ArchivePart(f.path, None))
+                parts.append(ArchivePart([(f.path, None)]))
+        most, size = min(PART, -(-sum(s for _, s in plain) // self.tasks)), 0
+        for i, (path, own) in enumerate(plain):
+            size += own
+            if i == 0 or size > most:
+                parts.append(ArchivePart([]))
+                size = own
+            parts[-1].members.append((path, None))
         return parts
 
     def read(self, part: ArchivePart) -> Iterator[pa.RecordBatch]:
         where, _ = store(self.path)
-        with where.open_input_file(part.path) as file:
-            for name, stream in members(file, part.path, part.member):
-                held, size, first = [], 0, 0
-                for nth, pair in enumerate(self._cut(pieces(stream, self.piece))):
-                    held.append(pair)
-                    size += len(pair[1] or "")
-                    if len(held) >= self.rows or size >= self.piece:
-                        yield self._batch(part.path, name, first, held)
-                        held, size, first = [], 0, nth + 1
-                if held:
-                    yield self._batch(part.path, name, first, held)
-
-    def _cut(self, pieces: Iterator[bytes]) -> Iterator[tuple[str | None, str | None]]:
+        for path, member in part.members:
+            with where.open_input_file(path) as file:
+                for name, stream in members(file, path, member):
+                    held, size, first = [], 0, 0
+                    for nth, pair in enumerate(self._cut(name, pieces(stream, self.piece))):
+                        held.append(pair)
+                        size += len(pair[1] or "")
+                        if len(held) >= self.rows or size >= self.piece:
+                            yield self._batch(path, name, first, held)
+                            held, size, first = [], 0, nth + 1
+                    if held:
+                        yield self._batch(path, name, first, held)
+
+    def _cut(self, name: str, pieces: Iterator[bytes]) -> Iterator[tuple[str | None, str | None]]:
         if self.mode == "lines":
             yield from ((None, x) for x in lines(pieces))
             return
         try:
-            yield from entries(pieces, self.at)
+            yield from entries(pieces, tuple(self.at.get(name, ())))
         except (ValueError, KeyError):
             if not self.lenient:
                 raise
@@ -212,9 +226,9 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """Options: path (a file or a folder), names (a pattern of the paths that are read), mode (lines or entries), at (keys of the
-    entries' container, by dots), lenient (a broken document ends with a row of the key BROKEN and no value, instead of an
-    error), rows and piece (what a task holds at most)."""
+    """Options: path (a file or a folder), names (a pattern of the paths that are read), mode (lines or entries), at (by member
+    name, the keys of the entries' container, as JSON), lenient (a broken document ends with a row of the key BROKEN and no
+    value, instead of an error), rows and piece (what a task holds at most), tasks (how many the plain files fill, if they can)."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,4 +244,4 @@ class ArchiveSource(DataSource):
 def read_archive(spark: SparkSession, path: str, mode: str = "lines", **options: str) -> DataFrame:
     """(archive, member, nth, key, value): every line or JSON entry of the members; a broken archive is an error."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive").options(mode=mode, **options).load(path)
+    return spark.read.format("archive").options(**{"mode": mode, "tasks": str(spark.sparkContext.defaultParallelism)} | options).load(path)

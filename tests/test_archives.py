@@ -68,3 +68,19 @@ def test_tar_lines_and_broken_archives(spark, tmp_path):
     (tmp_path / "g.tar.gz").write_bytes((tmp_path / "f.tar.gz").read_bytes()[:40])
     with pytest.raises(Exception, match="."):
         archives.read_archive(spark, str(tmp_path / "g.tar.gz")).count()
+
+
+def test_small_plain_files_share_partitions(spark, tmp_path):
+    """Many small files are as many tasks as asked for, each file whole in one of them; large ones are bounded by PART."""
+    want = []
+    for i in range(60):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}" / "a.lock").write_text(json.dumps({"k": 0, "at": [i, i + 1]}))
+        (tmp_path / f"{i}" / "b.lock").write_text(json.dumps([i]) if i % 7 else "[1,")
+        want += [("a.lock", str(i)), ("a.lock", str(i + 1)), ("b.lock", str(i) if i % 7 else "1"), *([] if i % 7 else [("b.lock", None)])]
+    options = {"at": json.dumps({"a.lock": ["at"]}), "lenient": "true"}
+    df = archives.read_archive(spark, str(tmp_path), "entries", tasks="4", **options)
+    assert df.rdd.getNumPartitions() in (4, 5)
+    assert sorted(((r.member, r.value) for r in df.collect()), key=str) == sorted(want, key=str)
+    parts = archives.ArchiveReader({"path": str(tmp_path), "tasks": "1"} | options).partitions()
+    assert len(parts) == 1 and len({m for p in parts for m in p.members}) == 120

@@ -86,3 +86,31 @@ def test_rendered_files_are_written_once(spark):
 
     for name in ("u3_w12_first_mentions", "p39_lockfiles", "p39_yarn"):
         assert "collect_list" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packages_are_grouped_once_for_all_formats(spark):
+    from lurewatch.plans.supply_queries import _RENDER, _rendered
+
+    files = _rendered(spark, "/root/testdata/sf0.001")
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert {r.filename.rpartition("/")[2] for r in files.collect()} == set(_RENDER)
+
+
+def test_lines_of_whole_files_are_not_sorted(spark, tmp_path, monkeypatch):
+    """Without files that are split, no line goes through a sort over all files, and a branch reads its format alone."""
+    monkeypatch.setattr(lockfiles, "numbered", None)
+    for i in range(3):
+        (tmp_path / f"{i}").mkdir()
+        for name in ("yarn.lock", "go.sum"):
+            (tmp_path / f"{i}" / name).write_text("\n".join(f"{name} {i} {k}" for k in range(50)))
+    lines = lockfiles.read_lines(spark, str(tmp_path))
+    got = [(r.filename, r.raw) for r in sorted(lines.collect(), key=lambda r: (r.filename, r.pos))]
+    assert got == [(f"{i}/{name}", f"{name} {i} {k}") for i in range(3) for name in ("go.sum", "yarn.lock") for k in range(50)]
+    assert "PartitionFilters: [isnotnull(format" in lines.where("format = 'yarn'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_value_is_carried_over_chunks(spark):
+    lines = spark.range(2_000).selectExpr("'f' AS filename", "id AS pos", "CASE WHEN id % 700 = 650 THEN id END AS x")
+    out = lockfiles.carry_over(lines, 100, firsts=("first",), first=lines["x"], last=lines["x"])
+    got = [(r.first, r.last) for r in out.orderBy("pos").collect()]
+    assert got == [(650 if i > 650 else None, 1350 if i > 1350 else 650 if i > 650 else None) for i in range(2_000)]
